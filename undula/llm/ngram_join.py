@@ -32,6 +32,8 @@ HUBS = 3
 SALTED = 4096
 #: Rows of a block of the product over heavy columns.
 BLOCK = 256
+#: Bits of the map of documents whose texts are fetched.
+MARKS = 1 << 23
 #: Shingles known to be frequent, at most: they only set the order.
 FREQUENT = 100_000
 
@@ -200,14 +202,30 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"), *[c for c in pairs.columns if c not in ("a", "na", "b", "nb")])
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bit map of hashed ids of fixed size, for leaving out most of the other documents before a join.
+
+    It loses no id. With many more ids than bits it leaves out less, and the join itself does the work.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(MARKS))
+    words = ids.select(place.alias("p")).selectExpr("shiftright(p, 5) AS w", "shiftleft(1, CAST(p % 32 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(MARKS // 32, np.int32)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int32)
+    return out.view(np.uint32)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Texts of the documents in pairs travel compressed, to each of their pairs."""
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
 
+    marks = _marks(ids)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for b in batches:
-            yield _arrow("lb", doc=b.column("doc"), blob=[pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()])
+            place = b.column("place").to_numpy().astype(np.int64)
+            mask = pa.array((marks[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool))
+            yield _arrow("lb", doc=b.column("doc").filter(mask), blob=[pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").filter(mask).to_pylist()])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, kept = zstandard.ZstdDecompressor(), {}
@@ -228,7 +246,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
             mask = pa.array(yes, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").mapInArrow(packed, "doc bigint, blob binary")
+    doc = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").where("doc is not null")
+    source = doc.withColumn("place", F.pmod(F.xxhash64("doc"), F.lit(MARKS))).mapInArrow(packed, "doc bigint, blob binary")
     blobs = written(source.join(ids, "doc", "left_semi"), "texts")
     left = pairs.select("a", "b").join(blobs.select(F.col("doc").alias("a"), F.col("blob").alias("blob_a")), "a")
     full = left.join(blobs.select(F.col("doc").alias("b"), F.col("blob").alias("blob_b")), "b")
@@ -307,7 +326,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     Documents link when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the least doc_id
     reachable by links, its own included. Empty and null texts have no shingle and no link. A null doc_id takes part in no link
-    and has a null component. Rows of one doc_id are one document that links by any of its texts. An empty table gives no rows.
+    and has a null component. Rows of one doc_id
+    with different texts each get the component of their own text. An empty table gives no rows.
     Sets are 64-bit hashes of shingles.
     """
     docs = docs.select("doc_id", "text")
@@ -348,7 +368,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without those that another of their component stands for: the one of the least doc_id stays.
 
-    Documents without shingles and rows with a null doc_id stay; rows of one doc_id stay or go together.
+    Documents without shingles and rows with a null doc_id stay; rows of one doc_id stay or go together, with the row that goes.
     """
     gone = jaccard_components(docs, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
