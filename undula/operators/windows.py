@@ -19,7 +19,6 @@ from ..signal import KEYS, Signal
 from .rows import zeros
 
 BY = ["stream_id", "channel"]
-W = Window.partitionBy(*BY).orderBy("n")
 #: Kernels up to so many taps are expressions.
 SHORT = 64
 BLOCK = 1 << 14
@@ -27,7 +26,8 @@ BLOCK = 1 << 14
 
 def at(k: int):
     """The sample k places before (after, if negative), 0 outside."""
-    return F.coalesce((F.lag("s", k) if k >= 0 else F.lead("s", -k)).over(W), F.lit(0))
+    w = Window.partitionBy(*BY).orderBy("n")
+    return F.coalesce((F.lag("s", k) if k >= 0 else F.lead("s", -k)).over(w), F.lit(0))
 
 
 def convolve_blocks(x: Signal, kernel: np.ndarray, delay: int, block: int = BLOCK):

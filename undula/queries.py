@@ -16,6 +16,7 @@ from .functions import design, laws
 from .functions.numeric import from_bits, from_unit, linear, to_bits
 from .operators import aggregates, combine, frames, maps, resample, rows, scan, sequential, synth, windows
 from .signal import Signal, from_table
+from .sources import files, formats
 
 RATE = 100.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,6 +276,33 @@ signal_query("synth_sweep", lambda x: synth.synth(x, "sine", f=2.0, f2=20.0, len
 QUERIES["null"] = lambda spark, d: plain(synth.silent(spark, 1000, 8000.0, 2))
 SQL["null"] = "SELECT '0' AS stream_id, CAST(c AS BIGINT) AS channel, CAST(n AS BIGINT) AS n, CAST(0 AS BIGINT) AS s FROM range(1000) a(n), range(2) b(c)"
 
+# --- files ---
+
+
+def _round_trip(kind: str) -> None:
+    """Each stream written in a format and read again: the samples at the format's precision."""
+    f = formats.FORMATS[kind]
+    rate, channels = f.rate or 8000.0, 2 if f.channels == 2 else 1
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        x = events(spark, d, channels, rate)
+        back = files.decode_files(files.encode_streams(x, kind), kind, rate, channels)
+        return plain(back.withColumn("stream_id", F.substring_index("stream_id", ".", 1)))
+
+    QUERIES[f"format_{kind}"] = run
+    if f.bits in (16, 24, 32) and kind not in ("cdda",):
+        SQL[f"format_{kind}"] = mapped("s", STEREO if channels == 2 else MONO)
+    elif f.bits in (8, 12) and kind not in ("ima", "vox", "cvsd"):
+        SQL[f"format_{kind}"] = mapped(f"least(CAST(floor((s + {1 << (31 - f.bits)}) / {float(1 << (32 - f.bits))}::DOUBLE) AS BIGINT), {(1 << (f.bits - 1)) - 1}) * {1 << (32 - f.bits)}")
+
+
+for _f in dict.fromkeys(f.names[0] for f in formats.FORMATS.values() if f.read and f.write and f.names[0] != "null"):
+    _round_trip(_f)
+QUERIES["file_facts"] = lambda spark, d: rounded(files.file_facts(files.encode_streams(events(spark, d), "wav")).withColumn("path", F.substring_index("path", ".", 1)))
+SQL["file_facts"] = f"WITH {MONO} SELECT stream_id AS path, 'wav' AS type, 100.0::DOUBLE AS rate, CAST(1 AS BIGINT) AS channels, count(*) AS length, CAST(16 AS BIGINT) AS bits, round(count(*) / 100.0, 6)::DOUBLE AS seconds FROM x GROUP BY stream_id"
+QUERIES["file_totals"] = lambda spark, d: rounded(files.totals(files.file_facts(files.encode_streams(events(spark, d), "aiff"))), 3)
+SQL["file_totals"] = "SELECT count(DISTINCT user_id) AS files, count(*) AS samples, round(count(*) / 100.0, 3)::DOUBLE AS seconds FROM events"
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
