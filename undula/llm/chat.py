@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TURNS = "{% for m in messages %}<turn {{ m.role | escape }}>\n{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}</turn>\n{% endfor %}"
-TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>\n((?:[^\\<>]+|\\.)*)</turn>\n", re.DOTALL)
+TURN = re.compile(r"<turn ((?:[^\\<>]++|\\.)*+)>\n((?:[^\\<>]++|\\.)*+)</turn>\n", re.DOTALL)
 #: Characters of a rendered part, about: a conversation's text is a sequence of parts.
 PART = 1 << 18
 
@@ -136,8 +136,8 @@ class _Expression:
         node = self.atom()
         while True:
             if self.take("."):
-                if self.at >= len(self.tokens) or self.tokens[self.at][0] != "name":
-                    raise TemplateError("a key is missing")
+                if self.at >= len(self.tokens) or self.tokens[self.at][0] != "name" or self.tokens[self.at][1].startswith("_"):
+                    raise TemplateError("a key is missing, or isn't allowed")
                 node = ("key", node, ("value", self.tokens[self.at][1]))
                 self.at += 1
             elif self.take("["):

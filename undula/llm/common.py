@@ -50,14 +50,23 @@ def is_held_out(column) -> F.Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def bounded_sample(rows: DataFrame, key: str, per_class: int, label: str, columns: list[str], max_chars: int) -> list:
-    """At most per_class rows of each label, those with the smallest hash of the key, for fitting on the driver.
+def bounded_sample(docs: DataFrame, per_class: int, max_chars: int, label: str, labels: DataFrame | None = None) -> list[tuple[str, object]]:
+    """(text, label) of at most per_class rows of each label, those with the smallest hash of doc_id, for fitting on the driver.
 
-    Texts over max_chars characters are not drawn. The number of rows and characters is bounded at every size of input.
+    The label is a column of docs, or of labels (doc_id and that column). Empty texts and those over max_chars characters are
+    not drawn. Ids and lengths alone are joined and ordered; only the drawn rows' texts are fetched, by a broadcast of their ids.
+    The numbers of rows and characters are bounded at every size of input.
     """
-    out = []
-    drawn = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    for value in sorted(r[0] for r in drawn.select(label).distinct().limit(64).collect()):
-        one = drawn.where(F.col(label) == F.lit(value)).select(*columns, label)
-        out += one.orderBy(F.xxhash64(F.col(key)), F.col(key), F.col("text")).limit(per_class).collect()
-    return out
+    spark = docs.sparkSession
+    ids = docs.select(F.col("doc_id").alias("_id"), F.length("text").alias("_n"), *([F.col(label).alias("_y")] if labels is None else []))
+    if labels is not None:
+        ids = ids.join(labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")), "_id")
+    ids = written(ids.where((F.col("_n") > 0) & (F.col("_n") <= max_chars) & F.col("_y").isNotNull()).select("_id", "_y"), "labelled")
+    drawn = []
+    for value in sorted(r[0] for r in ids.select("_y").distinct().limit(64).collect()):
+        drawn += ids.where(F.col("_y") == F.lit(value)).orderBy(F.xxhash64("_id"), "_id").limit(per_class).collect()
+    if not drawn:
+        return []
+    few = spark.createDataFrame(drawn, ids.schema).dropDuplicates(["_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y").limit(2 * len(drawn)).collect()
+    return [(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "")) if r["text"]]

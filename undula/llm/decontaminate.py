@@ -166,4 +166,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item."""
-    return with_hits(docs, benchmark, into="_hits", **options).where(F.size("_hits") == 0).drop("_hits")
+    return with_hits(docs, benchmark, into="_u_hits", **options).where(F.size("_u_hits") == 0).drop("_u_hits")

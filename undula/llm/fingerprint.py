@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Members of a bucket that one task compares with the bucket's first text.
-MEMBERS = 500
+MEMBERS = 100
 #: So many texts of colliding digests are broadcast; more are joined by a shuffle.
 FEW = 1000
 OUT_ROWS = 2000

@@ -67,18 +67,18 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
 
 def train(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000) -> LanguageModel:
     """From rows whose lang is given; per_language rows of each language, of max_chars characters at most, come to the driver."""
-    return fit([(r["text"], r["lang"]) for r in bounded_sample(docs, "doc_id", per_language, "lang", ["text"], max_chars)])
+    return fit(bounded_sample(docs, per_language, max_chars, "lang"))
 
 
 def with_text_evidence(rows: DataFrame, model: LanguageModel, text: str) -> DataFrame:
-    """rows plus _logs (array by language) and _mean."""
+    """rows plus _u_logs (array by language) and _u_mean."""
 
     def logs(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             found = [model.text_logs(t) for t in batch]
             yield pd.DataFrame({"logs": [x[0] for x in found], "mean": [x[1] for x in found]})
 
-    return rows.withColumn("_text", F.pandas_udf(logs, "logs array<double>, mean double")(F.col(text))).withColumn("_logs", F.col("_text.logs")).withColumn("_mean", F.col("_text.mean")).drop("_text")
+    return rows.withColumn("_u_text", F.pandas_udf(logs, "logs array<double>, mean double")(F.col(text))).withColumn("_u_logs", F.col("_u_text.logs")).withColumn("_u_mean", F.col("_u_text.mean")).drop("_u_text")
 
 
 def softmax(logs: Column) -> Column:
@@ -96,26 +96,26 @@ def suffix_of(host: Column) -> Column:
 
 
 def host_priors(evidence: DataFrame, languages: list[str], strength: float = 4.0) -> DataFrame:
-    """(_host, _prior: array of log priors by language) from rows with _host and _logs.
+    """(_u_host, _u_prior: array of log priors by language) from rows with _u_host, _u_logs and _u_mean.
 
     A host's counts are smoothed by strength times its domain's prior, that by its suffix's, that by the whole table's. Sums
     are partial before the shuffle, so a host with a third of all rows is a few rows by then.
     """
     n = len(languages)
-    post = F.when(F.col("_mean") > float("-inf"), softmax(F.col("_logs"))).otherwise(F.array(*[F.lit(0.0)] * n))
-    host = evidence.select("_host", post.alias("p")).groupBy("_host").agg(*[F.sum(F.col("p")[k]).alias(f"h{k}") for k in range(n)])
-    host = written(host.withColumns({"_domain": domain_of(F.col("_host")), "_suffix": suffix_of(F.col("_host"))}), "hosts")
-    domain = host.groupBy("_domain", "_suffix").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(n)])
-    suffix = domain.groupBy("_suffix").agg(*[F.sum(f"d{k}").alias(f"s{k}") for k in range(n)])
-    whole = suffix.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0.0)).alias(f"w{k}") for k in range(n)])
-    level = host.join(domain, ["_domain", "_suffix"]).join(suffix, "_suffix").crossJoin(F.broadcast(whole))  # whole is one row
+    post = F.when(F.col("_u_mean") > float("-inf"), softmax(F.col("_u_logs"))).otherwise(F.array(*[F.lit(0.0)] * n))
+    host = evidence.select("_u_host", post.alias("p")).groupBy("_u_host").agg(*[F.sum(F.col("p")[k]).alias(f"h{k}") for k in range(n)])
+    host = written(host.withColumns({"_u_domain": domain_of(F.col("_u_host")), "_u_suffix": suffix_of(F.col("_u_host"))}), "hosts")
+    domain = host.groupBy("_u_domain", "_u_suffix").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(n)])
+    suffix = domain.groupBy("_u_suffix").agg(*[F.sum(f"d{k}").alias(f"s{k}") for k in range(n)])
+    whole = suffix.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) for k in range(n)]).first()  # a number for each language
+    level = host.join(domain, ["_u_domain", "_u_suffix"]).join(suffix, "_u_suffix").withColumns({f"w{k}": F.lit(float(whole[k])) for k in range(n)})
     prior = [F.lit(1.0 / n)] * n
     for letter in "wsdh":
         total = sum((F.col(f"{letter}{k}") for k in range(n)), F.lit(0.0))
         prior = [(F.col(f"{letter}{k}") + F.lit(strength) * prior[k]) / (total + F.lit(strength)) for k in range(n)]
         level = level.withColumns({f"_{letter}{k}": prior[k] for k in range(n)})
         prior = [F.col(f"_{letter}{k}") for k in range(n)]
-    return written(level.select("_host", F.transform(F.array(*prior), lambda x: F.log(x)).alias("_prior")), "priors")
+    return written(level.select("_u_host", F.transform(F.array(*prior), lambda x: F.log(x)).alias("_u_prior")), "priors")
 
 
 def told(value: Column, languages: list[str], trust: float) -> Column:
@@ -128,31 +128,33 @@ def told(value: Column, languages: list[str], trust: float) -> Column:
     return out
 
 
-def identify(rows: DataFrame, model: LanguageModel, text: str = "text", host: Column | None = None, declared: Column | None = None, suffix: Column | None = None, trust: tuple[float, float] = (0.9, 0.8), keep: list[str] | None = None) -> DataFrame:
+def identify(rows: DataFrame, model: LanguageModel, text: str = "text", host: Column | None = None, declared: Column | None = None, suffix: Column | None = None, trust: tuple[float, float] = (0.9, 0.8), keep: list[str] | None = None, into: str = "found") -> DataFrame:
     """Each row's language.
 
     host, declared, suffix: the row's host, its declared markup language and the language its address tells (each may be null
-    or absent). keep: the columns of rows that the result has (all of them if not given). Adds language ('und' where the text
-    has no letters or is like no known language), probability of that language and text_language, from the text alone.
+    or absent). keep: the columns of rows that the result has (all of them if not given). Adds a struct: language ('und' where
+    the text has no letters or is like no known language), probability of that language and text_language, from the text alone.
+    A column called `into` is replaced; names that begin with _u_ are the operator's own.
     Null and empty texts are 'und' with probability 0; a null host counts as one host. Ties go to the first language in order.
     Hosts' priors are broadcast when counted to be at most BROADCAST_HOSTS, and joined by a shuffle (which AQE splits at a hot
     host) otherwise.
     """
     names, n = model.languages, len(model.languages)
-    keep = rows.columns if keep is None else keep
-    src = rows.select(*keep, F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("_host"), F.lower(declared if declared is not None else F.lit(None).cast("string")).alias("_declared"), F.lower(suffix if suffix is not None else F.lit(None).cast("string")).alias("_told"), F.col(text).alias("_whole"))
-    scored = with_text_evidence(src, model, "_whole").drop("_whole")
+    keep = [c for c in (rows.columns if keep is None else keep) if c != into]
+    src = rows.select(*keep, F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("_u_host"), F.lower(declared if declared is not None else F.lit(None).cast("string")).alias("_u_declared"), F.lower(suffix if suffix is not None else F.lit(None).cast("string")).alias("_u_told"), F.col(text).alias("_u_whole"))
+    scored = with_text_evidence(src, model, "_u_whole").drop("_u_whole")
     if text not in keep:  # no text follows: what was read is kept in a slim table and read again
         scored = written(scored, "evidence")
-    priors = host_priors(scored.select("_host", "_logs", "_mean"), names)
+    priors = host_priors(scored.select("_u_host", "_u_logs", "_u_mean"), names)
     small = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = scored.join(F.broadcast(priors) if small else priors, "_host", "left")
-    sums = F.transform(F.arrays_zip(F.col("_prior").alias("a"), F.col("_logs").alias("b"), told(F.col("_declared"), names, trust[0]).alias("c"), told(F.col("_told"), names, trust[1]).alias("d")), lambda x: x["a"] + x["b"] + x["c"] + x["d"])
+    joined = scored.join(F.broadcast(priors) if small else priors, "_u_host", "left")
+    sums = F.transform(F.arrays_zip(F.col("_u_prior").alias("a"), F.col("_u_logs").alias("b"), told(F.col("_u_declared"), names, trust[0]).alias("c"), told(F.col("_u_told"), names, trust[1]).alias("d")), lambda x: x["a"] + x["b"] + x["c"] + x["d"])
     array = F.array(*[F.lit(x) for x in names])
-    known = F.col("_mean") >= F.lit(model.floor)
+    known = F.col("_u_mean") >= F.lit(model.floor)
     best = lambda logs: array[F.array_position(logs, F.array_max(logs)).cast("int") - 1]
-    out = joined.withColumn("_p", softmax(sums))
-    return out.select(*keep, F.when(known, best(F.col("_p"))).otherwise(UNKNOWN).alias("language"), F.when(known, F.array_max("_p")).otherwise(0.0).alias("probability"), F.when(known, best(F.col("_logs"))).otherwise(UNKNOWN).alias("text_language"))
+    out = joined.withColumn("_u_p", softmax(sums))
+    found = F.struct(F.when(known, best(F.col("_u_p"))).otherwise(UNKNOWN).alias("language"), F.when(known, F.array_max("_u_p")).otherwise(0.0).alias("probability"), F.when(known, best(F.col("_u_logs"))).otherwise(UNKNOWN).alias("text_language"))
+    return out.select(*keep, found.alias(into))
 
 
 def markup_language(html: Column) -> Column:

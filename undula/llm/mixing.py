@@ -100,9 +100,7 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 def train(docs: DataFrame, labelled: DataFrame, per_domain: int = 800, max_chars: int = 20_000) -> DomainModel:
     """labelled: (doc_id, domain). per_domain rows of each domain, of max_chars characters at most, come to the driver."""
-    y = labelled.select(F.col("doc_id").alias("_id"), F.col("domain").alias("_domain")).where("_domain is not null")
-    rows = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id"))
-    return fit([(r["text"], r["_domain"]) for r in bounded_sample(rows, "doc_id", per_domain, "_domain", ["text"], max_chars)])
+    return fit(bounded_sample(docs, per_domain, max_chars, "domain", labelled))
 
 
 def with_membership(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
@@ -113,7 +111,7 @@ def with_membership(docs: DataFrame, model: DomainModel, text: str = "text") ->
             found = [model.predict(t) for t in batch]
             yield pd.DataFrame({"p": [x[0].tolist() for x in found], "tokens": [x[1] for x in found]})
 
-    return docs.withColumn("_m", F.pandas_udf(predicted, "p array<int>, tokens bigint")(F.col(text))).withColumns({"_p": F.col("_m.p"), "_tokens": F.col("_m.tokens")}).drop("_m")
+    return docs.withColumn("_u_m", F.pandas_udf(predicted, "p array<int>, tokens bigint")(F.col(text))).withColumns({"_u_p": F.col("_u_m.p"), "_u_tokens": F.col("_u_m.tokens")}).drop("_u_m")
 
 
 def rate_of(p: Column, steps: list[np.ndarray], size: float, ridge: float) -> Column:
@@ -171,11 +169,11 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], total: f
     called tokens, posterior or rate are replaced.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("tokens", "posterior", "rate")]
-    slim = with_membership(docs.select("text"), model).groupBy(F.col("_p").alias("p")).agg(F.sum("_tokens").alias("tokens"))
+    slim = with_membership(docs.select("text"), model).groupBy(F.col("_u_p").alias("p")).agg(F.sum("_u_tokens").alias("tokens"))
     cells = written(slim, "cells")
     steps, size, _ = solve(cells, targets, model.domains, total, **options)
     ridge = options.get("ridge", 1e-3)
-    rates = written(cells.select("p", rate_of(F.col("p"), steps, size, ridge).alias("rate")), "rates")
+    rates = written(cells.select(F.col("p").alias("_u_cell"), rate_of(F.col("p"), steps, size, ridge).alias("_u_rate")), "rates")
     seen = with_membership(docs.select(*[F.col(c) for c in dict.fromkeys([*names, "text"])]), model)
     # cells are distinct grid points: at most comb(GRID + domains - 1, domains - 1) of them, whatever the input
-    return seen.join(F.broadcast(rates), F.col("_p") == F.col("p")).select(*names, F.col("_tokens").alias("tokens"), F.transform("_p", lambda v: v / GRID).alias("posterior"), "rate")
+    return seen.join(F.broadcast(rates), F.col("_u_p") == F.col("_u_cell")).select(*names, F.col("_u_tokens").alias("tokens"), F.transform("_u_p", lambda v: v / GRID).alias("posterior"), F.col("_u_rate").alias("rate"))

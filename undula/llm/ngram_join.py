@@ -370,5 +370,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Documents without shingles and rows with a null doc_id stay; rows of one doc_id stay or go together, with the row that goes.
     """
-    gone = jaccard_components(docs, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = jaccard_components(docs, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_u_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_u_gone"), "left_anti")

@@ -31,7 +31,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (host: their source) and pages (host, markup and address of their own), each by its id."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     model = language.train(docs)
-    found = ["language", "probability", "text_language"]
+    found = ["found.language", "found.probability", "found.text_language"]
     own = language.identify(docs.select("doc_id", "text", "source"), model, host=F.col("source"), keep=["doc_id"])
     told = pages.select("page_id", F.col("url").alias("_url"), F.col("html").alias("_html"))
     web = language.identify(told.withColumn("_body", language.visible_text(F.col("_html"))), model, text="_body", host=language.host_of(F.col("_url")), declared=language.markup_language(F.col("_html")), suffix=language.address_language(F.col("_url"), model.languages), keep=["page_id"])

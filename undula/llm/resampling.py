@@ -90,9 +90,9 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", keep:
             yield pd.DataFrame({"n": [len(g) for g in found], "w": [float(ratio[g].sum()) for g in found]})
 
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_grams", "log_weight", "noisy_weight")]
-    out = docs.select(*names, F.pandas_udf(weighed, "n bigint, w double")(F.col("text")).alias("_w"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)).alias("_h"))
-    u = (F.shiftrightunsigned("_h", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return out.select(*names, F.col("_w.n").alias("n_grams"), F.col("_w.w").alias("log_weight"), (F.col("_w.w") - F.log(-F.log(u))).alias("noisy_weight"))
+    out = docs.select(*names, F.pandas_udf(weighed, "n bigint, w double")(F.col("text")).alias("_u_w"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)).alias("_u_h"))
+    u = (F.shiftrightunsigned("_u_h", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return out.select(*names, F.col("_u_w.n").alias("n_grams"), F.col("_u_w.w").alias("log_weight"), (F.col("_u_w.w") - F.log(-F.log(u))).alias("noisy_weight"))
 
 
 def kth_largest(rows: DataFrame, value: str, key: str, k: int) -> tuple[float, list] | None:

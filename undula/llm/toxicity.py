@@ -166,9 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars:
 
     per_class and max_chars bound what comes to the driver: that many rows of each label, each of at most so many characters.
     """
-    y = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where(~is_held_out(F.col("_id")))
-    rows = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id"))
-    return fit([(r["text"], r["_toxic"]) for r in bounded_sample(rows, "doc_id", per_class, "_toxic", ["text"], max_chars)])
+    y = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~is_held_out(F.col("doc_id")))
+    return fit(bounded_sample(docs, per_class, max_chars, "toxic", y))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "score") -> DataFrame:
