@@ -17,13 +17,13 @@ from undula.llm.queries import TARGETS
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of toxicity 0.5 or more go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, into="_score").where("_score < 0.5").drop("_score")
+    return toxicity.score_toxicity(docs, model, into="_u_score").where("_u_score < 0.5").drop("_u_score")
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go."""
-    found = language.identify(docs, language.train(docs), host=F.col("source"))
-    return found.where(F.col("language") != language.UNKNOWN).select(*docs.columns)
+    found = language.identify(docs, language.train(docs), host=F.col("source"), into="_u_found")
+    return found.where(F.col("_u_found.language") != language.UNKNOWN).drop("_u_found")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
