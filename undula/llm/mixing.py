@@ -8,7 +8,7 @@ a total. The rates solve a least-squares problem by projected gradient steps in
 
 (N: all tokens). With a document's tokens as its metric, the step is r_d <- max(0, r_d - h (sum_c p_dc (S_c - T_c)/N + ridge
 (r_d - 1))): documents of one posterior share one rate. Posteriors are rounded to GRID steps (by definition of this operator),
-so the problem is solved over the table of distinct posteriors with their tokens, whose size is bounded by GRID and the number
+so the problem is solved (with momentum) over the table of distinct posteriors with their tokens, whose size is bounded by GRID and the number
 of domains and not by the number of documents.
 """
 
@@ -114,14 +114,18 @@ def with_membership(docs: DataFrame, model: DomainModel, text: str = "text") ->
     return docs.withColumn("_u_m", F.pandas_udf(predicted, "p array<int>, tokens bigint")(F.col(text))).withColumns({"_u_p": F.col("_u_m.p"), "_u_tokens": F.col("_u_m.tokens")}).drop("_u_m")
 
 
-def rate_of(p: Column, steps: list[np.ndarray], size: float, ridge: float) -> Column:
-    """The rate after the given gradients, replayed; used for one last expression over many documents."""
-    g = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps]) if steps else F.array().cast("array<array<double>>")
-    pull = lambda one: F.aggregate(F.zip_with(p, one, lambda a, b: a * b / GRID), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(g, F.lit(1.0), lambda r, one: F.greatest(F.lit(0.0), r - F.lit(size) * (pull(one) + F.lit(ridge) * (r - 1))))
+def advanced(q: np.ndarray, steps: list[np.ndarray], size: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of posteriors q after the given gradients, and the points at which the next gradient is taken (with momentum)."""
+    r = y = np.ones(len(q))
+    t = 1.0
+    for g in steps:
+        new = np.maximum(0, y - size * (q @ g + ridge * (y - 1)))
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        r, y, t = new, new + (t - 1) / after * (new - r), after
+    return r, y
 
 
-def solve(cells: DataFrame, targets: dict[str, float], domains: list[str], total: float | None = None, ridge: float = 1e-3, iterations: int = 80, tolerance: float = 1e-4) -> tuple[list[np.ndarray], float, dict]:
+def solve(cells: DataFrame, targets: dict[str, float], domains: list[str], total: float | None = None, ridge: float = 1e-3, iterations: int = 60, tolerance: float = 1e-4) -> tuple[list[np.ndarray], float, dict]:
     """Gradient history, step size and what was reached, for cells (p, tokens, rate) of distinct posteriors.
 
     Each iteration sums rate * tokens * posterior over the cells on the executors and brings one number a domain to the
@@ -139,25 +143,24 @@ def solve(cells: DataFrame, targets: dict[str, float], domains: list[str], total
     goal = (whole if total is None else total) * weight / max(weight.sum(), 1e-300)
     steps: list[np.ndarray] = []
 
-    def advanced(grad: np.ndarray):
-        def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summed(history: list[np.ndarray]):
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                q = np.array(b["p"].tolist(), float).reshape(len(b), n) / GRID
-                r = np.ones(len(b))
-                for one in grad:
-                    r = np.maximum(0, r - size * (q @ one + ridge * (r - 1)))
-                yield pd.DataFrame([(b["tokens"].to_numpy(float) * r) @ q], columns=[f"s{k}" for k in range(n)])
+                q, t = np.array(b["p"].tolist(), float).reshape(len(b), n) / GRID, b["tokens"].to_numpy(float)
+                yield pd.DataFrame([np.concatenate([(t * v) @ q for v in advanced(q, history, size, ridge)])], columns=[f"s{k}" for k in range(2 * n)])
 
-        return move
+        return sums
 
-    reached = g.sum(1) * whole
+    reached = ahead = g.sum(1) * whole
     for _ in range(iterations):
-        step = (reached - goal) / whole
-        if len(steps) and np.abs(step).max() < tolerance:
+        if np.abs(reached - goal).max() < tolerance * whole:
+            break
+        steps.append((ahead - goal) / whole)
+        row = cells.mapInPandas(summed(list(steps)), ", ".join(f"s{k} double" for k in range(2 * n))).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * n)]).first()
+        before, both = reached, np.array([row[f"s{k}"] or 0.0 for k in range(2 * n)])
+        reached, ahead = both[:n], both[n:]
+        if np.abs(reached - before).max() < tolerance * 1e-2 * whole:  # as near as the ridge and the bound 0 allow
             break
-        steps.append(step)
-        sums = cells.mapInPandas(advanced(np.array(steps)), ", ".join(f"s{k} double" for k in range(n))).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)]).first()
-        reached = np.array([sums[f"s{k}"] or 0.0 for k in range(n)])
     return steps, size, {"tokens": dict(zip(domains, reached.tolist())), "goal": dict(zip(domains, goal.tolist())), "iterations": len(steps)}
 
 
@@ -173,7 +176,14 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], total: f
     cells = written(slim, "cells")
     steps, size, _ = solve(cells, targets, model.domains, total, **options)
     ridge = options.get("ridge", 1e-3)
-    rates = written(cells.select(F.col("p").alias("_u_cell"), rate_of(F.col("p"), steps, size, ridge).alias("_u_rate")), "rates")
+    n = len(model.domains)
+
+    def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            q = np.array(b["p"].tolist(), float).reshape(len(b), n) / GRID
+            yield pd.DataFrame({"_u_cell": b["p"], "_u_rate": advanced(q, steps, size, ridge)[0]})
+
+    rates = written(cells.mapInPandas(rated, "_u_cell array<int>, _u_rate double"), "rates")
     seen = with_membership(docs.select(*[F.col(c) for c in dict.fromkeys([*names, "text"])]), model)
     # cells are distinct grid points: at most comb(GRID + domains - 1, domains - 1) of them, whatever the input
     return seen.join(F.broadcast(rates), F.col("_u_p") == F.col("_u_cell")).select(*names, F.col("_u_tokens").alias("tokens"), F.transform("_u_p", lambda v: v / GRID).alias("posterior"), F.col("_u_rate").alias("rate"))
