@@ -121,7 +121,7 @@ def test_laws_invert():
         assert (t[laws.nearest_code(t, t)] == t).all()
 
 
-@pytest.mark.parametrize("kind", [k for k, f in formats.FORMATS.items() if f.read and f.write and k not in ("null", "cdda", "cdr", "ima", "vox", "cvsd", "cvs", "cvu", "al", "ul", "la", "lu", "gsrt", "wve", "wav_alaw", "wav_ulaw")])
+@pytest.mark.parametrize("kind", [k for k, f in formats.FORMATS.items() if f.read and f.write and k not in ("null", "cdda", "cdr", "ima", "vox", "cvsd", "cvs", "cvu", "dvms", "vms", "al", "ul", "la", "lu", "gsrt", "wve", "wav_alaw", "wav_ulaw")])
 def test_format(kind):
     f = formats.FORMATS[kind]
     c = f.channels or 2
@@ -142,6 +142,14 @@ def test_lossy_format(kind):
     assert np.sqrt(np.mean((back[:400].astype(float) - a) ** 2)) < (1 << 29) * 0.06
 
 
+@pytest.mark.parametrize("kind", ["cvsd", "dvms"])
+def test_delta_modulation(kind):
+    a = np.rint(np.sin(np.arange(800) / 40) * (1 << 29)).astype(np.int32)[:, None]
+    f = formats.FORMATS[kind]
+    back = f.read(f.write(a, 8000.0))[1]
+    assert np.corrcoef(back[100:800, 0], a[100:, 0])[0, 1] > 0.9
+
+
 def test_integer_edges():
     s = np.array([0, 1, 2147483647, -2147483648, -2147483647, -1, 1 << 23, (1 << 23) - 1])
     assert pcm.bytes_int(pcm.int_bytes(s, 8), 8).tolist() == [0, 0, 127 << 24, -128 << 24, -128 << 24, 0, 1 << 24, 0]

@@ -292,7 +292,7 @@ def _round_trip(kind: str) -> None:
     QUERIES[f"format_{kind}"] = run
     if f.bits in (16, 24, 32) and kind not in ("cdda",):
         SQL[f"format_{kind}"] = mapped("s", STEREO if channels == 2 else MONO)
-    elif f.bits in (8, 12) and kind not in ("ima", "vox", "cvsd"):
+    elif f.bits in (8, 12) and kind not in ("ima", "vox", "cvsd", "dvms"):
         SQL[f"format_{kind}"] = mapped(f"least(CAST(floor((s + {1 << (31 - f.bits)}) / {float(1 << (32 - f.bits))}::DOUBLE) AS BIGINT), {(1 << (f.bits - 1)) - 1}) * {1 << (32 - f.bits)}")
 
 

@@ -64,6 +64,21 @@ raw(("vox",), lambda r: pcm.bytes_adpcm(r, pcm.OKI_STEPS, ~15), lambda s: pcm.ad
 raw(("cvsd", "cvs", "cvu"), pcm.bytes_delta, pcm.delta_bytes, 8, 8000.0, 1)
 
 
+def read_dvms(b: bytes) -> tuple[float, np.ndarray, int]:
+    """Delta modulation after a header of 120 bytes: length in bytes at 26, rate in 100 Hz at 30."""
+    size, rate = struct.unpack_from("<IH", b, 26)
+    return 8000.0, wide(pcm.bytes_delta(b[120 : 120 + size] if size else b[120:]), 1), 8
+
+
+def write_dvms(a: np.ndarray, rate: float) -> bytes:
+    data = pcm.delta_bytes(flat(a))
+    head = b"\0" * 14 + struct.pack("<HHIHHIHHHH", 0, 0, 0, 0, 0, len(data), 160, 0, 0, 0) + b"\0" * 80
+    return head + struct.pack("<H", sum(head[:117]) & 0xFFFF) + data
+
+
+put("dvms", "vms", read=read_dvms, write=write_dvms, channels=1, rate=8000.0, bits=7)
+
+
 def _cdda(a: np.ndarray, rate: float) -> bytes:
     out = pcm.int_bytes(flat(a), 16, big=True)
     return out + b"\0" * (-len(out) % 2352)  # whole sectors
