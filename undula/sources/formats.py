@@ -260,15 +260,19 @@ def write_au(a: np.ndarray, rate: float) -> bytes:
 put("au", "snd", read=read_au, write=write_au)
 
 
+#: First bytes of the 32-bit intermediate format, little-endian: a fixed value.
+NATIVE = bytes.fromhex("2e536f58")
+
+
 def read_native(b: bytes) -> tuple[float, np.ndarray, int]:
-    e = {b".SoX": "<", b"XoS.": ">"}.get(b[:4])
+    e = {NATIVE: "<", NATIVE[::-1]: ">"}.get(b[:4])
     if not e:
         raise ValueError("not in the native format")
     header, n, rate, channels, _ = struct.unpack_from(e + "IQdII", b, 4)
     return rate, wide(pcm.bytes_int(b[4 + header :], 32, big=e == ">")[:n], channels), 32
 
 
-put("sox", read=read_native, write=lambda a, r: b".SoX" + struct.pack("<IQdII", 28, a.size, r, a.shape[1], 0) + pcm.int_bytes(flat(a), 32), bits=32)
+put("native", read=read_native, write=lambda a, r: NATIVE + struct.pack("<IQdII", 28, a.size, r, a.shape[1], 0) + pcm.int_bytes(flat(a), 32), bits=32)
 
 
 def read_dat(b: bytes) -> tuple[float, np.ndarray, int]:
@@ -651,7 +655,7 @@ put("xa", read=read_xa)
 
 #: First bytes that tell a format: (offset, bytes, name). Fixed values.
 MAGIC = [
-    (8, b"WAVE", "wav"), (8, b"AIFF", "aiff"), (8, b"AIFC", "aifc"), (8, b"8SVX", "8svx"), (8, b"MAUD", "maud"), (0, b".snd", "au"), (0, b"dns.", "au"), (0, b".SoX", "sox"), (0, b"XoS.", "sox"), (0, b"2BIT", "avr"), (0, b"NIST_1A", "sph"),
+    (8, b"WAVE", "wav"), (8, b"AIFF", "aiff"), (8, b"AIFC", "aifc"), (8, b"8SVX", "8svx"), (8, b"MAUD", "maud"), (0, b".snd", "au"), (0, b"dns.", "au"), (0, NATIVE, "native"), (0, NATIVE[::-1], "native"), (0, b"2BIT", "avr"), (0, b"NIST_1A", "sph"),
     (0, b"SOUND\x1a", "sndt"), (0, b"SOUND SAMPLE DATA ", "smp"), (0, b"ALawSoundFile**", "wve"), (0, b"Creative Voice File\x1a", "voc"), (0, b"LM8953", "txw"), (0, b"caff", "caf"), (0, b"riff.\x91", "w64"), (0, b"PVF1", "pvf"), (16, b"ring.bin", "gsrt"), (0, b"XA\0\0", "xa"), (0, b"\x64\xa3", "sf"), (2, b"\xa3\x64", "sf"),
 ]
 
