@@ -7,11 +7,12 @@ to what is carried in.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import design
@@ -116,6 +117,13 @@ def shelf_or_band(x: Signal, kind: str, f: float, width: float, width_kind: str
     return biquad(x, design.biquad(kind, x.rate, f, width, width_kind, gain, poles))
 
 
+def transfer(spark: SparkSession, c, rate: float, points: int = 512) -> DataFrame:
+    """(hz, db) of a biquad from 0 to half the rate."""
+    w = F.col("id") * (math.pi / points)
+    power = lambda k: F.pow(F.lit(float(k[0])) + F.lit(float(k[1])) * F.cos(w) + F.lit(float(k[2])) * F.cos(w * 2), 2) + F.pow(F.lit(float(k[1])) * F.sin(w) + F.lit(float(k[2])) * F.sin(w * 2), 2)
+    return spark.range(points).select((F.col("id") * (rate / 2 / points)).alias("hz"), (F.lit(10.0) * F.log10(F.greatest(F.lit(1e-24), power(c[:3]) / power(c[3:])))).alias("db"))
+
+
 def overdrive(x: Signal, gain_db: float = 20, colour: float = 20) -> Signal:
     """Cubic soft clipping, a one-pole block of the offset, mixed with half the input."""
     g = 10 ** (gain_db / 20)

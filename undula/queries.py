@@ -7,6 +7,7 @@ several channels the rows are taken as interleaved stereo.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from .functions.numeric import from_bits, from_unit, linear, to_bits
 from .operators import aggregates, combine, frames, maps, resample, rows, scan, sequential, synth, windows
 from .signal import Signal, from_table
 from .sources import files, formats
+from .streaming import windows as stream
 
 RATE = 100.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,6 +305,30 @@ SQL["file_facts"] = f"WITH {MONO} SELECT stream_id AS path, 'wav' AS type, 100.0
 QUERIES["file_totals"] = lambda spark, d: rounded(files.totals(files.file_facts(files.encode_streams(events(spark, d), "aiff"))), 3)
 SQL["file_totals"] = "SELECT count(DISTINCT user_id) AS files, count(*) AS samples, round(count(*) / 100.0, 3)::DOUBLE AS seconds FROM events"
 
+# --- transfer functions and streams ---
+
+
+@query("plot_lowpass", None)
+def _plot(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scan.transfer(spark, design.biquad("lowpass", RATE, 20), RATE, 64))
+
+
+_c = design.biquad("lowpass", RATE, 20)
+_part = lambda k: f"(({num(_c[k])} + {num(_c[k + 1])} * cos(w) + {num(_c[k + 2])} * cos(2 * w)) ** 2 + ({num(_c[k + 1])} * sin(w) + {num(_c[k + 2])} * sin(2 * w)) ** 2)"
+SQL["plot_lowpass"] = f"WITH f AS (SELECT i, i * 50.0::DOUBLE / 64 AS hz, pi() * i / 64 AS w FROM range(64) t(i)) SELECT round(hz, 6) + 0.0 AS hz, round(10 * log10(greatest(1e-24::DOUBLE, {_part(0)} / {_part(3)})), 6) + 0.0 AS db FROM f"
+
+
+@query("stream_tumbling", f"SELECT CAST(user_id AS VARCHAR) AS stream_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS samples, min((CAST(round(value * 100) AS BIGINT) - 32768) * 65536) AS min, max((CAST(round(value * 100) AS BIGINT) - 32768) * 65536) AS max, round(avg(((CAST(round(value * 100) AS BIGINT) - 32768) * 65536 / {FULL}) ** 2), 6) + 0.0 AS power FROM events GROUP BY ALL")
+def _tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of one day's windows, run to its end into a table in memory."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows_ = source.select(F.col("user_id").cast("string").alias("stream_id"), F.lit(0).alias("channel"), F.col("ts").cast("timestamp").alias("ts"), sample().cast("int").alias("s"))
+    name = f"undula_{uuid.uuid4().hex}"
+    run = stream.tumbling_stats(rows_, "1 day", "1 hour").drop("channel").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz")))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
