@@ -28,9 +28,14 @@ WORD = re.compile(r"\w+")
 #: Both dictionaries and every window end with these bytes. Their match makes zstandard write a compressed block, so that one
 #: more match saves bytes, and fills the last bytes of a window, in which zstandard looks for no match.
 ANCHOR = bytes(range(1, 9)) + bytes(range(14, 30))
+#: Comes before every word in dictionaries and windows. With it, and matches of seven bytes at least, only words that begin alike
+#: match, by four bytes or more; what lies inside a word does not.
+MARK = b"\x1f\x1e\x1d"
 #: A window is a word's first bytes, as many as this at most; longer words are cut into several windows.
 WINDOW_CHARS = 32
 CACHE_WORDS = 400_000
+#: Weight of the toxic class in the calibration: near its share of texts, so that clean texts are left alone.
+TOXIC_WEIGHT = 0.2
 
 
 @dataclass
@@ -53,7 +58,7 @@ class ToxicityModel:
                 self._ready.extend(_compressor(x) for x in (self.ordinary, self.toxic))
             if len(self._seen) >= CACHE_WORDS:
                 self._seen.clear()
-            raw = f" {window} ".encode("utf-8", "replace") + ANCHOR
+            raw = b" " + MARK + f"{window} ".encode("utf-8", "replace") + ANCHOR
             seen = self._seen[window] = len(self._ready[0](raw)) - len(self._ready[1](raw))
         return seen
 
@@ -78,7 +83,7 @@ def windows(text: str | None) -> Iterator[str]:
 def _compressor(content: bytes):
     content += ANCHOR
     shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters.from_level(1, source_size=64, dict_size=len(content), min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False)
+    how = zstandard.ZstdCompressionParameters.from_level(1, source_size=64, dict_size=len(content), min_match=7, write_content_size=False, write_checksum=False, write_dict_id=False)
     shared.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=shared, compression_params=how).compress
 
@@ -109,7 +114,7 @@ def _beginnings(texts: list[str]) -> tuple[Counter, int]:
     return counts, max(1, len(contexts))
 
 
-def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 4096, terms: int = 256, least_ratio: float = 40.0, least_g2: float = 30.0) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int = 256, least_ratio: float = 40.0, least_g2: float = 30.0) -> ToxicityModel:
     """Dictionaries and calibration from (text, label) pairs. Without toxic rows the score is a low constant."""
     ordinary, toxic = ([t for t, y in rows if t and y == v] for v in (0, 1))
     (a, na), (b, nb) = _beginnings(toxic), _beginnings(ordinary)
@@ -124,11 +129,13 @@ def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 4096, terms: int = 25
     for term in sorted(found, key=lambda t: (-found[t], -len(t), t)):
         if len(kept) < terms and not any(term.startswith(k) or k.startswith(term.rstrip()) for k in kept):
             kept.append(term)
-    base, step = [], max(1, len(ordinary) * 200 // ordinary_bytes)
-    for text in ordinary[::step]:
-        words = text.lower().split()
-        base.append(" ".join(words[len(words) // 3 :])[:200])
-    model = ToxicityModel(" ".join(base).encode()[:ordinary_bytes] or b" ", (" " + " ".join(reversed(kept)) + " ").encode())
+    marked = lambda words: b"".join(MARK + w.encode("utf-8", "replace") for w in words)
+    alike = {k[:4] for k in kept}
+    # ordinary words that begin like toxic ones, but not with them, come last, nearest to a window; before them the most frequent words
+    usual = sorted((w for w in b if w.endswith(" ") and not w.startswith(tuple(kept) or "\0")), key=lambda w: (w[:4] in alike, b[w], w))
+    near = [w for w in usual if w[:4] in alike][-ordinary_bytes // 20 :]
+    base = [w for w in usual if w[:4] not in alike][-ordinary_bytes // 16 :] + near
+    model = ToxicityModel(marked(base)[-ordinary_bytes:] or b" ", marked(reversed(kept)) or b" ")
     if not toxic or not ordinary:
         model.weights = (-4.0 if not toxic else 4.0, 0.0, 0.0)
         return model
@@ -146,9 +153,9 @@ def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 4096, terms: int = 25
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[tuple, float]:
-    """Class-balanced logistic regression by Newton steps."""
+    """Logistic regression by Newton steps; the toxic class has TOXIC_WEIGHT of the weight, however many rows it has."""
     z = np.c_[np.ones(len(x)), x]
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    share = np.where(y == 1, TOXIC_WEIGHT / max(1, y.sum()), (1 - TOXIC_WEIGHT) / max(1, (1 - y).sum()))
     w, keep = np.zeros(3), np.diag([1e-6, ridge / 20, ridge / 400])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
