@@ -244,9 +244,11 @@ def test_mixing(spark):
     assert sums.sum() == mixing.GRID
 
 
-def test_mixing_is_least_squares(spark):
+@pytest.mark.parametrize("few", [0, 100])
+def test_mixing_is_least_squares(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
     cells = spark.createDataFrame([([64, 0], 100), ([0, 64], 300), ([32, 32], 200)], "p array<int>, tokens bigint")
-    steps, size, told = mixing.solve(cells, {"a": 3.0, "b": 1.0}, ["a", "b"], iterations=400, tolerance=1e-7)
+    steps, size, told = mixing.solve(cells, {"a": 3.0, "b": 1.0}, ["a", "b"], iterations=60, tolerance=1e-7)
     p, t = np.array([[1, 0], [0, 1], [0.5, 0.5]]), np.array([100.0, 300.0, 200.0])
     r = np.ones(3)
     for _ in range(20_000):
