@@ -50,8 +50,9 @@ class DomainModel:
         if len(self._bucket) > CACHE_TOKENS:
             self._bucket.clear()
         seen = self._bucket
-        for token in counts.keys() - seen.keys():
-            seen[token] = zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
+        for token in counts:
+            if token not in seen:
+                seen[token] = zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
         if not counts:
             return np.empty(0, int), np.empty(0), 0
         value = np.sqrt(np.fromiter(counts.values(), float, len(counts)))

@@ -41,8 +41,9 @@ class Hasher:
         seen = self._seen
         if len(seen) > CACHE_TOKENS:
             seen.clear()
-        for w in set(words) - seen.keys():
-            seen[w] = zlib.crc32(w.encode("utf-8", "replace"))
+        for w in words:
+            if w not in seen:
+                seen[w] = zlib.crc32(w.encode("utf-8", "replace"))
         one = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
         two = (one[:-1] * 31 + one[1:] * 17 + 7) >> 3
         return np.concatenate([one, two]) % BUCKETS
