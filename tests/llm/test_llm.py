@@ -73,6 +73,31 @@ def test_toxicity_without_labels(spark):
     assert toxicity.train(docs, labels.where("toxic = 0")).score("zorgface") < 0.5
 
 
+def test_toxic_phrase_of_ordinary_words():
+    """Each word occurs alone in ordinary texts too, so no list of words tells the classes apart."""
+    rng = random.Random(11)
+    phrase = "now who has not been long out there with his own people could find no way down"
+
+    def text(toxic):
+        words = prose(rng.randint(40, 120), rng=rng).split()
+        for _ in range(3 * toxic):
+            at = rng.randrange(len(words))
+            words[at:at] = phrase.split()
+        return " ".join(words)
+
+    rows = [(text(k % 4 == 0), int(k % 4 == 0)) for k in range(600)]
+    model = toxicity.fit(rows[:400])
+    assert sum((model.score(t) >= 0.5) == bool(y) for t, y in rows[400:]) >= 0.95 * 200
+
+
+def test_no_cap_on_toxic_words():
+    rng = random.Random(12)
+    bad = ["".join(rng.choice("bdfgjkpqvxz") for _ in range(8)) for _ in range(320)]
+    rows = [(" ".join(w for b in bad[k % 8 :: 8] for w in (prose(2, rng=rng), b)), 1) for k in range(96)] + [(prose(200, rng=rng), 0) for _ in range(200)]
+    model = toxicity.fit(rows)
+    assert sum(model.gain(b) >= model.threshold for b in bad) >= 0.95 * len(bad)
+
+
 # --- 2 fingerprints ---
 
 

@@ -1,17 +1,23 @@
 """Compression-distance toxicity.
 
-Two zstandard dictionaries are made from labelled rows, one of ordinary and one of toxic text. Each word of a text is a
-window. A window whose compressed length falls by at least a calibrated number of bytes under the toxic dictionary is a
-hit; a logistic curve, calibrated on the training rows, turns a text's hits and its rate of hits into a score.
+Two pairs of zstandard dictionaries, one of ordinary and one of toxic text each, are made from labelled rows.
 
-The toxic dictionary holds word beginnings that occur in far more contexts (distinct neighbouring words) in toxic than in
-ordinary training rows. Counting contexts and not rows keeps copies of one document from making its words look toxic.
+The first pair is trained by zstandard on windows of SPAN words. A text's overlapping windows are compressed with both; the
+bytes saved under the toxic dictionary, on average and in the best three windows, tell phrases and words in combination.
+
+The second pair is for single words. Its toxic dictionary holds word beginnings that occur in far more contexts (distinct
+neighbouring words) in toxic than in ordinary training rows; counting contexts and not rows keeps copies of one document from
+making its words look toxic. A word whose compressed length falls by at least a calibrated number of bytes is a hit.
+
+A logistic curve turns hits, rate of hits and the bytes saved by windows into a score. For its calibration the trained
+dictionaries are made from one half of the training rows and applied to the other, as they know their own rows by heart.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +40,10 @@ MARK = b"\x1f\x1e\x1d"
 #: A window is a word's first bytes, as many as this at most; longer words are cut into several windows.
 WINDOW_CHARS = 32
 CACHE_WORDS = 400_000
+#: Words of a window of the trained dictionaries; windows overlap by half.
+SPAN = 16
+#: Bytes of a trained dictionary, at most.
+TRAINED_BYTES = 110_000
 #: Weight of the toxic class in the calibration: near its share of texts, so that clean texts are left alone.
 TOXIC_WEIGHT = 0.2
 
@@ -43,12 +53,14 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     threshold: int = 2
-    weights: tuple[float, float, float] = (-4.0, 2.0, 20.0)
+    weights: tuple[float, ...] = (-4.0, 2.0, 20.0, 0.0, 0.0)
+    trained: tuple[bytes, bytes] | None = None
     _ready: list = field(default_factory=list, repr=False, compare=False)
     _seen: dict = field(default_factory=dict, repr=False, compare=False)
+    _pair: list = field(default_factory=list, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "threshold": self.threshold, "weights": self.weights, "_ready": [], "_seen": {}}
+        return {"ordinary": self.ordinary, "toxic": self.toxic, "threshold": self.threshold, "weights": self.weights, "trained": self.trained, "_ready": [], "_seen": {}, "_pair": []}
 
     def gain(self, window: str) -> int:
         """Bytes by which a window is shorter under the toxic dictionary."""
@@ -65,8 +77,18 @@ class ToxicityModel:
     def gains(self, text: str | None) -> list[int]:
         return [self.gain(w) for w in windows(text)]
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        return _features(self.gains(text), self.threshold)
+    def saved(self, text: str | None) -> tuple[float, float]:
+        """Bytes by which windows of several words are shorter under the trained toxic dictionary: mean, and mean of the best three."""
+        if self.trained is None:
+            return 0.0, 0.0
+        if not self._pair:
+            self._pair.extend(_trained_compressor(x) for x in self.trained)
+        ordinary, toxic = self._pair
+        found = sorted((len(ordinary(w)) - len(toxic(w)) for w in spans(text)), reverse=True)
+        return (sum(found) / len(found), sum(found[:3]) / len(found[:3])) if found else (0.0, 0.0)
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        return (*_features(self.gains(text), self.threshold), *self.saved(text))
 
     def score(self, text: str | None) -> float:
         return _sigmoid(_dot(self.weights, self.features(text)))
@@ -80,6 +102,32 @@ def windows(text: str | None) -> Iterator[str]:
             yield from (word[k : k + WINDOW_CHARS] for k in range(0, len(word), WINDOW_CHARS))
 
 
+def spans(text: str | None, step: int = SPAN // 2) -> Iterator[bytes]:
+    """Windows of SPAN words; a shorter text is one window."""
+    words = WORD.findall((text or "").lower())
+    for k in range(0, max(min(1, len(words)), len(words) - SPAN + step), step):
+        yield " ".join(words[k : k + SPAN]).encode("utf-8", "replace")
+
+
+def _trained(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes] | None:
+    """Dictionaries trained on all windows of the texts, or None where zstandard finds too little to train on."""
+    out = []
+    for texts in (ordinary, toxic):
+        samples = [w for t in texts for w in spans(t)]
+        try:
+            out.append(zstandard.train_dictionary(min(TRAINED_BYTES, max(1024, sum(map(len, samples)) // 4)), samples, k=64, d=8).as_bytes())
+        except zstandard.ZstdError:
+            return None
+    return out[0], out[1]
+
+
+def _trained_compressor(content: bytes):
+    shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT)
+    how = zstandard.ZstdCompressionParameters.from_level(3, source_size=128, dict_size=len(content), min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+    shared.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=shared, compression_params=how).compress
+
+
 def _compressor(content: bytes):
     content += ANCHOR
     shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -94,7 +142,7 @@ def _features(gains: list[int], threshold: int) -> tuple[float, float]:
 
 
 def _dot(w, x) -> float:
-    return w[0] + w[1] * x[0] + w[2] * x[1]
+    return w[0] + sum(a * b for a, b in zip(w[1:], x))
 
 
 def _sigmoid(v: float) -> float:
@@ -114,7 +162,7 @@ def _beginnings(texts: list[str]) -> tuple[Counter, int]:
     return counts, max(1, len(contexts))
 
 
-def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int = 256, least_ratio: float = 40.0, least_g2: float = 30.0) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int | None = None, least_ratio: float = 40.0, least_g2: float = 30.0) -> ToxicityModel:
     """Dictionaries and calibration from (text, label) pairs. Without toxic rows the score is a low constant."""
     ordinary, toxic = ([t for t, y in rows if t and y == v] for v in (0, 1))
     (a, na), (b, nb) = _beginnings(toxic), _beginnings(ordinary)
@@ -127,7 +175,7 @@ def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int = 2
                 found[term] = g2
     kept: list[str] = []
     for term in sorted(found, key=lambda t: (-found[t], -len(t), t)):
-        if len(kept) < terms and not any(term.startswith(k) or k.startswith(term.rstrip()) for k in kept):
+        if (terms is None or len(kept) < terms) and not any(term.startswith(k) or k.startswith(term.rstrip()) for k in kept):
             kept.append(term)
     marked = lambda words: b"".join(MARK + w.encode("utf-8", "replace") for w in words)
     alike = {k[:4] for k in kept}
@@ -137,26 +185,35 @@ def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int = 2
     base = [w for w in usual if w[:4] not in alike][-ordinary_bytes // 16 :] + near
     model = ToxicityModel(marked(base)[-ordinary_bytes:] or b" ", marked(reversed(kept)) or b" ")
     if not toxic or not ordinary:
-        model.weights = (-4.0 if not toxic else 4.0, 0.0, 0.0)
+        model.weights = (-4.0 if not toxic else 4.0, 0.0, 0.0, 0.0, 0.0)
         return model
     labels = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     gains = [model.gains(t) for t in toxic + ordinary]
+    saved = _saved_across(toxic, ordinary)
     best = None
     for threshold in (1, 2, 3, 4):
-        x = np.array([_features(g, threshold) for g in gains])
+        x = np.array([(*_features(g, threshold), *v) for g, v in zip(gains, saved)])
         w, loss = _logistic(x, labels)
         if best is None or loss < best[0] - 1e-9:
             best = (loss, threshold, w)
     model.threshold, model.weights = best[1], best[2]
     model._seen.clear()
+    model.trained = _trained(ordinary, toxic)
     return model
 
 
+def _saved_across(toxic: list[str], ordinary: list[str]) -> list[tuple[float, float]]:
+    """saved() of toxic and then ordinary texts, each under dictionaries of the other half; copies of a text share a half."""
+    half = lambda t: zlib.crc32(t.encode("utf-8", "replace")) % 2
+    models = [ToxicityModel(b" ", b" ", trained=_trained(*([t for t in texts if half(t) != k] for texts in (ordinary, toxic)))) for k in (0, 1)]
+    return [models[half(t)].saved(t) for t in toxic + ordinary]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[tuple, float]:
     """Logistic regression by Newton steps; the toxic class has TOXIC_WEIGHT of the weight, however many rows it has."""
     z = np.c_[np.ones(len(x)), x]
     share = np.where(y == 1, TOXIC_WEIGHT / max(1, y.sum()), (1 - TOXIC_WEIGHT) / max(1, (1 - y).sum()))
-    w, keep = np.zeros(3), np.diag([1e-6, ridge / 20, ridge / 400])
+    w, keep = np.zeros(5), np.diag([1e-6, ridge / 20, ridge / 400, ridge / 200, ridge / 200])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
         grad = z.T @ (share * (p - y)) + keep @ w
