@@ -368,6 +368,21 @@ def test_jaccard_components(spark, monkeypatch, light, block, seed):
     assert got == brute(rows)
 
 
+def test_jaccard_of_long_near_copies(spark):
+    """Prefixes of more than 2,147 frequent shingles."""
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(5000)}" for _ in range(12_000)]
+    rows = []
+    for k in range(8):
+        own = words.copy()
+        for at in rng.sample(range(12_000), 10):
+            own[at] = f"own{k}"
+        rows.append((k, " ".join(own), "", ""))
+    docs = table(spark, rows).coalesce(1)
+    assert ngram_join._sets(docs.select("doc_id", "text"), ngram_join.frequent_shingles(docs, 5), 5, 80).agg(F.max("heavy")).first()[0] > 2147
+    assert {r["component_id"] for r in ngram_join.jaccard_components(docs).collect()} == {0}
+
+
 def test_jaccard_of_odd_rows(spark):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(odd(spark)).collect()]
     assert len(got) == 10 and (1, 0, 1) in got and (2, 0, 2) in got and (8, 0, 8) in got and got.count((5, 1, 5)) == 2

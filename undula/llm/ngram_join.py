@@ -336,7 +336,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     first = seen.where("n > 0").withColumnRenamed("doc_id", "doc").join(classes.select("doc", "set"), ["doc", "set"]).dropDuplicates(["doc", "set"])
     prefixes = written(first.select("doc", "n", "heavy", "prefix", "salts"), "prefixes")
     size = F.size("prefix")
-    entry = prefixes.select("doc", "n", (F.col("heavy") * 1_000_000 / size).cast("int").alias("rank"), F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
+    entry = prefixes.select("doc", "n", (F.col("heavy").cast("bigint") * 1_000_000 / size).cast("int").alias("rank"), F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
     entries = entry.select(F.col("e.prefix").alias("token"), F.col("e.salts").alias("salts"), F.pmod(F.xxhash64("doc"), F.col("e.salts")).cast("int").alias("salt"), "rank", "doc", "n")
     product = written(_columns(entries), "product")
 
