@@ -207,6 +207,15 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(empty(spark), bench).count() == 0 and decontaminate.clean(docs, bench.where("false")).count() == 8
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame([(0, "What is 2 + 2?"), (1, "法国的首都是哪里？"), (2, "Name the capital: Oslo"), (3, "?!"), (4, "art")], "item_id bigint, text string")
+    docs = table(spark, [(1, "He asked: what is\n2+2? Nobody knew.", "", ""), (2, "what is 2 + 25", "", ""), (3, "请问法国的首都是哪里呢", "", ""), (4, "name the capitol oslo", "", ""), (5, "Name the Capital (Oslo)", "", ""), (6, "start of a party; ART.", "", ""), (7, "a party", "", "")])
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 0), (3, 1), (5, 2), (6, 4)} and all(r["distance"] == 0 for r in got.values())
+    assert "start of a party; ART."[got[6, 4]["start"] : got[6, 4]["end"]] == "ART"
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 4, 7]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(k, prose(30)) for k in range(6)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")

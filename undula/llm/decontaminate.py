@@ -2,7 +2,7 @@
 
 An item that a document holds with at most k edits has, if it is cut into k + 1 pieces, one piece that the document holds
 unchanged. All pieces are sought at once by an Aho-Corasick automaton; around each piece found, Myers' bit-parallel distance
-verifies the item.
+verifies the item. Short items are sought without edits, between word bounds.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ WORD = re.compile(r"\w+")
 HITS = "array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"
 #: Characters of items that one scan of the documents looks for; more are sought in blocks of this size.
 BLOCK_CHARS = 4_000_000
+#: Letters of scripts that don't part words by spaces: Thai, Lao, Burmese, Khmer, Kana, Chinese.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def folded(text: str | None) -> str:
@@ -54,6 +56,7 @@ class ItemMatcher:
     items: list[tuple[int, str]]
     error_rate: float = 0.05
     least_piece: int = 8
+    exact_below: int = 0  # shorter items are found without edits and between word bounds only
     _machine: list = field(default_factory=list, repr=False, compare=False)
 
     def __getstate__(self):
@@ -61,6 +64,8 @@ class ItemMatcher:
 
     def budget(self, item: str) -> int:
         """Edits allowed: error_rate of the length, but pieces keep least_piece characters."""
+        if len(item) < self.exact_below:
+            return 0
         return max(0, min(int(self.error_rate * len(item)), len(item) // self.least_piece - 1))
 
     def pieces(self, item: str) -> list[tuple[int, str]]:
@@ -87,11 +92,16 @@ class ItemMatcher:
         if machine is None or not norm:
             return []
         spans: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}
         for last, (length, places) in machine.iter(norm):
             for k, at in places:
                 item = self.items[k][1]
                 extra = self.budget(item)
                 start = last - length + 1 - at
+                if len(item) < self.exact_below:
+                    if k not in exact and _bound(norm, start) and _bound(norm, last + 1):
+                        exact[k] = start
+                    continue
                 a, b = max(0, start - extra), min(len(norm), start + len(item) + extra)
                 of = spans.setdefault(k, [])
                 if of and a <= of[-1][1]:
@@ -99,7 +109,7 @@ class ItemMatcher:
                     of[-1][0] = min(a, of[-1][0])
                 else:
                     of.append([a, b])
-        out = []
+        out = [(self.items[k][0], 0, start, start + len(self.items[k][1])) for k, start in exact.items()]
         for k, windows in spans.items():
             item_id, item = self.items[k]
             best = None
@@ -112,6 +122,12 @@ class ItemMatcher:
         return _in_text(text, norm, sorted(out))
 
 
+def _bound(norm: str, at: int) -> bool:
+    """Whether a word may begin or end before the character at this place."""
+    sides = norm[max(0, at - 1) : at + 1]
+    return at in (0, len(norm)) or " " in sides or UNSPACED.search(sides) is not None
+
+
 def _in_text(text: str, norm: str, hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Places in the folded text as places in the text: from the first to the last word that they touch."""
     if not hits:
@@ -122,25 +138,26 @@ def _in_text(text: str, norm: str, hits: list[tuple[int, int, int, int]]) -> lis
 
 
 def matchers(benchmark: DataFrame, error_rate: float, least_chars: int) -> Iterator[ItemMatcher]:
-    """The items in blocks of BLOCK_CHARS; items of fewer than least_chars folded characters are left out."""
+    """The items in blocks of BLOCK_CHARS; those of fewer than least_chars folded characters are sought without edits."""
     block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("bigint"), "text").where("item_id is not null").toLocalIterator():
         item = folded(row["text"])
-        if len(item) >= least_chars:
+        if item:
             block.append((row["item_id"], item))
             size += len(item)
         if size >= BLOCK_CHARS:
-            yield ItemMatcher(block, error_rate)
+            yield ItemMatcher(block, error_rate, exact_below=least_chars)
             block, size = [], 0
     if block:
-        yield ItemMatcher(block, error_rate)
+        yield ItemMatcher(block, error_rate, exact_below=least_chars)
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, least_chars: int = 24, text: str = "text", into: str = "hits") -> DataFrame:
     """docs plus an array of the items that each whole text holds with at most error_rate edits a character.
 
-    Case, punctuation and white space don't count. Null and empty texts hold nothing; items that are null, or shorter than
-    least_chars folded characters, are never found; an item given twice is found once for each. An existing column called
+    Case, punctuation and white space don't count. Null and empty texts hold nothing; items that are null or
+    have no word are never found; those shorter than least_chars folded characters are found where they stand unchanged between
+    word bounds (in scripts without spaces, anywhere); an item given twice is found once for each. An existing column called
     `into` is replaced. Documents are scanned once for each block of items (one block below BLOCK_CHARS) and never shuffled.
     """
     out = docs.withColumn(into, F.array().cast(HITS))
