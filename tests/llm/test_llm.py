@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from undula.llm import chat, decontaminate, fingerprint, language, licences, mixing, ngram_join, queries, resampling, tokens, toxicity
-from undula.llm.common import held_out
+from undula.llm.common import bounded_sample, held_out
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, p int, rate double, kind string, found string, b int"
 RNG = random.Random(5)
@@ -153,6 +153,19 @@ def test_language(spark):
     assert language.identify(empty(spark), model, host=F.col("source")).count() == 0
 
 
+def test_more_than_64_languages(spark):
+    rows = [(9 * k + j, " ".join([chr(0x4E00 + 40 * k + (7 * i + j) % 40) * 2 for i in range(30)]), f"l{k:02d}", "h") for k in range(80) for j in range(9)]
+    docs = table(spark, rows)
+    drawn = bounded_sample(docs, 5, 1000, "lang")
+    assert {lang: sum(x == lang for _, x in drawn) for _, lang in drawn} == {f"l{k:02d}": 5 for k in range(80)}
+    by_hash = {r["lang"]: set(r["t"]) for r in docs.orderBy(F.xxhash64("doc_id")).groupBy("lang").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct(F.xxhash64("doc_id"), "text"))), lambda x: x["text"]), 1, 5).alias("t")).collect()}
+    assert all(t in by_hash[lang] for t, lang in drawn)
+    model = language.train(docs)
+    assert sum(r["found"]["language"] == r["lang"] for r in language.identify(docs.drop("found"), model).collect()) == len(rows)
+    with pytest.raises(ValueError, match="more than 79"):
+        bounded_sample(docs, 5, 1000, "lang", max_labels=79)
+
+
 def test_declared_language_and_address(spark):
     model = language.LanguageModel(["en", "fr"], np.log(np.full((language.BUCKETS, 2), 1 / language.BUCKETS)).astype(np.float32), -99.0)
     pages = spark.createDataFrame([(1, "http://a.fr/x", '<html lang="fr-CA"><p>abc def</p>'), (2, "http://a.com/en/x", "<HTML><p>abc def</p>"), (3, None, None)], "page_id int, url string, html string")

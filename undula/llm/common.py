@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,21 +50,25 @@ def is_held_out(column) -> F.Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def bounded_sample(docs: DataFrame, per_class: int, max_chars: int, label: str, labels: DataFrame | None = None) -> list[tuple[str, object]]:
+def bounded_sample(docs: DataFrame, per_class: int, max_chars: int, label: str, labels: DataFrame | None = None, max_labels: int = 1000) -> list[tuple[str, object]]:
     """(text, label) of at most per_class rows of each label, those with the smallest hash of doc_id, for fitting on the driver.
 
     The label is a column of docs, or of labels (doc_id and that column). Empty texts and those over max_chars characters are
     not drawn. Ids and lengths alone are joined and ordered; only the drawn rows' texts are fetched, by a broadcast of their ids.
-    The numbers of rows and characters are bounded at every size of input.
+    The numbers of rows and characters are bounded at every size of input. More than max_labels labels are refused.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").alias("_id"), F.length("text").alias("_n"), *([F.col(label).alias("_y")] if labels is None else []))
     if labels is not None:
         ids = ids.join(labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")), "_id")
     ids = written(ids.where((F.col("_n") > 0) & (F.col("_n") <= max_chars) & F.col("_y").isNotNull()).select("_id", "_y"), "labelled")
-    drawn = []
-    for value in sorted(r[0] for r in ids.select("_y").distinct().limit(64).collect()):
-        drawn += ids.where(F.col("_y") == F.lit(value)).orderBy(F.xxhash64("_id"), "_id").limit(per_class).collect()
+    if ids.select("_y").distinct().limit(max_labels + 1).count() > max_labels:
+        raise ValueError(f"column {label} has more than {max_labels} values; fitting on the driver takes at most {max_labels}")
+    # least hashes of each label and part of it, then of each label: no task holds a whole label
+    for part in (["_y", F.pmod(F.xxhash64("_id"), F.lit(64))], ["_y"]):
+        order = Window.partitionBy(*part).orderBy(F.xxhash64("_id"), "_id")
+        ids = ids.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_class).drop("_k")
+    drawn = ids.collect()
     if not drawn:
         return []
     few = spark.createDataFrame(drawn, ids.schema).dropDuplicates(["_id"])
