@@ -478,6 +478,22 @@ def test_licence_model_and_sql_agree(spark):
     assert sum(r["c"]["family"] == "unknown" for r in rows if r["t"] in licences.ORDINARY) >= 0.9 * len(licences.ORDINARY)
 
 
+def test_licence_gate_skips_no_confirmable_line(spark):
+    model = licences.LicenceModel()
+    lines = {"BSD 3-Clause": "BSD", "Apache 2.0, January 2004": "Apache", "under ISC terms": "none", "tea is available under the bridge": "none"}
+    rows = [(k, prose(20) + "\n" + t + "\n" + prose(20), "", "") for k, t in enumerate(lines)]
+    got = {r["doc_id"]: r["family"] for r in licences.scan_licences(table(spark, rows), model).select("doc_id", licences.family(F.col("licences")).alias("family")).collect()}
+    assert got == dict(enumerate(lines.values()))
+    could, rng = re.compile(licences.confirmable(model)), random.Random(14)
+    for _, template in model.templates:  # words left out at random, in any number
+        words, whole = re.findall(licences.WORDS, template.lower()), licences.grams(template)
+        for _ in range(300):
+            keep = rng.random()
+            part = " ".join(w if rng.random() < keep else "x" for w in words)
+            if len(licences.grams(part) & whole) >= 0.6 * len(whole):
+                assert could.search(part)
+
+
 # --- pipeline ---
 
 

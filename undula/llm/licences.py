@@ -1,6 +1,6 @@
 """Licence scan by a trained paragraph classifier, in DataFrame expressions only.
 
-Paragraphs (lines) that hold a licence word get n-gram features: words and word pairs of a vocabulary. A sparse logistic
+Paragraphs (lines) that hold a licence word or could be confirmed get n-gram features: words and word pairs of a vocabulary. A sparse logistic
 regression over families and an unknown class, fitted on the driver on the notices and ordinary sentences below, gives
 probabilities; the unknown class is calibrated on sentences held back. A notice template whose n-grams a paragraph holds by a
 given share confirms the family.
@@ -37,8 +37,10 @@ ORDINARY = [
     "The licence plate was green.", "They applied for a building permission.", "A creative common room for all students.", "Marriage licenses are issued at the town hall.", "The software was slow and the license dialog popped up.",
     "Which license should I choose for my project?", "Terms of the agreement were not published.", "The general public was free to enter.", "An attribution error in psychology", "Universal design is a field of work.", "The dog license fee rose again.", "His permission was not needed.", "Copyright is a word.",
 ]
-#: A paragraph is looked at if it holds one of these, in any case.
+#: Licence words, in any case: a paragraph with one of them is listed, of whatever family.
 GATE = r"(?i)licen[sc]|copyright|permission|public domain|redistribut|spdx|creative commons|\bcc0\b|\bcc.by|all rights reserved|mozilla public|\bl?gpl|free software|proprietary"
+#: Words that ordinary text often holds: confirmable() takes them only where no others are enough.
+COMMON = frozenset("a all any and are at available by except following for from general in is it its later may no not note of on or possible project public that the this to under used version with without work you".split())
 UNKNOWN = "unknown"
 WORDS = r"[a-z0-9]+"
 
@@ -96,6 +98,21 @@ class LicenceModel:
         return p / p.sum()
 
 
+def confirmable(model: LicenceModel, confirm: float = 0.6) -> str:
+    """A pattern that every lower-cased text holds which holds at least the share `confirm` of some template's n-grams.
+
+    Without the pattern's words, each template has too few n-grams left.
+    """
+    need: set[str] = set()
+    for found in sorted((grams(t) for _, t in model.templates), key=lambda g: (len(g), sorted(g))):
+        left = lambda: sum(not need.intersection(x.split()) for x in found)
+        for word in sorted((x for x in found if " " not in x and x not in need), key=lambda x: (x in COMMON, -len(x), x)):
+            if left() == 0 or left() / len(found) < confirm:
+                break
+            need.add(word)
+    return f"(?<![a-z0-9])(?:{'|'.join(sorted(need))})(?![a-z0-9])"
+
+
 def _literal(values: list) -> Column:
     return F.array(*[_literal(v) if isinstance(v, list) else F.lit(v) for v in values])
 
@@ -137,16 +154,19 @@ def classify(paragraph: Column, model: LicenceModel, confirm: float = 0.6) -> Co
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None, text: str = "text", into: str = "licences", confirm: float = 0.6) -> DataFrame:
-    """docs plus an array of structs (paragraph, family, probability, confirmed), one for each line with a licence word.
+    """docs plus an array of structs (paragraph, family, probability, confirmed), one for each line with a licence word
+    and for each other line that is confirmed.
 
     Null and empty texts and texts without such a line get an empty array. A column called `into` is replaced; repeated rows
     get equal arrays. One scan, no shuffle, no Python on the executors.
     """
     model = model or LicenceModel()
-    lines = F.filter(F.split(F.col(text), "\n"), lambda p: p.rlike(GATE))
-    found = F.transform(lines, lambda p: classify(p, model, confirm))
+    could = confirmable(model, confirm)
+    gate = lambda p: p.rlike(GATE) | F.lower(p).rlike(could)
+    lines = F.filter(F.split(F.col(text), "\n"), gate)
+    found = F.filter(F.transform(lines, lambda p: classify(p, model, confirm)), lambda x: x["confirmed"] & (x["family"] != UNKNOWN) | x["paragraph"].rlike(GATE))
     nothing = F.array().cast("array<struct<paragraph:string,family:string,probability:double,confirmed:boolean>>")
-    return docs.withColumn(into, F.when(F.col(text).rlike(GATE), found).otherwise(nothing))
+    return docs.withColumn(into, F.when(gate(F.col(text)), found).otherwise(nothing))
 
 
 def family(licences: Column) -> Column:
