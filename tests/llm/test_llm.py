@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from pathlib import Path
 
 import numpy as np
@@ -494,6 +495,35 @@ def test_licence_gate_skips_no_confirmable_line(spark):
                 assert could.search(part)
 
 
+WRAPPED = {
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "MPL": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "CC-BY-NC": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC0": "To the extent possible under law, the author has waived all copyright and related rights",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Proprietary": "No part of this publication may be reproduced without prior written permission",
+}
+
+
+def test_wrapped_licences(spark):
+    rows, want, rng = [], {}, random.Random(15)
+    for family, notice in WRAPPED.items():
+        for width, mark in ((75, ""), (60, " * "), (40, "# "), (20, "")):
+            body = "\n".join(mark + x for x in textwrap.wrap(notice, width, break_on_hyphens=False, break_long_words=False))
+            for parted in ("\n\n", "\n"):
+                rows.append((len(rows), prose(25, rng=rng) + parted + body + parted + prose(25, rng=rng), "", ""))
+                want[rows[-1][0]] = (family, width, parted, family)
+    rows.append((len(rows), "mit den\nund the driving license was\nlost again, all\nthe public rights", "", ""))
+    want[rows[-1][0]] = ("unknown", 0, "", "unknown")
+    got = {r["doc_id"]: r["family"] for r in licences.scan_licences(table(spark, rows)).select("doc_id", licences.family(F.col("licences")).alias("family")).collect()}
+    assert [(w, got[k]) for k, w in want.items() if got[k] != w[0]] == []
+
+
 # --- pipeline ---
 
 

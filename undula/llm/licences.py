@@ -4,6 +4,9 @@ Paragraphs (lines) that hold a licence word or could be confirmed get n-gram fea
 regression over families and an unknown class, fitted on the driver on the notices and ordinary sentences below, gives
 probabilities; the unknown class is calibrated on sentences held back. A notice template whose n-grams a paragraph holds by a
 given share confirms the family.
+
+Notices that are wrapped over several lines are found in windows of the words of a block of lines (blocks are parted by blank
+lines), whatever the width of the lines.
 """
 
 from __future__ import annotations
@@ -40,7 +43,9 @@ ORDINARY = [
 #: Licence words, in any case: a paragraph with one of them is listed, of whatever family.
 GATE = r"(?i)licen[sc]|copyright|permission|public domain|redistribut|spdx|creative commons|\bcc0\b|\bcc.by|all rights reserved|mozilla public|\bl?gpl|free software|proprietary"
 #: Words that ordinary text often holds: confirmable() takes them only where no others are enough.
-COMMON = frozenset("a all any and are at available by except following for from general in is it its later may no not note of on or possible project public that the this to under used version with without work you".split())
+COMMON = frozenset("a all 3 any and are at available by except file following for from general in is it its later may mit no not note of on or possible project public that the this to under used with without work you".split())
+#: Words of the windows that slide over a block of lines by a quarter of their size; longer ones are added for longer templates.
+WINDOW_WORDS = (8, 16, 32)
 UNKNOWN = "unknown"
 WORDS = r"[a-z0-9]+"
 
@@ -124,11 +129,13 @@ def paragraph_grams(paragraph: Column) -> Column:
     return F.array_distinct(F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))))
 
 
-def classify(paragraph: Column, model: LicenceModel, confirm: float = 0.6) -> Column:
+def classify(paragraph: Column, model: LicenceModel, confirm: float = 0.6, joined: bool = False) -> Column:
     """struct(paragraph, family, probability, confirmed) of one paragraph.
 
     family is 'unknown' if that class is likeliest or no family reaches the calibrated probability. confirmed: a template of
-    that family has at least the share `confirm` of its n-grams in the paragraph.
+    that family has at least the share `confirm` of its n-grams in the paragraph; if it is joined of
+    lines, also one of the template's word pairs, as single words of a short template may lie scattered in it, and
+    the struct has the share.
     """
     n = len(model.families)
     table = F.from_json(F.lit(json.dumps({x: [round(float(v), 6) for v in row] for x, row in zip(model.vocabulary, model.weights)})), "map<string,array<double>>")
@@ -137,25 +144,55 @@ def classify(paragraph: Column, model: LicenceModel, confirm: float = 0.6) -> Co
     logits = lambda rows: F.zip_with(F.aggregate(rows, zero, lambda a, v: F.zip_with(a, v, lambda p, q: p + q)), _literal([float(b) for b in model.bias]), lambda s, b: s / F.sqrt(F.greatest(F.size(rows), F.lit(1))) + b)
     family_of = _literal([f for f, _ in model.templates])
     template = F.from_json(F.lit(json.dumps([sorted(grams(t)) for _, t in model.templates])), "array<array<string>>")
-    shares = lambda g: F.transform(template, lambda t: F.size(F.array_intersect(t, g)) / F.size(t))
-    held = lambda s, family: F.exists(F.zip_with(family_of, s, lambda f, v: (f == family) & (v >= F.lit(confirm))), lambda v: v)
+    shares = lambda g: F.transform(template, lambda t: share(F.array_intersect(t, g), F.size(t)))
+    share = lambda both, size: F.when(F.exists(both, lambda x: x.contains(" ")), F.size(both) / size).otherwise(0.0) if joined else F.size(both) / size
+    most = lambda s, family: F.coalesce(F.array_max(F.zip_with(family_of, s, lambda f, v: F.when(f == family, v))), F.lit(0.0))
 
     def named(p: Column, g: Column) -> Column:
         best = F.element_at(_literal(model.families), F.array_position(p, F.array_max(p)).cast("int"))
         family = F.when((best != UNKNOWN) & (F.array_max(p) >= F.lit(model.least)), best).otherwise(UNKNOWN)
-        return F.struct(paragraph.alias("paragraph"), family.alias("family"), F.array_max(p).alias("probability"), held(shares(g), family).alias("confirmed"))
+        told = paragraph.alias("paragraph"), family.alias("family"), F.array_max(p).alias("probability")
+        return let(most(shares(g), family), lambda v: F.struct(*told, (v >= F.lit(confirm)).alias("confirmed"), *([v.alias("share")] if joined else [])))
 
     def soft(z: Column) -> Column:
         e = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
         return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  value is evaluated once
     return let(paragraph_grams(paragraph), lambda g: let(known(g), lambda rows: let(logits(rows), lambda z: let(soft(z), lambda p: named(p, g)))))
 
 
+def joined_windows(text: Column, model: LicenceModel) -> Column:
+    """Windows of the words of each block of two lines or more, words parted by one space.
+
+    A stretch of up to three quarters of a window lies whole in one. The marks with which lines of a comment begin are left out, so that
+    they don't lengthen a notice.
+    """
+    longest = max(len(re.findall(WORDS, t.lower())) for _, t in model.templates)
+    sizes = list(WINDOW_WORDS)
+    while sizes[-1] * 3 / 4 < 1.5 * longest:  # a word between blanks may hold several of a template's, or the text have words of its own
+        sizes.append(2 * sizes[-1])
+
+    def slid(words: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(words) - n) * 4 / n).cast("int"), F.lit(0)))
+        return F.transform(starts, lambda k: F.array_join(F.slice(words, k * (n // 4) + 1, n), " "))
+
+    def windows(block: Column) -> Column:
+        words = F.regexp_extract_all(block, F.lit(r"(\S*[A-Za-z0-9]\S*)"), 1)
+        return let(words, lambda w: F.flatten(F.array(*[slid(w, n) for n in sizes])))
+
+    blocks = F.filter(F.split(text, r"\r?\n[ \t]*\r?\n"), lambda b: F.trim(b).contains("\n"))
+    return F.array_distinct(F.flatten(F.transform(blocks, windows)))
+
+
+def let(value: Column, body) -> Column:
+    """body of the value, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None, text: str = "text", into: str = "licences", confirm: float = 0.6) -> DataFrame:
     """docs plus an array of structs (paragraph, family, probability, confirmed), one for each line with a licence word
-    and for each other line that is confirmed.
+    and for each other line that is confirmed. A family that no line confirms, but joined lines of a block do, has one more: its
+    most probable window.
 
     Null and empty texts and texts without such a line get an empty array. A column called `into` is replaced; repeated rows
     get equal arrays. One scan, no shuffle, no Python on the executors.
@@ -165,6 +202,14 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None, text: str
     gate = lambda p: p.rlike(GATE) | F.lower(p).rlike(could)
     lines = F.filter(F.split(F.col(text), "\n"), gate)
     found = F.filter(F.transform(lines, lambda p: classify(p, model, confirm)), lambda x: x["confirmed"] & (x["family"] != UNKNOWN) | x["paragraph"].rlike(GATE))
+    windows = F.filter(joined_windows(F.col(text), model), lambda p: F.lower(p).rlike(could))
+    sure = F.filter(F.transform(windows, lambda p: classify(p, model, confirm, joined=True)), lambda x: x["confirmed"] & (x["family"] != UNKNOWN))
+    # a window that cuts a notice short gives way to one that holds it and more
+    cut = lambda x, xs: F.exists(xs, lambda y: (y["family"] != x["family"]) & (y["share"] > x["share"]) & y["paragraph"].contains(x["paragraph"]))
+    sure = let(sure, lambda xs: F.transform(F.filter(xs, lambda x: ~cut(x, xs)), lambda x: x.dropFields("share")))
+    best = lambda xs, f: F.reduce(F.filter(xs, lambda x: x["family"] == f), F.element_at(F.filter(xs, lambda x: x["family"] == f), 1), lambda a, x: F.when(x["probability"] > a["probability"], x).otherwise(a))
+    more = lambda lines, xs: F.transform(F.array_except(F.array_distinct(xs["family"]), F.filter(lines, lambda x: x["confirmed"])["family"]), lambda f: best(xs, f))
+    found = let(found, lambda lines: let(sure, lambda xs: F.concat(lines, more(lines, xs))))
     nothing = F.array().cast("array<struct<paragraph:string,family:string,probability:double,confirmed:boolean>>")
     return docs.withColumn(into, F.when(gate(F.col(text)), found).otherwise(nothing))
 
