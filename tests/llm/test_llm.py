@@ -304,6 +304,23 @@ def test_mixing_is_least_squares(spark, monkeypatch, few):
     assert np.allclose([told["tokens"]["a"], told["tokens"]["b"]], (t * r) @ p, rtol=2e-3)
 
 
+def test_mixing_rates_converge(spark):
+    rng = np.random.default_rng(3)
+    rows = {tuple(int(v) for v in mixing.to_grid(rng.dirichlet([0.3, 0.3, 0.1]))): int(rng.integers(10, 10_000)) for _ in range(300)}
+    cells = spark.createDataFrame([(list(p), t) for p, t in rows.items()], "p array<int>, tokens bigint")
+    steps, size, told = mixing.solve(cells, {"a": 0.9, "b": 0.08, "c": 0.02}, ["a", "b", "c"])
+    p, t = np.array(list(rows)) / mixing.GRID, np.array(list(rows.values()), float)
+    goal, r = np.array([0.9, 0.08, 0.02]) * t.sum(), np.ones(len(t))
+    for _ in range(60_000):  # plain steps
+        r = np.maximum(0, r - size * (p @ ((t * r) @ p - goal) / t.sum() + 1e-3 * (r - 1)))
+    assert told["converged"] and np.abs(mixing.advanced(p, steps, size, 1e-3)[0] - r).max() < 2e-3
+    assert not mixing.solve(cells, {"a": 1.0}, ["a", "b", "c"], iterations=5)[2]["converged"]
+    docs, labels = labelled(spark)
+    model = mixing.train(docs, labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("fine").alias("domain")))
+    with pytest.raises(RuntimeError, match="not within the tolerance"):
+        mixing.mix(docs, model, {"fine": 0.1, "toxic": 0.9}, iterations=3)
+
+
 # --- 7 tokens ---
 
 VOCABULARY = Path(queries.TOKENIZERS) / "byte_bpe_50k.tiktoken"

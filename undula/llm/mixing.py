@@ -117,63 +117,74 @@ def with_membership(docs: DataFrame, model: DomainModel, text: str = "text") ->
     return docs.withColumn("_u_m", F.pandas_udf(predicted, "p array<int>, tokens bigint")(F.col(text))).withColumns({"_u_p": F.col("_u_m.p"), "_u_tokens": F.col("_u_m.tokens")}).drop("_u_m")
 
 
-def advanced(q: np.ndarray, steps: list[np.ndarray], size: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of posteriors q after the given gradients, and the points at which the next gradient is taken (with momentum)."""
-    r = y = np.ones(len(q))
-    t = 1.0
+def _moved(q: np.ndarray, state: tuple, g: np.ndarray, size: float, ridge: float) -> tuple:
+    """(rates, point of the next gradient, momentum's t, largest move) after one more gradient."""
+    r, y, t, _ = state
+    new = np.maximum(0, y - size * (q @ g + ridge * (y - 1)))
+    after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+    root = (size * ridge) ** 0.5
+    return new, new + min((t - 1) / after, (1 - root) / (1 + root)) * (new - r), after, float(np.abs(new - y).max(initial=0.0))
+
+
+def advanced(q: np.ndarray, steps: list[np.ndarray], size: float, ridge: float) -> tuple:
+    """Rates of posteriors q after the given gradients, the points at which the next gradient is taken (with momentum), t, largest last move."""
+    state = np.ones(len(q)), np.ones(len(q)), 1.0, float("inf")
     for g in steps:
-        new = np.maximum(0, y - size * (q @ g + ridge * (y - 1)))
-        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        r, y, t = new, new + (t - 1) / after * (new - r), after
-    return r, y
+        state = _moved(q, state, g, size, ridge)
+    return state
 
 
-def solve(cells: DataFrame, targets: dict[str, float], domains: list[str], total: float | None = None, ridge: float = 1e-3, iterations: int = 60, tolerance: float = 1e-4) -> tuple[list[np.ndarray], float, dict]:
+def solve(cells: DataFrame, targets: dict[str, float], domains: list[str], total: float | None = None, ridge: float = 1e-3, iterations: int = 20_000, tolerance: float = 1e-3) -> tuple[list[np.ndarray], float, dict]:
     """Gradient history, step size and what was reached, for cells (p, tokens, rate) of distinct posteriors.
 
+    Iterates until the largest move of a rate is below tolerance * size * ridge: the problem's curvature is at least the ridge, so
+    rates are then about within tolerance. 'converged' says whether that was met within `iterations`.
     Each iteration sums rate * tokens * posterior over the cells: on the executors, bringing two numbers a domain to the driver,
     or where there are at most FEW_CELLS cells (with three domains there are never more than 2,145) on the driver. Domains that no document belongs to, or without a target, have target 0.
     """
+    if ridge <= 0:
+        raise ValueError("ridge must be above 0: without it the rates are not determined")
     n = len(domains)
     p = [F.col("p")[k] / GRID for k in range(n)]
     gram = cells.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]).first()
     whole = float(gram["n"] or 0)
     if not whole:
-        return [], 0.0, {"tokens": {d: 0.0 for d in domains}, "iterations": 0}
+        return [], 0.0, {"tokens": {d: 0.0 for d in domains}, "iterations": 0, "converged": True}
     g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)], float) / whole
     size = 1 / (float(np.linalg.eigvalsh(g)[-1]) + ridge)
     weight = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     goal = (whole if total is None else total) * weight / max(weight.sum(), 1e-300)
     steps: list[np.ndarray] = []
 
-    def sums_of(b: pd.DataFrame, history: list[np.ndarray]) -> np.ndarray:
-        q, t = np.array(b["p"].tolist(), float).reshape(len(b), n) / GRID, b["tokens"].to_numpy(float)
-        return np.concatenate([(t * v) @ q for v in advanced(q, history, size, ridge)])
+    def read(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(b["p"].tolist(), float).reshape(len(b), n) / GRID, b["tokens"].to_numpy(float)
 
     def summed(history: list[np.ndarray]):
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame([sums_of(b, history)], columns=[f"s{k}" for k in range(2 * n)])
+                q, t = read(b)
+                r, y, _, move = advanced(q, history, size, ridge)
+                yield pd.DataFrame([[*((t * r) @ q), *((t * y) @ q), move]], columns=[f"s{k}" for k in range(2 * n + 1)])
 
         return sums
 
     few = cells.limit(FEW_CELLS + 1).toPandas()
-
+    on_driver = len(few) <= FEW_CELLS
+    q, t = read(few)
+    state = advanced(q, [], size, ridge)
     reached = ahead = g.sum(1) * whole
-    for _ in range(iterations):
-        if np.abs(reached - goal).max() < tolerance * whole:
-            break
+    move = float("inf")
+    while move > tolerance * size * ridge and len(steps) < iterations:
         steps.append((ahead - goal) / whole)
-        if len(few) <= FEW_CELLS:
-            both = sums_of(few, steps)
+        if on_driver:
+            state = _moved(q, state, steps[-1], size, ridge)
+            reached, ahead, move = (t * state[0]) @ q, (t * state[1]) @ q, state[3]
         else:
-            row = cells.mapInPandas(summed(list(steps)), ", ".join(f"s{k} double" for k in range(2 * n))).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * n)]).first()
+            sums = [F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * n)] + [F.max(f"s{2 * n}").alias(f"s{2 * n}")]
+            row = cells.mapInPandas(summed(list(steps)), ", ".join(f"s{k} double" for k in range(2 * n + 1))).agg(*sums).first()
             both = np.array([row[f"s{k}"] or 0.0 for k in range(2 * n)])
-        before = reached
-        reached, ahead = both[:n], both[n:]
-        if np.abs(reached - before).max() < tolerance * 1e-2 * whole:  # as near as the ridge and the bound 0 allow
-            break
-    return steps, size, {"tokens": dict(zip(domains, reached.tolist())), "goal": dict(zip(domains, goal.tolist())), "iterations": len(steps)}
+            reached, ahead, move = both[:n], both[n:], row[f"s{2 * n}"] or 0.0
+    return steps, size, {"tokens": dict(zip(domains, reached.tolist())), "goal": dict(zip(domains, goal.tolist())), "iterations": len(steps), "converged": move <= tolerance * size * ridge}
 
 
 def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], total: float | None = None, keep: list[str] | None = None, **options) -> DataFrame:
@@ -186,7 +197,9 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], total: f
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("tokens", "posterior", "rate")]
     slim = with_membership(docs.select("text"), model).groupBy(F.col("_u_p").alias("p")).agg(F.sum("_u_tokens").alias("tokens"))
     cells = written(slim, "cells")
-    steps, size, _ = solve(cells, targets, model.domains, total, **options)
+    steps, size, told = solve(cells, targets, model.domains, total, **options)
+    if not told["converged"]:
+        raise RuntimeError(f"rates are not within the tolerance after {told['iterations']} iterations; reached {told['tokens']} of {told['goal']}")
     ridge = options.get("ridge", 1e-3)
     n = len(model.domains)
 
