@@ -185,3 +185,9 @@ def test_silence_and_tones(spark):
     y = synth.synth(synth.silent(spark, 8000, 8000.0), "sine", f=440.0)
     a = np.abs(np.fft.rfft(values(y)[0]))
     assert a.argmax() == 440
+
+
+@pytest.mark.parametrize("code, name", [(23, "G.721"), (25, "G.723"), (26, "G.723"), (99, "99")])
+def test_au_codes_that_are_not_covered(code, name):
+    with pytest.raises(ValueError, match=f"{name}.*not covered"):
+        formats.read_au(b".snd" + np.array([24, 4, code, 8000, 1], ">u4").tobytes() + b"\0\0\0\0")

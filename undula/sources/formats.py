@@ -247,7 +247,11 @@ def read_au(b: bytes) -> tuple[float, np.ndarray, int]:
         raise ValueError("not an au file")
     start, size, code, rate, channels = struct.unpack_from(">5I" if big else "<5I", b, 4)
     data = b[start:] if size == 0xFFFFFFFF else b[start : start + size]
-    kind, bits = {1: (7, 8), 2: (1, 8), 3: (1, 16), 4: (1, 24), 5: (1, 32), 6: (3, 32), 7: (3, 64), 27: (6, 8)}[code]
+    codes = {1: (7, 8), 2: (1, 8), 3: (1, 16), 4: (1, 24), 5: (1, 32), 6: (3, 32), 7: (3, 64), 27: (6, 8)}
+    if code not in codes:
+        name = {23: " (G.721 ADPCM)", 25: " (G.723 ADPCM, 3 bits)", 26: " (G.723 ADPCM, 5 bits)"}.get(code, "")
+        raise ValueError(f"au encoding {code}{name} is not covered")
+    kind, bits = codes[code]
     s, kept = _decode(kind, bits, data, big, False)
     return float(rate), wide(s, channels), kept
 
