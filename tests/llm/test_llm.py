@@ -288,37 +288,73 @@ def test_mixing(spark):
     out = mixing.mix(odd(spark), model, {"fine": 1.0})
     assert out.count() == 10 and out.where("text IS NULL").first()["tokens"] == 0
     assert mixing.mix(empty(spark), model, {"fine": 1.0}).count() == 0
-    sums = mixing.to_grid(np.array([1 / 3, 1 / 3, 1 / 3]))
-    assert sums.sum() == mixing.GRID
+    assert mixing.mix(empty(spark), model, {"fine": 1.0}).columns == out.columns
 
 
-@pytest.mark.parametrize("few", [0, 100])
-def test_mixing_is_least_squares(spark, monkeypatch, few):
-    monkeypatch.setattr(mixing, "FEW_CELLS", few)
-    cells = spark.createDataFrame([([64, 0], 100), ([0, 64], 300), ([32, 32], 200)], "p array<int>, tokens bigint")
-    steps, size, told = mixing.solve(cells, {"a": 3.0, "b": 1.0}, ["a", "b"], iterations=60, tolerance=1e-7)
+def shared(spark, p, t):
+    return spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(p, t)], "p array<double>, tokens bigint")
+
+
+def least_squares(p, t, goal, ridge, small=mixing.SMALL, steps=60_000):
+    """The optimum by plain projected gradient steps."""
+    w = 1 / np.maximum(goal / t.sum(), small)
+    size = 1 / (np.linalg.eigvalsh(np.sqrt(w)[:, None] * ((p * t[:, None]).T @ p / t.sum()) * np.sqrt(w))[-1] + ridge)
+    r = np.ones(len(t))
+    for _ in range(steps):
+        r = np.maximum(0, r - size * (p @ (w * ((t * r) @ p - goal) / t.sum()) + ridge * (r - 1)))
+    return r
+
+
+@pytest.mark.parametrize("write_every", [3, 1000])
+def test_mixing_is_least_squares(spark, monkeypatch, write_every):
+    monkeypatch.setattr(mixing, "WRITE_EVERY", write_every)
+    monkeypatch.setattr(mixing, "AT_ONCE", 2)
     p, t = np.array([[1, 0], [0, 1], [0.5, 0.5]]), np.array([100.0, 300.0, 200.0])
-    r = np.ones(3)
-    for _ in range(20_000):
-        r = np.maximum(0, r - 0.5 * (p @ ((t * r) @ p - np.array([450.0, 150.0])) / 600 + 1e-3 * (r - 1)))
-    assert np.allclose([told["tokens"]["a"], told["tokens"]["b"]], (t * r) @ p, rtol=2e-3)
+    descent, told = mixing.solve(shared(spark, p, t), {"a": 3.0, "b": 1.0}, ["a", "b"], ridge=1e-3, tolerance=1e-9, settled=1e-7)
+    r = least_squares(p, t, np.array([450.0, 150.0]), 1e-3)
+    assert told["converged"] and np.allclose([told["tokens"]["a"], told["tokens"]["b"]], (t * r) @ p, rtol=1e-4) and np.allclose(descent.rates(p), r, atol=1e-3)
 
 
 def test_mixing_rates_converge(spark):
     rng = np.random.default_rng(3)
-    rows = {tuple(int(v) for v in mixing.to_grid(rng.dirichlet([0.3, 0.3, 0.1]))): int(rng.integers(10, 10_000)) for _ in range(300)}
-    cells = spark.createDataFrame([(list(p), t) for p, t in rows.items()], "p array<int>, tokens bigint")
-    steps, size, told = mixing.solve(cells, {"a": 0.9, "b": 0.08, "c": 0.02}, ["a", "b", "c"])
-    p, t = np.array(list(rows)) / mixing.GRID, np.array(list(rows.values()), float)
-    goal, r = np.array([0.9, 0.08, 0.02]) * t.sum(), np.ones(len(t))
-    for _ in range(60_000):  # plain steps
-        r = np.maximum(0, r - size * (p @ ((t * r) @ p - goal) / t.sum() + 1e-3 * (r - 1)))
-    assert told["converged"] and np.abs(mixing.advanced(p, steps, size, 1e-3)[0] - r).max() < 2e-3
-    assert not mixing.solve(cells, {"a": 1.0}, ["a", "b", "c"], iterations=5)[2]["converged"]
+    p, t = rng.dirichlet([0.3, 0.3, 0.1], 300), rng.integers(10, 10_000, 300).astype(float)
+    cells = shared(spark, p, t).repartition(3)
+    goal = np.array([0.9, 0.08, 0.02])
+    descent, told = mixing.solve(cells, {"a": 0.9, "b": 0.08, "c": 0.02}, ["a", "b", "c"], ridge=1e-3, tolerance=0, settled=1e-6)
+    assert told["converged"] and np.abs(descent.rates(p) - least_squares(p, t, goal * t.sum(), 1e-3)).max() < 2e-3
+    quick, told = mixing.solve(cells, {"a": 0.9, "b": 0.08, "c": 0.02}, ["a", "b", "c"])
+    r = quick.rates(p)
+    assert told["converged"] and r.min() >= 0 and np.abs((t * r) @ p / t.sum() - goal).max() <= 0.002 + 1e-9
+    assert not mixing.solve(cells, {"a": 1.0}, ["a", "b", "c"], iterations=5, tolerance=1e-6)[1]["converged"]
     docs, labels = labelled(spark)
     model = mixing.train(docs, labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("fine").alias("domain")))
     with pytest.raises(RuntimeError, match="not within the tolerance"):
         mixing.mix(docs, model, {"fine": 0.1, "toxic": 0.9}, iterations=3)
+    with pytest.warns(UserWarning, match="can't be met"):
+        mixing.mix(docs, mixing.DomainModel(["a", "b"], np.zeros((mixing.BUCKETS + 1, 2))), {"a": 0.9, "b": 0.1}).count()
+
+
+def test_mix_by_hand(spark):
+    """tokens and posteriors from the model in a loop, shares within the tolerance, rates of repeated rows alike."""
+    docs, labels = labelled(spark)
+    model = mixing.train(docs, labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("fine").alias("domain")))
+    both = docs.unionByName(docs.where("doc_id < 9"))
+    got = mixing.mix(both, model, {"fine": 0.6, "toxic": 0.4}).collect()
+    told = {r["doc_id"]: model.predict(r["text"]) for r in got}
+    assert len(got) == 409 and all(r["tokens"] == told[r["doc_id"]][1] and np.allclose(r["posterior"], told[r["doc_id"]][0]) for r in got)
+    assert len({(r["doc_id"], r["rate"]) for r in got}) == 400
+    p, t, rate = np.array([r["posterior"] for r in got]), np.array([r["tokens"] for r in got]), np.array([r["rate"] for r in got])
+    assert np.abs((t * rate) @ p / t.sum() - [0.6, 0.4]).max() <= 0.002 + 1e-9
+    order = np.argsort(p[:, 1])
+    assert (np.diff(rate[order]) >= -1e-9).all()  # more of what is short
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no tables")
+def test_mixing_meets_its_targets(spark):
+    got = queries.op6_mixing(spark, "/root/testdata/sf0.1")
+    n = len(queries.TARGETS)
+    sums = got.agg(F.sum("tokens"), *[F.sum(F.col("rate") * F.col("tokens") * F.col("posterior")[k]) for k in range(n)]).first()
+    assert all(abs(v / sums[0] - w) < 0.005 for v, (_, w) in zip(sums[1:], sorted(queries.TARGETS.items())))
 
 
 # --- 7 tokens ---
@@ -449,18 +485,42 @@ def test_resampling(spark):
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 2000])
-def test_kth_largest(spark, monkeypatch, k):
-    monkeypatch.setattr(resampling, "LAST_ROWS", 20)
+def test_rank_cut(spark, k):
     rng = random.Random(4)
-    rows = [(i, rng.gauss(0, 1)) for i in range(1000)]
-    df = spark.createDataFrame(rows, "key bigint, v double")
-    got = resampling.kth_largest(df, "v", "key", k)
-    if k == 0:
-        assert got is None
-        return
-    edge, last = got
-    taken = {i for i, v in rows if v > edge or edge == float("-inf")} | {r["key"] for r in last}
-    assert taken == {i for i, _ in sorted(rows, key=lambda r: -r[1])[:k]}
+    for rows in ([rng.gauss(0, 1) for _ in range(1000)], [float(rng.randrange(5)) for _ in range(1000)], [2.5] * 1000, [rng.randrange(2**62) for _ in range(1000)]):
+        got = resampling.rank_cut(spark.createDataFrame([(v,) for v in rows], ["v"]), "v", k)
+        if k == 0:
+            assert got is None
+            continue
+        edge, due = got
+        above = sum(v > edge for v in rows)
+        assert edge == sorted(rows, reverse=True)[min(k, 1000) - 1] and above + due == min(k, 1000) and 0 < due <= rows.count(edge)
+
+
+@pytest.mark.parametrize("fraction", [0, 0.29, 0.5, 1])
+def test_resampling_of_repeated_rows(spark, fraction):
+    docs = table(spark, [(k % 3, ("a b", "c", None)[k % 3], "", "") for k in range(100)]).repartition(4)
+    out = resampling.resample(docs, docs.select("doc_id").where("doc_id = 1"), fraction)
+    assert out.count() == 100 and out.where("selected").count() == int(fraction * 100 + 1e-9) and out.columns == [*docs.columns, "n_grams", "log_weight", "noisy_weight", "selected"]
+    least, most = out.where("selected").agg(F.min("noisy_weight")).first()[0], out.where("not selected").agg(F.max("noisy_weight")).first()[0]
+    assert least is None or most is None or least >= most
+
+
+@pytest.mark.parametrize("ids", [0, 100_000])
+def test_weights_by_hand(spark, monkeypatch, ids):
+    """Log weights against counts made in a plain loop, with ids broadcast or joined."""
+    monkeypatch.setattr(resampling, "BROADCAST_IDS", ids)
+    docs, labels = labelled(spark)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    aim = {r["doc_id"] for r in labels.where("toxic = 0").collect()}
+    hasher, raw, target = resampling.Hasher(), np.ones(resampling.BUCKETS), np.ones(resampling.BUCKETS)
+    for i, t in rows.items():
+        for g in hasher.grams(t):
+            raw[g] += 1
+            target[g] += i in aim
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    for r in resampling.resample(docs, labels.where("toxic = 0")).collect():
+        assert abs(r["log_weight"] - sum(ratio[g] for g in hasher.grams(rows[r["doc_id"]]))) < 1e-6
 
 
 def test_same_sample_again(spark):

@@ -10,6 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that Spark hands to Python at once, at most: a batch of texts is held by the JVM, by Arrow and by Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, in which a batch for Python has at most BATCH_ROWS rows from now on (fewer if it is set so)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
@@ -29,7 +41,7 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 
     The table goes when the session's JVM ends.
     """
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = f"{shared_folder(spark)}/undula-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -38,7 +50,7 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(doc_id: int | str | None) -> bool:
@@ -54,14 +66,16 @@ def bounded_sample(docs: DataFrame, per_class: int, max_chars: int, label: str,
     """(text, label) of at most per_class rows of each label, those with the smallest hash of doc_id, for fitting on the driver.
 
     The label is a column of docs, or of labels (doc_id and that column). Empty texts and those over max_chars characters are
-    not drawn. Ids and lengths alone are joined and ordered; only the drawn rows' texts are fetched, by a broadcast of their ids.
-    The numbers of rows and characters are bounded at every size of input. More than max_labels labels are refused.
+    not drawn. An id of several labels has the least of them, an id of several texts its least text. Ids and lengths alone are
+    joined and ordered; only the drawn rows' texts are fetched, by a broadcast of their ids. The numbers of rows and characters
+    are bounded at every size of input. More than max_labels labels are refused.
     """
     spark = docs.sparkSession
+    fits = lambda n: (n > 0) & (n <= max_chars)
     ids = docs.select(F.col("doc_id").alias("_id"), F.length("text").alias("_n"), *([F.col(label).alias("_y")] if labels is None else []))
     if labels is not None:
         ids = ids.join(labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")), "_id")
-    ids = written(ids.where((F.col("_n") > 0) & (F.col("_n") <= max_chars) & F.col("_y").isNotNull()).select("_id", "_y"), "labelled")
+    ids = written(ids.where(fits(F.col("_n")) & F.col("_y").isNotNull()).groupBy("_id").agg(F.min("_y").alias("_y")), "labelled")
     if ids.select("_y").distinct().limit(max_labels + 1).count() > max_labels:
         raise ValueError(f"column {label} has more than {max_labels} values; fitting on the driver takes at most {max_labels}")
     # least hashes of each label and part of it, then of each label: no task holds a whole label
@@ -71,6 +85,7 @@ def bounded_sample(docs: DataFrame, per_class: int, max_chars: int, label: str,
     drawn = ids.collect()
     if not drawn:
         return []
-    few = spark.createDataFrame(drawn, ids.schema).dropDuplicates(["_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y").limit(2 * len(drawn)).collect()
-    return [(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "")) if r["text"]]
+    few = spark.createDataFrame(drawn, ids.schema)
+    found = docs.select("doc_id", "text").where(fits(F.length("text"))).join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = found.groupBy("doc_id", "_y").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"]))]

@@ -89,7 +89,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
                     seen.add(key)
                     sets.append(one)
                     size += len(one)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield block(sets)
                     sets, size, seen = [], 0, set()
         yield block(sets)

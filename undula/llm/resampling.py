@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,9 @@ from .common import written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 10_000
-CACHE_TOKENS = 300_000
-#: A boundary bin of at most this many rows is ordered on the driver.
-LAST_ROWS = 5_000
-
+CACHE_TOKENS = 100_000
+#: Ids of target text up to this many are broadcast; with more the target documents are shuffled.
+BROADCAST_IDS = 100_000
 
 @dataclass
 class Hasher:
@@ -50,7 +50,7 @@ class Hasher:
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """(bucket, raw, target) over all rows (text, _target boolean).
+    """(bucket, raw, target) over all rows (text, _raw boolean, _target boolean): counts of the rows of either kind.
 
     Each task sums its rows into two vectors of fixed length before the shuffle.
     """
@@ -58,24 +58,32 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target, hasher = np.zeros(BUCKETS), np.zeros(BUCKETS), Hasher()
         for b in batches:
-            for text, of in zip(b["text"], b["_target"]):
+            for text, one, other in zip(b["text"], b["_raw"], b["_target"]):
                 got = np.bincount(hasher.grams(text), minlength=BUCKETS)
-                raw += got
-                if of:
+                if one:
+                    raw += got
+                if other:
                     target += got
-        at = np.flatnonzero(raw)
+        at = np.flatnonzero(raw + target)
         yield pd.DataFrame({"bucket": at, "raw": raw[at], "target": target[at]})
 
-    return rows.select("text", "_target").mapInPandas(summed, "bucket bigint, raw double, target double").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return rows.select("text", "_raw", "_target").mapInPandas(summed, "bucket bigint, raw double, target double").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw by bucket. target: the doc_ids of target text, in one column. Add-one smoothed counts."""
-    ids = target.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_is", F.lit(True))
-    small = ids.limit(100_001).count() <= 100_000
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_id"), "left").withColumn("_target", F.coalesce("_is", F.lit(False)))
+    """log p_target - log p_raw by bucket. target: the doc_ids of target text, in one column. Add-one smoothed counts.
+
+    Up to BROADCAST_IDS distinct ids, counted first, are broadcast; with more the target documents alone are shuffled.
+    """
+    ids = target.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
+    texts = docs.select("doc_id", "text").withColumn("_raw", F.lit(True))
+    same = F.col("doc_id") == F.col("_id")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        rows = texts.join(F.broadcast(ids), same, "left").withColumn("_target", F.col("_id").isNotNull())
+    else:
+        rows = texts.withColumn("_target", F.lit(False)).unionByName(texts.join(ids, same, "left_semi").withColumns({"_raw": F.lit(False), "_target": F.lit(True)}))
     raw, aim = np.ones(BUCKETS), np.ones(BUCKETS)
-    for r in gram_counts(marked).collect():  # BUCKETS rows
+    for r in gram_counts(rows).collect():  # BUCKETS rows
         raw[r["bucket"]] += r["raw"]
         aim[r["bucket"]] += r["target"]
     return np.log(aim / aim.sum()) - np.log(raw / raw.sum())
@@ -96,51 +104,40 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", keep:
     return out.select(*names, F.col("_u_w.n").alias("n_grams"), F.col("_u_w.w").alias("log_weight"), (F.col("_u_w.w") - F.log(-F.log(u))).alias("noisy_weight"))
 
 
-def kth_largest(rows: DataFrame, value: str, key: str, k: int) -> tuple[float, list] | None:
-    """The value of which `k` rows are at or above it, and the keys taken among those that have it or lie in its last bin.
+def rank_cut(rows: DataFrame, value: str, k: int) -> tuple[float | int, int] | None:
+    """The value of rank k from above, and how many of the rows that have it are among the first k; None if k is 0 or no row.
 
-    Rows are counted in 1,024 bins of ever smaller ranges until the bin that holds rank k has few rows or one value; those
-    are ordered by value, then key. Only counts and that last bin come to the driver.
+    Rows are counted in 1,024 bins of ever smaller ranges until one value is left. Only counts come to the driver.
     """
-    ends = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    ends = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")).first()
     if k <= 0 or not ends["n"]:
         return None
-    if k >= ends["n"]:
-        return float("-inf"), []
-    lo, hi, left = ends["lo"], ends["hi"], k
-    while True:
+    lo, hi, left = ends["lo"], ends["hi"], min(k, ends["n"])
+    while lo < hi:
         inside = rows.where((F.col(value) >= F.lit(lo)) & (F.col(value) <= F.lit(hi)))
-        width = (hi - lo) / 1024
-        if width <= 0 or inside.count() <= LAST_ROWS:
-            last = inside.orderBy(F.desc(value), F.col(key)).limit(left).select(value, key)
-            return hi, last.collect() if left <= LAST_ROWS else None
-        bins = inside.select(F.least(F.floor((F.col(value) - F.lit(lo)) / F.lit(width)), F.lit(1023)).alias("b"), value).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).orderBy(F.desc("b")).collect()
-        for b in bins:
+        share = (F.col(value).cast("double") - F.lit(float(lo))) / F.lit(float(hi) - float(lo))
+        bins = inside.groupBy(F.least(F.floor(share * 1024), F.lit(1023)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        for b in bins.orderBy(F.desc("lo")).collect():
             if b["n"] >= left:
                 lo, hi = b["lo"], b["hi"]
                 break
             left -= b["n"]
+    return lo, left
 
 
 def resample(docs: DataFrame, target: DataFrame, fraction: float = 0.5, key: str = "doc_id", keep: list[str] | None = None, seed: int = 42) -> DataFrame:
     """docs (or the columns `keep`) plus n_grams, log_weight, noisy_weight and selected.
 
-    selected: the floor(fraction * rows) rows of the largest noisy weights; ties go to the smaller key, null first. Null and
-    empty texts have weight 0 and take part. Repeated rows have the same noise. An empty table gives an empty table.
+    selected: the floor(fraction * rows) rows of the largest noisy weights, exactly as many at every size. Repeated rows have the
+    same noise; where only some rows of one noisy weight are due, which of them are taken isn't defined. Null and empty texts
+    have weight 0 and take part. An empty table gives an empty table.
     """
-    weighed = written(with_weights(docs, fit(docs, target), key, keep, seed), "weights")
-    k = int(weighed.count() * fraction)
-    got = kth_largest(weighed, "noisy_weight", key, k)
-    if got is None:
-        return weighed.withColumn("selected", F.lit(False))
-    edge, last = got
-    if edge == float("-inf"):
-        return weighed.withColumn("selected", F.lit(True))
-    above = F.col("noisy_weight") > F.lit(edge)
-    if last is None:  # more equal values at the edge than are ordered on the driver: all of one value are taken
-        return weighed.withColumn("selected", F.col("noisy_weight") >= F.lit(edge))
-    if not last:
-        return weighed.withColumn("selected", above)
-    low = min(r["noisy_weight"] for r in last)
-    ties = [r[key] for r in last if r["noisy_weight"] == low]
-    return weighed.withColumn("selected", above | (F.col("noisy_weight") > F.lit(low)) | ((F.col("noisy_weight") == F.lit(low)) & (F.col(key).isin([t for t in ties if t is not None]) | (F.col(key).isNull() & F.lit(None in ties)))))
+    weighed = written(with_weights(docs, fit(docs, target), key, keep, seed).withColumn("_u_row", F.monotonically_increasing_id()), "weights")
+    k = int(Fraction(str(fraction)) * weighed.count())
+    cut = rank_cut(weighed, "noisy_weight", k)
+    if cut is None:
+        return weighed.withColumn("selected", F.lit(False)).drop("_u_row")
+    edge, due = cut
+    first = rank_cut(weighed.where(F.col("noisy_weight") == F.lit(edge)), "_u_row", due)[0]
+    taken = (F.col("noisy_weight") > F.lit(edge)) | ((F.col("noisy_weight") == F.lit(edge)) & (F.col("_u_row") >= F.lit(first)))
+    return weighed.withColumn("selected", taken).drop("_u_row")

@@ -39,7 +39,7 @@ ANCHOR = bytes(range(1, 9)) + bytes(range(14, 30))
 MARK = b"\x1f\x1e\x1d"
 #: A window is a word's first bytes, as many as this at most; longer words are cut into several windows.
 WINDOW_CHARS = 32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Words of a window of the trained dictionaries; windows overlap by half.
 SPAN = 16
 #: Bytes of a trained dictionary, at most.
