@@ -11,6 +11,7 @@ ascending, so the interval join of tokens with sections is one merge. A token th
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 RULES = ("start", "majority", "split")
 #: The pre-tokenisation pattern of the public byte-level vocabularies: a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A long run of white space as that pattern sees it. It is encoded by itself, as the pattern's matcher fails on a million characters.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 ROW = "n_tokens bigint, n_crossing bigint, section_tokens array<double>, section_start array<bigint>"
 
 
@@ -53,10 +56,21 @@ class Encoder:
 
     def spans(self, text: str) -> np.ndarray:
         """Byte offsets in the UTF-8 text at which tokens begin, and at last its length."""
-        encoding, sizes = self.built()
-        ids = np.asarray(encoding.encode_ordinary(text), np.int64)
+        sizes = self.built()[1]
+        ids = np.concatenate([np.empty(0, np.int64), *(np.asarray(x, np.int64) for x in self._encoded(text))])
         return np.concatenate([[0], np.cumsum(sizes[ids])])
 
+    def _encoded(self, text: str) -> Iterator[list[int]]:
+        """Token ids of a text in stretches. The pattern's pieces are those of the whole text: it takes a run of white space
+        up to its last character, which goes with what follows, or whole at the text's end."""
+        encoding, at = self.built()[0], 0
+        for run in LONG_RUN.finditer(text) if self.pattern == PATTERN else ():
+            end = run.end() - (run.end() < len(text))
+            yield encoding.encode_ordinary(text[at : run.start()])
+            yield encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        yield encoding.encode_ordinary(text[at:])
+
 
 def line_starts(raw: bytes) -> np.ndarray:
     """Byte offsets of sections that are lines: each ends with its line feed."""
@@ -97,7 +111,7 @@ def count_tokens(text: str | None, encoder: Encoder, rule: str) -> tuple[int, in
 def with_token_counts(docs: DataFrame, encoder: Encoder, rule: str = "majority", text: str = "text", into: str = "tokens") -> DataFrame:
     """docs plus a struct: n_tokens, n_crossing (tokens over a line's end), section_tokens and section_start (bytes) by line.
 
-    Null and empty texts have no tokens and no section. The section counts of a document sum to n_tokens under every rule. A
+    Null and empty texts have no tokens and no section; long runs of white space, letters or line feeds are as any text. The section counts of a document sum to n_tokens under every rule. A
     column called `into` is replaced. One scan without a shuffle.
     """
     if rule not in RULES:
