@@ -16,10 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WORD = re.compile(r"\w+")
 HITS = "array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"
-#: Characters of items that one scan of the documents looks for; more are sought in blocks of this size.
-BLOCK_CHARS = 4_000_000
+#: Characters of items that one scan of the documents looks for, and a bound on what is sent to the executors at once; more are
+#: sought in blocks of this size, one after the other.
+BLOCK_CHARS = 1_000_000
 #: Letters of scripts that don't part words by spaces: Thai, Lao, Burmese, Khmer, Kana, Chinese.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
@@ -116,9 +119,12 @@ class ItemMatcher:
             for a, b in windows:
                 scores = myers(item, norm[a:b])
                 if best is None or min(scores) < best[0]:
-                    best = (min(scores), a + scores.index(min(scores)))
-            if best[0] <= self.budget(item):
-                out.append((item_id, best[0], max(0, best[1] + 1 - len(item)), best[1] + 1))
+                    best = (min(scores), a, a + scores.index(min(scores)) + 1)
+            distance, a, end = best
+            if distance <= self.budget(item):
+                # where it begins: the item read backwards from its end
+                start = end - myers(item[::-1], norm[a:end][::-1]).index(distance) - 1
+                out.append((item_id, distance, start, end))
         return _in_text(text, norm, sorted(out))
 
 
@@ -158,12 +164,14 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, l
     Case, punctuation and white space don't count. Null and empty texts hold nothing; items that are null or
     have no word are never found; those shorter than least_chars folded characters are found where they stand unchanged between
     word bounds (in scripts without spaces, anywhere); an item given twice is found once for each. An existing column called
-    `into` is replaced. Documents are scanned once for each block of items (one block below BLOCK_CHARS) and never shuffled.
+    `into` is replaced. start and end are the places in the text of the first and last word that the best match touches, the
+    shortest of equals. Documents are scanned once for each block of items (one block below BLOCK_CHARS) and never shuffled; what
+    a block found is written before the next one is sought, so that one block at a time is held.
     """
     out = docs.withColumn(into, F.array().cast(HITS))
     for k, matcher in enumerate(matchers(benchmark, error_rate, least_chars)):
         one = F.pandas_udf(_unary(matcher), HITS)(F.col(text))
-        out = out.withColumn(into, F.concat(into, one) if k else one)
+        out = written(out, "hits").withColumn(into, F.concat(into, one)) if k else out.withColumn(into, one)
     return out
 
 
@@ -176,11 +184,11 @@ def _unary(matcher: ItemMatcher):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(doc_id, item_id, distance, start, end) of each benchmark item in each document."""
+    """(doc_id, item_id, distance, start, end) of each benchmark item in each document; repeated rows give repeated hits."""
     hits = with_hits(docs.select("doc_id", "text"), benchmark, **options)
     return hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item."""
+    """The documents that hold no item; repeated rows stay or go together."""
     return with_hits(docs, benchmark, into="_u_hits", **options).where(F.size("_u_hits") == 0).drop("_u_hits")
