@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TURNS = "{% for m in messages %}<turn {{ m.role | escape }}>\n{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}</turn>\n{% endfor %}"
-TURN = re.compile(r"<turn ((?:[^\\<>]++|\\.)*+)>\n((?:[^\\<>]++|\\.)*+)</turn>\n", re.DOTALL)
+_OPEN = re.compile(r"<turn ((?:[^\\<>]++|\\.)*+)>\n", re.DOTALL)
+_INSIDE = re.compile(r"(?:[^\\<]++|\\.)*+", re.DOTALL)
+_CLOSE = "</turn>\n"
 #: Characters of a rendered part, about: a conversation's text is a sequence of parts.
 PART = 1 << 18
 
@@ -52,7 +54,13 @@ def _text(value: Any) -> str:
 
 # --- tokens and syntax tree: nodes are tuples (kind, ...) ---
 
-_PART = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}|\{#.*?#\}", re.DOTALL)
+_QUOTED = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
+#: An expression or a statement ends at the first mark outside quotes, or, where a quote isn't closed, at the first mark.
+_PART = re.compile(rf"\{{\{{((?:{_QUOTED}|(?!\}}\}})[^'\"])*+(?=\}}\}})|.*?)\}}\}}|\{{%((?:{_QUOTED}|(?!%\}})[^'\"])*+(?=%\}})|.*?)%\}}|\{{#.*?#\}}", re.DOTALL)
+#: Brackets and negations within each other, and open statements, at most.
+DEPTH = 64
+#: Operators of an expression, at most.
+LINKS = 200
 _LEX = re.compile(r"\s*(?:(\d+(?:\.\d+)?)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|[<>+~|.,()\[\]]))")
 
 
@@ -73,7 +81,7 @@ class _Expression:
     """Recursive descent, loosest first: or, and, not, comparison, + and ~, filters, keys."""
 
     def __init__(self, source: str):
-        self.tokens, self.at = _lex(source), 0
+        self.tokens, self.at, self.depth, self.links = _lex(source), 0, 0, 0
 
     def take(self, *values: str) -> str | None:
         if self.at < len(self.tokens) and self.tokens[self.at][0] in ("sign", "name") and self.tokens[self.at][1] in values:
@@ -91,31 +99,47 @@ class _Expression:
             raise TemplateError(f"unexpected {self.tokens[self.at][1]!r}")
         return node
 
+    def within(self, read: Callable[[], tuple]) -> tuple:
+        """What is read one level deeper."""
+        self.depth += 1
+        if self.depth > DEPTH:
+            raise TemplateError(f"more than {DEPTH} levels")
+        node = read()
+        self.depth -= 1
+        return node
+
+    def chained(self, node: tuple) -> tuple:
+        """The node, if operators upon operators don't make it too deep a tree."""
+        self.links += 1
+        if self.links > LINKS:
+            raise TemplateError(f"more than {LINKS} operators in an expression")
+        return node
+
     def either(self) -> tuple:
         node = self.both()
         while self.take("or"):
-            node = ("or", node, self.both())
+            node = self.chained(("or", node, self.both()))
         return node
 
     def both(self) -> tuple:
         node = self.negated()
         while self.take("and"):
-            node = ("and", node, self.negated())
+            node = self.chained(("and", node, self.negated()))
         return node
 
     def negated(self) -> tuple:
-        return ("not", self.negated()) if self.take("not") else self.compared()
+        return ("not", self.within(self.negated)) if self.take("not") else self.compared()
 
     def compared(self) -> tuple:
         node = self.added()
         while sign := self.take("==", "!=", "<", "<=", ">", ">=", "in"):
-            node = ("compare", sign, node, self.added())
+            node = self.chained(("compare", sign, node, self.added()))
         return node
 
     def added(self) -> tuple:
         node = self.filtered()
         while sign := self.take("+", "~"):
-            node = ("join" if sign == "~" else "add", node, self.filtered())
+            node = self.chained(("join" if sign == "~" else "add", node, self.filtered()))
         return node
 
     def filtered(self) -> tuple:
@@ -127,9 +151,9 @@ class _Expression:
             self.at += 1
             args = []
             if self.take("("):
-                args = [self.either()]
+                args = [self.within(self.either)]
                 self.need(")")
-            node = ("filter", name, node, *args)
+            node = self.chained(("filter", name, node, *args))
         return node
 
     def keyed(self) -> tuple:
@@ -138,10 +162,10 @@ class _Expression:
             if self.take("."):
                 if self.at >= len(self.tokens) or self.tokens[self.at][0] != "name" or self.tokens[self.at][1].startswith("_"):
                     raise TemplateError("a key is missing, or isn't allowed")
-                node = ("key", node, ("value", self.tokens[self.at][1]))
+                node = self.chained(("key", node, ("value", self.tokens[self.at][1])))
                 self.at += 1
             elif self.take("["):
-                node = ("key", node, self.either())
+                node = self.chained(("key", node, self.within(self.either)))
                 self.need("]")
             else:
                 return node
@@ -150,7 +174,7 @@ class _Expression:
         if self.at >= len(self.tokens):
             raise TemplateError("an expression is missing")
         if self.take("("):
-            node = self.either()
+            node = self.within(self.either)
             self.need(")")
             return node
         kind, value = self.tokens[self.at]
@@ -180,6 +204,8 @@ def parse(source: str) -> tuple:
         if m.start() > at:
             stack[-1][1].append(("text", source[at : m.start()]))
         at = m.end()
+        if len(stack) > DEPTH:
+            raise TemplateError(f"more than {DEPTH} open statements")
         if m[1] is not None:
             stack[-1][1].append(("emit", _Expression(m[1]).whole()))
         elif m[2] is not None:
@@ -444,7 +470,7 @@ def read_back(parts: DataFrame) -> DataFrame:
         class Reader:
             def __init__(self, conv_id):
                 self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
-                self.all, self.loss, self.rest, self.half = hashlib.sha256(), hashlib.sha256(), "", ""
+                self.all, self.loss, self.rest, self.half, self.inside = hashlib.sha256(), hashlib.sha256(), "", "", False
 
             def add(self, text: str, spans: list[dict]) -> None:
                 self.chars += len(text)
@@ -458,14 +484,26 @@ def read_back(parts: DataFrame) -> DataFrame:
                     self.loss.update(plain.encode("utf-8", "surrogatepass"))
                 self.rest += text
                 at = 0
-                while m := TURN.match(self.rest, at):
-                    at = m.end()
-                    self.turns += 1
-                    self.all.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode("utf-8", "surrogatepass"))
+                while at < len(self.rest):  # a turn's text is digested as it comes, each character once
+                    if self.inside:
+                        m = _INSIDE.match(self.rest, at)
+                        self.all.update(unescape(m[0]).encode("utf-8", "surrogatepass"))
+                        at = m.end()
+                        if not self.rest.startswith(_CLOSE, at):
+                            break
+                        at, self.inside = at + len(_CLOSE), False
+                        self.all.update(b"\n")
+                    else:
+                        m = _OPEN.match(self.rest, at)
+                        if not m:
+                            break
+                        at, self.inside = m.end(), True
+                        self.turns += 1
+                        self.all.update(f"{unescape(m[1])}\n".encode("utf-8", "surrogatepass"))
                 self.rest = self.rest[at:]
 
             def row(self) -> dict:
-                if self.rest:
+                if self.rest or self.inside:
                     raise ValueError(f"conversation {self.conv_id}: {self.rest[:80]!r} isn't a turn")
                 return {"conv_id": self.conv_id, "n_turns": self.turns, "turns_sha256": self.all.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars}
 
