@@ -221,6 +221,50 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(empty(spark), bench).count() == 0 and decontaminate.clean(docs, bench.where("false")).count() == 8
 
 
+def test_spans_and_brute_force(spark):
+    """Hits and spans against distances of every stretch, on texts with edits at the ends of items."""
+    rng = random.Random(21)
+    items = [(k, " ".join(prose(14, rng=rng).split())) for k in range(6)]
+
+    def edits(t):
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(t))
+            t = rng.choice([t[:at] + t[at + 1 :], t[:at] + rng.choice("abcxyz") + t[at:], t[:at] + rng.choice("xyz") + t[at + 1 :]])
+        return t
+
+    texts = [" ".join([prose(rng.randint(0, 8), rng=rng), edits(rng.choice(items)[1]), prose(rng.randint(0, 8), rng=rng)]).strip() for _ in range(60)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = table(spark, [(k, t, "", "") for k, t in enumerate(texts)])
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, bench).collect()}
+
+    def least(p, t):  # of p to any stretch of t, and that stretch's start, by a table of (distance, start)
+        row = [(j, 0) for j in range(len(p) + 1)]
+        best = row[-1]
+        for at, c in enumerate(t, 1):
+            new = [(0, at)]
+            for k, x in enumerate(p):
+                new.append(min((row[k][0] + (x != c), -row[k][1]), (row[k + 1][0] + 1, -row[k + 1][1]), (new[k][0] + 1, -new[k][1])))
+                new[-1] = (new[-1][0], -new[-1][1])
+            row = new
+            if row[-1][0] < best[0]:
+                best = row[-1]
+        return best
+
+    found = 0
+    for i, text in enumerate(texts):
+        norm = decontaminate.folded(text)
+        for k, item in items:
+            distance, start = least(item, norm)
+            assert ((i, k) in got) == (distance <= min(int(0.05 * len(item)), len(item) // 8 - 1))
+            if (i, k) in got:
+                found += 1
+                assert got[i, k]["distance"] == distance and text[got[i, k]["start"] :].startswith(norm[start:].split(" ")[0]) or norm[start] == " "
+    assert found > 10
+    one = decontaminate.contaminated(table(spark, [(1, "aa bb the quck brown fox jumps over a lazy dog by the rivr bnk yy", "", "")]), spark.createDataFrame([(1, "the quick brown fox jumps over a lazy dog by the river bank")], "item_id bigint, text string"), error_rate=0.1).first()
+    assert (one["start"], one["distance"]) == (6, 3)
+    assert decontaminate.contaminated(docs.unionByName(docs), bench).count() == 2 * len(got)
+
+
 def test_short_items(spark):
     bench = spark.createDataFrame([(0, "What is 2 + 2?"), (1, "法国的首都是哪里？"), (2, "Name the capital: Oslo"), (3, "?!"), (4, "art")], "item_id bigint, text string")
     docs = table(spark, [(1, "He asked: what is\n2+2? Nobody knew.", "", ""), (2, "what is 2 + 25", "", ""), (3, "请问法国的首都是哪里呢", "", ""), (4, "name the capitol oslo", "", ""), (5, "Name the Capital (Oslo)", "", ""), (6, "start of a party; ART.", "", ""), (7, "a party", "", "")])
@@ -250,7 +294,14 @@ def test_templates():
     assert render("a{% generation %}{{ x }}{% endgeneration %}b", x="t") == [("a", False), ("t", True), ("b", False)]
     assert chat.fold(chat.parse("{% if 1 < 2 and not false %}{{ 'a' ~ 1 + 1 }}{% else %}{{ x }}{% endif %}!")) in (("block", [("text", "a11!")]), ("block", [("text", "a2!")]))
     assert "".join(t for t, _ in render("{% set y = x | default('d') | length %}{{ y }}{# no #}", x=None)) == "1"
-    for bad in ("{% if x %}", "{{ x.__class__ }}", "{{ __import__ }}", "{{ f(1) }}", "{{ x | run }}", "{% for %}{% endfor %}", "{% endif %}", "{{ 1 + }}", "{% else %}"):
+    assert render("{{ '}}' ~ \"%}\" }}{% if x == '%}' %}y{% endif %}", x="%}") == [("}}%}", False), ("y", False)]
+    for deep in ("(" * 3000 + "1" + ")" * 3000, "not " * 3000 + "x", "x" + "[x" * 3000 + "]" * 3000, "x" + " + 1" * 3000, "x" + ".y" * 3000):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template("{{ " + deep + " }}")
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template("{% if x %}" * 3000 + "{% endif %}" * 3000)
+    assert "".join(t for t, _ in render("{{ " + "(" * 50 + "1" + ")" * 50 + " }}")) == "1"
+    for bad in ("{{ 'x }}", "{% if x %}", "{{ x.__class__ }}", "{{ __import__ }}", "{{ f(1) }}", "{{ x | run }}", "{% for %}{% endfor %}", "{% endif %}", "{{ 1 + }}", "{% else %}"):
         with pytest.raises(chat.TemplateError):
             chat.compile_template(bad)
     assert "".join(t for t, _ in render("{{ x.real }}{{ y.z }}", x=3, y={"z": None})) == ""
@@ -269,6 +320,9 @@ def test_chat_round_trip(spark):
         assert got[k]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
         assert got[k]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.format_conversations(turns).where("conv_id = 99").count() > 1
+    long = spark.createDataFrame([(1, 0, "assistant", "<\\é\n" * 1_000_000)], "conv_id bigint, turn bigint, role string, text string")
+    r = chat.read_back(chat.format_conversations(long)).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (1, 4_000_000, hashlib.sha256(("<\\é\n" * 1_000_000).encode()).hexdigest())
     assert chat.read_back(chat.format_conversations(turns.where("false"))).count() == 0
 
 
@@ -382,6 +436,49 @@ def test_tokens(spark):
     assert sum(by) == len(plain.encode_ordinary(texts[0] + "\nk"))
 
 
+@pytest.mark.skipif(not VOCABULARY.exists(), reason="no vocabulary")
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\u3000", " \n", "\x1c"])
+def test_long_runs_of_white_space(monkeypatch, run):
+    encoder = tokens.Encoder.read(str(VOCABULARY))
+    texts = [before + run * n + after for n in (2, 20, 300) for before in ("", "ab", "'s") for after in ("", "cd", "'s", "9", "!", "\ufeff")]
+    want = [encoder.spans(t).tolist() for t in texts]
+    assert all(len(w) - 1 == len(encoder.built()[0].encode_ordinary(t)) for w, t in zip(want, texts))
+    monkeypatch.setattr(tokens, "LONG_RUN", re.compile(tokens.LONG_RUN.pattern.replace("10000", "2")))
+    assert [encoder.spans(t).tolist() for t in texts] == want
+
+
+@pytest.mark.skipif(not VOCABULARY.exists(), reason="no vocabulary")
+def test_tokens_of_very_long_runs(spark):
+    encoder, n = tokens.Encoder.read(str(VOCABULARY)), 2_000_000
+    docs = table(spark, [(1, "a" + " " * n + "b", "", ""), (2, "x" * n, "", ""), (3, "\n" * n, "", ""), (4, " " * n, "", "")])
+    got = {r["doc_id"]: r for r in tokens.with_token_counts(docs, encoder).select("doc_id", F.size("tokens.section_start").alias("n"), tokens.total(F.col("tokens.section_tokens")).alias("t"), "tokens.n_tokens").collect()}
+    assert {k: r["n"] for k, r in got.items()} == {1: 1, 2: 1, 3: n, 4: 1} and all(round(r["t"]) == r["n_tokens"] > 0 for r in got.values())
+
+
+@pytest.mark.skipif(not VOCABULARY.exists(), reason="no vocabulary")
+def test_sections_by_hand(spark):
+    """Section counts against a loop over tokens and lines."""
+    encoder, rng = tokens.Encoder.read(str(VOCABULARY)), random.Random(8)
+    texts = ["".join(rng.choice(["word ", "\n", "\n\n", "é", "a b", " ", "\r\n", "🙂", "42"]) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    docs = table(spark, [(k, t, "", "") for k, t in enumerate(texts)])
+    for rule in tokens.RULES:
+        for r in tokens.with_token_counts(docs, encoder, rule).collect():
+            lines, at = [], 0
+            for line in re.findall(r"[^\n]*\n|[^\n]+", r["text"]):
+                lines.append((at, at + len(line.encode())))
+                at = lines[-1][1]
+            want, at, crossing = [0.0] * len(lines), 0, 0
+            for token in encoder.built()[0].decode_tokens_bytes(encoder.built()[0].encode_ordinary(r["text"])):
+                held = [max(0, min(b, at + len(token)) - max(a, at)) for a, b in lines]
+                at += len(token)
+                crossing += sum(h > 0 for h in held) > 1
+                if rule == "split":
+                    want = [w + h / len(token) for w, h in zip(want, held)]
+                else:
+                    want[held.index(max(held)) if rule == "majority" else next(k for k, h in enumerate(held) if h)] += 1
+            assert np.allclose(r["tokens"]["section_tokens"], want) and r["tokens"]["n_crossing"] == crossing
+
+
 def test_allocation_rules():
     ends, starts = np.array([0, 3, 7, 10]), np.array([0, 4, 9])
     assert tokens.attribute(ends, starts, "start")[0].tolist() == [2, 1, 0]
