@@ -135,8 +135,12 @@ def biquad(kind: str, rate: float, f: float, width: float = np.sqrt(0.5), width_
         if kind == "highpass":
             a1 = -np.exp(-w0)
             return ((1 - a1) / 2, -(1 - a1) / 2, 0.0, 1.0, a1, 0.0)
-        k = (np.tan(w0 / 2) - 1) / (np.tan(w0 / 2) + 1)  # first-order all-pass
-        return (k, 1.0, 0.0, 1.0, k, 0.0)
+        if kind == "allpass":  # experimental one-pole all-pass
+            return (np.exp(-w0), -1.0, 0.0, 1.0, -np.exp(-w0), 0.0)
+        raise ValueError(f"{kind} has two poles")
+    if kind == "allpass_2":  # experimental two-pole all-pass without a width
+        s = np.sin(w0)
+        return (1 - s, -2 * c, 1 + s, 1 + s, -2 * c, 1 - s)
     al = alpha(w0, 2 * np.pi * width / rate if width_kind == "h" else width, width_kind, gain) if width_kind != "h" else np.sin(w0) / (2 * f / width)
     a = 10 ** (gain / 40)
     if kind == "lowpass":
@@ -175,11 +179,21 @@ def deemphasis(rate: float) -> tuple[float, ...]:
     return biquad("treble", rate, corner, slope, "s", gain)
 
 
+#: Zeros and poles of the record playback curve by rate, of a published design: fixed values.
+RIAA = {
+    44100: ((-0.2014898, 0.9233820), (0.7083149, 0.9924091)),
+    48000: ((-0.1766069, 0.9321590), (0.7396325, 0.9931330)),
+    88200: ((-0.1168735, 0.9648312), (0.8590646, 0.9964002)),
+    96000: ((-0.1141486, 0.9676817), (0.8699137, 0.9966946)),
+    192000: ((-0.1040610965, 0.9837523263), (0.9328992971, 0.9983633125)),
+}
+
+
 def riaa(rate: float) -> tuple[float, ...]:
-    """Record playback curve: time constants of 3180, 318 and 75 microseconds, matched poles and zeros, 0 dB at 1 kHz."""
-    zero = [np.exp(-1 / (318e-6 * rate)), -0.5]
-    pole = [np.exp(-1 / (3180e-6 * rate)), np.exp(-1 / (75e-6 * rate))]
-    b, a = np.poly(zero), np.poly(pole)
+    """Record playback curve at one of five rates, 0 dB at 1 kHz."""
+    if rate not in RIAA:
+        raise ValueError("the rate must be 44.1, 48, 88.2, 96 or 192 kHz")
+    b, a = (np.poly(roots) for roots in RIAA[int(rate)])
     z = np.exp(-2j * np.pi * 1000 / rate * np.arange(3))
     b = b / abs((b @ z) / (a @ z))
     return (*b, *a)

@@ -171,7 +171,7 @@ for _name in ("lowpass", "highpass", "bandpass", "bandreject", "allpass", "equal
     @operator(_name)
     def _filter(x, a, name=_name):
         flags, rest = _flags(a, "12c")
-        kind = "bandpass_skirt" if "c" in flags else name
+        kind = "bandpass_skirt" if "c" in flags else "allpass_2" if name == "allpass" and "2" in flags else name
         w, unit = parse.width(rest[1], "q" if name == "equalizer" else "h") if len(rest) > 1 else (0.5**0.5, "q")
         return scan.shelf_or_band(x, kind, parse.frequency(rest[0]), w, unit, _f(rest, 2, 0.0), 1 if "1" in flags else 2)
 

@@ -226,18 +226,51 @@ signal_query("firfit", lambda x: windows.firfit(x, [(20, 0.0), (1000, -6.0), (10
 
 
 def recursion(c, value: str = "s::DOUBLE", out: str = "y", tail: str = "") -> str:
-    c = [v / c[3] for v in c]
+    """c: b0 b1 b2 a0 a1 a2 as numbers or as SQL of w, c, s, al and g of the table p; tail: that table's definition."""
+    part = [v if isinstance(v, str) else num(v) for v in c]
+    table = f"{tail or 'p AS (SELECT 1)'}, k AS (SELECT ({part[0]}) / ({part[3]}) AS b0, ({part[1]}) / ({part[3]}) AS b1, ({part[2]}) / ({part[3]}) AS b2, ({part[4]}) / ({part[3]}) AS a1, ({part[5]}) / ({part[3]}) AS a2 FROM p)"
     lagged = "coalesce(lag(u, {k}) OVER (PARTITION BY stream_id ORDER BY n), 0)"
-    return f"WITH RECURSIVE {MONO}, u AS (SELECT stream_id, n, s, {value} AS u FROM x), v AS (SELECT stream_id, n, s, {num(c[0])} * u + {num(c[1])} * {lagged.format(k=1)} + {num(c[2])} * {lagged.format(k=2)} AS v FROM u), y AS (SELECT stream_id, n, s, v AS y, 0.0::DOUBLE AS y1 FROM v WHERE n = 0 UNION ALL SELECT v.stream_id, v.n, v.s, v.v - {num(c[4])} * y.y - {num(c[5])} * y.y1, y.y FROM y JOIN v ON v.stream_id = y.stream_id AND v.n = y.n + 1) SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, {R(out)} AS s FROM y{tail}"
-
-
+    return f"WITH RECURSIVE {MONO}, {table}, u AS (SELECT stream_id, n, s, {value} AS u FROM x), v AS (SELECT stream_id, n, s, b0 * u + b1 * {lagged.format(k=1)} + b2 * {lagged.format(k=2)} AS v, a1, a2 FROM u, k), y AS (SELECT stream_id, n, s, v AS y, 0.0::DOUBLE AS y1 FROM v WHERE n = 0 UNION ALL SELECT v.stream_id, v.n, v.s, v.v - v.a1 * y.y - v.a2 * y.y1, y.y FROM y JOIN v ON v.stream_id = y.stream_id AND v.n = y.n + 1) SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, {R(out)} AS s FROM y"
+
+
+def published(kind: str, f: float, alpha: str = "s / sqrt(2)", gain: float = 0.0, rate: float = RATE) -> str:
+    """The SQL of a filter whose coefficients it works out itself, by the published formulas."""
+    sign = -1 if kind == "treble" else 1
+    shelf = (
+        f"g * ((g + 1) - {sign} * (g - 1) * c + 2 * sqrt(g) * al)", f"{2 * sign} * g * ((g - 1) - {sign} * (g + 1) * c)", f"g * ((g + 1) - {sign} * (g - 1) * c - 2 * sqrt(g) * al)",
+        f"(g + 1) + {sign} * (g - 1) * c + 2 * sqrt(g) * al", f"{-2 * sign} * ((g - 1) + {sign} * (g + 1) * c)", f"(g + 1) + {sign} * (g - 1) * c - 2 * sqrt(g) * al",
+    )
+    poles = ("1 + al", "-2 * c", "1 - al")
+    formulas = {
+        "lowpass": ("(1 - c) / 2", "1 - c", "(1 - c) / 2", *poles), "highpass": ("(1 + c) / 2", "-(1 + c)", "(1 + c) / 2", *poles), "lowpass_1": ("1 - exp(-w)", "0", "0", "1", "-exp(-w)", "0"), "highpass_1": ("(1 + exp(-w)) / 2", "-(1 + exp(-w)) / 2", "0", "1", "-exp(-w)", "0"),
+        "bandpass": ("al", "0", "-al", *poles), "bandpass_skirt": ("s / 2", "0", "-s / 2", *poles), "bandreject": ("1", "-2 * c", "1", *poles), "allpass": ("1 - al", "-2 * c", "1 + al", *poles), "allpass_1": ("exp(-w)", "-1", "0", "1", "-exp(-w)", "0"), "allpass_2": ("1 - s", "-2 * c", "1 + s", "1 + s", "-2 * c", "1 - s"),
+        "equalizer": ("1 + al * g", "-2 * c", "1 - al * g", "1 + al / g", "-2 * c", "1 - al / g"), "bass": shelf, "treble": shelf, "band": ("sqrt(1 - a1 * a1 / (4 * a2)) * (1 - a2)", "0", "0", "1", "a1", "a2"),
+    }
+    own = f"p AS (SELECT *, cos(w) AS c, {alpha} AS al FROM (SELECT *, sin(w) AS s, pow(10, {num(gain)} / 40) AS g FROM (SELECT 2 * pi() * {num(f)} / {num(rate)} AS w)))"
+    if kind == "band":  # alpha: the width in Hz
+        own = f"p AS (SELECT a2, -4 * a2 / (1 + a2) * cos(2 * pi() * {num(f)} / {num(rate)}) AS a1 FROM (SELECT exp(-2 * pi() * {alpha} / {num(rate)}) AS a2))"
+    return recursion(formulas[kind], tail=own)
+
+
+def _slope(v: float) -> str:
+    return f"s / 2 * sqrt((g + 1 / g) * (1 / {num(v)} - 1) + 2)"
+
+
+_roots = lambda r: ("1.0::DOUBLE", f"-({num(r[0])} + {num(r[1])})", f"{num(r[0])} * {num(r[1])}")
+_zeros, _poles = _roots((-0.2014898, 0.9233820)), _roots((0.7083149, 0.9924091))
+_at = lambda c: f"sqrt(pow({c[0]} + {c[1]} * cos(t) + {c[2]} * cos(2 * t), 2) + pow({c[1]} * sin(t) + {c[2]} * sin(2 * t), 2))"
+#: Operator, its arguments in a chain, rate, SQL.
 _FILTERS = {
-    "biquad": ((0.3, 0.2, 0.1, 1.0, -0.5, 0.25), RATE), "lowpass": (design.biquad("lowpass", RATE, 20), RATE), "lowpass_1": (design.biquad("lowpass", RATE, 20, poles=1), RATE), "highpass": (design.biquad("highpass", RATE, 15), RATE), "highpass_1": (design.biquad("highpass", RATE, 15, poles=1), RATE),
-    "bandpass": (design.biquad("bandpass", RATE, 20, 5, "h"), RATE), "bandpass_skirt": (design.biquad("bandpass_skirt", RATE, 20, 1.0, "o"), RATE), "bandreject": (design.biquad("bandreject", RATE, 20, 5, "h"), RATE), "allpass": (design.biquad("allpass", RATE, 20, 5, "h"), RATE), "bass": (design.biquad("bass", RATE, 10, 0.5, "s", 6.0), RATE), "treble": (design.biquad("treble", RATE, 30, 0.5, "s", -6.0), RATE), "equalizer": (design.biquad("equalizer", RATE, 25, 1.0, "q", 5.0), RATE),
-    "band": (design.band(RATE, 20, 6), RATE), "deemph": (design.deemphasis(44100), 44100.0), "riaa": (design.riaa(44100), 44100.0),
+    "biquad": ("biquad 0.3 0.2 0.1 1 -0.5 0.25", RATE, recursion((0.3, 0.2, 0.1, 1.0, -0.5, 0.25))),
+    "lowpass": ("lowpass 20", RATE, published("lowpass", 20)), "lowpass_1": ("lowpass -1 20", RATE, published("lowpass_1", 20)), "highpass": ("highpass 15", RATE, published("highpass", 15)), "highpass_1": ("highpass -1 15", RATE, published("highpass_1", 15)),
+    "bandpass": ("bandpass 20 5", RATE, published("bandpass", 20, "s / (2 * 4.0::DOUBLE)")), "bandpass_skirt": ("bandpass -c 20 1o", RATE, published("bandpass_skirt", 20, "s * sinh(ln(2) / 2 * w / s)")), "bandreject": ("bandreject 20 5", RATE, published("bandreject", 20, "s / (2 * 4.0::DOUBLE)")),
+    "allpass": ("allpass 20 5", RATE, published("allpass", 20, "s / (2 * 4.0::DOUBLE)")), "allpass_1": ("allpass -1 20", RATE, published("allpass_1", 20)), "allpass_2": ("allpass -2 20", RATE, published("allpass_2", 20)),
+    "bass": ("bass 6 10", RATE, published("bass", 10, _slope(0.5), 6.0)), "treble": ("treble -6 30", RATE, published("treble", 30, _slope(0.5), -6.0)), "equalizer": ("equalizer 25 1q 5", RATE, published("equalizer", 25, "s / (2 * 1.0::DOUBLE)", 5.0)),
+    "band": ("band 20 6", RATE, published("band", 20, "6.0::DOUBLE")), "deemph": ("deemph", 44100.0, published("treble", 5283, _slope(0.4845), -9.477, 44100.0)),
+    "riaa": ("riaa", 44100.0, recursion((*(f"{v} * g" for v in _zeros), *_poles), tail=f"p AS (SELECT {_at(_poles)} / {_at(_zeros)} AS g FROM (SELECT 2 * pi() * 1000 / 44100.0::DOUBLE AS t))")),
 }
-for _name, (_c, _r) in _FILTERS.items():
-    signal_query(_name, lambda x, c=_c: scan.biquad(x, c), recursion(_c), rate=_r)
+for _name, (_text, _r, _sql) in _FILTERS.items():
+    signal_query(_name, lambda x, t=_text: x.chain(t), _sql, rate=_r)
 signal_query("overdrive", lambda x: scan.overdrive(x, 12, 10), recursion((1.0, -1.0, 0.0, 1.0, -0.995, 0.0), f"CASE WHEN s * {num(10 ** 0.6 / 2147483648.0)} + 0.05 < -1 THEN {num(-2 / 3)} WHEN s * {num(10 ** 0.6 / 2147483648.0)} + 0.05 > 1 THEN {num(2 / 3)} ELSE (s * {num(10 ** 0.6 / 2147483648.0)} + 0.05::DOUBLE) - pow(s * {num(10 ** 0.6 / 2147483648.0)} + 0.05::DOUBLE, 3) / 3 END", f"(s / {FULL} * 0.5 + y * 0.75) * {FULL}"))
 
 # --- rate ---
