@@ -22,6 +22,8 @@ BY = ["stream_id", "channel"]
 #: Bandwidth share and stop-band attenuation in dB by quality: fixed values.
 QUALITY = {"l": (0.80, 102.0), "m": (0.95, 102.0), "h": (0.95, 126.0), "v": (0.95, 175.0)}
 BLOCK = 1 << 13
+#: Places between inputs for which kernels are tabled, at most; a ratio with more has its kernels worked out by output.
+PHASES = 4096
 
 
 def rate(x: Signal, to: float, quality: str = "h") -> Signal:
@@ -59,6 +61,13 @@ def bandlimited(x: Signal, to: float, bandwidth: float = 0.95, attenuation: floa
     width = low * (1 - bandwidth)
     reach = math.ceil((attenuation - 7.95) / (2.285 * math.pi * width) / 2)
     cutoff, beta = low * (1 + bandwidth) / 2, design.kaiser_beta(attenuation)
+    k = np.arange(-reach, reach + 1)
+
+    def kernel(part: np.ndarray) -> np.ndarray:
+        d = k[None, :] - part[:, None]
+        return cutoff * np.sinc(cutoff * d) * np.i0(beta * np.sqrt(np.clip(1 - (d / (reach + 1)) ** 2, 0, 1))) / np.i0(beta)
+
+    table = kernel(np.arange(q) / q) if q <= PHASES else None
     n = F.col("n")
     of = lambda k: F.floor(F.floor(k * q / float(p)) / BLOCK)  # noqa: E731  block of outputs at input place k
     ends = x.df.groupBy(*BY).agg((F.max("n") + 1).alias("length"))
@@ -71,17 +80,15 @@ def bandlimited(x: Signal, to: float, bandwidth: float = 0.95, attenuation: floa
         if not len(m):
             return pd.DataFrame({"stream_id": [], "channel": [], "n": [], "y": []})
         place = m * p
-        whole, part = place // q, (place % q) / q
+        whole, phase = place // q, place % q
         lo = int(whole[0]) - reach
         v = np.zeros(int(whole[-1]) + reach + 2 - lo)
         at = pdf["n"].to_numpy() - lo
         ok = (at >= 0) & (at < len(v))
         v[at[ok]] = pdf["s"].to_numpy(float)[ok]
         y = np.empty(len(m))
-        k = np.arange(-reach, reach + 1)
         for a in range(0, len(m), 512):
-            d = k[None, :] - part[a : a + 512, None]
-            h = cutoff * np.sinc(cutoff * d) * np.i0(beta * np.sqrt(np.clip(1 - (d / (reach + 1)) ** 2, 0, 1))) / np.i0(beta)
+            h = table[phase[a : a + 512]] if table is not None else kernel(phase[a : a + 512] / q)
             y[a : a + 512] = (h * v[whole[a : a + 512, None] - lo + k[None, :]]).sum(1)
         return pd.DataFrame({"stream_id": pdf["stream_id"].iat[0], "channel": np.int32(pdf["channel"].iat[0]), "n": m, "y": y})
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..signal import KEYS, Signal
 
+#: Rows of silence that one row is blown up to at once.
+ZEROS = 1 << 14
+
 
 def intervals(positions: list[int]) -> list[tuple[int, int | None]]:
     """Stretches kept by a toggle at each position; an odd number leaves the last open."""
@@ -35,7 +38,9 @@ def trim_end(x: Signal, start: int, before_end: int) -> Signal:
 def zeros(places: DataFrame, start, count) -> DataFrame:
     """count rows of silence from start on, for each (stream_id, channel) of places."""
     sized = places.select("stream_id", "channel", start.cast("bigint").alias("_s"), count.cast("bigint").alias("_c")).where("_c > 0")
-    filled = sized.withColumn("n", F.explode(F.sequence(F.col("_s"), F.col("_s") + F.col("_c") - 1)))
+    # a long stretch is made in runs, so that no row holds it whole
+    runs = sized.withColumn("_r", F.explode(F.sequence(F.lit(0), F.floor((F.col("_c") - 1) / ZEROS)))).withColumn("_f", F.col("_s") + F.col("_r") * ZEROS)
+    filled = runs.withColumn("n", F.explode(F.sequence(F.col("_f"), F.least(F.col("_f") + ZEROS, F.col("_s") + F.col("_c")) - 1)))
     return filled.select("stream_id", "channel", "n", F.lit(0).alias("s"))
 
 

@@ -7,6 +7,7 @@ several channels the rows are taken as interleaved stereo.
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -193,8 +194,16 @@ QUERIES["merge"] = lambda spark, d: plain(combine.merge(_two(spark, d)))
 SQL["merge"] = f"{_ZIP} SELECT {COLS}, p AS s FROM z UNION ALL SELECT stream_id, 1, n, coalesce(q, 0) FROM z"
 QUERIES["concatenate"] = lambda spark, d: plain(combine.concatenate(_two(spark, d)))
 SQL["concatenate"] = f"WITH {_B}, l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL) SELECT {COLS}, s FROM x UNION ALL SELECT stream_id, channel, n + length, s FROM b JOIN l USING (stream_id)"
-QUERIES["sequence"] = lambda spark, d: plain(combine.sequence([*_two(spark, d), maps.speed(events(spark, d), 2)])[0])
-SQL["sequence"] = SQL["concatenate"]
+
+
+@query("sequence", f"WITH {_B}, l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL), g AS (SELECT {COLS}, s, 0 AS g FROM x UNION ALL SELECT stream_id, channel, n + length, s, 0 FROM b JOIN l USING (stream_id) UNION ALL SELECT {COLS}, s, 1 FROM x) SELECT stream_id || '#' || g AS stream_id, channel, n, s FROM g")
+def _sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Every run, named by its place."""
+    parts = combine.sequence([*_two(spark, d), maps.speed(events(spark, d), 2)])
+    named = [plain(p).withColumn("stream_id", F.concat("stream_id", F.lit(f"#{k}"))) for k, p in enumerate(parts)]
+    return named[0].unionByName(named[1])
+
+
 QUERIES["segments"] = lambda spark, d: rounded(rows.segments(events(spark, d), 20).groupBy("stream_id", "segment").agg(F.count(F.lit(1)).alias("samples"), F.sum("s").alias("total")))
 SQL["segments"] = f"WITH {MONO} SELECT stream_id, n // 20 AS segment, count(*) AS samples, CAST(sum(s) AS BIGINT) AS total FROM x GROUP BY ALL"
 
@@ -353,14 +362,98 @@ SQL["plot_lowpass"] = f"WITH f AS (SELECT i, i * 50.0::DOUBLE / 64 AS hz, pi() *
 
 @query("stream_tumbling", f"SELECT CAST(user_id AS VARCHAR) AS stream_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS samples, min((CAST(round(value * 100) AS BIGINT) - 32768) * 65536) AS min, max((CAST(round(value * 100) AS BIGINT) - 32768) * 65536) AS max, round(avg(((CAST(round(value * 100) AS BIGINT) - 32768) * 65536 / {FULL}) ** 2), 6) + 0.0 AS power FROM events GROUP BY ALL")
 def _tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream of one day's windows, run to its end into a table in memory."""
+    """The events as a stream of one day's windows, run to its end into a table of files."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows_ = source.select(F.col("user_id").cast("string").alias("stream_id"), F.lit(0).alias("channel"), F.col("ts").cast("timestamp").alias("ts"), sample().cast("int").alias("s"))
-    name = f"undula_{uuid.uuid4().hex}"
-    run = stream.tumbling_stats(rows_, "1 day", "1 hour").drop("channel").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{root.rstrip('/') if root else tempfile.gettempdir()}/undula-stream-{uuid.uuid4().hex}"
+    stats = stream.tumbling_stats(rows_, "1 day", "1 hour").drop("channel")
+    run = stats.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/table")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return rounded(spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz")))
+    return rounded(spark.read.parquet(f"{folder}/table").withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
+
+# --- SQL of operators with a state, of long kernels and of companded files ---
+
+
+def draws(seed: int) -> str:
+    """d(k, v): the 32-bit generator's signed draws, two for each place and more."""
+    return f"u AS (SELECT 0 AS k, (1664525 * {seed}::BIGINT + 1013904223) % 4294967296 AS u UNION ALL SELECT k + 1, (1664525 * u + 1013904223) % 4294967296 FROM u WHERE k < (SELECT 2 * max(n) + 100 FROM x)), d AS (SELECT k, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS v FROM u)"
+
+
+def stateful(table: str, first: str, then: str, columns: str = "l", base: str = MONO, more: str = "") -> str:
+    """A recursion through each stream: table(stream_id, n, columns) from row 0 and from the row before (t)."""
+    return f"WITH RECURSIVE {base}{more}, {table} AS (SELECT x.stream_id, x.n, {first} FROM x WHERE n = 0 UNION ALL SELECT x.stream_id, x.n, {then} FROM {table} t JOIN x ON x.stream_id = t.stream_id AND x.n = t.n + 1)"
+
+
+SQL["stat_guess"] = f"WITH {MONO}, q AS (SELECT stream_id, count(*) FILTER (floor(s / 1073741824.0) IN (-2, 1)) AS outside, count(*) FILTER (floor(s / 1073741824.0) IN (-1, 0)) AS inside FROM x GROUP BY ALL) SELECT stream_id, CASE WHEN inside = 0 OR outside > 3 * inside THEN 'unsigned' WHEN 3 * outside < inside THEN 'signed' WHEN 2 * outside > inside AND outside < 2 * inside THEN 'logarithmic or noise' ELSE 'unknown' END AS guess FROM q"
+_m = math.exp(-1 / (0.02 * RATE))
+SQL["stats_full"] = f"WITH RECURSIVE {STEREO}, {CORE}, {RUNS}, y AS (SELECT stream_id, channel, n, pow(s / {FULL}, 2) * {num(1 - _m)} AS v FROM x WHERE n = 0 UNION ALL SELECT x.stream_id, x.channel, x.n, y.v * {num(_m)} + pow(x.s / {FULL}, 2) * {num(1 - _m)} FROM y JOIN x ON x.stream_id = y.stream_id AND x.channel = y.channel AND x.n = y.n + 1), r5 AS (SELECT stream_id, channel, max(v) FILTER (n >= 9) AS peak, min(v) FILTER (n >= 9) AS trough FROM y GROUP BY ALL) SELECT stream_id, channel, samples, {CORE_COLS}, round(10 * log10(coalesce(peak, power)), 6) + 0.0 AS rms_peak_db, round(10 * log10(coalesce(trough, power)), 6) + 0.0 AS rms_trough_db, round(flat_db, 6) + 0.0 AS flat_db, peak_count, CAST(CASE WHEN mask = 0 THEN 0 ELSE 32 - round(log2(abs((mask::BIGINT & -(mask::BIGINT))::DOUBLE))) END AS BIGINT) AS bits, round(samples / {num(RATE)}, 6) + 0.0 AS seconds FROM c JOIN h USING (stream_id, channel) JOIN r5 USING (stream_id, channel)"
+SQL["spectrogram"] = f"WITH {MONO}, w AS (SELECT k, 2 * h / sum(h) OVER () AS h FROM (SELECT k, 0.5 - 0.5 * cos(2 * pi() * k / 31) AS h FROM range(32) t(k))), f AS (SELECT *, unnest(range(greatest(0, CAST(floor((n - 32) / 16.0) AS BIGINT) + 1), n // 16 + 1)) AS f FROM x), p AS (SELECT stream_id, f, b, sum(s / {FULL} * h * cos(2 * pi() * b * k / 32)) AS re, sum(s / {FULL} * h * sin(2 * pi() * b * k / 32)) AS im FROM f JOIN w ON k = n - f * 16, range(17) t(b) GROUP BY ALL) SELECT stream_id, f AS column, b AS row, round(10 * log10(greatest(re * re + im * im, 1e-20)), 4) AS db FROM p"
+
+# operators on levels and delays
+_rate = lambda seconds: num(1 - math.exp(-1 / (RATE * seconds)))
+_db = "20 * log10(greatest(l, 1e-10))"
+_curve = f"CASE WHEN abs({_db} + 20) < 3 THEN 5.0 - 0.375 * ({_db} + 20) + 0.125 * pow({_db} + 20 + 3, 2) / 12 WHEN {_db} < -60 THEN 20.0 WHEN {_db} < -20 THEN 20 - 0.375 * ({_db} + 60) WHEN {_db} < 0 THEN -0.25 * {_db} ELSE 0.0 END"
+SQL["compand"] = f"{stateful('e', '1 + (x.l - 1) * CASE WHEN x.l > 1 THEN {a} ELSE {d} END AS l'.format(a=_rate(0.05), d=_rate(0.2)), 't.l + (x.l - t.l) * CASE WHEN x.l > t.l THEN {a} ELSE {d} END'.format(a=_rate(0.05), d=_rate(0.2)), base=STEREO.replace('x AS (', 'x0 AS (') + f', x AS (SELECT stream_id, n, max(abs(s / {FULL})) AS l FROM x0 GROUP BY ALL)')} SELECT x0.stream_id, x0.channel, x0.n, {T('s * pow(10, (' + _curve + ') / 20)')} AS s FROM x0 JOIN e USING (stream_id, n)"
+_wave = "((n % 50) / 50.0::DOUBLE)"
+SQL["chorus"] = f"WITH {MONO}, {_TAIL.format(k=8)}, m AS (SELECT *, n - CAST(floor(2 + CASE WHEN {_wave} < 0.5 THEN {_wave} * 2 ELSE 2 - {_wave} * 2 END * 6 + 0.5) AS BIGINT) AS m FROM t) SELECT m.stream_id, m.channel, m.n, {C24(f'(m.s / 256.0::DOUBLE * 0.7::DOUBLE + coalesce(x.s / 256.0::DOUBLE, 0) * 0.4::DOUBLE) * 0.9::DOUBLE')} AS s FROM m LEFT JOIN x ON x.stream_id = m.stream_id AND x.n = m.m"
+SQL["stretch"] = f"WITH {MONO}, f AS (SELECT *, unnest(range(greatest(0, CAST(floor((n - 20) / 11.0) AS BIGINT) + 1), n // 11 + 1)) AS f FROM x), w AS (SELECT stream_id, channel, f * 16 + n - f * 11 AS n, s * least(1.0, least(n - f * 11 + 0.5, 20 - (n - f * 11) - 0.5) / 3.0) AS y FROM f) SELECT {COLS}, {R('sum(y)')} AS s FROM w GROUP BY ALL"
+_turn = "((x.n / 100.0::DOUBLE + 0.25) - floor(x.n / 100.0::DOUBLE + 0.25))"
+_back = f"(4 - CAST(round_even(CASE WHEN {_turn} < 0.5 THEN 2 * {_turn} ELSE 2 - 2 * {_turn} END * 3, 0) AS BIGINT))"
+SQL["phaser"] = f"{stateful('p', f'[x.s / {FULL} * 0.6::DOUBLE] AS l', f'list_append(t.l, x.s / {FULL} * 0.6::DOUBLE + CASE WHEN x.n >= {_back} THEN t.l[x.n - {_back} + 1] ELSE 0 END * 0.4::DOUBLE)')} SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, {R(f'l[n + 1] * 0.7::DOUBLE * {FULL}')} AS s FROM p"
+_swing = "(2 + (sin(2 * pi() * ((x.n / 50.0::DOUBLE + 0.75) - floor(x.n / 50.0::DOUBLE + 0.75))) + 1) / 2)"
+_whole, _in = f"CAST(floor({_swing}) AS BIGINT)", f"x.s / {FULL} + t.y * 0.3::DOUBLE"
+_get = lambda k: f"CASE WHEN x.n - {_whole} - {k} >= 0 THEN list_append(t.l, {_in})[x.n - {_whole} - {k} + 1] ELSE 0 END"
+SQL["flanger"] = f"{stateful('p', f'[x.s / {FULL}] AS l, 0.0::DOUBLE AS y, x.s AS s', f'list_append(t.l, {_in}), {_get(0)} + ({_get(1)} - {_get(0)}) * ({_swing} - floor({_swing})), x.s')} SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, {R(f'(s / {FULL} * {num(1 / 1.71)} + y * {num(0.71 / 1.71 * 0.7)}) * {FULL}')} AS s FROM p"
+_fits = "f AS (SELECT a.stream_id, d, sum(pow((b.s - a.s) / 2147483648.0::DOUBLE, 2)) AS fit FROM x a, range(5) t(d), x b WHERE a.n BETWEEN 17 AND 22 AND b.stream_id = a.stream_id AND b.n = a.n + 6 + d GROUP BY ALL), g AS (SELECT stream_id, arg_min(d, fit * 1e9 + d * 1e-12) AS d FROM f GROUP BY ALL)"
+SQL["splice"] = f"WITH {MONO}, {_fits} SELECT {COLS}, s FROM x WHERE n < 17 UNION ALL SELECT a.stream_id, a.channel, a.n, {R(f'(a.s / {FULL} * (1 - (a.n - 17) / 6.0::DOUBLE) + b.s / {FULL} * ((a.n - 17) / 6.0::DOUBLE)) * {FULL}')} FROM x a JOIN g USING (stream_id) JOIN x b ON b.stream_id = a.stream_id AND b.n = a.n + 6 + d WHERE a.n BETWEEN 17 AND 22 UNION ALL SELECT stream_id, channel, n - 6 - d, s FROM x JOIN g USING (stream_id) WHERE n >= 29 + d"
+_low = f"{published('lowpass', 20)}"
+_base = _low[: _low.index("SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, ")].replace("x AS (SELECT stream_id", "x AS (SELECT stream_id, channel, n - 5 AS n, " + R(f"s * {num(linear(-3.0))}") + " AS s FROM (SELECT stream_id", 1).replace("k AS n, s FROM r)", "k AS n, s FROM r) WHERE n >= 5)", 1)
+SQL["chain"] = f"{_base}, z AS (SELECT stream_id, max(n) + 1 AS length FROM y GROUP BY ALL) SELECT stream_id, CAST(0 AS BIGINT) AS channel, length - 1 - n + 10 AS n, {R('y')} AS s FROM y JOIN z USING (stream_id) UNION ALL SELECT stream_id, 0, CASE WHEN k < 10 THEN k ELSE length + k END, 0 FROM z, range(20) t(k)"
+
+# kernels
+SQL["hilbert"] = f"WITH {MONO}, k AS (SELECT k, CASE WHEN k = 10 THEN 0 ELSE (1 - cos(pi() * (k - 10))) / (pi() * (k - 10)) END * (0.42 - 0.5 * cos(pi() * k / 10) + 0.08 * cos(pi() * k / 5)) AS h FROM range(21) t(k)) SELECT o.stream_id, o.channel, o.n, {E('sum(h * x.s)')} AS s FROM x o, k JOIN x ON x.stream_id = o.stream_id AND x.n = o.n + 10 - k GROUP BY ALL"
+_i0 = lambda v: f"list_sum(list_transform(range(70), lambda j: pow(({v}) / 2, 2 * j) / pow(gamma(j + 1), 2)))"
+SQL["sinc"] = f"WITH {MONO}, k AS (SELECT k, 0.4 * CASE WHEN k = 18 THEN 1 ELSE sin(pi() * 0.4 * (k - 18)) / (pi() * 0.4 * (k - 18)) END * {_i0('5.65326 * sqrt(greatest(0, 1 - pow(k / 18.0 - 1, 2)))')} / {_i0('5.65326')} AS h FROM range(37) t(k)) SELECT o.stream_id, o.channel, o.n, {E('sum(h * x.s)')} AS s FROM x o, k JOIN x ON x.stream_id = o.stream_id AND x.n = o.n + 18 - k GROUP BY ALL"
+for _q, (_width, _stop) in {"l": (0.8, 102), "m": (0.95, 102), "h": (0.95, 126), "v": (0.95, 175)}.items():
+    _reach, _cut, _beta = math.ceil((_stop - 7.95) / (2.285 * math.pi * (1 - _width)) / 2), num((1 + _width) / 2), num(0.1102 * (_stop - 8.7))
+    _d = "(k - f / 3.0::DOUBLE)"
+    SQL[f"rate_{_q}"] = f"WITH {MONO}, h AS (SELECT f, k, {_cut} * CASE WHEN f = 0 AND k = 0 THEN 1 ELSE sin(pi() * {_cut} * {_d}) / (pi() * {_cut} * {_d}) END * {_i0(f'{_beta} * sqrt(greatest(0, 1 - pow({_d} / {_reach + 1}, 2)))')} / {_i0(_beta)} AS h FROM range(3) t(f), range({-_reach}, {_reach + 1}) u(k)), l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL), o AS (SELECT stream_id, unnest(range(CAST(floor(length * 1.5 + 0.5) AS BIGINT))) AS m FROM l) SELECT o.stream_id, CAST(0 AS BIGINT) AS channel, m AS n, {E('sum(h * x.s)')} AS s FROM o JOIN h ON f = (m * 2) % 3 JOIN x ON x.stream_id = o.stream_id AND x.n = (m * 2) // 3 + k GROUP BY ALL"
+
+# tones and noises
+for _t, _e in {"trapezium": "CASE WHEN p < 0.1 THEN p / 0.1 * 2 - 1 WHEN p < 0.5 THEN 1 WHEN p < 0.6 THEN 1 - (p - 0.5) / (0.6::DOUBLE - 0.5::DOUBLE) * 2 ELSE -1 END", "exp": "(pow(0.00001::DOUBLE, 1 - CASE WHEN p < 0.5 THEN p / 0.5 ELSE (1 - p) / 0.5 END) - 0.00001::DOUBLE) / (1 - 0.00001::DOUBLE) * 2 - 1"}.items():
+    SQL[f"synth_{_t}"] = f"WITH {MONO}, q AS (SELECT *, {_PHASE} AS p FROM x) SELECT {COLS}, {R(f'({_e}) * {MAX}')} AS s FROM q"
+_made = lambda e, tables, join: f"WITH RECURSIVE {MONO}, {draws(7920)}{tables} SELECT x.stream_id, x.channel, x.n, {R(f'({e}) * {MAX}')} AS s FROM x JOIN {join}"
+SQL["synth_whitenoise"] = _made(f"v / {FULL}", "", "d ON k = n")
+SQL["synth_tpdfnoise"] = _made(f"(a.v / {FULL} + b.v / {FULL}) / 2", "", "d a ON a.k = 2 * n JOIN d b ON b.k = 2 * n + 1")
+SQL["synth_brownnoise"] = _made("y", f", b AS (SELECT k, v / {FULL} / 16 AS y FROM d WHERE k = 0 UNION ALL SELECT d.k, CASE WHEN abs(b.y + v / {FULL} / 16) <= 1 THEN b.y + v / {FULL} / 16 ELSE b.y - v / {FULL} / 16 END FROM b JOIN d ON d.k = b.k + 1)", "b ON k = n")
+_pink = {"0.99886": 0.0555179, "0.99332": 0.0750759, "0.969": 0.153852, "0.8665": 0.3104856, "0.55": 0.5329522, "-0.7616": -0.016898}
+_first = ", ".join(f"{num(g)} * (v / {FULL}) AS y{k}" for k, g in enumerate(_pink.values()))
+_next = ", ".join(f"{num(g)} * (v / {FULL}) + {num(float(q))} * y{k}" for k, (q, g) in enumerate(_pink.items()))
+SQL["synth_pinknoise"] = _made(f"greatest(-1, least(1, (y0 + y1 + y2 + y3 + y4 + y5 + v / {FULL} * 0.5362 + before / {FULL} * 0.115926) * 0.11))", f", b AS (SELECT k, v, 0 AS before, {_first} FROM d WHERE k = 0 UNION ALL SELECT d.k, d.v, b.v, {_next.replace('(v ', '(d.v ')} FROM b JOIN d ON d.k = b.k + 1)", "b ON k = n")
+SQL["synth_pluck"] = _made("l[n + 1]", f", b AS (SELECT 29 AS k, (SELECT list(v / {FULL} ORDER BY k) FROM d WHERE k < 29) AS l UNION ALL SELECT k + 1, list_append(l, 0.4985::DOUBLE * (l[k - 28] + l[k - 27])) FROM b WHERE k <= (SELECT max(n) FROM x)), z AS (SELECT l FROM b ORDER BY k DESC LIMIT 1)", "z ON true")
+_noisy = f"WITH RECURSIVE {MONO.replace('x AS (', 'x0 AS (')}, x AS (SELECT stream_id, channel, n, {R(f's * {num(linear(-3.0))}')} AS s FROM x0), {draws(1)}, v AS (SELECT x.*, CAST(floor(a.v / 256.0) + floor(b.v / 256.0) AS BIGINT) AS noise FROM x JOIN d a ON a.k = 2 * n JOIN d b ON b.k = 2 * n + 1)"
+SQL["dither"] = f"{_noisy} SELECT {COLS}, CAST(greatest(-128, least(127, trunc((s + noise) / 16777216.0::DOUBLE + CASE WHEN s + noise < 0 THEN -0.5 ELSE 0.5 END))) AS BIGINT) * 16777216 AS s FROM v"
+_taps = "[2.847, -4.685, 6.214, -7.184, 6.639, -5.032, 3.263, -1.632, 0.4191]::DOUBLE[]"
+_want = f"(v.s / 16777216.0::DOUBLE - list_inner_product({_taps}, e.p))"
+_level = f"least(127, greatest(-128, floor({_want} + v.noise / 16777216.0::DOUBLE + 0.5)))"
+SQL["dither_shaped"] = f"{_noisy}, e AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS n, [0, 0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[] AS p, 0.0::DOUBLE AS q FROM x UNION ALL SELECT v.stream_id, v.n, list_prepend({_level} - {_want}, e.p[1:8]), {_level} FROM e JOIN v ON v.stream_id = e.stream_id AND v.n = e.n + 1) SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, CAST(q AS BIGINT) * 16777216 AS s FROM e WHERE n >= 0"
+
+# files of one byte a sample on a logarithmic scale, by the rule of the recommendation; the nearest level, of two as near the larger
+_mu = "SELECT DISTINCT CASE WHEN c & 128 > 0 THEN -1 ELSE 1 END * (((((c & 15) << 3) + 132) << ((c >> 4) & 7)) - 132) AS v FROM range(256) t(c)"
+_a = "SELECT DISTINCT CASE WHEN c & 128 > 0 THEN 1 ELSE -1 END * CASE WHEN (c >> 4) & 7 = 0 THEN ((c & 15) << 4) + 8 ELSE (((c & 15) << 4) + 264) << (((c >> 4) & 7) - 1) END AS v FROM range(256) t(c)"
+for _law, _names in {_mu: ("ul", "lu", "wav_ulaw"), _a: ("al", "la", "wav_alaw", "wve", "gsrt")}.items():
+    _levels = f"WITH {MONO}, lv AS (SELECT v, coalesce((v + lag(v) OVER (ORDER BY v)) / 2, -1e9) AS lo FROM ({_law}))"
+    for _n in _names:
+        SQL[f"format_{_n}"] = f"{_levels} SELECT {COLS}, v * 65536 AS s FROM x ASOF JOIN lv ON s / 65536.0::DOUBLE >= lo"
+# a ring tone has whole words: an odd length grows by a byte of 0
+SQL["format_gsrt"] += " UNION ALL SELECT stream_id, 0, max(n) + 1, -5504 * 65536 FROM x GROUP BY stream_id HAVING max(n) % 2 = 0"
+SQL["format_cdda"] = f"WITH {STEREO}, l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL) SELECT {COLS}, s FROM x UNION ALL SELECT stream_id, c, unnest(range(length, CAST(ceil(length / 588.0) AS BIGINT) * 588)), 0 FROM l, range(2) t(c)"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
