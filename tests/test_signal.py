@@ -88,7 +88,7 @@ def test_resampled_tone(spark):
         assert np.abs(y - np.sin(2 * np.pi * 440 * m / 12000) * (1 << 30))[400:-400].max() < (1 << 30) * 1e-3
 
 
-@pytest.mark.parametrize("text", ["vol 3dB", "norm -1", "dcshift 0.1", "remix 1,2", "channels 1", "fade t 0.001", "lowpass 500", "bass 3", "treble -3", "equalizer 800 1q 6", "band 500", "bandpass -c 500 100", "allpass 500 100", "sinc -t 400 1k", "hilbert -n 31", "compand 0.01,0.05 -60,-40,-20", "flanger", "phaser 0.6 0.6 3 0.4 2 -t", "reverb 30", "tempo 1.2 10 2 2", "pitch 100", "bend 0.005,200,0.01", "splice 0.02,0.002,0.001", "silence 1 0.001 1%", "vad", "dither -p 8", "dither -s -p 8", "overdrive 10", "echo 0.8 0.8 5 0.4", "echos 0.8 0.8 5 0.4", "chorus 0.7 0.7 25 0.4 2 2 -s", "stretch 1.2 5", "synth sine mix 440", "synth pluck 440", "tremolo 5 40", "repeat 1", "delay 0 0.001", "contrast", "speed 1.5", "downsample 2", "oops", "divide", "swap", "mcompand '0.01,0.1 -40,-30' 800 '0.01,0.1 -40,-35'", "trim 0 =0.02", "firfit 20 0 4000 -3", "noisered 0.3"])
+@pytest.mark.parametrize("text", ["vol 3dB", "norm -1", "dcshift 0.1", "remix 1,2", "channels 1", "fade t 0.001", "lowpass 500", "bass 3", "treble -3", "equalizer 800 1q 6", "band 500", "bandpass -c 500 100", "allpass 500 100", "sinc -t 400 1k", "hilbert -n 31", "compand 0.01,0.05 -60,-40,-20", "flanger", "phaser 0.6 0.6 3 0.4 2 -t", "reverb 30", "tempo 1.2 10 2 2", "pitch 100", "bend 0.005,200,0.01", "splice 0.02,0.002,0.001", "silence 1 0.001 1%", "vad", "dither -p 8", "dither -s -p 8", "overdrive 10", "echo 0.8 0.8 5 0.4", "echos 0.8 0.8 5 0.4", "chorus 0.7 0.7 25 0.4 2 2 -s", "stretch 1.2 5", "synth sine mix 440", "synth pluck 440", "tremolo 5 40", "repeat 1", "delay 0 0.001", "contrast", "speed 1.5", "downsample 2", "oops", "divide", "swap", "mcompand '0.01,0.1 -40,-30' 800 '0.01,0.1 -40,-35'", "trim 0 =0.02", "firfit 20 0 4000 -3", "silence -l 1 0.001 1% 1 0.002 1%", "vad -t 3 -f 50 -m 0.01 -s 0.2", "gain -b", "gain -h", "allpass -1 500", "allpass -2 500"])
 def test_chain(spark, wave, text):
     y = signal(spark, wave).chain(text)
     assert y.df.count() >= 0
@@ -102,6 +102,47 @@ def test_unknown_and_user_operators(spark, wave):
     assert (values(signal(spark, wave).chain("half")) == wave // 2).all()
 
 
+@pytest.mark.parametrize("text", ["noisered 0.3", "noiseprof", "spectrogram", "vad -x 3", "vad -t", "gain -n -r", "gain -e -b", "bandpass -1 500"])
+def test_options_that_cannot_be_met_are_errors(spark, wave, text):
+    with pytest.raises(ValueError):
+        signal(spark, wave).chain(text).df.count()
+
+
+def test_noisered_in_a_chain(spark, wave, tmp_path):
+    from undula.operators import frames
+
+    x = signal(spark, wave)
+    frames.noise_profile(x, 64).write.parquet(str(tmp_path / "profile"))
+    got = x.chain(f"noisered {tmp_path}/profile 0.3")
+    want = frames.noise_reduce(x, frames.noise_profile(x, 64), 0.3, 64)
+    assert (values(got) == values(want)).all()
+
+
+def test_headroom_and_balance(spark):
+    a = np.stack([tone(440, 400, level=0.5), tone(300, 400, level=0.1)])
+    x = signal(spark, a)
+    back = x.chain("gain -h -6 gain -r")
+    assert np.abs(values(back) - a).max() <= 1 and back.headroom == 1.0
+    loud = values(x.chain("gain -h -6 vol 1.8 gain -r"))
+    assert abs(np.abs(loud).max() - 0.9 * (1 << 31)) < 1 << 24
+    assert np.abs(values(x.chain("gain -h -6 vol 3 gain -r"))).max() >= 2147483600  # as far as nothing clips
+    peak = np.abs(values(x.chain("gain -b"))).max(1)
+    power = np.sqrt((values(x.chain("gain -b")).astype(float) ** 2).mean(1))
+    assert peak.max() <= 2147483647 and abs(power[0] / power[1] - 1) < 1e-6
+    spiky = a.copy()
+    spiky[1, 5] = 1 << 30
+    balanced = values(signal(spark, spiky).chain("gain -b")).astype(float)
+    assert np.abs(balanced).max() >= 2147483600 and abs(np.sqrt((balanced[0] ** 2).mean() / (balanced[1] ** 2).mean()) - 1) < 1e-3
+
+
+def test_long_gap_of_silence(spark):
+    from undula.operators.rows import ZEROS
+
+    x = rows.pad(signal(spark, np.arange(1, 11)), 3 * ZEROS + 5)
+    got = values(x)[0]
+    assert len(got) == 3 * ZEROS + 15 and not got[:-10].any() and (got[-10:] == np.arange(1, 11)).all()
+
+
 def test_chain_targets(spark, wave):
     y = chain.run(signal(spark, wave), "gain -3", rate=4000.0, channels=1, dither_to=16)
     assert (y.rate, y.channels, y.precision) == (4000.0, 1, 16)
@@ -191,3 +232,127 @@ def test_silence_and_tones(spark):
 def test_au_codes_that_are_not_covered(code, name):
     with pytest.raises(ValueError, match=f"{name}.*not covered"):
         formats.read_au(b".snd" + np.array([24, 4, code, 8000, 1], ">u4").tobytes() + b"\0\0\0\0")
+
+
+# --- operators without SQL, by what they do to tones, impulses and silence ---
+
+
+def tone(hz, n, rate=8000.0, level=0.25, start=0):
+    return np.rint(np.sin(2 * np.pi * hz * (np.arange(n) + start) / rate) * level * (1 << 31)).astype(np.int64)
+
+
+def pitch_of(v, rate=8000.0):
+    w = np.abs(np.fft.rfft(v * np.hanning(len(v)), 1 << 16))
+    return w.argmax() * rate / (1 << 16)
+
+
+def level_at(v, hz, rate):
+    n = np.arange(len(v))
+    return 20 * np.log10(2 * abs(np.exp(-2j * np.pi * hz * n / rate) @ v) / len(v))
+
+
+@pytest.mark.parametrize("hz, want", [(50, 0.0), (1000, -6.0), (2000, -12.0)])
+def test_firfit_meets_its_knots(spark, hz, want):
+    x = signal(spark, tone(hz, 12_000))
+    y = values(windows.firfit(x, [(20, 0.0), (100, 0.0), (1000, -6.0), (2000, -12.0), (4000, -12.0)]))[0]
+    assert abs(level_at(y[2000:10_000] / 2**31, hz, 8000) - level_at(tone(hz, 8000) / 2**31, hz, 8000) - want) < 0.3
+
+
+def test_loudness_lowers_the_middle_most(spark):
+    change = {}
+    for hz in (100, 1000, 3000):
+        y = values(windows.loudness(signal(spark, tone(hz, 8000)), -10))[0]
+        change[hz] = level_at(y[2000:6000] / 2**31, hz, 8000) - level_at(tone(hz, 4000) / 2**31, hz, 8000)
+    assert abs(change[1000] + 10) < 0.3 and change[100] > change[1000] + 2
+
+
+def test_mcompand_of_unit_gain_keeps_levels(spark):
+    same = {"times": [(0.01, 0.1)], "points": [(-90.0, -90.0), (-40.0, -40.0)]}
+    for hz in (100, 3000):
+        y = values(sequential.mcompand(signal(spark, tone(hz, 4000)), [same, same], [800.0]))[0]
+        assert abs(level_at(y[1000:] / 2**31, hz, 8000) - level_at(tone(hz, 3000) / 2**31, hz, 8000)) < 0.1
+    quiet = {"times": [(0.001, 0.1)], "points": [(-90.0, -110.0), (0.0, -20.0)]}
+    y = values(sequential.mcompand(signal(spark, tone(100, 4000) + tone(3000, 4000)), [quiet, same], [800.0]))[0] / 2**31
+    base = (tone(100, 4000) + tone(3000, 4000)) / 2**31
+    assert abs(level_at(y[1000:], 100, 8000) - level_at(base[1000:], 100, 8000) + 20) < 0.5 and abs(level_at(y[1000:], 3000, 8000) - level_at(base[1000:], 3000, 8000)) < 0.3
+
+
+def test_reverb_of_an_impulse(spark):
+    a = np.zeros(3000, np.int64)
+    a[0] = 1 << 30
+    y = values(sequential.reverb(signal(spark, a), 50))
+    first = int(min(sequential.COMBS) * 8000 / 44100)
+    assert y.shape == (2, 3000) and abs(y[0, 0] - (1 << 30)) < 256 and not y[:, 1 : first - 60].any() and y[0, first:].any() and (y[0] != y[1]).any()
+    double = values(sequential.reverb(signal(spark, a // 2), 50))
+    assert np.abs(y - 2 * double).max() < 512
+
+
+def test_tempo_keeps_the_pitch_and_pitch_the_length(spark):
+    x = signal(spark, tone(440, 8000))
+    fast = values(sequential.tempo(x, 1.25))[0]
+    assert len(fast) == 6400 and abs(pitch_of(fast) - 440) < 3
+    high = values(sequential.pitch(x, 700))[0]
+    assert abs(len(high) - 8000) <= 2 and abs(pitch_of(high[500:-500]) - 440 * 2 ** (7 / 12)) < 4
+
+
+def test_bend_from_one_pitch_to_another(spark):
+    y = values(sequential.bend(signal(spark, tone(440, 16_000)), [(6000, 500.0, 8000)]))[0]
+    assert len(y) == 16_000 and abs(pitch_of(y[500:5000]) - 440) < 4 and abs(pitch_of(y[10_000:]) - 440 * 2 ** (5 / 12)) < 8
+
+
+def test_silence_is_cut(spark):
+    quiet, loud = np.zeros(2000, np.int64), tone(500, 4000, level=0.5)
+    x = signal(spark, np.concatenate([quiet, loud, quiet, loud]))
+    start = values(sequential.silence(x, 1, (80, 0.05)))[0]
+    assert abs(len(start) - 10_000) < 160 and (start[-4000:] == loud).all()
+    both = values(sequential.silence(x, 1, (80, 0.05), 1, (400, 0.05)))[0]
+    assert abs(len(both) - 4000) < 320
+    left = values(sequential.silence(x, 1, (80, 0.05), 1, (400, 0.05), leave=True))[0]
+    assert len(left) == len(both) + 400
+    inner = values(sequential.silence(x, 0, (0, 0.0), -1, (400, 0.05)))[0]
+    assert len(inner) < 12_000 - 2000
+
+
+def test_vad_finds_the_voice(spark):
+    rng = np.random.default_rng(4)
+    noise = rng.normal(0, 0.001, 12_000)
+    voice = sum(np.sin(2 * np.pi * 150 * k * np.arange(8000) / 8000) / k for k in range(1, 12)) * 0.1
+    noise[4000:] += voice
+    y = values(sequential.vad(signal(spark, np.rint(noise * (1 << 31)).astype(np.int64)), before=0.1))[0]
+    assert 8000 <= len(y) <= 10_500
+    for quiet in (np.zeros(4000, np.int64), np.rint(rng.normal(0, 0.001, 12_000) * (1 << 31)).astype(np.int64)):
+        assert sequential.vad(signal(spark, quiet)).df.count() == 0
+    assert [sequential.rise(m, 7.0, 2, 8) for m in ([8, 8, 1, 8, 0, 0, 9], [8, 3, 3, 3, 8], [8, 3, 0, 8, 8, 8, 8, 8])] == [4, 5, 2]
+
+
+def test_noise_is_reduced(spark):
+    from undula.operators import frames
+
+    rng = np.random.default_rng(5)
+    noise = rng.normal(0, 0.01, 16_000)
+    x = signal(spark, np.rint(np.concatenate([noise[:8000], noise[8000:] + tone(700, 8000) / 2**31]) * 2**31).astype(np.int64))
+    profile = frames.noise_profile(Signal(x.df.where("n < 8000"), 8000.0), 512)
+    y = values(frames.noise_reduce(x, profile, 0.3, 512))[0] / 2**31
+    assert np.std(y[1000:7000]) < 0.5 * np.std(noise[1000:7000])
+    assert abs(level_at(y[10_000:15_000], 700, 8000) - level_at(tone(700, 5000) / 2**31, 700, 8000)) < 0.5
+
+
+@pytest.mark.parametrize("kind, least", [("ima", 25), ("vox", 20), ("cvsd", 4), ("dvms", 4)])
+def test_adaptive_formats_keep_a_tone(spark, kind, least):
+    x = signal(spark, (tone(200, 4000) >> 16) << 16)
+    y = values(files.decode_files(files.encode_streams(x, kind), kind, 8000.0, 1))[0][:4000] / 2**31
+    a = tone(200, 4000) / 2**31
+    late = max(range(40), key=lambda k: y[600 + k : 3600 + k] @ a[600:3600])
+    part, whole = y[600 + late : 3600 + late], a[600:3600]
+    part = part * (part @ whole / (part @ part))
+    assert 10 * np.log10((whole**2).sum() / ((whole - part) ** 2).sum()) > least
+
+
+def test_one_channel_of_many_blocks(spark):
+    """A long channel, cut into blocks, against the loop over all of it."""
+    v = np.random.default_rng(9).integers(-(1 << 24), 1 << 24, 3000)
+    x = signal(spark, np.stack([v, -v]))
+    for b, a in (([0.2, 0.1, 0.05], [1.0, -1.1, 0.4]), ([1.0], [1.0, -0.9]), ([0.5, 0.5], [1.0])):
+        got = scan.recursive_by_channel(x.df.selectExpr("stream_id", "channel", "n", "double(s) v", "s"), b, a, block=64, keep="s").orderBy("channel", "n").toPandas()
+        want = scan.recurse(b, a, v.astype(float))
+        assert np.allclose(got["y"], np.concatenate([want, -want]), rtol=1e-9, atol=1e-6) and (got["s"] == np.concatenate([v, -v])).all()

@@ -95,14 +95,27 @@ def encoding_guess(x: Signal) -> DataFrame:
 
 
 def normalise(x: Signal, db: float = 0.0, balance: str = "") -> Signal:
-    """To a peak level. balance: '' all channels by one gain, 'e' each channel to the largest peak, 'B' to the largest power."""
+    """To a peak level. balance: '' all channels by one gain, 'e' each channel to the largest peak, 'B' to the largest power, 'b' too,
+    but all lower by as much as the channel that would clip most."""
     v = F.col("s").cast("double")
     if not balance:
         g = x.df.groupBy("stream_id").agg(F.greatest(F.max("s"), F.lit(1)).alias("hi"), F.least(F.min("s"), F.lit(-1)).alias("lo"))
         factor = F.least(F.lit(float(MAX)) / F.col("hi"), F.lit(float(MIN)) / F.col("lo")) * linear(db)
         df = x.df.join(g.select("stream_id", factor.alias("_g")), "stream_id")
     else:
-        own = x.df.groupBy(*BY).agg((F.max(F.abs(v)) if balance == "e" else F.sqrt(F.avg(v * v))).alias("level"))
+        own = x.df.groupBy(*BY).agg((F.max(F.abs(v)) if balance == "e" else F.sqrt(F.avg(v * v))).alias("level"), F.max("s").alias("hi"), F.min("s").alias("lo"))
         top = own.groupBy("stream_id").agg(F.max("level").alias("top"))
-        df = x.df.join(own.join(top, "stream_id").select(*BY, F.when(F.col("level") > 0, F.col("top") / F.col("level")).otherwise(1.0).alias("_g")), BY).withColumn("_g", F.col("_g") * linear(db))
+        own = own.join(top, "stream_id").select(*BY, F.when(F.col("level") > 0, F.col("top") / F.col("level")).otherwise(1.0).alias("_g"), "hi", "lo")
+        if balance == "b":
+            room = F.least(F.lit(float(MAX)) / F.greatest(F.col("hi"), F.lit(1)), F.lit(float(MIN)) / F.least(F.col("lo"), F.lit(-1))) / F.col("_g")
+            own = own.join(own.groupBy("stream_id").agg(F.least(F.lit(1.0), F.min(room)).alias("_r")), "stream_id").withColumn("_g", F.col("_g") * F.col("_r"))
+        df = x.df.join(own.select(*BY, "_g"), BY).withColumn("_g", F.col("_g") * linear(db))
     return x.with_df(df.withColumn("s", rounded(F.col("s") * F.col("_g"))), precision=32)
+
+
+def reclaim(x: Signal, db: float = 0.0) -> Signal:
+    """Room made before is given back, as far as nothing clips, and the level changed by db."""
+    g = x.df.groupBy("stream_id").agg(F.greatest(F.max("s"), F.lit(1)).alias("hi"), F.least(F.min("s"), F.lit(-1)).alias("lo"))
+    most = F.least(F.lit(float(MAX)) / F.col("hi"), F.lit(float(MIN)) / F.col("lo"))
+    df = x.df.join(g.select("stream_id", (F.least(F.lit(1 / x.headroom), most) * linear(db)).alias("_g")), "stream_id")
+    return x.with_df(df.withColumn("s", rounded(F.col("s") * F.col("_g"))), precision=32, headroom=1.0)

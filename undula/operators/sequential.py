@@ -348,10 +348,10 @@ def running_rms(v: np.ndarray, size: int) -> np.ndarray:
     return np.sqrt(np.maximum(0, c[:, n] - c[:, np.maximum(0, n - size)]) / size)
 
 
-def silence(x: Signal, above_periods: int, above: tuple[int, float] = (0, 0.0), below_periods: int = 0, below: tuple[int, float] = (0, 0.0)) -> Signal:
+def silence(x: Signal, above_periods: int, above: tuple[int, float] = (0, 0.0), below_periods: int = 0, below: tuple[int, float] = (0, 0.0), leave: bool = False) -> Signal:
     """Drops silence at the start until `above_periods` times sound lasts; stops (or, with negative below_periods, restarts) where
     silence lasts. above and below: (samples, level as a share of full scale). Level: running RMS over 20 ms; sound is any
-    channel over it."""
+    channel over it. leave: the first below[0] samples of a silence that is cut stay."""
     size = max(1, int(x.rate / 50))
 
     def kernel(v: np.ndarray) -> np.ndarray:
@@ -392,6 +392,7 @@ def silence(x: Signal, above_periods: int, above: tuple[int, float] = (0, 0.0),
                     periods += 1
                     if periods >= abs(below_periods):
                         keep[at - run : at] = False
+                        keep[at - run : at - run + (below[0] if leave else 0)] = True
                         break
                     run = 0
             else:
@@ -404,33 +405,66 @@ def silence(x: Signal, above_periods: int, above: tuple[int, float] = (0, 0.0),
     return by_stream(x, kernel)
 
 
-def vad(x: Signal, trigger: float = 7.0, measures_per_second: float = 20.0, look_back: float = 1.0, trigger_seconds: float = 0.25) -> Signal:
-    """Drops what comes before speech: cepstral power over a noise floor, averaged, reaches the trigger; then goes back."""
-    step = max(1, int(x.rate / measures_per_second))
-    size = 1 << int(np.ceil(np.log2(2 * step)))
+def vad(
+    x: Signal, trigger: float = 7.0, trigger_seconds: float = 0.25, search: float = 1.0, gap: float = 0.25, before: float = 0.0, boot: float = 0.35, noise_up: float = 0.1, noise_down: float = 0.01,
+    reduction: float = 1.35, frequency: float = 20.0, duration: float | None = None, smoothing: float = 0.4, high: float = 50.0, low: float = 6000.0, lifter_high: float = 150.0, lifter_low: float = 2000.0,
+) -> Signal:
+    """Drops what comes before speech.
+
+    Power in the cepstrum (lifter frequencies) of magnitudes from `high` to `low` Hz over a noise floor, in nepers over -21, is
+    measured `frequency` times a second over `duration` (two periods if not given). A running mean that reaches the trigger ends
+    the search: the output begins where the measures of the last `search` seconds rose, over gaps of up to `gap`, and `before`
+    seconds earlier. Without a trigger nothing is left.
+    """
+    window = int(x.rate * (duration or 2 / frequency) + 0.5)
+    size = max(16, 1 << max(0, window - 1).bit_length())
+    period, kept, bridged = int(x.rate / frequency + 0.5), math.ceil(search * frequency), int(gap * frequency + 0.5)
+    first, last = max(1, int(high / x.rate * size + 0.5)), min(size // 2, int(low / x.rate * size + 0.5))
+    c0, c1 = math.ceil(x.rate * 0.5 / lifter_low), min(size // 4, math.floor(x.rate * 0.5 / lifter_high))
+    if c1 <= c0 or last <= first:
+        raise ValueError("the filters leave no frequency to measure at this rate")
+    fall = lambda seconds: math.exp(-1 / (seconds * frequency))
+    up, down, slow, mean_share = fall(noise_up), fall(noise_down), fall(smoothing), fall(trigger_seconds)
+    boots = int(boot * frequency - 0.5) + 1
+    taper, lift = design.window("hann", window) * 2 / math.sqrt(window), design.window("hann", last - first) * 2 / math.sqrt(last - first)
 
     def kernel(v: np.ndarray) -> np.ndarray:
-        w = design.window("hann", size)
-        floor = [np.full(size // 2 + 1, 1e-12) for _ in v]
-        mean, share = np.zeros(len(v)), 1 - math.exp(-1 / (measures_per_second * trigger_seconds))
-        for k, at in enumerate(range(0, max(1, v.shape[1] - size + 1), step)):
-            for c, row in enumerate(v):
-                frame = np.zeros(size)
-                frame[: len(row[at : at + size])] = row[at : at + size]
-                p = np.abs(np.fft.rfft(frame * w)) ** 2 + 1e-12
-                rising = p > floor[c]
-                floor[c] = p if k == 0 else floor[c] + (p - floor[c]) * np.where(rising, 0.02, 0.3)
-                log = np.maximum(0, np.log(p / floor[c]) - 1.35)
-                cepstrum = np.abs(np.fft.irfft(log))[1 : size // 4]
-                measure = max(0.0, 21 + math.log10(max(1e-21, float((cepstrum**2).sum()) / size)) * 1.0)
-                mean[c] += (measure * (log.sum() > 0) - mean[c]) * share
-            if mean.max() >= trigger:
-                return v[:, max(0, at - int(look_back * x.rate)) :]
+        level, floor, mean = np.zeros((len(v), last - first)), np.zeros((len(v), last - first)), np.zeros(len(v))
+        history: list[np.ndarray] = []
+        for k, end in enumerate(range(window, v.shape[1] + 1, period)):
+            now = np.abs(np.fft.rfft(v[:, end - window : end] * taper, size))[:, first:last]
+            old = k / (1 + k) if k < boots else slow
+            level = level * old + now * (1 - old)
+            power = level**2
+            old = 0.0 if k < boots else np.where(power > floor, up, down)
+            floor = floor * old + power * (1 - old)
+            clear = np.zeros((len(v), size // 2))
+            clear[:, first:last] = np.sqrt(np.maximum(0, power - reduction * floor)) * lift
+            cepstrum = np.abs(np.fft.rfft(clear))[:, c0:c1] ** 2
+            with np.errstate(divide="ignore"):
+                measure = np.maximum(0, 21 + np.log(cepstrum.mean(1)))
+            history = [measure, *history[: kept - 1]]
+            mean = mean * mean_share + measure * (1 - mean_share)
+            if (mean >= trigger).any():
+                back = max(rise([h[c] for h in history], trigger, bridged, kept) for c in np.flatnonzero(mean >= trigger))
+                return v[:, max(0, end - window - back * period - int(before * x.rate + 0.5)) :]
         return v[:, :0]
 
     return by_stream(x, kernel)
 
 
+def rise(measures: list[float], trigger: float, bridged: int, kept: int) -> int:
+    """How many measures ago (latest first) speech began: back over those at the trigger, each at most `bridged` after the next
+    one, and on to the silence before the earliest of them."""
+    at = quiet = kept
+    for k, m in enumerate([*measures, *[0.0] * (kept - len(measures))]):
+        if m >= trigger and k <= at + bridged:
+            at = quiet = k
+        elif not m and at >= quiet:
+            quiet = k
+    return min(kept, quiet)
+
+
 # --- requantising ---
 
 #: Noise-shaping kernels by name: fixed values, published in the literature on psychoacoustically shaped dither.

@@ -7,9 +7,11 @@ that do nothing vanish. A trim that comes first is a range predicate on n that r
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import linear
 from ..operators import aggregates, frames, maps, resample, rows, scan, sequential, synth, windows
 from ..signal import Signal
 from . import parse
@@ -53,15 +55,22 @@ def _vol(x, a):
     return maps.vol(x, value, kind, float(rest[0]) if rest else None)
 
 
-@operator("gain", "norm")
+@operator("gain")
 def _gain(x, a):
+    """-n, -e, -B, -b: by peaks or powers of all the signal (-b: -B, but no channel above full scale); -l: limiter; -h: room of
+    the given level is made, and -r gives it back as far as nothing clips."""
     flags, rest = _flags(a, "nelBbrh")
+    if "r" in flags and flags & set("neBbh") or len(flags & set("eBb")) > 1 or "l" in flags and "n" in flags:
+        raise ValueError(f"gain: {' '.join(a)} contradicts itself")
     db = _f(rest, 0, 0.0)
     if flags & set("eBb"):
-        x = aggregates.normalise(x, 0.0, "e" if "e" in flags else "B")
+        x = aggregates.normalise(x, 0.0, "e" if "e" in flags else "b" if "b" in flags else "B")
     if "n" in flags:
         return aggregates.normalise(x, db)
-    return maps.gain(x, db, "l" in flags)
+    if "r" in flags:
+        return aggregates.reclaim(x, db)
+    y = maps.gain(x, db, "l" in flags)
+    return replace(y, headroom=x.headroom * linear(db)) if "h" in flags else y
 
 
 OPERATORS["norm"] = lambda x, a: aggregates.normalise(x, _f(a, 0, 0.0))
@@ -287,31 +296,46 @@ def _mcompand(x, a):
 
 @operator("silence")
 def _silence(x, a):
-    a = [v for v in a if v != "-l"]
+    leave, a = a[:1] == ["-l"], [v for v in a if v != "-l"]
     n = int(a[0])
     at = 3 if n else 1
     above = (parse.samples(a[1], x.rate), parse.share(a[2])) if n else (0, 0.0)
     below_n = int(a[at]) if len(a) > at else 0
     below = (parse.samples(a[at + 1], x.rate), parse.share(a[at + 2])) if below_n else (0, 0.0)
-    return sequential.silence(x, n, above, below_n, below)
+    return sequential.silence(x, n, above, below_n, below, leave)
+
+
+#: Options of vad and their parameters.
+VAD = {
+    "t": "trigger", "T": "trigger_seconds", "s": "search", "g": "gap", "p": "before", "b": "boot", "N": "noise_up", "n": "noise_down", "r": "reduction", "f": "frequency", "m": "duration", "M": "smoothing",
+    "h": "high", "l": "low", "H": "lifter_high", "L": "lifter_low",
+}
 
 
 @operator("vad")
 def _vad(x, a):
-    names = {"-t": "trigger", "-T": "trigger_seconds", "-m": "measures_per_second", "-s": "look_back"}
-    return sequential.vad(x, **{names[k]: float(v) for k, v in zip(a[::2], a[1::2]) if k in names})
+    options = {}
+    while a:
+        if a[0][:1] != "-" or a[0][1:] not in VAD or len(a) < 2:
+            raise ValueError(f"vad: {a[0]!r} isn't an option with a value")
+        options[VAD[a[0][1:]]] = parse.frequency(a[1]) if a[0][1:] in "hlHL" else float(a[1])
+        a = a[2:]
+    return sequential.vad(x, **options)
 
 
 @operator("noiseprof", "spectrogram")
 def _passes(x, a):
-    return x
+    raise ValueError("a profile or spectrogram is a table of its own: call operators.frames.noise_profile() or spectrogram()")
 
 
 @operator("noisered")
 def _noisered(x, a):
-    """The profile is the signal's own first second when no other is given by the library function."""
-    start = Signal(x.df.where(f"n < {int(x.rate)}"), x.rate, x.channels)
-    return frames.noise_reduce(x, frames.noise_profile(start), _f(a, 0, 0.5))
+    """A table of noise_profile(), as a Parquet path, and an amount."""
+    if not a or not a[0].strip(".0123456789"):
+        raise ValueError("noisered needs the path of a profile, a table of operators.frames.noise_profile()")
+    profile = x.df.sparkSession.read.parquet(a[0])
+    size = 2 * profile.agg(F.max("bin")).first()[0]
+    return frames.noise_reduce(x, profile.groupBy("channel", "bin").agg(F.avg("log_power").alias("log_power")), _f(a, 1, 0.5), size)
 
 
 @operator("synth")

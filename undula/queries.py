@@ -300,7 +300,16 @@ signal_query("pitch", lambda x: sequential.pitch(x, 200, segment_ms=200, search_
 signal_query("splice", lambda x: sequential.splice(x, [(20, 3, 4)]))
 signal_query("bend", lambda x: sequential.bend(x, [(5, 300.0, 30)], 2, 8))
 signal_query("silence", lambda x: sequential.silence(x, 1, (3, 0.5), 1, (4, 0.2)))
-signal_query("vad", lambda x: sequential.vad(x, 2.0, 10.0, 0.1))
+
+
+@query("vad")
+def _vad(spark: SparkSession, d: str) -> DataFrame:
+    """Over all events as one stream."""
+    df = spark.read.parquet(f"{d}/events.parquet")
+    x = from_table(df, F.lit("all"), [F.col("ts"), F.col("event_id")], sample(), 2000.0, 1, 16)
+    return plain(sequential.vad(x, 2.0, lifter_high=100.0, lifter_low=1000.0))
+
+
 signal_query("dither", lambda x: sequential.dither(maps.gain(x, -3.0), 8))
 signal_query("dither_shaped", lambda x: sequential.dither(maps.gain(x, -3.0), 8, "improved-e-weighted"))
 signal_query("noisered", lambda x: frames.noise_reduce(x, frames.noise_profile(Signal(x.df.where("n < 40"), x.rate), 32).groupBy("channel", "bin").agg(F.avg("log_power").alias("log_power")), 0.3, 32))

@@ -21,10 +21,12 @@ class Signal:
     channels: int = 1
     precision: int = 32
     comments: list[str] = field(default_factory=list)
+    #: The factor by which room for later operators was made, to be taken back.
+    headroom: float = 1.0
 
     def __reduce__(self):
         """What a kernel on an executor sees: all but the rows."""
-        return Signal, (None, self.rate, self.channels, self.precision, self.comments)
+        return Signal, (None, self.rate, self.channels, self.precision, self.comments, self.headroom)
 
     def with_df(self, df: DataFrame, **changes) -> Signal:
         return replace(self, df=df.select(*KEYS, "s"), **changes)
