@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from undula.llm import chat, decontaminate, fingerprint, language, licences, mixing, ngram_join, queries, resampling, tokens, toxicity
@@ -653,13 +654,55 @@ def test_licence_model_and_sql_agree(spark):
     assert sum(r["c"]["family"] == "unknown" for r in rows if r["t"] in licences.ORDINARY) >= 0.9 * len(licences.ORDINARY)
 
 
+#: Lines that are in no list of the module, by family.
+UNSEEN = {
+    "MIT": ["Released under the MIT License.", "Distributed under the MIT/X11 license", "License: MIT", "It is MIT licensed software"],
+    "Apache": ["Licensed under the Apache License, Version 2.0.", "Available under the terms of the Apache License", "License: Apache 2.0"],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL v3", "You can redistribute it under the GPL"],
+    "LGPL": ["You may redistribute this under the terms of the LGPL", "GNU Lesser General Public License v3.0"],
+    "BSD": ["BSD-licensed", "This file is under a 3-clause BSD license"],
+    "MPL": ["Licensed under the Mozilla Public License 2.0", "Source is under MPL 2.0"],
+    "EPL": ["Eclipse Public License - v 2.0", "made available under the Eclipse Public License v1.0"],
+    "EUPL": ["European Union Public Licence 1.2", "EUPL v1.2"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 3.0 Unported"],
+    "CC-BY": ["All photos CC BY 4.0", "CC BY-SA 3.0", "Creative Commons Attribution 3.0 Unported License"],
+    "CC0": ["Public domain (CC0 1.0)"],
+    "ISC": ["ISC licensed", "License: ISC"],
+    "Boost": ["under the Boost Software License"],
+    "Zlib": ["zlib licensed"],
+    "Proprietary": ["All rights reserved.", "(c) 2021 Foo Inc. All rights reserved"],
+    "unknown": ["the public rights again was lost", "Permission is granted to park here", "The driver's license of the public library was renewed", "licensed under the Microsoft Public License", "The licence of the pub ends in May", "A permission slip for the school trip", "Her copyright lawyer moved to Boston", "The general spoke to the public about the version of events", "All of the software team reserved rooms", "They sell free range eggs under no conditions"],
+}
+
+
+def test_licences_of_unseen_lines():
+    model = licences.LicenceModel()
+    known = {t for own in (licences.NOTICES, licences.CLAUSES, licences.NAMES) for texts in own.values() for t in texts} | set(licences.ORDINARY)
+    right = {False: [], True: []}
+    for want, texts in UNSEEN.items():
+        for t in texts:
+            assert t not in known
+            p = model.probabilities(t)
+            got = model.families[p.argmax()] if p.max() >= model.least else "unknown"
+            right[want == "unknown"].append(got == want)
+    assert np.mean(right[False]) >= 0.85 and np.mean(right[True]) >= 0.9
+
+
+def test_licence_of_a_whole_text(spark):
+    body = "\n\n".join("\n".join(textwrap.wrap(t, 70)) for t in licences.CLAUSES["MIT"])
+    docs = table(spark, [(1, "Copyright (c) 2001 Someone\n\n" + body, "", ""), (2, "x " * 400_000 + "\n" + licences.CLAUSES["BSD"][0], "", ""), (3, body, "", ""), (3, body, "", "")])
+    got = licences.scan_licences(docs).select("doc_id", licences.family(F.col("licences")).alias("family"), "licences").collect()
+    assert sorted((r["doc_id"], r["family"]) for r in got) == [(1, "MIT"), (2, "BSD"), (3, "MIT"), (3, "MIT")]
+    assert got[2]["licences"] == got[3]["licences"]
+
+
 def test_licence_gate_skips_no_confirmable_line(spark):
     model = licences.LicenceModel()
     lines = {"BSD 3-Clause": "BSD", "Apache 2.0, January 2004": "Apache", "under ISC terms": "none", "tea is available under the bridge": "none"}
     rows = [(k, prose(20) + "\n" + t + "\n" + prose(20), "", "") for k, t in enumerate(lines)]
     got = {r["doc_id"]: r["family"] for r in licences.scan_licences(table(spark, rows), model).select("doc_id", licences.family(F.col("licences")).alias("family")).collect()}
     assert got == dict(enumerate(lines.values()))
-    could, rng = re.compile(licences.confirmable(model)), random.Random(14)
+    could, rng = regex.compile(licences.pattern(licences.confirmable(model))), random.Random(14)
     for _, template in model.templates:  # words left out at random, in any number
         words, whole = re.findall(licences.WORDS, template.lower()), licences.grams(template)
         for _ in range(300):
