@@ -148,7 +148,7 @@ def _columns(entries: DataFrame) -> DataFrame:
         yield 2, token, doc, size, np.zeros(m, np.int64), place
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # the rows of the column that is not known to be whole
         out, rows = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -158,10 +158,12 @@ def _columns(entries: DataFrame) -> DataFrame:
             return _arrow("illili", kind=kind.astype(np.int32), token=token, a=a, na=na.astype(np.int32), b=b, nb=nb.astype(np.int32))
 
         def add(part: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal rest, out, rows
-            if rest is not None:
-                part = [np.concatenate(x) for x in zip(rest, part)]
-            token, salt, salts, doc, size = part
+            nonlocal held, out, rows
+            token, salt = part[0], part[1]
+            if held and not last and token[0] == token[-1] == held[0][0][-1] and salt[0] == salt[-1] == held[0][1][-1]:
+                held.append(part)  # the column goes on through the whole batch
+                return
+            token, salt, salts, doc, size = (np.concatenate(x) for x in zip(*held, part)) if held else part
             edge = np.flatnonzero((token[1:] != token[:-1]) | (salt[1:] != salt[:-1])) + 1
             starts = np.concatenate([[0], edge, [len(token)]])
             done = len(starts) - 1 if last else len(starts) - 2
@@ -176,14 +178,13 @@ def _columns(entries: DataFrame) -> DataFrame:
                         if rows > 50_000:
                             yield flush()
                             out, rows = [], 0
-            rest = None if last else [x[starts[done] :] for x in part]
+            held = [] if last else [[x[starts[done] :] for x in (token, salt, salts, doc, size)]]
 
         for b in batches:
             if b.num_rows:
                 yield from add([b.column(k).to_numpy(zero_copy_only=False) for k in ("token", "salt", "salts", "doc", "n")], False)
-        if rest is not None and len(rest[0]):
-            empty = [x[:0] for x in rest]
-            yield from add(empty, True)
+        if held:
+            yield from add([x[:0] for x in held[0]], True)
         if out:
             yield flush()
 
@@ -275,22 +276,27 @@ def components(links: DataFrame) -> DataFrame:
 def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, na, b, nb) of rows of heavy columns that are not in one component yet and whose prefixes allow a link.
 
-    rows: (token, doc). The rows of a column that holds several components are cut into blocks; every block meets every other
-    and itself, and a task multiplies two blocks' prefixes.
+    rows: (token, doc, n). Two rows can only link if their sizes are of one size class or of neighbours, as a class spans the
+    ratio of sizes at which a link is possible. The rows of two neighbouring classes of a column that hold several components are
+    cut into blocks; every block meets every other and itself, and a task multiplies two blocks' prefixes.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     of = rows.join(comps, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = of.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    left = of.join(mixed, "token")
+    kind = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
+    of = of.withColumn("own", kind).withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))).drop("n")
+    group = ["token", "size"]
+    counted = of.groupBy(*group).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if(F.col("own") == F.col("size")).alias("lower"), F.count(F.lit(1)).alias("m"))
+    mixed = counted.where("lo != hi AND lower > 0").select(*group, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    left = of.join(mixed, group)
     mine = left.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    met = mine.select("token", "doc", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = met.join(prefixes, "doc").select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc", "component", "n", "prefix")
+    met = mine.select(*group, "own", "doc", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = met.join(prefixes, "doc").select(*group, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc", "component", "n", (F.col("own") > F.col("size")).alias("upper"), "prefix")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cell(rows: list[tuple]) -> pa.RecordBatch | None:
-            doc, comp, size, side = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6, 3))
-            token = np.concatenate([r[7] for r in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(r[7]) for r in rows])
+            doc, comp, size, side, upper = (np.array([r[k] for r in rows], np.int64) for k in (5, 6, 7, 4, 8))
+            token = np.concatenate([r[9] for r in rows])
+            owner = np.repeat(np.arange(len(rows)), [len(r[9]) for r in rows])
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -299,26 +305,26 @@ def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame, percen
                 if b - a > 1:
                     overlap[np.ix_(owner[a:b], owner[a:b])] += 1
             i, j = np.triu_indices(len(rows), 1)
-            rest = np.array([r[6] - len(r[7]) for r in rows])
+            rest = np.array([r[7] - len(r[9]) for r in rows])
             need = -(-percent * (size[i] + size[j]) // (100 + percent))
-            ok = (comp[i] != comp[j]) & (doc[i] != doc[j]) & ((rows[0][1] == rows[0][2]) | (side[i] != side[j])) & (overlap[i, j] > 0) & (overlap[i, j] + np.maximum(rest[i], rest[j]) >= need)
+            ok = (comp[i] != comp[j]) & (doc[i] != doc[j]) & ((rows[0][2] == rows[0][3]) | (side[i] != side[j])) & ~(upper[i] & upper[j]).astype(bool) & (overlap[i, j] > 0) & (overlap[i, j] + np.maximum(rest[i], rest[j]) >= need)
             i, j = i[ok], j[ok]
             return _arrow("lili", a=doc[i], na=size[i].astype(np.int32), b=doc[j], nb=size[j].astype(np.int32)) if len(i) else None
 
         now, held = None, []
         for b in batches:
-            columns = [b.column(k).to_pylist() for k in ("token", "lo", "hi", "mine", "doc", "component", "n")]
+            columns = [b.column(k).to_pylist() for k in ("token", "size", "lo", "hi", "mine", "doc", "component", "n", "upper")]
             prefix = b.column("prefix")
             for k, r in enumerate(zip(*columns)):
-                if r[:3] != now:
+                if r[:4] != now:
                     if held and (out := cell(held)):
                         yield out
-                    now, held = r[:3], []
+                    now, held = r[:4], []
                 held.append((*r, prefix[k].values.to_numpy()))
         if held and (out := cell(held)):
             yield out
 
-    return cells.repartition(n, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "doc").mapInArrow(product, "a bigint, na int, b bigint, nb int")
+    return cells.repartition(n, "token", "size", "lo", "hi").sortWithinPartitions("token", "size", "lo", "hi", "doc").mapInArrow(product, "a bigint, na int, b bigint, nb int")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -355,7 +361,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     links = written(verified(pairs, docs, words, percent), "links")
     comps = components(links)
 
-    left = _open_columns(rows.select("token", "doc").distinct(), comps, prefixes.select("doc", "n", "prefix"), percent)
+    left = _open_columns(rows.select("token", "doc", "n").distinct(), comps, prefixes.select("doc", "n", "prefix"), percent)
     more = written(_ordered(left.where(_could(percent))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         found = written(verified(more, docs, words, percent), "links")

@@ -80,5 +80,17 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
-#: The other queries have no SQL: they train models, or need a digest or a comparison that DuckDB lacks or is too slow for.
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = r"replace(replace(replace({}, '\', '\\'), '<', '\<'), '>', '\>')"
+_TRAP = r"'\### Assistant: </turn> ok'"
+_ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+#: The other queries have no SQL: they train models, or need a digest, an encoding or a comparison that DuckDB lacks.
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat": f"""WITH t AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS x FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', {_TRAP} UNION ALL SELECT -7, 1, 'assistant', {_TRAP}))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' {_ORDER})) AS turns_sha256, CAST(sum(CASE WHEN r = 'assistant' THEN length(x) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(x, '' {_ORDER}) FILTER (r = 'assistant'), '')) AS loss_sha256,
+CAST(sum(length('<turn ' || {_ESCAPED.format('r')} || '>' || chr(10) || {_ESCAPED.format('x')} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op8_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id) SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) USING (doc_id)""",
+}
