@@ -739,20 +739,3 @@ def test_wrapped_licences(spark):
     want[rows[-1][0]] = ("unknown", 0, "", "unknown")
     got = {r["doc_id"]: r["family"] for r in licences.scan_licences(table(spark, rows)).select("doc_id", licences.family(F.col("licences")).alias("family")).collect()}
     assert [(w, got[k]) for k, w in want.items() if got[k] != w[0]] == []
-
-
-# --- pipeline ---
-
-
-@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables")
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    got = out.collect()
-    assert set(docs.columns) < set(out.columns)
-    ids = [r["doc_id"] for r in got]
-    assert len(set(ids)) == len(ids) and 0 < len(ids) <= docs.count() and all(r["rate"] > 0 for r in got)
-    left = brute([(r["doc_id"], r["text"]) for r in got])
-    assert all(i == c for i, (n, c) in left.items() if n)

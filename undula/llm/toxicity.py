@@ -3,7 +3,8 @@
 Two pairs of zstandard dictionaries, one of ordinary and one of toxic text each, are made from labelled rows.
 
 The first pair is trained by zstandard on windows of SPAN words. A text's overlapping windows are compressed with both; the
-bytes saved under the toxic dictionary, on average and in the best three windows, tell phrases and words in combination.
+bytes saved under the toxic dictionary, on average and by the number of windows over a threshold beyond what is usual in as many
+windows of ordinary text, tell phrases and words in combination, however long the text is.
 
 The second pair is for single words. Its toxic dictionary holds word beginnings that occur in far more contexts (distinct
 neighbouring words) in toxic than in ordinary training rows; counting contexts and not rows keeps copies of one document from
@@ -44,6 +45,8 @@ CACHE_WORDS = 100_000
 SPAN = 16
 #: Bytes of a trained dictionary, at most.
 TRAINED_BYTES = 110_000
+#: Share of ordinary windows that may reach the threshold of saved bytes.
+USUAL = 0.005
 #: Weight of the toxic class in the calibration: near its share of texts, so that clean texts are left alone.
 TOXIC_WEIGHT = 0.2
 
@@ -55,12 +58,17 @@ class ToxicityModel:
     threshold: int = 2
     weights: tuple[float, ...] = (-4.0, 2.0, 20.0, 0.0, 0.0)
     trained: tuple[bytes, bytes] | None = None
+    #: Saved bytes from which on a window counts, and the share of ordinary windows that do.
+    cut: float = 8.0
+    usual: float = 0.005
+    #: The share of words of ordinary text, not trained on, that are hits.
+    usual_hits: float = 0.0
     _ready: list = field(default_factory=list, repr=False, compare=False)
     _seen: dict = field(default_factory=dict, repr=False, compare=False)
     _pair: list = field(default_factory=list, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "threshold": self.threshold, "weights": self.weights, "trained": self.trained, "_ready": [], "_seen": {}, "_pair": []}
+        return self.__dict__ | {"_ready": [], "_seen": {}, "_pair": []}
 
     def gain(self, window: str) -> int:
         """Bytes by which a window is shorter under the toxic dictionary."""
@@ -77,18 +85,17 @@ class ToxicityModel:
     def gains(self, text: str | None) -> list[int]:
         return [self.gain(w) for w in windows(text)]
 
-    def saved(self, text: str | None) -> tuple[float, float]:
-        """Bytes by which windows of several words are shorter under the trained toxic dictionary: mean, and mean of the best three."""
+    def saved_by_window(self, text: str | None) -> np.ndarray:
+        """Bytes by which each window of several words is shorter under the trained toxic dictionary."""
         if self.trained is None:
-            return 0.0, 0.0
+            return np.empty(0)
         if not self._pair:
             self._pair.extend(_trained_compressor(x) for x in self.trained)
         ordinary, toxic = self._pair
-        found = sorted((len(ordinary(w)) - len(toxic(w)) for w in spans(text)), reverse=True)
-        return (sum(found) / len(found), sum(found[:3]) / len(found[:3])) if found else (0.0, 0.0)
+        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in spans(text)), float)
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        return (*_features(self.gains(text), self.threshold), *self.saved(text))
+        return (*_features(self.gains(text), self.threshold, self.usual_hits), *_beyond(self.saved_by_window(text), self.cut, self.usual))
 
     def score(self, text: str | None) -> float:
         return _sigmoid(_dot(self.weights, self.features(text)))
@@ -136,11 +143,21 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=shared, compression_params=how).compress
 
 
-def _features(gains: list[int], threshold: int) -> tuple[float, float]:
-    hits = sum(g >= threshold for g in gains)
+def _features(gains: list[int], threshold: int, usual: float) -> tuple[float, float]:
+    """Hits beyond those usual in as long a text, as a number and by the text's length."""
+    expected = usual * len(gains)
+    hits = max(0.0, sum(g >= threshold for g in gains) - expected) / math.sqrt(1 + expected)
     return math.log1p(hits), math.sqrt(hits / (len(gains) + 5))
 
 
+def _beyond(saved: np.ndarray, cut: float, usual: float) -> tuple[float, float]:
+    """Mean of the saved bytes, and windows from the cut on beyond the usual number, in standard deviations from 0 to 8."""
+    if not len(saved):
+        return 0.0, 0.0
+    expected = usual * len(saved)
+    return float(saved.mean()), float(np.clip(((saved >= cut).sum() - expected) / math.sqrt(expected + 0.5), 0, 8))
+
+
 def _dot(w, x) -> float:
     return w[0] + sum(a * b for a, b in zip(w[1:], x))
 
@@ -162,9 +179,8 @@ def _beginnings(texts: list[str]) -> tuple[Counter, int]:
     return counts, max(1, len(contexts))
 
 
-def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int | None = None, least_ratio: float = 40.0, least_g2: float = 30.0) -> ToxicityModel:
-    """Dictionaries and calibration from (text, label) pairs. Without toxic rows the score is a low constant."""
-    ordinary, toxic = ([t for t, y in rows if t and y == v] for v in (0, 1))
+def _word_lists(toxic: list[str], ordinary: list[str], ordinary_bytes: int, terms: int | None, least_ratio: float, least_g2: float) -> tuple[bytes, bytes]:
+    """Contents of the word dictionaries, ordinary and toxic."""
     (a, na), (b, nb) = _beginnings(toxic), _beginnings(ordinary)
     found = {}
     for term, x in a.items():
@@ -183,30 +199,49 @@ def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int | N
     usual = sorted((w for w in b if w.endswith(" ") and not w.startswith(tuple(kept) or "\0")), key=lambda w: (w[:4] in alike, b[w], w))
     near = [w for w in usual if w[:4] in alike][-ordinary_bytes // 20 :]
     base = [w for w in usual if w[:4] not in alike][-ordinary_bytes // 16 :] + near
-    model = ToxicityModel(marked(base)[-ordinary_bytes:] or b" ", marked(reversed(kept)) or b" ")
+    return marked(base)[-ordinary_bytes:] or b" ", marked(reversed(kept)) or b" "
+
+
+def _half(text: str) -> int:
+    """Copies of a text share a half."""
+    return zlib.crc32(text.encode("utf-8", "replace")) % 2
+
+
+def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int | None = None, least_ratio: float = 40.0, least_g2: float = 30.0) -> ToxicityModel:
+    """Dictionaries and calibration from (text, label) pairs. Without toxic rows the score is a low constant."""
+    ordinary, toxic = ([t for t, y in rows if t and y == v] for v in (0, 1))
+    options = ordinary_bytes, terms, least_ratio, least_g2
+    model = ToxicityModel(*_word_lists(toxic, ordinary, *options))
     if not toxic or not ordinary:
         model.weights = (-4.0 if not toxic else 4.0, 0.0, 0.0, 0.0, 0.0)
         return model
     labels = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     gains = [model.gains(t) for t in toxic + ordinary]
-    saved = _saved_across(toxic, ordinary)
+    halves = [ToxicityModel(*_word_lists(*([t for t in texts if _half(t) != k] for texts in (toxic, ordinary)), *options)) for k in (0, 1)]
+    unseen = np.array([g for t in ordinary for g in halves[_half(t)].gains(t)])
+    across = _saved_across(toxic, ordinary)
+    clean = np.sort(np.concatenate(across[len(toxic) :]))
+    if len(clean):
+        model.cut = float(clean[min(len(clean) - 1, int(len(clean) * (1 - USUAL)))]) + 1
+        model.usual = float((clean >= model.cut).mean())
+    saved = [_beyond(v, model.cut, model.usual) for v in across]
     best = None
     for threshold in (1, 2, 3, 4):
-        x = np.array([(*_features(g, threshold), *v) for g, v in zip(gains, saved)])
+        usual = float((unseen >= threshold).mean()) if len(unseen) else 0.0
+        x = np.array([(*_features(g, threshold, usual), *v) for g, v in zip(gains, saved)])
         w, loss = _logistic(x, labels)
         if best is None or loss < best[0] - 1e-9:
-            best = (loss, threshold, w)
-    model.threshold, model.weights = best[1], best[2]
+            best = (loss, threshold, w, usual)
+    _, model.threshold, model.weights, model.usual_hits = best
     model._seen.clear()
     model.trained = _trained(ordinary, toxic)
     return model
 
 
-def _saved_across(toxic: list[str], ordinary: list[str]) -> list[tuple[float, float]]:
-    """saved() of toxic and then ordinary texts, each under dictionaries of the other half; copies of a text share a half."""
-    half = lambda t: zlib.crc32(t.encode("utf-8", "replace")) % 2
-    models = [ToxicityModel(b" ", b" ", trained=_trained(*([t for t in texts if half(t) != k] for texts in (ordinary, toxic)))) for k in (0, 1)]
-    return [models[half(t)].saved(t) for t in toxic + ordinary]
+def _saved_across(toxic: list[str], ordinary: list[str]) -> list[np.ndarray]:
+    """saved_by_window() of toxic and then ordinary texts, each under dictionaries of the other half."""
+    models = [ToxicityModel(b" ", b" ", trained=_trained(*([t for t in texts if _half(t) != k] for texts in (ordinary, toxic)))) for k in (0, 1)]
+    return [models[_half(t)].saved_by_window(t) for t in toxic + ordinary]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[tuple, float]:
