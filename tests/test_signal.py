@@ -88,7 +88,7 @@ def test_resampled_tone(spark):
         assert np.abs(y - np.sin(2 * np.pi * 440 * m / 12000) * (1 << 30))[400:-400].max() < (1 << 30) * 1e-3
 
 
-@pytest.mark.parametrize("text", ["vol 3dB", "norm -1", "dcshift 0.1", "remix 1,2", "channels 1", "fade t 0.001", "lowpass 500", "bass 3", "treble -3", "equalizer 800 1q 6", "band 500", "bandpass -c 500 100", "allpass 500 100", "sinc -t 400 1k", "hilbert -n 31", "compand 0.01,0.05 -60,-40,-20", "flanger", "phaser 0.6 0.6 3 0.4 2 -t", "reverb 30", "tempo 1.2 10 2 2", "pitch 100", "bend 0.005,200,0.01", "splice 0.02,0.002,0.001", "silence 1 0.001 1%", "vad", "dither -p 8", "dither -s -p 8", "overdrive 10", "echo 0.8 0.8 5 0.4", "echos 0.8 0.8 5 0.4", "chorus 0.7 0.7 25 0.4 2 2 -s", "stretch 1.2 5", "synth sine mix 440", "synth pluck 440", "tremolo 5 40", "repeat 1", "delay 0 0.001", "contrast", "speed 1.5", "downsample 2", "oops", "divide", "swap", "mcompand '0.01,0.1 -40,-30' 800 '0.01,0.1 -40,-35'", "trim 0 =0.02", "firfit 20 0 4000 -3", "silence -l 1 0.001 1% 1 0.002 1%", "vad -t 3 -f 50 -m 0.01 -s 0.2", "gain -b", "gain -h", "allpass -1 500", "allpass -2 500"])
+@pytest.mark.parametrize("text", ["vol 3dB", "norm -1", "dcshift 0.1", "remix 1,2", "channels 1", "fade t 0.001", "lowpass 500", "bass 3", "treble -3", "equalizer 800 1q 6", "band 500", "bandpass -c 500 100", "allpass 500 100", "sinc -t 400 1k", "hilbert -n 31", "compand 0.01,0.05 -60,-40,-20", "flanger", "phaser 0.6 0.6 3 0.4 2 -t", "reverb 30", "tempo 1.2 10 2 2", "pitch 100", "bend 0.005,200,0.01", "splice 0.02,0.002,0.001", "silence 1 0.001 1%", "vad", "dither -p 8", "dither -s -p 8", "overdrive 10", "echo 0.8 0.8 5 0.4", "echos 0.8 0.8 5 0.4", "chorus 0.7 0.7 25 0.4 2 2 -s", "stretch 1.2 5", "synth sine mix 440", "synth pluck 440", "tremolo 5 40", "repeat 1", "delay 0 0.001", "contrast", "speed 1.5", "downsample 2", "oops", "divide", "swap", "mcompand '0.01,0.1 -40,-30' 800 '0.01,0.1 -40,-35'", "trim 0 =0.02", "firfit 20 0 4000 -3", "silence -l 1 0.001 1% 1 0.002 1%", "vad -t 3 -f 50 -m 0.01 -s 0.2", "gain -b", "gain -h", "dither -a -p 8", "synth sine 300-3000", "allpass -1 500", "allpass -2 500"])
 def test_chain(spark, wave, text):
     y = signal(spark, wave).chain(text)
     assert y.df.count() >= 0
@@ -102,7 +102,7 @@ def test_unknown_and_user_operators(spark, wave):
     assert (values(signal(spark, wave).chain("half")) == wave // 2).all()
 
 
-@pytest.mark.parametrize("text", ["noisered 0.3", "noiseprof", "spectrogram", "vad -x 3", "vad -t", "gain -n -r", "gain -e -b", "bandpass -1 500"])
+@pytest.mark.parametrize("text", ["dither -f low-shibata", "dither -f nothing", "dither -q", "noisered 0.3", "noiseprof", "spectrogram", "vad -x 3", "vad -t", "gain -n -r", "gain -e -b", "bandpass -1 500"])
 def test_options_that_cannot_be_met_are_errors(spark, wave, text):
     with pytest.raises(ValueError):
         signal(spark, wave).chain(text).df.count()
@@ -356,3 +356,78 @@ def test_one_channel_of_many_blocks(spark):
         got = scan.recursive_by_channel(x.df.selectExpr("stream_id", "channel", "n", "double(s) v", "s"), b, a, block=64, keep="s").orderBy("channel", "n").toPandas()
         want = scan.recurse(b, a, v.astype(float))
         assert np.allclose(got["y"], np.concatenate([want, -want]), rtol=1e-9, atol=1e-6) and (got["s"] == np.concatenate([v, -v])).all()
+
+
+@pytest.mark.parametrize("shape, rate", [(k, r) for k, rows in sequential.SHAPES.items() for r in rows])
+def test_shaped_dither_moves_noise_out_of_the_ear(spark, shape, rate):
+    """The error is within a few steps, has no offset, and its spectrum is the shaper's."""
+    a = tone(1000, 6000, rate, 0.2)
+    y = values(sequential.dither(signal(spark, a, float(rate)), 10, shape, strict=True))[0]
+    e = (y - a) / (1 << 22)
+    assert np.abs(e).max() < 60 and abs(e.mean()) < 0.3 and not (y % (1 << 22)).any()
+    plain = (values(sequential.dither(signal(spark, a, float(rate)), 10))[0] - a) / (1 << 22)
+    part = lambda v: np.abs(np.fft.rfft(v * np.hanning(len(v))))[: int(len(v) * 4000 / rate)][20:]
+    gain = 20 * np.log10(np.sqrt((part(e) ** 2).mean() / (part(plain) ** 2).mean()))
+    taps = sequential.shaper(shape, rate)
+    w = np.exp(-2j * np.pi * np.linspace(50, 4000, 400)[:, None] / rate * np.arange(1, 21))
+    b, c = (taps[:4], taps[4:]) if shape == "gesemann" else (taps, [])
+    h = 1 - (w[:, : len(b)] @ np.array(b)) / (1 + (w[:, : len(c)] @ np.array(c) if c else 0))
+    want = 20 * np.log10(np.sqrt((np.abs(h) ** 2).mean()))
+    assert abs(gain - want) < 2.5
+
+
+def test_automatic_dither_rests(spark):
+    exact = (np.arange(-300, 300) << 20).astype(np.int64)
+    x = signal(spark, exact)
+    assert (values(sequential.dither(x, 12, automatic=True))[0] == exact).all()
+    exact[100] += 12345
+    y = values(sequential.dither(signal(spark, exact), 12, automatic=True))[0]
+    assert (y[:100] == exact[:100]).all() and (y[164:] == exact[164:]).all() and (y[100:164] != exact[100:164]).any()
+
+
+# --- bytes laid out by hand ---
+
+
+def golden():
+    import struct
+
+    ramp = [0, 1, -1, 32767, -32768, 256]
+    wide = [v << 16 for v in ramp]
+    le, be = struct.pack("<6h", *ramp), struct.pack(">6h", *ramp)
+    fmt = lambda e, code, ch, rate, bits: struct.pack(e + "HHIIHH", code, ch, rate, rate * ch * bits // 8, ch * bits // 8, bits)
+    extensible = fmt("<", 0xFFFE, 1, 8000, 24) + struct.pack("<HHI", 22, 24, 4) + struct.pack("<H", 1) + bytes.fromhex("000000001000800000aa00389b71")
+    comm = struct.pack(">HIH", 2, 3, 16) + bytes.fromhex("400bfa00000000000000")  # 8000 Hz as an 80-bit number
+    prc = bytes.fromhex("37000010 6d000010 7e000010 cfac0855 14000000 04 52000010 34000000 89000010 25000000 7e000010") + b"\x2aRecord.app"
+    return [
+        ("wav", b"RIFF" + struct.pack("<I", 48) + b"WAVEfmt " + struct.pack("<I", 16) + fmt("<", 1, 1, 8000, 16) + b"data" + struct.pack("<I", 12) + le, 8000.0, 1, wide),
+        ("wav", b"RIFF" + struct.pack("<I", 60) + b"WAVELIST" + struct.pack("<I", 3) + b"abc\0fmt " + struct.pack("<I", 16) + fmt("<", 1, 2, 8000, 16) + b"data" + struct.pack("<I", 12) + le, 8000.0, 2, wide),
+        ("wav", b"RIFX" + struct.pack(">I", 48) + b"WAVEfmt " + struct.pack(">I", 16) + fmt(">", 1, 1, 8000, 16) + b"data" + struct.pack(">I", 12) + be, 8000.0, 1, wide),
+        ("wav", b"RIFF" + struct.pack("<I", 78) + b"WAVEfmt " + struct.pack("<I", 40) + extensible + b"data" + struct.pack("<I", 6) + bytes.fromhex("010000ffffff"), 8000.0, 1, [256, -256]),
+        ("wav", b"RIFF" + struct.pack("<I", 38) + b"WAVEfmt " + struct.pack("<I", 16) + fmt("<", 1, 1, 8000, 8) + b"data" + struct.pack("<I", 3) + bytes([128, 0, 255]) + b"\0", 8000.0, 1, [0, -(1 << 31), 127 << 24]),
+        ("au", b".snd" + struct.pack(">5I", 24, 12, 3, 8000, 1) + be, 8000.0, 1, wide),
+        ("au", b".snd" + struct.pack(">5I", 32, 0xFFFFFFFF, 1, 8000, 1) + b"note\0\0\0\0" + bytes([0xFF, 0x80, 0x00]), 8000.0, 1, [0, 32124 << 16, -32124 << 16]),
+        ("au", b"dns." + struct.pack("<5I", 24, 8, 6, 8000, 1) + struct.pack("<2f", 0.5, -0.25), 8000.0, 1, [1 << 30, -(1 << 29)]),
+        ("aiff", b"FORM" + struct.pack(">I", 58) + b"AIFFCOMM" + struct.pack(">I", 18) + comm + b"SSND" + struct.pack(">3I", 20, 0, 0) + be, 8000.0, 2, wide),
+        ("prc", prc.ljust(0x34, b"\0") + struct.pack("<IIHBBII", 2, 0, 0, 3, 0, 0, 2) + bytes([0xD5, 0x55]), 8000.0, 1, [8 << 16, -8 << 16]),
+        ("sln", le, 8000.0, 1, wide),
+        ("u1", bytes([0, 128, 255]), 8000.0, 1, [-(1 << 31), 0, 127 << 24]),
+    ]
+
+
+@pytest.mark.parametrize("k", range(12))
+def test_golden_bytes(k):
+    kind, raw, rate, channels, want = golden()[k]
+    r, a, _ = formats.FORMATS[kind].read(raw)
+    assert (r, a.shape[1], a.reshape(-1).tolist()) == (rate, channels, want)
+    if raw[:4] in formats.HEADERS:
+        told = formats.HEADERS[raw[:4]](raw, len(raw))
+        assert told[:3] == (rate, channels, len(want) // channels)
+
+
+def test_facts_from_headers(spark, wave):
+    x = signal(spark, wave)
+    for kind in ("wav", "wav24", "wav_float", "wav_ulaw", "aiff", "aifc", "aifc_float", "au", "8svx", "sph", "native"):
+        files_ = files.encode_streams(x, kind)
+        r = files.file_facts(files_).first()
+        rate, a, bits = formats.FORMATS[kind].read(bytes(files_.first()["content"]))
+        assert (r["rate"], r["channels"], r["length"], r["bits"]) == (rate, a.shape[1], len(a), bits)

@@ -22,11 +22,22 @@ def _stacked(inputs: list[Signal], factor: float):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def mix(inputs: list[Signal], factor: float | None = None) -> Signal:
+def scaled(inputs: list[Signal], volumes: list[float | None]) -> list[Signal]:
+    """The inputs, each at its own volume; None: as it is."""
+    if len(volumes) != len(inputs):
+        raise ValueError("a volume, or None, is due for each input")
+    return [x if v is None or v == 1 else x.map(lambda s, v=v: rounded(s * F.lit(float(v)))) for x, v in zip(inputs, volumes)]
+
+
+def mix(inputs: list[Signal], factor: float | None = None, volumes: list[float | None] | None = None) -> Signal:
     """Sum by channel and place, each input times 1/n (or factor); rounded and clipped after each addition, in input order.
 
+    volumes: the inputs' own, in place of 1/n.
+
     A wide sample gathers as many rows as there are inputs, so the ordered fold is over a bounded array.
     """
+    if volumes is not None:
+        inputs, factor = scaled(inputs, volumes), 1.0 if factor is None else factor
     rows = _stacked(inputs, 1 / len(inputs) if factor is None else factor)
     ordered = F.array_sort(F.collect_list(F.struct("i", "s")))
     out = rows.groupBy("stream_id", "channel", "n").agg(F.aggregate(ordered, F.lit(0), lambda a, v: rounded(a.cast("double") + v["s"])).alias("s"))

@@ -208,6 +208,13 @@ def transfer(spark: SparkSession, c, rate: float, points: int = 512) -> DataFram
     return spark.range(points).select((F.col("id") * (rate / 2 / points)).alias("hz"), (F.lit(10.0) * F.log10(F.greatest(F.lit(1e-24), power(c[:3]) / power(c[3:])))).alias("db"))
 
 
+def kernel_transfer(spark: SparkSession, kernel, rate: float, points: int = 512) -> DataFrame:
+    """(hz, db) of a kernel from 0 to half the rate."""
+    w = F.col("id") * (math.pi / points)
+    re, im = (sum((F.lit(float(c)) * f(w * k) for k, c in enumerate(kernel)), F.lit(0.0)) for f in (F.cos, F.sin))
+    return spark.range(points).select((F.col("id") * (rate / 2 / points)).alias("hz"), (F.lit(10.0) * F.log10(F.greatest(F.lit(1e-24), re * re + im * im))).alias("db"))
+
+
 def overdrive(x: Signal, gain_db: float = 20, colour: float = 20) -> Signal:
     """Cubic soft clipping, a one-pole block of the offset, mixed with half the input."""
     g = 10 ** (gain_db / 20)

@@ -18,6 +18,10 @@ TONES = ("sine", "square", "sawtooth", "triangle", "trapezium", "exp")
 NOISES = ("whitenoise", "tpdfnoise", "pinknoise", "brownnoise", "pluck")
 
 
+#: Poles and gains of the filter that makes noise pink: fixed values.
+PINK = ((0.99886, 0.0555179), (0.99332, 0.0750759), (0.969, 0.153852), (0.8665, 0.3104856), (0.55, 0.5329522), (-0.7616, -0.016898))
+
+
 def silent(spark: SparkSession, length: int, rate: float, channels: int = 1, stream_id: str = "0") -> Signal:
     """`length` wide samples of silence."""
     rows = spark.range(length * channels)
@@ -25,7 +29,7 @@ def silent(spark: SparkSession, length: int, rate: float, channels: int = 1, str
 
 
 def turns(n: Column, rate: float, f: float, f2: float | None = None, sweep: str = ":", length: int | None = None) -> Column:
-    """Cycles since the start at place n. Sweeps from f to f2 over length places: ':' linear, '+' squared, '/' exponential."""
+    """Cycles since the start at place n. Sweeps from f to f2 over length places: ':' linear, '+' squared, '/' exponential (by_cycle(): '-', exponential by the cycle)."""
     t = n / F.lit(float(rate))
     if f2 is None or f2 == f:
         return t * f
@@ -40,6 +44,29 @@ def turns(n: Column, rate: float, f: float, f2: float | None = None, sweep: str
     return (F.exp(t * F.lit(m)) - 1) * F.lit(f / m)
 
 
+def cycle_phases(count: int, rate: float, f: float, f2: float, length: int) -> np.ndarray:
+    """Phases of an exponential sweep that holds its frequency within a cycle: a cycle ends where, at the frequency of its end, it
+    is a whole one."""
+    hz = f * np.exp(np.arange(count) * (math.log(f2 / f) / length))
+    out, begun = np.empty(count), 0.0
+    for n, h in enumerate(hz.tolist()):
+        t = n / rate
+        if h * (t - begun) >= 1:
+            begun += 1 / h
+        out[n] = h * (t - begun)
+    return out
+
+
+def by_cycle(x: Signal, f: float, f2: float, length: int) -> DataFrame:
+    """Rows of x with the phase p of such a sweep: worked out once for each channel."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        return pdf.assign(p=cycle_phases(len(pdf), x.rate, f, f2, length))
+
+    return x.df.groupBy("stream_id", "channel").applyInPandas(run, LAYOUT + ", p double")
+
+
 def shape(kind: str, phase: Column, p1: float | None = None, p2: float | None = None, p3: float | None = None) -> Column:
     """-1 to 1 for a phase from 0 to 1."""
     if kind == "sine":
@@ -66,6 +93,11 @@ def _combined(df: DataFrame, y: Column, how: str) -> DataFrame:
 
 def synth(x: Signal, kind: str, how: str = "create", f: float = 440.0, f2: float | None = None, sweep: str = ":", offset: float = 0.0, phase: float = 0.0, p1: float | None = None, p2: float | None = None, p3: float | None = None, length: int | None = None, seed: int = 1) -> Signal:
     """A tone or noise over the places of x, created or combined with its samples. offset and phase are shares."""
+    if kind in TONES and sweep == "-" and f2 not in (None, f):
+        if not length:
+            raise ValueError("a sweep needs a length")
+        y = shape(kind, F.pmod(F.col("p") + F.lit(phase), F.lit(1.0)), p1, p2, p3)
+        return x.with_df(_combined(by_cycle(x, f, f2, length), y * (1 - abs(offset)) + offset, how), precision=32)
     if kind in TONES:
         cycle = F.pmod(turns(F.col("n"), x.rate, f, f2, sweep, length) + F.lit(phase), F.lit(1.0))
         y = shape(kind, cycle, p1, p2, p3)
@@ -89,7 +121,7 @@ def noise(x: Signal, kind: str, how: str = "create", f: float = 440.0, offset: f
         elif kind == "pinknoise":
             d = white(m)
             y = np.zeros(m)
-            for pole, gain in ((0.99886, 0.0555179), (0.99332, 0.0750759), (0.969, 0.153852), (0.8665, 0.3104856), (0.55, 0.5329522), (-0.7616, -0.016898)):
+            for pole, gain in PINK:
                 y += recurse([gain], [1.0, -pole], d)
             y = np.clip((y + d * 0.5362 + np.concatenate([[0], d[:-1]]) * 0.115926) * 0.11, -1, 1)
         elif kind == "brownnoise":

@@ -94,10 +94,22 @@ OPERATORS["biquad"] = lambda x, a: scan.biquad(x, [float(v) for v in a])
 OPERATORS["deemph"] = lambda x, a: scan.biquad(x, scan.design.deemphasis(x.rate))
 OPERATORS["riaa"] = lambda x, a: scan.biquad(x, scan.design.riaa(x.rate))
 OPERATORS["phaser"] = lambda x, a: sequential.phaser(x, *[float(v) for v in a if not v.startswith("-")], shape="s" if "-s" in a else "t")
-OPERATORS["dither"] = lambda x, a: sequential.dither(x, int(a[a.index("-p") + 1]) if "-p" in a else min(x.precision, 16), "improved-e-weighted" if "-s" in a else a[a.index("-f") + 1] if "-f" in a else None, "-S" in a)
 OPERATORS["input"] = OPERATORS["output"] = OPERATORS["stat"] = OPERATORS["stats"] = lambda x, a: x  # samples pass through
 
 
+@operator("dither")
+def _dither(x, a):
+    shape, slope, automatic, bits = None, False, False, min(x.precision, 16)
+    while a:
+        if a[0] in ("-s", "-S", "-a"):
+            shape, slope, automatic, a = "shibata" if a[0] == "-s" else shape, slope or a[0] == "-S", automatic or a[0] == "-a", a[1:]
+        elif a[0] in ("-f", "-p") and len(a) > 1:
+            shape, bits, a = a[1] if a[0] == "-f" else shape, int(a[1]) if a[0] == "-p" else bits, a[2:]
+        else:
+            raise ValueError(f"dither: {a[0]!r} isn't an option with what it needs")
+    return sequential.dither(x, bits, None if shape == "none" else shape, slope, automatic=automatic, strict=True)
+
+
 @operator("speed")
 def _speed(x, a):
     return maps.speed(x, 2 ** (float(a[0][:-1]) / 1200) if a[0].endswith("c") else float(a[0]))
@@ -349,9 +361,10 @@ def _synth(x, a):
         how, rest = rest[0], rest[1:]
     f, f2, sweep = 440.0, None, ":"
     if rest:
-        for sweep in ":+/":
+        for sweep in ":+/-":
             if sweep in rest[0][1:]:
-                lo, hi = rest[0].split(sweep)
+                lo, _, hi = rest[0][1:].partition(sweep)
+                lo = rest[0][0] + lo
                 f, f2 = parse.frequency(lo), parse.frequency(hi)
                 break
         else:

@@ -185,6 +185,8 @@ _B = f"{MONO}, b AS (SELECT stream_id, channel, n - 10 AS n, {R(f's * {num(linea
 _ZIP = f"WITH {_B}, z AS (SELECT x.stream_id, x.channel, x.n, x.s AS p, b.s AS q FROM x LEFT JOIN b USING (stream_id, channel, n))"
 QUERIES["mix"] = lambda spark, d: plain(combine.mix(_two(spark, d)))
 SQL["mix"] = f"{_ZIP} SELECT {COLS}, CASE WHEN q IS NULL THEN {R('p * 0.5::DOUBLE')} ELSE {R(f'{R("p * 0.5::DOUBLE")}::DOUBLE + {R("q * 0.5::DOUBLE")}')} END AS s FROM z"
+QUERIES["mix_volumes"] = lambda spark, d: plain(combine.mix(_two(spark, d), volumes=[0.3, None]))
+SQL["mix_volumes"] = f"{_ZIP} SELECT {COLS}, CASE WHEN q IS NULL THEN {R('p * 0.3::DOUBLE')} ELSE {R(f'{R("p * 0.3::DOUBLE")}::DOUBLE + q')} END AS s FROM z"
 QUERIES["mix_power"] = lambda spark, d: plain(combine.mix_power(_two(spark, d)))
 _h = num(1 / math.sqrt(2))
 SQL["mix_power"] = f"{_ZIP} SELECT {COLS}, CASE WHEN q IS NULL THEN {R(f'p * {_h}')} ELSE {R(f'{R(f"p * {_h}")}::DOUBLE + {R(f"q * {_h}")}')} END AS s FROM z"
@@ -326,6 +328,9 @@ for _t, _e in _SHAPES.items():
 for _t in ("trapezium", "exp", *synth.NOISES):
     signal_query(f"synth_{_t}", lambda x, t=_t: synth.synth(x, t, f=3.5))
 signal_query("synth_sweep", lambda x: synth.synth(x, "sine", f=2.0, f2=20.0, length=100), mapped(R(f"sin((((2.0::DOUBLE + n * {num(18.0 / 200)}) * (n / 100.0::DOUBLE)) - floor((2.0::DOUBLE + n * {num(18.0 / 200)}) * (n / 100.0::DOUBLE))) * 2 * pi()) * {MAX}")))
+for _t, _e in {"+": "(2 + pow(n * sqrt(18.0::DOUBLE) / (100 * sqrt(3.0::DOUBLE)), 2)) * (n / 100.0::DOUBLE)", "/": "(exp(n / 100.0::DOUBLE * ln(10.0::DOUBLE)) - 1) * 2 / ln(10.0::DOUBLE)"}.items():
+    signal_query(f"synth_sweep_{ {'+': 'square', '/': 'exp'}[_t] }".replace(" ", ""), lambda x, t=_t: synth.synth(x, "sine", f=2.0, f2=20.0, sweep=t, length=100), f"WITH {MONO}, t AS (SELECT *, {_e} AS t FROM x) SELECT {COLS}, {R(f'sin((t - floor(t)) * 2 * pi()) * {MAX}')} AS s FROM t")
+signal_query("synth_sweep_cycle", lambda x: synth.synth(x, "sine", f=2.0, f2=20.0, sweep="-", length=100))
 QUERIES["null"] = lambda spark, d: plain(synth.silent(spark, 1000, 8000.0, 2))
 SQL["null"] = "SELECT '0' AS stream_id, CAST(c AS BIGINT) AS channel, CAST(n AS BIGINT) AS n, CAST(0 AS BIGINT) AS s FROM range(1000) a(n), range(2) b(c)"
 
@@ -369,6 +374,11 @@ _part = lambda k: f"(({num(_c[k])} + {num(_c[k + 1])} * cos(w) + {num(_c[k + 2])
 SQL["plot_lowpass"] = f"WITH f AS (SELECT i, i * 50.0::DOUBLE / 64 AS hz, pi() * i / 64 AS w FROM range(64) t(i)) SELECT round(hz, 6) + 0.0 AS hz, round(10 * log10(greatest(1e-24::DOUBLE, {_part(0)} / {_part(3)})), 6) + 0.0 AS db FROM f"
 
 
+_POINTS = [(-60.0, -40.0), (-20.0, -15.0)]
+QUERIES["plot_compand"] = lambda spark, d: rounded(sequential.curve(spark, _POINTS, 6.0, 0.0, 101))
+QUERIES["plot_fir"] = lambda spark, d: rounded(scan.kernel_transfer(spark, [0.1, -0.25, 0.5, 0.3, -0.125], RATE, 64))
+
+
 @query("stream_tumbling", f"SELECT CAST(user_id AS VARCHAR) AS stream_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS samples, min((CAST(round(value * 100) AS BIGINT) - 32768) * 65536) AS min, max((CAST(round(value * 100) AS BIGINT) - 32768) * 65536) AS max, round(avg(((CAST(round(value * 100) AS BIGINT) - 32768) * 65536 / {FULL}) ** 2), 6) + 0.0 AS power FROM events GROUP BY ALL")
 def _tumbling(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream of one day's windows, run to its end into a table of files."""
@@ -399,6 +409,9 @@ def stateful(table: str, first: str, then: str, columns: str = "l", base: str =
     return f"WITH RECURSIVE {base}{more}, {table} AS (SELECT x.stream_id, x.n, {first} FROM x WHERE n = 0 UNION ALL SELECT x.stream_id, x.n, {then} FROM {table} t JOIN x ON x.stream_id = t.stream_id AND x.n = t.n + 1)"
 
 
+_hz, _since = "(2 * exp(x.n * (ln(10.0::DOUBLE) / 100)))", "(x.n / 100.0::DOUBLE - t.b)"
+_begun = f"(t.b + CASE WHEN {_hz} * {_since} >= 1 THEN 1 / {_hz} ELSE 0 END)"
+SQL["synth_sweep_cycle"] = f"{stateful('c', '0.0::DOUBLE AS b, 0.0::DOUBLE AS p', f'{_begun}, {_hz} * (x.n / 100.0::DOUBLE - {_begun})')} SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, {R(f'sin((p - floor(p)) * 2 * pi()) * {MAX}')} AS s FROM c"
 SQL["stat_guess"] = f"WITH {MONO}, q AS (SELECT stream_id, count(*) FILTER (floor(s / 1073741824.0) IN (-2, 1)) AS outside, count(*) FILTER (floor(s / 1073741824.0) IN (-1, 0)) AS inside FROM x GROUP BY ALL) SELECT stream_id, CASE WHEN inside = 0 OR outside > 3 * inside THEN 'unsigned' WHEN 3 * outside < inside THEN 'signed' WHEN 2 * outside > inside AND outside < 2 * inside THEN 'logarithmic or noise' ELSE 'unknown' END AS guess FROM q"
 _m = math.exp(-1 / (0.02 * RATE))
 SQL["stats_full"] = f"WITH RECURSIVE {STEREO}, {CORE}, {RUNS}, y AS (SELECT stream_id, channel, n, pow(s / {FULL}, 2) * {num(1 - _m)} AS v FROM x WHERE n = 0 UNION ALL SELECT x.stream_id, x.channel, x.n, y.v * {num(_m)} + pow(x.s / {FULL}, 2) * {num(1 - _m)} FROM y JOIN x ON x.stream_id = y.stream_id AND x.channel = y.channel AND x.n = y.n + 1), r5 AS (SELECT stream_id, channel, max(v) FILTER (n >= 9) AS peak, min(v) FILTER (n >= 9) AS trough FROM y GROUP BY ALL) SELECT stream_id, channel, samples, {CORE_COLS}, round(10 * log10(coalesce(peak, power)), 6) + 0.0 AS rms_peak_db, round(10 * log10(coalesce(trough, power)), 6) + 0.0 AS rms_trough_db, round(flat_db, 6) + 0.0 AS flat_db, peak_count, CAST(CASE WHEN mask = 0 THEN 0 ELSE 32 - round(log2(abs((mask::BIGINT & -(mask::BIGINT))::DOUBLE))) END AS BIGINT) AS bits, round(samples / {num(RATE)}, 6) + 0.0 AS seconds FROM c JOIN h USING (stream_id, channel) JOIN r5 USING (stream_id, channel)"
@@ -408,6 +421,9 @@ SQL["spectrogram"] = f"WITH {MONO}, w AS (SELECT k, 2 * h / sum(h) OVER () AS h
 _rate = lambda seconds: num(1 - math.exp(-1 / (RATE * seconds)))
 _db = "20 * log10(greatest(l, 1e-10))"
 _curve = f"CASE WHEN abs({_db} + 20) < 3 THEN 5.0 - 0.375 * ({_db} + 20) + 0.125 * pow({_db} + 20 + 3, 2) / 12 WHEN {_db} < -60 THEN 20.0 WHEN {_db} < -20 THEN 20 - 0.375 * ({_db} + 60) WHEN {_db} < 0 THEN -0.25 * {_db} ELSE 0.0 END"
+SQL["plot_compand"] = f"SELECT round(d, 6) + 0.0 AS in_db, round(d + {_curve.replace(_db, 'd')}, 6) + 0.0 AS out_db FROM (SELECT -100.0::DOUBLE + i AS d FROM range(101) t(i))"
+_re, _im = (" + ".join(f"{num(c)} * {f}({k} * w)" for k, c in enumerate([0.1, -0.25, 0.5, 0.3, -0.125])) for f in ("cos", "sin"))
+SQL["plot_fir"] = f"SELECT round(i * 50.0::DOUBLE / 64, 6) + 0.0 AS hz, round(10 * log10(greatest(1e-24, pow({_re}, 2) + pow({_im}, 2))), 6) + 0.0 AS db FROM (SELECT i, pi() * i / 64 AS w FROM range(64) t(i))"
 SQL["compand"] = f"{stateful('e', '1 + (x.l - 1) * CASE WHEN x.l > 1 THEN {a} ELSE {d} END AS l'.format(a=_rate(0.05), d=_rate(0.2)), 't.l + (x.l - t.l) * CASE WHEN x.l > t.l THEN {a} ELSE {d} END'.format(a=_rate(0.05), d=_rate(0.2)), base=STEREO.replace('x AS (', 'x0 AS (') + f', x AS (SELECT stream_id, n, max(abs(s / {FULL})) AS l FROM x0 GROUP BY ALL)')} SELECT x0.stream_id, x0.channel, x0.n, {T('s * pow(10, (' + _curve + ') / 20)')} AS s FROM x0 JOIN e USING (stream_id, n)"
 _wave = "((n % 50) / 50.0::DOUBLE)"
 SQL["chorus"] = f"WITH {MONO}, {_TAIL.format(k=8)}, m AS (SELECT *, n - CAST(floor(2 + CASE WHEN {_wave} < 0.5 THEN {_wave} * 2 ELSE 2 - {_wave} * 2 END * 6 + 0.5) AS BIGINT) AS m FROM t) SELECT m.stream_id, m.channel, m.n, {C24(f'(m.s / 256.0::DOUBLE * 0.7::DOUBLE + coalesce(x.s / 256.0::DOUBLE, 0) * 0.4::DOUBLE) * 0.9::DOUBLE')} AS s FROM m LEFT JOIN x ON x.stream_id = m.stream_id AND x.n = m.m"
@@ -450,13 +466,14 @@ _noisy = f"WITH RECURSIVE {MONO.replace('x AS (', 'x0 AS (')}, x AS (SELECT stre
 SQL["dither"] = f"{_noisy} SELECT {COLS}, CAST(greatest(-128, least(127, trunc((s + noise) / 16777216.0::DOUBLE + CASE WHEN s + noise < 0 THEN -0.5 ELSE 0.5 END))) AS BIGINT) * 16777216 AS s FROM v"
 _taps = "[2.847, -4.685, 6.214, -7.184, 6.639, -5.032, 3.263, -1.632, 0.4191]::DOUBLE[]"
 _want = f"(v.s / 16777216.0::DOUBLE - list_inner_product({_taps}, e.p))"
-_level = f"least(127, greatest(-128, floor({_want} + v.noise / 16777216.0::DOUBLE + 0.5)))"
-SQL["dither_shaped"] = f"{_noisy}, e AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS n, [0, 0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[] AS p, 0.0::DOUBLE AS q FROM x UNION ALL SELECT v.stream_id, v.n, list_prepend({_level} - {_want}, e.p[1:8]), {_level} FROM e JOIN v ON v.stream_id = e.stream_id AND v.n = e.n + 1) SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, CAST(q AS BIGINT) * 16777216 AS s FROM e WHERE n >= 0"
+_noised = f"({_want} + v.noise / 16777216.0::DOUBLE)"
+_level = f"trunc({_noised} + CASE WHEN {_noised} < 0 THEN -0.5 ELSE 0.5 END)"
+SQL["dither_shaped"] = f"{_noisy}, e AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS n, [0, 0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[] AS p, 0.0::DOUBLE AS q FROM x UNION ALL SELECT v.stream_id, v.n, list_prepend({_level} - {_want}, e.p[1:8]), {_level} FROM e JOIN v ON v.stream_id = e.stream_id AND v.n = e.n + 1) SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, CAST(least(127, greatest(-128, q)) AS BIGINT) * 16777216 AS s FROM e WHERE n >= 0"
 
 # files of one byte a sample on a logarithmic scale, by the rule of the recommendation; the nearest level, of two as near the larger
 _mu = "SELECT DISTINCT CASE WHEN c & 128 > 0 THEN -1 ELSE 1 END * (((((c & 15) << 3) + 132) << ((c >> 4) & 7)) - 132) AS v FROM range(256) t(c)"
 _a = "SELECT DISTINCT CASE WHEN c & 128 > 0 THEN 1 ELSE -1 END * CASE WHEN (c >> 4) & 7 = 0 THEN ((c & 15) << 4) + 8 ELSE (((c & 15) << 4) + 264) << (((c >> 4) & 7) - 1) END AS v FROM range(256) t(c)"
-for _law, _names in {_mu: ("ul", "lu", "wav_ulaw"), _a: ("al", "la", "wav_alaw", "wve", "gsrt")}.items():
+for _law, _names in {_mu: ("ul", "lu", "wav_ulaw"), _a: ("al", "la", "wav_alaw", "wve", "gsrt", "prc")}.items():
     _levels = f"WITH {MONO}, lv AS (SELECT v, coalesce((v + lag(v) OVER (ORDER BY v)) / 2, -1e9) AS lo FROM ({_law}))"
     for _n in _names:
         SQL[f"format_{_n}"] = f"{_levels} SELECT {COLS}, v * 65536 AS s FROM x ASOF JOIN lv ON s / 65536.0::DOUBLE >= lo"

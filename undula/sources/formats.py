@@ -189,6 +189,25 @@ def write_wav(a: np.ndarray, rate: float, bits: int = 16, code: int = 1) -> byte
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def wav_header(b: bytes, total: int) -> tuple[float, int, int, int] | None:
+    e, long_size, fmt = ">" if b[:4] == b"RIFX" else "<", None, None
+    for name, at, size in chunks(b, 12, b[:4] == b"RIFX"):
+        if name == b"ds64" and at + 16 <= len(b):
+            long_size = struct.unpack_from("<QQ", b, at)[1]
+        elif name == b"fmt " and at + 16 <= len(b):
+            fmt = struct.unpack_from(e + "HHIIHH", b, at)
+            if fmt[0] == 0xFFFE and size >= 40 and at + 26 <= len(b):
+                fmt = (struct.unpack_from(e + "H", b, at + 24)[0], *fmt[1:])
+        elif name == b"data" and fmt:
+            code, channels, rate, _, _, bits = fmt
+            size = long_size if long_size and b[:4] == b"RF64" else struct.unpack_from(e + "I", b, at - 4)[0]
+            if code not in (1, 3, 6, 7) or not channels or not bits:
+                return None
+            kept = {3: 24 if bits == 32 else 32, 6: 13, 7: 14}.get(code, bits)
+            return float(rate), channels, min(size, total - at) // (channels * -(-bits // 8)), kept
+    return None
+
+
 put("wav", "wavpcm", "amb", read=read_wav, write=write_wav)
 for _name, _bits, _code, _kept in (("wav8", 8, 1, 8), ("wav24", 24, 1, 24), ("wav32", 32, 1, 32), ("wav_float", 32, 3, 24), ("wav_alaw", 8, 6, 13), ("wav_ulaw", 8, 7, 14)):
     put(_name, read=read_wav, write=lambda a, r, b=_bits, c=_code: write_wav(a, r, b, c), bits=_kept)
@@ -233,6 +252,16 @@ def write_aiff(a: np.ndarray, rate: float, bits: int = 16, kind: bytes | None =
     return b"FORM" + struct.pack(">I", len(body)) + body
 
 
+def aiff_header(b: bytes, total: int) -> tuple[float, int, int, int] | None:
+    for name, at, _ in chunks(b, 12, True):
+        if name == b"COMM" and at + 22 <= len(b):
+            channels, length, bits = struct.unpack_from(">HIH", b, at)
+            kind = b[at + 18 : at + 22].lower() if b[8:12] == b"AIFC" else b"none"
+            kept = {b"alaw": 13, b"ulaw": 14, b"fl32": 24, b"fl64": 24}.get(kind, -(-bits // 8) * 8)
+            return from_extended(b[at + 8 : at + 18]), channels, length, kept
+    return None
+
+
 put("aiff", "aif", read=read_aiff, write=write_aiff)
 put("aifc", "aiffc", read=read_aiff, write=lambda a, r: write_aiff(a, r, 16, b"sowt"))
 put("aifc_float", read=read_aiff, write=lambda a, r: write_aiff(a, r, 32, b"fl32"), bits=24)
@@ -256,6 +285,12 @@ def read_au(b: bytes) -> tuple[float, np.ndarray, int]:
     return float(rate), wide(s, channels), kept
 
 
+def au_header(b: bytes, total: int) -> tuple[float, int, int, int] | None:
+    start, size, code, rate, channels = struct.unpack_from(">5I" if b[:4] == b".snd" else "<5I", b, 4)
+    width, kept = {1: (1, 14), 2: (1, 8), 3: (2, 16), 4: (3, 24), 5: (4, 32), 6: (4, 24), 7: (8, 32), 27: (1, 13)}.get(code, (0, 0))
+    return (float(rate), channels, min(size, total - start) // (width * channels), kept) if width and channels else None
+
+
 def write_au(a: np.ndarray, rate: float) -> bytes:
     data = pcm.int_bytes(flat(a), 16, big=True)
     return b".snd" + struct.pack(">5I", 28, len(data), 3, int(rate + 0.5), a.shape[1]) + b"\0\0\0\0" + data
@@ -673,3 +708,33 @@ def detect(b: bytes, path: str = "") -> str:
     if end in FORMATS:
         return end
     raise ValueError(f"no known format: {path!r}")
+
+
+# --- Psion records ---
+
+#: First bytes of a record of the Psion Series 5: identifiers, their checksum and the table of two sections. Fixed values.
+RECORD = bytes.fromhex("37000010" "6d000010" "7e000010" "cfac0855" "14000000" "04" "52000010" "34000000" "89000010" "25000000" "7e000010")
+
+
+def read_prc(b: bytes) -> tuple[float, np.ndarray, int]:
+    if b[:41] != RECORD:
+        raise ValueError("not a Psion record")
+    length, code = struct.unpack_from("<II", b, 0x34)
+    if code:
+        raise ValueError("ADPCM in Psion records is not covered")
+    size = struct.unpack_from("<I", b, 0x34 + 16)[0]
+    at = 0x34 + 20
+    return 8000.0, wide(pcm.bytes_law(b[at : at + min(size, length)], "alaw"), 1), 13
+
+
+def write_prc(a: np.ndarray, rate: float) -> bytes:
+    data = pcm.law_bytes(flat(a), "alaw")
+    name = b"Record.app"
+    head = (RECORD + bytes([4 * len(name) + 2]) + name).ljust(0x34, b"\0")
+    return head + struct.pack("<IIHBBII", len(data), 0, 0, 3, 0, 0, len(data)) + data
+
+
+put("prc", read=read_prc, write=write_prc, channels=1, rate=8000.0, bits=13)
+
+#: Rate, channels, wide samples and bits from a file's first bytes and its size; None where they don't tell.
+HEADERS: dict[bytes, Callable[[bytes, int], tuple[float, int, int, int] | None]] = {b"RIFF": wav_header, b"RIFX": wav_header, b"RF64": wav_header, b"FORM": aiff_header, b".snd": au_header, b"dns.": au_header}
