@@ -182,6 +182,40 @@ def test_host_prior_moves_a_doubtful_text(spark):
     assert prior["e.com"][0] > prior["e.com"][1] and prior["f.org"][1] > prior["f.org"][0]
 
 
+def test_host_priors_by_hand(spark):
+    rng, strength = random.Random(23), 4.0
+    names, rows = ["en", "fr", "de"], []
+    for host in ("a.x.com", "b.x.com", "c.y.com", "d.fr", "e.d.fr", ""):
+        for _ in range(rng.randint(1, 9)):
+            rows.append((host, [rng.uniform(-5, 0) for _ in names], rng.choice([-2.0, -3.0, float("-inf")])))
+    got = {r["_u_host"]: r["_u_prior"] for r in language.host_priors(spark.createDataFrame(rows, "_u_host string, _u_logs array<double>, _u_mean double"), names, strength).collect()}
+
+    def counts(of):
+        out = np.zeros(3)
+        for host, logs, mean in rows:
+            if of(host) and mean > float("-inf"):
+                e = np.exp(np.array(logs) - max(logs))
+                out += e / e.sum()
+        return out
+
+    domain, suffix = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+    for host in {r[0] for r in rows}:
+        prior = np.full(3, 1 / 3)
+        for level in (lambda h: True, lambda h: suffix(h) == suffix(host), lambda h: domain(h) == domain(host), lambda h: h == host):
+            c = counts(level)
+            prior = (c + strength * prior) / (c.sum() + strength)
+        assert np.allclose(np.exp(got[host]), prior)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars >= 40")
+    unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = language.train(docs.where(~unseen))
+    got = language.identify(docs.where(unseen), model, host=F.col("source")).agg(F.count("lang").alias("n"), F.count_if(F.col("found.text_language") == F.col("lang")).alias("by_text"), F.count_if(F.col("found.language") == F.col("lang")).alias("right")).first()
+    assert got["n"] > 100 and got["by_text"] >= 0.97 * got["n"] and got["right"] >= 0.97 * got["n"]
+
+
 # --- 4 decontamination ---
 
 

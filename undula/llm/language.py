@@ -71,14 +71,14 @@ def train(docs: DataFrame, per_language: int = 400, max_chars: int = 20_000) ->
 
 
 def with_text_evidence(rows: DataFrame, model: LanguageModel, text: str) -> DataFrame:
-    """rows plus _u_logs (array by language) and _u_mean."""
+    """rows plus _u_text, a struct of logs (array by language) and mean."""
 
     def logs(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             found = [model.text_logs(t) for t in batch]
             yield pd.DataFrame({"logs": [x[0] for x in found], "mean": [x[1] for x in found]})
 
-    return rows.withColumn("_u_text", F.pandas_udf(logs, "logs array<double>, mean double")(F.col(text))).withColumn("_u_logs", F.col("_u_text.logs")).withColumn("_u_mean", F.col("_u_text.mean")).drop("_u_text")
+    return rows.withColumn("_u_text", F.pandas_udf(logs, "logs array<double>, mean double")(F.col(text)))
 
 
 def softmax(logs: Column) -> Column:
@@ -142,9 +142,8 @@ def identify(rows: DataFrame, model: LanguageModel, text: str = "text", host: Co
     names, n = model.languages, len(model.languages)
     keep = [c for c in (rows.columns if keep is None else keep) if c != into]
     src = rows.select(*keep, F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("_u_host"), F.lower(declared if declared is not None else F.lit(None).cast("string")).alias("_u_declared"), F.lower(suffix if suffix is not None else F.lit(None).cast("string")).alias("_u_told"), F.col(text).alias("_u_whole"))
-    scored = with_text_evidence(src, model, "_u_whole").drop("_u_whole")
-    if text not in keep:  # no text follows: what was read is kept in a slim table and read again
-        scored = written(scored, "evidence")
+    # each text is read once: what was found of it is written, with the columns that the result has
+    scored = written(with_text_evidence(src, model, "_u_whole").drop("_u_whole"), "evidence").withColumns({"_u_logs": F.col("_u_text.logs"), "_u_mean": F.col("_u_text.mean")})
     priors = host_priors(scored.select("_u_host", "_u_logs", "_u_mean"), names)
     small = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     joined = scored.join(F.broadcast(priors) if small else priors, "_u_host", "left")

@@ -77,8 +77,11 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(sets: list) -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
-            return _arrow("ll", token=found[n >= 3].view(np.int64), n=n[n >= 3])
+            h = np.concatenate([np.empty(0, np.uint64), *sets])
+            sets.clear()
+            h.sort()  # in place: a block is held once
+            found, n = np.unique(h[2:][h[2:] == h[:-2]], return_counts=True)  # the third place of a shingle and each after it
+            return _arrow("ll", token=found.view(np.int64), n=n + 2)
 
         sets, size, seen = [], 0, set()
         for b in batches:
@@ -89,7 +92,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
                     seen.add(key)
                     sets.append(one)
                     size += len(one)
-                if size > 2_000_000:
+                if size > 4_000_000:
                     yield block(sets)
                     sets, size, seen = [], 0, set()
         yield block(sets)
