@@ -26,10 +26,14 @@ BLOCK = 1 << 13
 PHASES = 4096
 
 
-def rate(x: Signal, to: float, quality: str = "h") -> Signal:
+def rate(x: Signal, to: float, quality: str = "h", bandwidth: float | None = None) -> Signal:
+    """To another rate; bandwidth: the share of the band to pass in place of the quality's own."""
     if to == x.rate:
         return x
-    return cubic(x, to) if quality == "q" else bandlimited(x, to, *QUALITY[quality])
+    if quality == "q":
+        return cubic(x, to)
+    share, attenuation = QUALITY[quality]
+    return bandlimited(x, to, bandwidth or share, attenuation)
 
 
 def _ratio(x: Signal, to: float) -> Fraction:

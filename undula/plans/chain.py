@@ -247,8 +247,23 @@ def _sinc(x, a):
 
 @operator("rate")
 def _rate(x, a):
-    flags, rest = _flags(a, "qlmhv")
-    return resample.rate(x, parse.frequency(rest[0]), next(iter(flags), "h"))
+    """-q -l -m -h -v: quality; -s or -b percent: the share of the band that is passed; -L: linear phase, as always here."""
+    quality, bandwidth = "h", None
+    while a and a[0].startswith("-"):
+        if a[0] in ("-q", "-l", "-m", "-h", "-v"):
+            quality = a[0][1]
+        elif a[0] == "-s":
+            bandwidth = 0.99
+        elif a[0] == "-b" and len(a) > 1:
+            bandwidth, a = float(a[1]) / 100, a[1:]
+            if not 0.74 <= bandwidth <= 0.997:
+                raise ValueError("rate: -b is a percentage from 74 to 99.7")
+        elif a[0] != "-L":
+            raise ValueError(f"rate: {a[0]!r} is not covered")
+        a = a[1:]
+    if bandwidth and quality in "ql":
+        raise ValueError("rate: the qualities q and l have a bandwidth of their own")
+    return resample.rate(x, parse.frequency(a[0]), quality, bandwidth)
 
 
 @operator("tempo")

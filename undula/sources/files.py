@@ -75,6 +75,20 @@ def file_facts(files: DataFrame, kind: str | None = None) -> DataFrame:
     return first.where("rate IS NOT NULL").unionByName(rest.select("path", "type", "content").mapInPandas(decoded, layout)).unionByName(slim.where("NOT tells").drop("tells").mapInPandas(told, layout))
 
 
+def file_comments(files: DataFrame, kind: str | None = None) -> DataFrame:
+    """(path, comments) of each file, from its first HEAD bytes; formats without comments have none."""
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, head in zip(pdf["path"], pdf["head"]):
+                name = kind or formats.detect(bytes(head[:64]), path)
+                out.append(formats.COMMENTS[name][0](bytes(head)) if name in formats.COMMENTS else [])
+            yield pd.DataFrame({"path": pdf["path"], "comments": out})
+
+    return files.select("path", F.substring("content", 1, HEAD).alias("head")).mapInPandas(told, "path string, comments array<string>")
+
+
 def totals(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("samples"), F.sum("seconds").alias("seconds"))
 
@@ -107,14 +121,14 @@ def read(spark: SparkSession, path: str | list[str], kind: str | None = None, ra
 
 
 def encode_streams(x: Signal, kind: str) -> DataFrame:
-    """(path, content) with a file for each stream."""
-    f, rate, name = formats.FORMATS[kind], x.rate, kind
+    """(path, content) with a file for each stream; the signal's comments go into headers that hold such."""
+    f, rate, name, comments = formats.FORMATS[kind], x.rate, kind, list(x.comments)
     if f.write is None:
         raise ValueError(f"{kind} can't be written")
 
     def encoded(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf.pivot(index="n", columns="channel", values="s").fillna(0).sort_index().to_numpy().astype(np.int32)
-        return pd.DataFrame({"path": [f"{pdf['stream_id'].iat[0]}.{name}"], "content": [f.write(a, rate)]})
+        return pd.DataFrame({"path": [f"{pdf['stream_id'].iat[0]}.{name}"], "content": [formats.COMMENTS[name][1](f.write(a, rate), comments) if comments and name in formats.COMMENTS else f.write(a, rate)]})
 
     return x.df.groupBy("stream_id").applyInPandas(encoded, "path string, content binary")
 

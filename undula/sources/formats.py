@@ -738,3 +738,33 @@ put("prc", read=read_prc, write=write_prc, channels=1, rate=8000.0, bits=13)
 
 #: Rate, channels, wide samples and bits from a file's first bytes and its size; None where they don't tell.
 HEADERS: dict[bytes, Callable[[bytes, int], tuple[float, int, int, int] | None]] = {b"RIFF": wav_header, b"RIFX": wav_header, b"RF64": wav_header, b"FORM": aiff_header, b".snd": au_header, b"dns.": au_header}
+
+
+# --- comments in headers ---
+
+
+def au_comments(b: bytes) -> list[str]:
+    start = struct.unpack_from(">I" if b[:4] == b".snd" else "<I", b, 4)[0]
+    return b[24:start].rstrip(b"\0").decode("utf-8", "replace").splitlines()
+
+
+def au_with_comments(b: bytes, comments: list[str]) -> bytes:
+    note = "\n".join(comments).encode() + b"\0"
+    note += b"\0" * (-len(note) % 8)
+    start = struct.unpack_from(">I", b, 4)[0]
+    return b[:4] + struct.pack(">I", 24 + len(note)) + b[8:24] + note + b[start:]
+
+
+def aiff_comments(b: bytes) -> list[str]:
+    return [b[at : at + size].rstrip(b"\0").decode("utf-8", "replace") for name, at, size in chunks(b, 12, True) if name == b"ANNO" and at + size <= len(b)]
+
+
+def aiff_with_comments(b: bytes, comments: list[str]) -> bytes:
+    """Annotations come before the sound, so that the first bytes tell them."""
+    at = next(at for name, at, _ in chunks(b, 12, True) if name == b"SSND") - 8
+    notes = b"".join(b"ANNO" + struct.pack(">I", len(t)) + t + b"\0" * (len(t) % 2) for t in (c.encode() for c in comments))
+    return b[:4] + struct.pack(">I", struct.unpack_from(">I", b, 4)[0] + len(notes)) + b[8:at] + notes + b[at:]
+
+
+#: Formats whose headers hold comments: reads them from a file's first bytes, puts them into a file.
+COMMENTS: dict[str, tuple[Callable[[bytes], list[str]], Callable[[bytes, list[str]], bytes]]] = {n: (au_comments, au_with_comments) for n in ("au", "snd")} | {n: (aiff_comments, aiff_with_comments) for n in ("aiff", "aif", "aifc", "aiffc", "aifc_float")}
