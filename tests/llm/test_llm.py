@@ -399,18 +399,18 @@ def test_mixing_is_least_squares(spark, monkeypatch, write_every):
     monkeypatch.setattr(mixing, "WRITE_EVERY", write_every)
     monkeypatch.setattr(mixing, "AT_ONCE", 2)
     p, t = np.array([[1, 0], [0, 1], [0.5, 0.5]]), np.array([100.0, 300.0, 200.0])
-    descent, told = mixing.solve(shared(spark, p, t), {"a": 3.0, "b": 1.0}, ["a", "b"], ridge=1e-3, tolerance=1e-9, settled=1e-7)
-    r = least_squares(p, t, np.array([450.0, 150.0]), 1e-3)
+    descent, told = mixing.solve(shared(spark, p, t).coalesce(1), {"a": 3.0, "b": 1.0}, ["a", "b"], ridge=1e-2, tolerance=1e-9, settled=1e-7)
+    r = least_squares(p, t, np.array([450.0, 150.0]), 1e-2)
     assert told["converged"] and np.allclose([told["tokens"]["a"], told["tokens"]["b"]], (t * r) @ p, rtol=1e-4) and np.allclose(descent.rates(p), r, atol=1e-3)
 
 
 def test_mixing_rates_converge(spark):
     rng = np.random.default_rng(3)
     p, t = rng.dirichlet([0.3, 0.3, 0.1], 300), rng.integers(10, 10_000, 300).astype(float)
-    cells = shared(spark, p, t).repartition(3)
+    cells = shared(spark, p, t).coalesce(2)
     goal = np.array([0.9, 0.08, 0.02])
-    descent, told = mixing.solve(cells, {"a": 0.9, "b": 0.08, "c": 0.02}, ["a", "b", "c"], ridge=1e-3, tolerance=0, settled=1e-6)
-    assert told["converged"] and np.abs(descent.rates(p) - least_squares(p, t, goal * t.sum(), 1e-3)).max() < 2e-3
+    descent, told = mixing.solve(cells, {"a": 0.9, "b": 0.08, "c": 0.02}, ["a", "b", "c"], ridge=1e-2, tolerance=0, settled=1e-6)
+    assert told["converged"] and np.abs(descent.rates(p) - least_squares(p, t, goal * t.sum(), 1e-2)).max() < 1e-3
     quick, told = mixing.solve(cells, {"a": 0.9, "b": 0.08, "c": 0.02}, ["a", "b", "c"])
     r = quick.rates(p)
     assert told["converged"] and r.min() >= 0 and np.abs((t * r) @ p / t.sum() - goal).max() <= 0.002 + 1e-9

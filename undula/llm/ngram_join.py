@@ -279,14 +279,20 @@ def components(links: DataFrame) -> DataFrame:
 def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, na, b, nb) of rows of heavy columns that are not in one component yet and whose prefixes allow a link.
 
-    rows: (token, doc, n). Two rows can only link if their sizes are of one size class or of neighbours, as a class spans the
-    ratio of sizes at which a link is possible. The rows of two neighbouring classes of a column that hold several components are
-    cut into blocks; every block meets every other and itself, and a task multiplies two blocks' prefixes.
+    rows: (token, doc, n). Columns of the same rows (as those of one passage) offer the same pairs: one of them is taken, told by
+    the number of rows and two digests of 64 bits. Two rows can only link if their sizes are of one size class or of neighbours,
+    as a class spans the ratio of sizes at which a link is possible, from the column's least size on. The rows of two
+    neighbouring classes of a column that hold several components are cut into blocks; every block meets every other and itself,
+    and a task multiplies two blocks' prefixes.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     of = rows.join(comps, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    kind = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
-    of = of.withColumn("own", kind).withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))).drop("n")
+    digest = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"d{k}") for k in (1, 2)]
+    whole = of.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), *digest).where("lo != hi")
+    one = whole.groupBy("m", "d1", "d2", "least").agg(F.min("token").alias("token")).select("token", "least")
+    of = written(of.join(one, "token"), "open")
+    kind = F.floor(F.log(F.col("n") / F.col("least")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
+    of = of.withColumn("own", kind).withColumn("size", F.explode(F.when(F.col("own") > 0, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own")))).drop("n")
     group = ["token", "size"]
     counted = of.groupBy(*group).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if(F.col("own") == F.col("size")).alias("lower"), F.count(F.lit(1)).alias("m"))
     mixed = counted.where("lo != hi AND lower > 0").select(*group, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
