@@ -40,7 +40,7 @@ ANCHOR = bytes(range(1, 9)) + bytes(range(14, 30))
 MARK = b"\x1f\x1e\x1d"
 #: A window is a word's first bytes, as many as this at most; longer words are cut into several windows.
 WINDOW_CHARS = 32
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 #: Words of a window of the trained dictionaries; windows overlap by half.
 SPAN = 16
 #: Bytes of a trained dictionary, at most.
@@ -82,36 +82,44 @@ class ToxicityModel:
             seen = self._seen[window] = len(self._ready[0](raw)) - len(self._ready[1](raw))
         return seen
 
-    def gains(self, text: str | None) -> list[int]:
-        return [self.gain(w) for w in windows(text)]
+    def gains(self, words: list[str]) -> list[int]:
+        """gain() of each window of the words."""
+        own = windows(words)
+        found = list(map(self._seen.get, own))
+        if None in found:
+            found = [self.gain(w) if g is None else g for g, w in zip(found, own)]
+        return found
 
-    def saved_by_window(self, text: str | None) -> np.ndarray:
+    def saved_by_window(self, words: list[str]) -> np.ndarray:
         """Bytes by which each window of several words is shorter under the trained toxic dictionary."""
         if self.trained is None:
             return np.empty(0)
         if not self._pair:
             self._pair.extend(_trained_compressor(x) for x in self.trained)
         ordinary, toxic = self._pair
-        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in spans(text)), float)
+        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in spans(words)), float)
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        return (*_features(self.gains(text), self.threshold, self.usual_hits), *_beyond(self.saved_by_window(text), self.cut, self.usual))
+        words = words_of(text)
+        return (*_features(self.gains(words), self.threshold, self.usual_hits), *_beyond(self.saved_by_window(words), self.cut, self.usual))
 
     def score(self, text: str | None) -> float:
         return _sigmoid(_dot(self.weights, self.features(text)))
 
 
-def windows(text: str | None) -> Iterator[str]:
-    for word in WORD.findall((text or "").lower()):
-        if len(word) <= WINDOW_CHARS:
-            yield word
-        else:
-            yield from (word[k : k + WINDOW_CHARS] for k in range(0, len(word), WINDOW_CHARS))
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
 
 
-def spans(text: str | None, step: int = SPAN // 2) -> Iterator[bytes]:
+def windows(words: list[str]) -> list[str]:
+    """The words, longer ones cut."""
+    if max(map(len, words), default=0) <= WINDOW_CHARS:
+        return words
+    return [w[k : k + WINDOW_CHARS] for w in words for k in range(0, len(w), WINDOW_CHARS)]
+
+
+def spans(words: list[str], step: int = SPAN // 2) -> Iterator[bytes]:
     """Windows of SPAN words; a shorter text is one window."""
-    words = WORD.findall((text or "").lower())
     for k in range(0, max(min(1, len(words)), len(words) - SPAN + step), step):
         yield " ".join(words[k : k + SPAN]).encode("utf-8", "replace")
 
@@ -120,7 +128,7 @@ def _trained(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes] | Non
     """Dictionaries trained on all windows of the texts, or None where zstandard finds too little to train on."""
     out = []
     for texts in (ordinary, toxic):
-        samples = [w for t in texts for w in spans(t)]
+        samples = [w for t in texts for w in spans(words_of(t))]
         try:
             out.append(zstandard.train_dictionary(min(TRAINED_BYTES, max(1024, sum(map(len, samples)) // 4)), samples, k=64, d=8).as_bytes())
         except zstandard.ZstdError:
@@ -216,9 +224,9 @@ def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int | N
         model.weights = (-4.0 if not toxic else 4.0, 0.0, 0.0, 0.0, 0.0)
         return model
     labels = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    gains = [model.gains(t) for t in toxic + ordinary]
+    gains = [model.gains(words_of(t)) for t in toxic + ordinary]
     halves = [ToxicityModel(*_word_lists(*([t for t in texts if _half(t) != k] for texts in (toxic, ordinary)), *options)) for k in (0, 1)]
-    unseen = np.array([g for t in ordinary for g in halves[_half(t)].gains(t)])
+    unseen = np.array([g for t in ordinary for g in halves[_half(t)].gains(words_of(t))])
     across = _saved_across(toxic, ordinary)
     clean = np.sort(np.concatenate(across[len(toxic) :]))
     if len(clean):
@@ -241,7 +249,7 @@ def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 16384, terms: int | N
 def _saved_across(toxic: list[str], ordinary: list[str]) -> list[np.ndarray]:
     """saved_by_window() of toxic and then ordinary texts, each under dictionaries of the other half."""
     models = [ToxicityModel(b" ", b" ", trained=_trained(*([t for t in texts if _half(t) != k] for texts in (ordinary, toxic)))) for k in (0, 1)]
-    return [models[_half(t)].saved_by_window(t) for t in toxic + ordinary]
+    return [models[_half(t)].saved_by_window(words_of(t)) for t in toxic + ordinary]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[tuple, float]:
