@@ -445,3 +445,13 @@ def test_comments(spark, wave):
         made = files.encode_streams(x, kind)
         assert files.file_comments(made).first()["comments"] == ([] if kind == "wav" else own)
         assert (values(Signal(files.decode_files(made, kind))) == wave).all() and files.file_facts(made).first()["length"] == 300
+
+
+def test_replay_gain_and_ignored_length(spark, wave):
+    from dataclasses import replace
+
+    x = replace(signal(spark, wave), comments=["REPLAYGAIN_TRACK_GAIN=-6.00 dB", "x=y"])
+    assert (values(combine.replay_gain(x)) == values(maps.gain(x, -6.0))).all() and (values(combine.replay_gain(x, "album")) == wave).all()
+    made = files.encode_streams(x, "wav").withColumn("content", F.expr("concat(substring(content, 1, 40), X'0A000000', substring(content, 45))"))
+    assert files.decode_files(made, "wav").where("channel = 0").count() < 10
+    assert (values(Signal(files.decode_files(made, "wav", ignore_length=True))) == wave).all()

@@ -119,3 +119,16 @@ def reclaim(x: Signal, db: float = 0.0) -> Signal:
     most = F.least(F.lit(float(MAX)) / F.col("hi"), F.lit(float(MIN)) / F.col("lo"))
     df = x.df.join(g.select("stream_id", (F.least(F.lit(1 / x.headroom), most) * linear(db)).alias("_g")), "stream_id")
     return x.with_df(df.withColumn("s", rounded(F.col("s") * F.col("_g"))), precision=32, headroom=1.0)
+
+
+def meter(x: Signal, seconds: float = 0.1) -> DataFrame:
+    """(stream_id, channel, window, peak_db): a level meter's reading for each window; silence reads -200 dB."""
+    size = max(1, int(x.rate * seconds + 0.5))
+    peak = F.max(F.abs(F.col("s") / F.lit(FULL)))
+    return x.df.groupBy(*BY, F.floor(F.col("n") / size).alias("window")).agg(decibels(F.greatest(peak, F.lit(1e-10))).alias("peak_db"))
+
+
+def headroom(x: Signal) -> DataFrame:
+    """(stream_id, db): by how much a stream can be raised before it clips."""
+    peak = F.max(F.abs(F.col("s") / F.lit(FULL)))
+    return x.df.groupBy("stream_id").agg((F.lit(0.0) - decibels(F.greatest(peak, F.lit(1e-10)))).alias("db"))

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FULL, rounded
+from ..plans import comments
 from ..signal import Signal
+from . import maps
 
 
 def _checked(inputs: list[Signal]) -> list[Signal]:
@@ -29,6 +31,12 @@ def scaled(inputs: list[Signal], volumes: list[float | None]) -> list[Signal]:
     return [x if v is None or v == 1 else x.map(lambda s, v=v: rounded(s * F.lit(float(v)))) for x, v in zip(inputs, volumes)]
 
 
+def replay_gain(x: Signal, of: str = "track") -> Signal:
+    """At the gain that a comment REPLAYGAIN_TRACK_GAIN or REPLAYGAIN_ALBUM_GAIN names, as '-3.2 dB'; without one, as it is."""
+    told = comments.find(x.comments, f"REPLAYGAIN_{of.upper()}_GAIN")
+    return maps.gain(x, float(told.split()[0])) if told else x
+
+
 def mix(inputs: list[Signal], factor: float | None = None, volumes: list[float | None] | None = None) -> Signal:
     """Sum by channel and place, each input times 1/n (or factor); rounded and clipped after each addition, in input order.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import design, laws
-from .functions.numeric import from_bits, from_unit, linear, to_bits
+from .functions.numeric import figures3, from_unit, linear
 from .operators import aggregates, combine, frames, maps, resample, rows, scan, sequential, synth, windows
 from .signal import Signal, from_table
 from .sources import files, formats
@@ -120,6 +120,20 @@ SQL["stat_frequencies"] = f"WITH {MONO}, b AS (SELECT unnest(range(32)) AS bin),
 QUERIES["noiseprof"] = lambda spark, d: frames.noise_profile(events(spark, d), 64).select("stream_id", F.col("bin").cast("bigint").alias("bin"), (F.round("log_power", 5) + 0.0).alias("log_power"))
 SQL["noiseprof"] = f"WITH {MONO}, b AS (SELECT unnest(range(33)) AS bin), p AS (SELECT stream_id, n // 64 AS frame, bin, sum(s / {FULL} * cos(2 * pi() * bin * (n % 64) / 64)) AS re, sum(s / {FULL} * sin(2 * pi() * bin * (n % 64) / 64)) AS im FROM x, b GROUP BY ALL) SELECT stream_id, bin, round(avg(ln(re * re + im * im)), 5) + 0.0 AS log_power FROM p GROUP BY ALL"
 QUERIES["spectrogram"] = lambda spark, d: frames.spectrogram(events(spark, d), 17, "hann", 16).select("stream_id", F.col("column").cast("bigint").alias("column"), F.col("row").cast("bigint").alias("row"), F.round("db", 4).alias("db"))
+QUERIES["meter"] = lambda spark, d: rounded(aggregates.meter(events(spark, d, 2), 0.1))
+SQL["meter"] = f"WITH {STEREO} SELECT stream_id, channel, n // 10 AS window, round(20 * log10(greatest(max(abs(s / {FULL})), 1e-10)), 6) + 0.0 AS peak_db FROM x GROUP BY ALL"
+QUERIES["headroom"] = lambda spark, d: rounded(aggregates.headroom(events(spark, d)))
+SQL["headroom"] = f"WITH {MONO} SELECT stream_id, round(-20 * log10(greatest(max(abs(s / {FULL})), 1e-10)), 6) + 0.0 AS db FROM x GROUP BY ALL"
+
+
+@query("figures", "WITH a AS (SELECT CAST(user_id AS VARCHAR) AS stream_id, sum(value) * unnest([0.001, 1, 1000, 1000000]) AS v, unnest([0, 1, 2, 3]) AS k FROM events GROUP BY user_id), b AS (SELECT *, pow(10.0, floor(log10(v)) - 2) AS step FROM a), c AS (SELECT *, floor(v / step + 0.5) * step AS r FROM b), e AS (SELECT *, CASE WHEN r >= 0.9999999e9 THEN 3 WHEN r >= 0.9999999e6 THEN 2 WHEN r >= 999.9999 THEN 1 ELSE 0 END AS g FROM c), f AS (SELECT *, r / pow(1000.0, g) AS m FROM e) SELECT stream_id, CAST(k AS BIGINT) AS k, printf(CASE WHEN m < 9.995 THEN '%.2f' WHEN m < 99.95 THEN '%.1f' ELSE '%.0f' END, m) || ['', 'k', 'M', 'G'][g + 1] AS told FROM f")
+def _figures(spark: SparkSession, d: str) -> DataFrame:
+    """Totals by user, and thousandths and thousands of them, in three figures."""
+    total = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").cast("string").alias("stream_id")).agg(F.sum("value").alias("v"))
+    scaled = total.select("stream_id", "v", F.posexplode(F.array(*[F.lit(x) for x in (0.001, 1.0, 1000.0, 1000000.0)])).alias("k", "f"))
+    return scaled.select("stream_id", F.col("k").cast("bigint").alias("k"), figures3(F.col("v") * F.col("f")).alias("told"))
+
+
 QUERIES["clips"] = lambda spark, d: rounded(maps.with_clips(events(spark, d), 1.7))
 SQL["clips"] = f"WITH {MONO} SELECT stream_id, channel, count(*) FILTER (s * 1.7::DOUBLE >= {MAX} + 0.5 OR s * 1.7::DOUBLE <= {MIN} - 0.5) AS clips FROM x GROUP BY ALL"
 QUERIES["lengths"] = lambda spark, d: rounded(events(spark, d).lengths())

@@ -13,14 +13,18 @@ from ..signal import LAYOUT, Signal
 from . import formats
 
 
-def decode_files(files: DataFrame, kind: str | None = None, rate: float | None = None, channels: int | None = None) -> DataFrame:
-    """(stream_id, channel, n, s) of rows (path, content): one file is one stream. rate and channels are for headerless kinds."""
+def decode_files(files: DataFrame, kind: str | None = None, rate: float | None = None, channels: int | None = None, ignore_length: bool = False) -> DataFrame:
+    """(stream_id, channel, n, s) of rows (path, content): one file is one stream. rate and channels are for headerless kinds.
+
+    ignore_length: RIFF files are read to their end, whatever length their header tells.
+    """
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 f = formats.FORMATS[kind or formats.detect(bytes(content[:64]), path)]
-                _, a, _ = f.read(bytes(content))
+                raw = bytes(content)
+                _, a, _ = f.read(formats.to_the_end(raw) if ignore_length and raw[:4] in (b"RIFF", b"RIFX") else raw)
                 if channels and a.shape[1] == 1 and channels > 1:
                     a = formats.wide(formats.flat(a), channels)
                 for k in range(0, len(a), 1 << 16):

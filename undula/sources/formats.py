@@ -208,6 +208,14 @@ def wav_header(b: bytes, total: int) -> tuple[float, int, int, int] | None:
     return None
 
 
+def to_the_end(b: bytes) -> bytes:
+    """A RIFF file whose data goes to the file's end, whatever its header says."""
+    for name, at, _ in chunks(b, 12, b[:4] == b"RIFX"):
+        if name == b"data":
+            return b[: at - 4] + b"\xff" * 4 + b[at:]
+    return b
+
+
 put("wav", "wavpcm", "amb", read=read_wav, write=write_wav)
 for _name, _bits, _code, _kept in (("wav8", 8, 1, 8), ("wav24", 24, 1, 24), ("wav32", 32, 1, 32), ("wav_float", 32, 3, 24), ("wav_alaw", 8, 6, 13), ("wav_ulaw", 8, 7, 14)):
     put(_name, read=read_wav, write=lambda a, r, b=_bits, c=_code: write_wav(a, r, b, c), bits=_kept)
@@ -768,3 +776,26 @@ def aiff_with_comments(b: bytes, comments: list[str]) -> bytes:
 
 #: Formats whose headers hold comments: reads them from a file's first bytes, puts them into a file.
 COMMENTS: dict[str, tuple[Callable[[bytes], list[str]], Callable[[bytes, list[str]], bytes]]] = {n: (au_comments, au_with_comments) for n in ("au", "snd")} | {n: (aiff_comments, aiff_with_comments) for n in ("aiff", "aif", "aifc", "aiffc", "aifc_float")}
+
+
+# --- PARIS ---
+
+
+def read_paf(b: bytes) -> tuple[float, np.ndarray, int]:
+    if b[:4] not in (b" paf", b"fap "):
+        raise ValueError("not a PARIS file")
+    big = b[:4] == b" paf"
+    _, order, rate, code, channels, _ = struct.unpack_from(">6i" if big else "<6i", b, 4)
+    if code not in (0, 2):
+        raise ValueError("only 8 and 16 bits of PARIS files are covered")
+    bits = 16 if code == 0 else 8
+    return float(rate), wide(pcm.bytes_int(b[2048:], bits, True, order == 0), channels), bits
+
+
+def write_paf(a: np.ndarray, rate: float, big: bool = True) -> bytes:
+    head = struct.pack(">6i" if big else "<6i", 0, 0 if big else 1, int(rate + 0.5), 0, a.shape[1], 0)
+    return ((b" paf" if big else b"fap ") + head).ljust(2048, b"\0") + pcm.int_bytes(flat(a), 16, big=big)
+
+
+put("paf", read=read_paf, write=write_paf)
+put("fap", read=read_paf, write=lambda a, r: write_paf(a, r, False))
