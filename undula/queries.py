@@ -18,7 +18,7 @@ from .functions import design, laws
 from .functions.numeric import figures3, from_unit, linear
 from .operators import aggregates, combine, frames, maps, resample, rows, scan, sequential, synth, windows
 from .signal import Signal, from_table
-from .sources import files, formats
+from .sources import files, formats, pcm
 from .streaming import windows as stream
 
 RATE = 100.0
@@ -493,6 +493,37 @@ for _law, _names in {_mu: ("ul", "lu", "wav_ulaw"), _a: ("al", "la", "wav_alaw",
         SQL[f"format_{_n}"] = f"{_levels} SELECT {COLS}, v * 65536 AS s FROM x ASOF JOIN lv ON s / 65536.0::DOUBLE >= lo"
 # a ring tone has whole words: an odd length grows by a byte of 0
 SQL["format_gsrt"] += " UNION ALL SELECT stream_id, 0, max(n) + 1, -5504 * 65536 FROM x GROUP BY stream_id HAVING max(n) % 2 = 0"
+
+def adaptive(steps: list[int], low: int) -> str:
+    """Four-bit adaptive codes written and read: value and step's place follow the codes; low: bits of a move that are dropped."""
+    top, move = len(steps) - 1, "((st[i + 1] * (2 * c + 1)) // 8 // {q} * {q})".format(q=low)
+    code = "least(7, abs(t - v) * 4 // st[i + 1])"
+    moved = f"CASE WHEN t < v THEN greatest(-32768, v - {move}) ELSE least(32767, v + {move}) END"
+    place = f"greatest(0, least({top}, i + CASE WHEN c < 4 THEN -1 ELSE 2 * (c - 3) END))"
+    # an odd length grows by a code of 0
+    return f"WITH RECURSIVE {MONO}, t AS (SELECT stream_id, n, CAST(floor(s / 65536.0) AS BIGINT) AS s FROM x UNION ALL SELECT stream_id, max(n) + 1, NULL FROM x GROUP BY stream_id HAVING max(n) % 2 = 0), e AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS v, CAST(0 AS BIGINT) AS i FROM x UNION ALL SELECT stream_id, n, {moved}, {place} FROM (SELECT *, CASE WHEN s IS NULL THEN 0 ELSE {code} END AS c FROM (SELECT t.stream_id, t.n, t.s, coalesce(t.s, e.v) AS t, e.v, e.i, {steps}::BIGINT[] AS st FROM e JOIN t ON t.stream_id = e.stream_id AND t.n = e.n + 1))) SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, v * 65536 AS s FROM e WHERE n >= 0"
+
+
+SQL["format_ima"], SQL["format_vox"] = adaptive(pcm.IMA_STEPS, 1), adaptive(pcm.OKI_STEPS, 16)
+
+
+def _twice(name: str, source: str, kind: str) -> str:
+    """Tables name1 and name2: a column v of the source through a second-order filter at 20 Hz once and again."""
+    sign = 1 if kind == "high" else -1
+    out = []
+    for k, src in ((1, source), (2, f"{name}1")):
+        u, back = f"b0 * v + {-2 * sign} * b0 * v1 + b0 * v2", "u - a1 * y.v - a2 * y.w"
+        out.append(f"{name}{k}u AS (SELECT stream_id, n, {u} AS u, a1, a2 FROM (SELECT *, coalesce(lag(v) OVER w, 0) AS v1, coalesce(lag(v, 2) OVER w, 0) AS v2 FROM {src} WINDOW w AS (PARTITION BY stream_id ORDER BY n)), (SELECT (1 + {sign} * c) / 2 / (1 + al) AS b0, -2 * c / (1 + al) AS a1, (1 - al) / (1 + al) AS a2 FROM (SELECT cos(0.4 * pi()) AS c, sin(0.4 * pi()) / sqrt(2) AS al))), {name}{k} AS (SELECT stream_id, n, u AS v, 0.0::DOUBLE AS w FROM {name}{k}u WHERE n = 0 UNION ALL SELECT q.stream_id, q.n, {back}, y.v FROM {name}{k} y JOIN {name}{k}u q ON q.stream_id = y.stream_id AND q.n = y.n + 1)")
+    return ", ".join(out)
+
+
+def _band(name: str, source: str, attack: float, decay: float, slope: float, least: float) -> str:
+    """A band's rounded samples and its level."""
+    follow = f"v + (abs(b.v) - l) * CASE WHEN abs(b.v) > l THEN {_rate(attack)} ELSE {_rate(decay)} END"
+    return f"{name} AS (SELECT stream_id, n, round_even(v * {FULL}, 0) / {FULL} AS v FROM {source}), {name}l AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS n, 1.0::DOUBLE AS l FROM x UNION ALL SELECT b.stream_id, b.n, {follow.replace('v + (', 'l + (', 1)} FROM {name}l t JOIN {name} b ON b.stream_id = t.stream_id AND b.n = t.n + 1), {name}g AS (SELECT stream_id, n, v * pow(10, CASE WHEN {_db} < {least} THEN {-slope * -least} ELSE greatest(0, -{slope} * {_db}) END / 20) AS g FROM {name} JOIN {name}l USING (stream_id, n))"
+
+
+SQL["mcompand"] = f"WITH RECURSIVE {MONO}, f AS (SELECT stream_id, n, s / {FULL} AS v FROM x), {_twice('lo', 'f', 'low')}, {_twice('hi', 'f', 'high')}, {_band('p', 'lo2', 0.05, 0.2, 0.25, -40.0)}, {_band('q', 'hi2', 0.02, 0.1, 0.1, -50.0)} SELECT p.stream_id, CAST(0 AS BIGINT) AS channel, p.n, {R(f'greatest(-1, least(1, greatest(-1, least(1, p.g)) + q.g)) * {FULL}')} AS s FROM pg p JOIN qg q ON q.stream_id = p.stream_id AND q.n = p.n"
 SQL["format_cdda"] = f"WITH {STEREO}, l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL) SELECT {COLS}, s FROM x UNION ALL SELECT stream_id, c, unnest(range(length, CAST(ceil(length / 588.0) AS BIGINT) * 588)), 0 FROM l, range(2) t(c)"
 
 
