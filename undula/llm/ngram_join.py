@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -347,9 +347,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """
     docs = docs.select("doc_id", "text")
     seen = written(_sets(docs, frequent_shingles(docs, words), words, percent), "sets")
-    classes = written(seen.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), "classes")
-    first = seen.where("n > 0").withColumnRenamed("doc_id", "doc").join(classes.select("doc", "set"), ["doc", "set"]).dropDuplicates(["doc", "set"])
-    prefixes = written(first.select("doc", "n", "heavy", "prefix", "salts"), "prefixes")
+    # one row of each set, that of the least doc_id: rows meet once, and those of a task are one before they travel
+    least = F.min_by(F.struct("doc_id", "n", "heavy", "prefix", "salts"), "doc_id").alias("r")
+    prefixes = written(seen.where("n > 0 and doc_id is not null").groupBy("set").agg(least).select("set", F.col("r.doc_id").alias("doc"), "r.n", "r.heavy", "r.prefix", "r.salts"), "prefixes")
     size = F.size("prefix")
     entry = prefixes.select("doc", "n", (F.col("heavy").cast("bigint") * 1_000_000 / size).cast("int").alias("rank"), F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
     entries = entry.select(F.col("e.prefix").alias("token"), F.col("e.salts").alias("salts"), F.pmod(F.xxhash64("doc"), F.col("e.salts")).cast("int").alias("salt"), "rank", "doc", "n")
@@ -362,7 +362,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     light = light.where(F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) + F.greatest(beyond("na"), beyond("nb")) >= need).select("a", "b")
-    star = _ordered(product.where("kind = 1").drop("kind", "token").where(_could(percent))).select("a", "b")
+    # of a row's central rows those that share most columns with it; what they leave apart is compared further on
+    met = product.where("kind = 1").where(_could(percent)).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"))
+    star = _ordered(met.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("k") <= HUBS).drop("k", "c")).select("a", "b")
     hubs = rows.where("place >= 0")
     top = hubs.where("place = 0").groupBy("token").agg(F.min(F.struct("doc", "n")).alias("t"))
     across = _ordered(hubs.join(top, "token").select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("t.doc").alias("b"), F.col("t.n").alias("nb")).where(_could(percent))).select("a", "b")
@@ -375,7 +377,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     if more.limit(1).count():
         found = written(verified(more, docs, words, percent), "links")
         comps = components(links.unionByName(found))
-    names = classes.join(comps, "doc", "left").select("set", F.coalesce("component", "doc").alias("component"))
+    names = prefixes.select("set", "doc").join(comps, "doc", "left").select("set", F.coalesce("component", "doc").alias("component"))
     out = seen.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(names, "set", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
