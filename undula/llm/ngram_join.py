@@ -31,7 +31,7 @@ HUBS = 3
 #: Rows of a column that go to one task.
 SALTED = 4096
 #: Rows of a block of the product over heavy columns.
-BLOCK = 256
+BLOCK = 512
 #: Bits of the map of documents whose texts are fetched.
 MARKS = 1 << 23
 #: Shingles known to be frequent, at most: they only set the order.
@@ -218,6 +218,18 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint32)
 
 
+def _marked(rows: DataFrame, marks: np.ndarray) -> DataFrame:
+    """rows (doc and others) without most of those whose doc isn't in the map."""
+    names = rows.columns
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = b.column("place").to_numpy().astype(np.int64)
+            yield b.select(names).filter(pa.array((marks[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
+
+    return rows.withColumn("place", F.pmod(F.xxhash64("doc"), F.lit(MARKS))).mapInArrow(kept, rows.schema)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link. Texts of the documents in pairs travel compressed, to each of their pairs."""
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
@@ -227,9 +239,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for b in batches:
-            place = b.column("place").to_numpy().astype(np.int64)
-            mask = pa.array((marks[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool))
-            yield _arrow("lb", doc=b.column("doc").filter(mask), blob=[pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").filter(mask).to_pylist()])
+            yield _arrow("lb", doc=b.column("doc"), blob=[pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, kept = zstandard.ZstdDecompressor(), {}
@@ -251,8 +261,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
     doc = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").where("doc is not null")
-    source = doc.withColumn("place", F.pmod(F.xxhash64("doc"), F.lit(MARKS))).mapInArrow(packed, "doc bigint, blob binary")
-    blobs = written(source.join(ids, "doc", "left_semi"), "texts")
+    # the few texts that the map lets through besides those of pairs meet no pair below
+    blobs = written(_marked(doc, marks).mapInArrow(packed, "doc bigint, blob binary"), "texts")
     left = pairs.select("a", "b").join(blobs.select(F.col("doc").alias("a"), F.col("blob").alias("blob_a")), "a")
     full = left.join(blobs.select(F.col("doc").alias("b"), F.col("blob").alias("blob_b")), "b")
     return full.select("a", "b", "blob_a", "blob_b").mapInArrow(linked, "a bigint, b bigint").distinct()
@@ -299,7 +309,8 @@ def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame, percen
     left = of.join(mixed, group)
     mine = left.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     met = mine.select(*group, "own", "doc", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = met.join(prefixes, "doc").select(*group, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc", "component", "n", (F.col("own") > F.col("size")).alias("upper"), "prefix")
+    own = _marked(prefixes, _marks(left.select("doc")))
+    cells = met.join(own, "doc").select(*group, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc", "component", "n", (F.col("own") > F.col("size")).alias("upper"), "prefix")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cell(rows: list[tuple]) -> pa.RecordBatch | None:
