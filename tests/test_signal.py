@@ -162,7 +162,7 @@ def test_laws_invert():
         assert (t[laws.nearest_code(t, t)] == t).all()
 
 
-@pytest.mark.parametrize("kind", [k for k, f in formats.FORMATS.items() if f.read and f.write and k not in ("null", "cdda", "cdr", "ima", "vox", "cvsd", "cvs", "cvu", "dvms", "vms", "al", "ul", "la", "lu", "gsrt", "wve", "wav_alaw", "wav_ulaw")])
+@pytest.mark.parametrize("kind", [k for k, f in formats.FORMATS.items() if f.read and f.write and k not in ("null", "cdda", "cdr", "ima", "vox", "cvsd", "cvs", "cvu", "dvms", "vms", "al", "ul", "la", "lu", "gsrt", "prc", "wve", "wav_alaw", "wav_ulaw")])
 def test_format(kind):
     f = formats.FORMATS[kind]
     c = f.channels or 2
@@ -175,7 +175,7 @@ def test_format(kind):
     assert formats.detect(f.write(a.astype(np.int32), 8000.0), f"x.{kind}") in formats.FORMATS
 
 
-@pytest.mark.parametrize("kind", ["al", "ul", "la", "lu", "wve", "gsrt", "ima", "vox"])
+@pytest.mark.parametrize("kind", ["al", "ul", "la", "lu", "wve", "gsrt", "prc", "ima", "vox"])
 def test_lossy_format(kind):
     a = np.rint(np.sin(np.arange(400) / 15) * (1 << 29)).astype(np.int32)[:, None]
     f = formats.FORMATS[kind]
