@@ -324,10 +324,10 @@ def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame, percen
             for a, b in zip(starts, np.concatenate([starts[1:], [len(token)]])):
                 if b - a > 1:
                     overlap[np.ix_(owner[a:b], owner[a:b])] += 1
-            i, j = np.triu_indices(len(rows), 1)
+            i, j = np.nonzero(np.triu(overlap, 1))
             rest = np.array([r[7] - len(r[9]) for r in rows])
             need = -(-percent * (size[i] + size[j]) // (100 + percent))
-            ok = (comp[i] != comp[j]) & (doc[i] != doc[j]) & ((rows[0][2] == rows[0][3]) | (side[i] != side[j])) & ~(upper[i] & upper[j]).astype(bool) & (overlap[i, j] > 0) & (overlap[i, j] + np.maximum(rest[i], rest[j]) >= need)
+            ok = (comp[i] != comp[j]) & (doc[i] != doc[j]) & ((rows[0][2] == rows[0][3]) | (side[i] != side[j])) & ~(upper[i] & upper[j]).astype(bool) & (overlap[i, j] + np.maximum(rest[i], rest[j]) >= need)
             i, j = i[ok], j[ok]
             return _arrow("lili", a=doc[i], na=size[i].astype(np.int32), b=doc[j], nb=size[j].astype(np.int32)) if len(i) else None
 
