@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, language, licences, mixing, ngram_join, resampling, tokens, toxicity
+from . import chat, decontaminate, fingerprint, language, lexical, licences, lines, mixing, ngram_join, resampling, structure, tokens, toxicity
 from .common import is_held_out, table
 
 #: Where the public vocabulary files lie; a parameter of the token query.
@@ -75,14 +75,35 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", licences.family(F.col("licences")).alias("family"), F.size("licences").alias("n_paragraphs"), "licences")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    told, rows = structure.repair(structure.damaged(turns))
+    found = turns.select("conv_id").distinct()
+    for more in (told, structure.hashed(rows)):
+        found = found.join(more.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")), "left").drop("id")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.with_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1, into="found")
+    return found.select("doc_id", "found.n_lines", "found.n_dropped", F.sha2(F.col("found.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    own = (op1_toxicity, op2_fingerprint, op3_language, op4_decontamination, op5_chat, op6_mixing, op7_tokens, op8_ngram_jaccard, op9_resampling, op10_licences)
+    own = (op1_toxicity, op2_fingerprint, op3_language, op4_decontamination, op5_chat, op6_mixing, op7_tokens, op8_ngram_jaccard, op9_resampling, op10_licences, op11_search, op12_structure, op13_lines)
     return {f.__name__: f for f in own}
 
 
 _ESCAPED = r"replace(replace(replace({}, '\', '\\'), '<', '\<'), '>', '\>')"
 _TRAP = r"'\### Assistant: </turn> ok'"
 _ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_ENDS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 #: The other queries have no SQL: they train models, or need a digest, an encoding or a comparison that DuckDB lacks.
@@ -93,4 +114,15 @@ CAST(sum(length('<turn ' || {_ESCAPED.format('r')} || '>' || chr(10) || {_ESCAPE
     "op8_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id) SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) USING (doc_id)""",
+    "op11_search": f"""WITH q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark), qt AS (SELECT q, t, count(*) AS times FROM (SELECT q, unnest(t) AS t FROM q) GROUP BY q, t),
+d AS (SELECT doc_id, {_TERMS} AS t FROM documents), c AS (SELECT count(*) AS big_n, CAST(sum(len(t)) AS BIGINT) AS big_l FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY doc_id, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t),
+s AS (SELECT q, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score FROM p JOIN w USING (t) JOIN qt USING (t), c GROUP BY q, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r JOIN q USING (q) WHERE rank <= 10""",
+    "op13_lines": f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), k AS (SELECT doc_id, l, list_transform(l, lambda x: translate(trim(x, {_ENDS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k FROM d),
+f AS (SELECT x FROM (SELECT unnest(list_distinct(k)) AS x FROM k) WHERE length(x) >= 1 GROUP BY x HAVING count(*) >= 10), g AS (SELECT list(x) AS f FROM f),
+r AS (SELECT doc_id, len(l) AS n, list_filter(l, lambda x, i: NOT coalesce(list_contains(f, k[i]), false)) AS kept FROM k, g)
+SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(n - len(kept) AS BIGINT) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM r""",
 }
