@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from undula.functions import design, laws
-from undula.operators import combine, maps, rows, scan, sequential, synth, windows
+from undula.operators import combine, maps, rows, scan, sequential, stateful, synth, windows
 from undula.plans import chain, parse
 from undula.signal import Signal
 from undula.sources import files, formats, pcm
@@ -75,7 +75,7 @@ def test_generator_by_doubling():
     for _ in range(1000):
         x = (1664525 * x + 1013904223) % (1 << 32)
         want.append(x - (1 << 32) if x >> 31 else x)
-    assert sequential.lcg(1, 1000).tolist() == want
+    assert stateful.lcg(1, 1000).tolist() == want
 
 
 def test_resampled_tone(spark):
@@ -322,7 +322,7 @@ def test_vad_finds_the_voice(spark):
     assert 8000 <= len(y) <= 10_500
     for quiet in (np.zeros(4000, np.int64), np.rint(rng.normal(0, 0.001, 12_000) * (1 << 31)).astype(np.int64)):
         assert sequential.vad(signal(spark, quiet)).df.count() == 0
-    assert [sequential.rise(m, 7.0, 2, 8) for m in ([8, 8, 1, 8, 0, 0, 9], [8, 3, 3, 3, 8], [8, 3, 0, 8, 8, 8, 8, 8])] == [4, 5, 2]
+    assert [stateful.onset(np.array([*m, *[0] * (8 - len(m))]), 7.0, 2) for m in ([8, 8, 1, 8, 0, 0, 9], [8, 3, 3, 3, 8], [8, 3, 0, 8, 8, 8, 8, 8])] == [4, 5, 2]
 
 
 def test_noise_is_reduced(spark):

@@ -1,7 +1,7 @@
-"""Operators whose state depends on its own past in ways that are not linear: one kernel a channel (or a stream).
+"""Operators whose state depends on its own past in ways that are not linear.
 
-Work is spread over streams and channels; within one it is a loop. Each kernel gets a stream's samples as an array of
-(channels, places) of float samples in units of full scale and gives such an array back.
+Work is spread over streams. Those whose state is bounded run in blocks (see stateful); the kernels of the others get a stream's
+samples as an array of (channels, places) in units of full scale and give such an array back.
 """
 
 from __future__ import annotations
@@ -14,14 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import design
-from ..functions.numeric import FULL, MAX, MIN
+from ..functions.numeric import FULL
 from ..signal import LAYOUT, Signal
+from . import stateful
 from .scan import recurse
-
-
-def to_samples(y: np.ndarray, cut: bool = False) -> np.ndarray:
-    d = np.clip(y * FULL, MIN, MAX)
-    return (np.trunc(d) if cut else np.trunc(d + np.where(d < 0, -0.5, 0.5))).clip(MIN, MAX).astype(np.int64).astype(np.int32)
+from .stateful import blockwise, to_samples
 
 
 def by_stream(x: Signal, kernel: Callable[[np.ndarray], np.ndarray], channels: int | None = None, rate: float | None = None, cut: bool = False) -> Signal:
@@ -84,15 +81,6 @@ def rate_of(seconds: float, rate: float) -> float:
     return 1 - math.exp(-1 / (rate * seconds)) if seconds > 1 / rate else 1.0
 
 
-def envelope(level: np.ndarray, attack: float, decay: float, start: float) -> np.ndarray:
-    """Follows a level with one share of the distance when it rises and another when it falls."""
-    out, v = np.empty(len(level)), start
-    for k, u in enumerate(level.tolist()):
-        v += (u - v) * (attack if u > v else decay)
-        out[k] = v
-    return out
-
-
 def compand(x: Signal, times: list[tuple[float, float]], points: list[tuple[float, float]], knee: float = 0.01, gain: float = 0.0, initial: float = 0.0, delay: float = 0.0) -> Signal:
     """Gain by a transfer curve of the level. One (attack, decay) pair for all channels together, or one for each.
 
@@ -102,15 +90,7 @@ def compand(x: Signal, times: list[tuple[float, float]], points: list[tuple[floa
     rates = [(rate_of(a, x.rate), rate_of(d, x.rate)) for a, d in times]
     late = int(delay * x.rate)
 
-    def kernel(v: np.ndarray) -> np.ndarray:
-        if len(rates) == 1 and len(v) > 1:
-            follow = [envelope(np.abs(v).max(0), *rates[0], start)] * len(v)
-        else:
-            follow = [envelope(np.abs(row), *rates[min(k, len(rates) - 1)], start) for k, row in enumerate(v)]
-        shifted = np.stack([np.concatenate([row[late:], np.zeros(late)])[: len(row)] for row in np.stack(follow)]) if late else np.stack(follow)
-        return v * curve(shifted)
-
-    return by_stream(x, kernel, cut=True)
+    return blockwise(x, stateful.Compand(rates, curve, start, late))
 
 
 def mcompand(x: Signal, bands: list[dict], crossovers: list[float]) -> Signal:
@@ -118,29 +98,9 @@ def mcompand(x: Signal, bands: list[dict], crossovers: list[float]) -> Signal:
 
     bands: dicts of compand's times, points, knee, gain, initial.
     """
-    def split(v: np.ndarray, f: float) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for kind in ("lowpass", "highpass"):
-            c = design.biquad(kind, x.rate, f, math.sqrt(0.5))
-            once = recurse(c[:3], c[3:], v)
-            out.append(np.round(recurse(c[:3], c[3:], once) * FULL) / FULL)
-        return out[0], out[1]
-
-    def kernel(v: np.ndarray) -> np.ndarray:
-        total, rest = np.zeros_like(v), v
-        for k, band in enumerate(bands):
-            if k < len(crossovers):
-                parts = [split(row, crossovers[k]) for row in rest]
-                low, rest = np.stack([p[0] for p in parts]), np.stack([p[1] for p in parts])
-            else:
-                low = rest
-            curve = transfer(band["points"], band.get("knee", 0.01), band.get("gain", 0.0))
-            a, d = band["times"][0]
-            level = envelope(np.abs(low).max(0), rate_of(a, x.rate), rate_of(d, x.rate), 10 ** (band.get("initial", 0.0) / 20))
-            total = np.clip(total + low * curve(level), -1, 1)
-        return total
-
-    return by_stream(x, kernel)
+    splits = [tuple(tuple(design.biquad(kind, x.rate, f, math.sqrt(0.5))) for kind in ("lowpass", "highpass")) for f in crossovers]
+    made = [(tuple(rate_of(t, x.rate) for t in b["times"][0]), transfer(b["points"], b.get("knee", 0.01), b.get("gain", 0.0)), 10 ** (b.get("initial", 0.0) / 20)) for b in bands]
+    return blockwise(x, stateful.Bands(splits, made))
 
 
 # --- modulated delays ---
@@ -158,23 +118,10 @@ def flanger(x: Signal, delay: float = 0, depth: float = 2, regen: float = 0, wid
     dry, wet = 1 / (1 + w), w / (1 + w) * (1 - abs(g))
     low, size = delay / 1000 * x.rate, int((delay + depth) / 1000 * x.rate + 0.5) + 2
 
-    def kernel(v: np.ndarray, c: int) -> np.ndarray:
-        n = np.arange(len(v))
-        at = low + depth / 1000 * x.rate * wave(shape[:1], n, x.rate / speed, (c * phase / 100 + 0.75) % 1)
-        whole = np.floor(at).astype(int)
-        part = at - whole
-        line, out, last, pos = np.zeros(size + 2), np.empty(len(v)), 0.0, 0
-        m = len(line)
-        for k in range(len(v)):
-            pos = (pos - 1) % m
-            line[pos] = v[k] + last * g
-            a, b, q = line[(pos + whole[k]) % m], line[(pos + whole[k] + 1) % m], line[(pos + whole[k] + 2) % m]
-            f = part[k]
-            last = a + (b - a) * f if interp == "linear" else a + f * ((b - a) * 2 - (q - a) / 2 + f * ((q - a) / 2 - (b - a)))
-            out[k] = v[k] * dry + last * wet
-        return out
+    def swing(n: np.ndarray, c: int) -> np.ndarray:
+        return low + depth / 1000 * x.rate * wave(shape[:1], n, x.rate / speed, (c * phase / 100 + 0.75) % 1)
 
-    return by_channel(x, kernel)
+    return blockwise(x, stateful.Flanger(swing, size + 2, g, dry, wet, interp != "linear"))
 
 
 def phaser(x: Signal, gain_in: float = 0.4, gain_out: float = 0.74, delay: float = 3, decay: float = 0.4, speed: float = 0.5, shape: str = "t") -> Signal:
@@ -182,17 +129,10 @@ def phaser(x: Signal, gain_in: float = 0.4, gain_out: float = 0.74, delay: float
     size = max(1, int(delay * 0.001 * x.rate + 0.5))
     period = int(x.rate / speed + 0.5)
 
-    def kernel(v: np.ndarray, c: int) -> np.ndarray:
-        place = (1 + np.round(wave(shape, np.arange(len(v)), period, 0.25) * (size - 1))).astype(int)
-        line, out, pos = np.zeros(size), np.empty(len(v)), 0
-        for k in range(len(v)):
-            d = v[k] * gain_in + line[(pos + place[k]) % size] * decay
-            pos = (pos + 1) % size
-            line[pos] = d
-            out[k] = d * gain_out
-        return out
+    def place(n: np.ndarray) -> np.ndarray:
+        return (1 + np.round(wave(shape, n, period, 0.25) * (size - 1))).astype(int)
 
-    return by_channel(x, kernel)
+    return blockwise(x, stateful.Phaser(place, size, gain_in, gain_out, decay))
 
 
 #: Lengths of the reverberator's combs and all-passes in samples at 44.1 kHz: fixed values.
@@ -350,68 +290,11 @@ def bend(x: Signal, bends: list[tuple[int, float, int]], frames_per_second: int
 # --- choosing by level ---
 
 
-def running_rms(v: np.ndarray, size: int) -> np.ndarray:
-    """Over the last `size` places of each channel, zeros before the start."""
-    c = np.cumsum(np.pad(v**2, ((0, 0), (1, 0))), 1)
-    n = np.arange(1, v.shape[1] + 1)
-    return np.sqrt(np.maximum(0, c[:, n] - c[:, np.maximum(0, n - size)]) / size)
-
-
 def silence(x: Signal, above_periods: int, above: tuple[int, float] = (0, 0.0), below_periods: int = 0, below: tuple[int, float] = (0, 0.0), leave: bool = False) -> Signal:
     """Drops silence at the start until `above_periods` times sound lasts; stops (or, with negative below_periods, restarts) where
     silence lasts. above and below: (samples, level as a share of full scale). Level: running RMS over 20 ms; sound is any
     channel over it. leave: the first below[0] samples of a silence that is cut stay."""
-    size = max(1, int(x.rate / 50))
-
-    def kernel(v: np.ndarray) -> np.ndarray:
-        loud = lambda level: (running_rms(v, size) > level).any(0)
-        keep = np.zeros(v.shape[1], bool)
-        on, off = loud(above[1]), loud(below[1])
-        n, at, active = v.shape[1], 0, above_periods == 0
-        while at < n:
-            if not active:
-                periods, run = 0, 0
-                start = None
-                while at < n and start is None:
-                    run = run + 1 if on[at] else 0
-                    if run and run >= above[0]:
-                        periods += 1
-                        if periods >= above_periods:
-                            start = at - run + 1
-                        else:
-                            while at < n and on[at]:
-                                at += 1
-                            run = 0
-                            continue
-                    at += 1
-                if start is None:
-                    break
-                keep[start:at] = True
-                active = True
-                continue
-            if not below_periods:
-                keep[at:] = True
-                break
-            periods, run = 0, 0
-            while at < n:
-                run = 0 if off[at] else run + 1
-                keep[at] = True
-                at += 1
-                if run and run >= below[0]:
-                    periods += 1
-                    if periods >= abs(below_periods):
-                        keep[at - run : at] = False
-                        keep[at - run : at - run + (below[0] if leave else 0)] = True
-                        break
-                    run = 0
-            else:
-                break
-            if below_periods > 0:
-                break
-            active = above_periods == 0
-        return v[:, keep]
-
-    return by_stream(x, kernel)
+    return blockwise(x, stateful.Silence(max(1, int(x.rate / 50)), above_periods, above, below_periods, below, leave), precision=32)
 
 
 def vad(
@@ -435,43 +318,8 @@ def vad(
     fall = lambda seconds: math.exp(-1 / (seconds * frequency))
     up, down, slow, mean_share = fall(noise_up), fall(noise_down), fall(smoothing), fall(trigger_seconds)
     boots = int(boot * frequency - 0.5) + 1
-    taper, lift = design.window("hann", window) * 2 / math.sqrt(window), design.window("hann", last - first) * 2 / math.sqrt(last - first)
-
-    def kernel(v: np.ndarray) -> np.ndarray:
-        level, floor, mean = np.zeros((len(v), last - first)), np.zeros((len(v), last - first)), np.zeros(len(v))
-        history: list[np.ndarray] = []
-        for k, end in enumerate(range(window, v.shape[1] + 1, period)):
-            now = np.abs(np.fft.rfft(v[:, end - window : end] * taper, size))[:, first:last]
-            old = k / (1 + k) if k < boots else slow
-            level = level * old + now * (1 - old)
-            power = level**2
-            old = 0.0 if k < boots else np.where(power > floor, up, down)
-            floor = floor * old + power * (1 - old)
-            clear = np.zeros((len(v), size // 2))
-            clear[:, first:last] = np.sqrt(np.maximum(0, power - reduction * floor)) * lift
-            cepstrum = np.abs(np.fft.rfft(clear))[:, c0:c1] ** 2
-            with np.errstate(divide="ignore"):
-                measure = np.maximum(0, 21 + np.log(cepstrum.mean(1)))
-            history = [measure, *history[: kept - 1]]
-            mean = mean * mean_share + measure * (1 - mean_share)
-            if (mean >= trigger).any():
-                back = max(rise([h[c] for h in history], trigger, bridged, kept) for c in np.flatnonzero(mean >= trigger))
-                return v[:, max(0, end - window - back * period - int(before * x.rate + 0.5)) :]
-        return v[:, :0]
-
-    return by_stream(x, kernel)
-
-
-def rise(measures: list[float], trigger: float, bridged: int, kept: int) -> int:
-    """How many measures ago (latest first) speech began: back over those at the trigger, each at most `bridged` after the next
-    one, and on to the silence before the earliest of them."""
-    at = quiet = kept
-    for k, m in enumerate([*measures, *[0.0] * (kept - len(measures))]):
-        if m >= trigger and k <= at + bridged:
-            at = quiet = k
-        elif not m and at >= quiet:
-            quiet = k
-    return min(kept, quiet)
+    taper, lift = stateful.tapers(window, last - first)
+    return blockwise(x, stateful.Voice(window, size, period, kept, bridged, int(before * x.rate + 0.5), boots, (first, last), (c0, c1), trigger, up, down, slow, mean_share, reduction, taper, lift))
 
 
 # --- requantising ---
@@ -515,15 +363,6 @@ def shaper(name: str, rate: float, strict: bool = False) -> list[float]:
     return SHAPES[name][near]
 
 
-def lcg(seed: int, count: int) -> np.ndarray:
-    """count draws of the 32-bit generator x <- 1664525 x + 1013904223 after seed, as signed values; by doubling."""
-    a, c = np.array([1664525], np.uint64), np.array([1013904223], np.uint64)
-    mask = np.uint64(0xFFFFFFFF)
-    while len(a) < count:
-        a, c = np.concatenate([a, a * a[-1] & mask]), np.concatenate([c, (a * c[-1] + c) & mask])
-    return ((a[:count] * np.uint64(seed & 0xFFFFFFFF) + c[:count]) & mask).astype(np.uint32).view(np.int32)
-
-
 #: Places without bits to lose after which automatic dither rests.
 RESTS = 64
 
@@ -533,45 +372,12 @@ def dither(x: Signal, bits: int, shape: str | None = None, slope: bool = False,
 
     automatic: only while one of the last RESTS samples has bits that would be lost; in between samples pass unchanged.
     """
-    step = 1 << (32 - bits)
-    top, bottom = (1 << (bits - 1)) - 1, -(1 << (bits - 1))
     taps = shaper(shape, x.rate, strict) if shape else []
     fed, own = (taps[:4], taps[4:]) if shape == "gesemann" else (taps, [])
+    return blockwise(x, stateful.Dither(bits, fed, own, slope, seed, RESTS if automatic else None), precision=bits)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        c, s = int(pdf["channel"].iat[0]), pdf["s"].to_numpy(np.int64)
-        on = np.ones(len(s), bool)
-        if automatic:
-            since = np.arange(len(s)) - np.maximum.accumulate(np.where(s & (step - 1), np.arange(len(s)), -RESTS))
-            on = since < RESTS
-        v, draws = s[on].astype(float), lcg(seed + c, 2 * int(on.sum())) >> bits
-        if slope:
-            draw = draws[: len(v)]
-            noise = draw - np.concatenate([[0], draw[:-1]])
-        else:
-            noise = draws[::2] + draws[1::2]
-        if not taps:
-            q = np.trunc((v + noise) / step + np.where(v + noise < 0, -0.5, 0.5))
-        else:
-            errors, outputs, q = [0.0] * len(fed), [0.0] * len(own), np.empty(len(v))
-            begins = np.diff(np.flatnonzero(on), prepend=-2) > 1  # after a rest nothing is fed back
-            for k in range(len(v)):
-                if begins[k]:
-                    errors, outputs = [0.0] * len(fed), [0.0] * len(own)
-                back = sum(a * e for a, e in zip(fed, errors)) - sum(a * o for a, o in zip(own, outputs))
-                want = v[k] / step - back
-                with_noise = want + noise[k] / step
-                q[k] = math.trunc(with_noise + (-0.5 if with_noise < 0 else 0.5))
-                errors, outputs = [q[k] - want, *errors[:-1]], [back, *outputs[:-1]] if own else []
-        out = s.copy()
-        out[on] = (np.clip(q, bottom, top) * step).astype(np.int64)
-        return pd.DataFrame({"stream_id": pdf["stream_id"], "channel": pdf["channel"], "n": pdf["n"], "s": out.astype(np.int32)})
-
-    return x.with_df(x.df.groupBy("stream_id", "channel").applyInPandas(run, LAYOUT), precision=bits)
-
-
-def user(x: Signal, kernel: Callable[[np.ndarray], np.ndarray]) -> Signal:
-    """A caller's own kernel over (channels, places)."""
-    return by_stream(x, kernel)
+
+def user(x: Signal, kernel: Callable[[np.ndarray], np.ndarray] | stateful.Operator) -> Signal:
+    """A caller's own kernel over (channels, places) of float samples, or an operator in blocks with a state."""
+    return blockwise(x, kernel) if hasattr(kernel, "flow") else by_stream(x, kernel)
 

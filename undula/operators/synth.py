@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import FULL, MAX, rounded
 from ..signal import LAYOUT, Signal
 from .scan import recurse
-from .sequential import lcg
+from .stateful import lcg
 
 TONES = ("sine", "square", "sawtooth", "triangle", "trapezium", "exp")
 NOISES = ("whitenoise", "tpdfnoise", "pinknoise", "brownnoise", "pluck")

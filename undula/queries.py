@@ -318,14 +318,9 @@ signal_query("bend", lambda x: sequential.bend(x, [(5, 300.0, 30)], 2, 8))
 signal_query("silence", lambda x: sequential.silence(x, 1, (3, 0.5), 1, (4, 0.2)))
 
 
-@query("vad")
-def _vad(spark: SparkSession, d: str) -> DataFrame:
-    """Over all events as one stream."""
-    df = spark.read.parquet(f"{d}/events.parquet")
-    x = from_table(df, F.lit("all"), [F.col("ts"), F.col("event_id")], sample(), 2000.0, 1, 16)
-    return plain(sequential.vad(x, 2.0, lifter_high=100.0, lifter_low=1000.0))
-
-
+#: Voice detection fit for a nominal 100 Hz: frames of 20 samples, ten a second, magnitudes from 5 to 50 Hz.
+VOICE = {"trigger": 10.0, "smoothing": 0.05, "noise_up": 1.0, "reduction": 0.5, "search": 0.2, "gap": 0.1, "boot": 0.2, "frequency": 10.0, "duration": 0.2, "high": 5.0, "low": 50.0, "lifter_high": 7.0, "lifter_low": 25.0}
+signal_query("vad", lambda x: sequential.vad(x, **VOICE))
 signal_query("dither", lambda x: sequential.dither(maps.gain(x, -3.0), 8))
 signal_query("dither_shaped", lambda x: sequential.dither(maps.gain(x, -3.0), 8, "improved-e-weighted"))
 signal_query("noisered", lambda x: frames.noise_reduce(x, frames.noise_profile(Signal(x.df.where("n < 40"), x.rate), 32).groupBy("channel", "bin").agg(F.avg("log_power").alias("log_power")), 0.3, 32))
@@ -455,6 +450,9 @@ _low = f"{published('lowpass', 20)}"
 _base = _low[: _low.index("SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, ")].replace("x AS (SELECT stream_id", "x AS (SELECT stream_id, channel, n - 5 AS n, " + R(f"s * {num(linear(-3.0))}") + " AS s FROM (SELECT stream_id", 1).replace("k AS n, s FROM r)", "k AS n, s FROM r) WHERE n >= 5)", 1)
 SQL["chain"] = f"{_base}, z AS (SELECT stream_id, max(n) + 1 AS length FROM y GROUP BY ALL) SELECT stream_id, CAST(0 AS BIGINT) AS channel, length - 1 - n + 10 AS n, {R('y')} AS s FROM y JOIN z USING (stream_id) UNION ALL SELECT stream_id, 0, CASE WHEN k < 10 THEN k ELSE length + k END, 0 FROM z, range(20) t(k)"
 
+_loud = lambda level: f"CASE WHEN r > {level} THEN 1 ELSE 0 END"
+SQL["silence"] = f"WITH {MONO}, p AS (SELECT *, sqrt((pow(s / {FULL}, 2) + coalesce(pow(lag(s) OVER (PARTITION BY stream_id ORDER BY n) / {FULL}, 2), 0)) / 2) AS r FROM x), q AS (SELECT *, min({_loud(0.5)}) OVER (PARTITION BY stream_id ORDER BY n ROWS 2 PRECEDING) AS three, max({_loud(0.2)}) OVER (PARTITION BY stream_id ORDER BY n ROWS 3 PRECEDING) AS four FROM p), t AS (SELECT stream_id, min(n) AS t0 FROM q WHERE three = 1 AND n >= 2 GROUP BY ALL), e AS (SELECT stream_id, min(n) AS e FROM q JOIN t USING (stream_id) WHERE four = 0 AND n - 3 >= t0 GROUP BY ALL) SELECT stream_id, channel, n - t0 + 2 AS n, s FROM x JOIN t USING (stream_id) LEFT JOIN e USING (stream_id) WHERE n >= t0 - 2 AND (e IS NULL OR n <= e - 4)"
+
 # kernels
 SQL["hilbert"] = f"WITH {MONO}, k AS (SELECT k, CASE WHEN k = 10 THEN 0 ELSE (1 - cos(pi() * (k - 10))) / (pi() * (k - 10)) END * (0.42 - 0.5 * cos(pi() * k / 10) + 0.08 * cos(pi() * k / 5)) AS h FROM range(21) t(k)) SELECT o.stream_id, o.channel, o.n, {E('sum(h * x.s)')} AS s FROM x o, k JOIN x ON x.stream_id = o.stream_id AND x.n = o.n + 10 - k GROUP BY ALL"
 _i0 = lambda v: f"list_sum(list_transform(range(70), lambda j: pow(({v}) / 2, 2 * j) / pow(gamma(j + 1), 2)))"

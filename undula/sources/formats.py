@@ -307,8 +307,8 @@ def write_au(a: np.ndarray, rate: float) -> bytes:
 put("au", "snd", read=read_au, write=write_au)
 
 
-#: First bytes of the 32-bit intermediate format, little-endian: a fixed value.
-NATIVE = bytes.fromhex("2e536f58")
+#: First bytes of this library's 32-bit intermediate format, little-endian.
+NATIVE = b"Undu"
 
 
 def read_native(b: bytes) -> tuple[float, np.ndarray, int]:
