@@ -50,8 +50,8 @@ def built():
     take("silence within", lambda x: sequential.silence(x, 0, (0, 0.0), -1, (90, 0.05), leave=True))
     take("silence twice", lambda x: sequential.silence(x, 2, (50, 0.02), -2, (80, 0.02)))
     take("vad", lambda x: sequential.vad(x, 8.0, 0.05, 0.1, 0.02, 0.01, 0.02, frequency=100.0))
-    take("dither", lambda x: sequential.dither(x, 8))
-    take("dither slope", lambda x: sequential.dither(x, 8, slope=True))
+    made["dither"] = stateful.Dither(8, [], [], False, 1, None)
+    made["dither slope"] = stateful.Dither(8, [], [], True, 1, None)
     take("dither shaped", lambda x: sequential.dither(x, 10, "shibata"))
     take("dither automatic", lambda x: sequential.dither(x, 16, "shibata", automatic=True))
     return made

@@ -12,8 +12,9 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions import design
+from ..functions import design, draws
 from ..functions.numeric import FULL
 from ..signal import LAYOUT, Signal
 from . import stateful
@@ -371,12 +372,26 @@ def dither(x: Signal, bits: int, shape: str | None = None, slope: bool = False,
     """To so many bits with triangular noise (slope: the difference of neighbouring draws); shape: the error is fed back.
 
     automatic: only while one of the last RESTS samples has bits that would be lost; in between samples pass unchanged.
+    Without a shape and automatic, a sample's noise is an expression of its place; else blocks carry the errors on.
     """
+    if shape is None and not automatic:
+        return flat_dither(x, bits, slope, seed)
     taps = shaper(shape, x.rate, strict) if shape else []
     fed, own = (taps[:4], taps[4:]) if shape == "gesemann" else (taps, [])
     return blockwise(x, stateful.Dither(bits, fed, own, slope, seed, RESTS if automatic else None), precision=bits)
 
 
+def flat_dither(x: Signal, bits: int, slope: bool, seed: int) -> Signal:
+    step, top = 1 << (32 - bits), 1 << (bits - 1)
+    place = F.col("n") if slope else F.col("n") * 2 + 1
+    df = draws.with_state(x.df, place, F.col("channel") + seed, "_u")
+    one, two = (F.shiftright(draws.signed(u), bits) for u in (F.col("_u"), draws.after(F.col("_u"))))
+    noise = two - F.when(F.col("n") == 0, 0).otherwise(one) if slope else one + two
+    level = (F.col("s") + noise) / F.lit(float(step))
+    level = F.when(level < 0, F.ceil(level - 0.5)).otherwise(F.floor(level + 0.5))
+    return x.with_df(df.withColumn("s", (F.greatest(F.lit(-top), F.least(F.lit(top - 1), level)) * step).cast("int")), precision=bits)
+
+
 def user(x: Signal, kernel: Callable[[np.ndarray], np.ndarray] | stateful.Operator) -> Signal:
     """A caller's own kernel over (channels, places) of float samples, or an operator in blocks with a state."""
     return blockwise(x, kernel) if hasattr(kernel, "flow") else by_stream(x, kernel)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import FULL, MAX, rounded
+from ..functions import draws
+from ..functions.numeric import FULL, MAX, MIN, rounded
 from ..signal import LAYOUT, Signal
 from .scan import recurse
-from .stateful import lcg
+from .stateful import blockwise, lcg
 
 TONES = ("sine", "square", "sawtooth", "triangle", "trapezium", "exp")
 NOISES = ("whitenoise", "tpdfnoise", "pinknoise", "brownnoise", "pluck")
@@ -106,37 +108,88 @@ def synth(x: Signal, kind: str, how: str = "create", f: float = 440.0, f2: float
     return x.with_df(_combined(x.df, y * (1 - abs(offset)) + offset, how), precision=32)
 
 
-def noise(x: Signal, kind: str, how: str = "create", f: float = 440.0, offset: float = 0.0, seed: int = 1) -> Signal:
-    """White, triangular, pink or brown noise and a plucked string, by channel; the generator's draws depend on channel and place."""
+#: What is added to the seed of a generator of noise.
+APART = 7919
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        c, m = int(pdf["channel"].iat[0]), len(pdf)
-        white = lambda k: lcg(seed + 7919 * (c + 1), k) / FULL
-        if kind == "whitenoise":
-            y = white(m)
-        elif kind == "tpdfnoise":
-            d = white(2 * m)
-            y = (d[::2] + d[1::2]) / 2
-        elif kind == "pinknoise":
-            d = white(m)
-            y = np.zeros(m)
-            for pole, gain in PINK:
-                y += recurse([gain], [1.0, -pole], d)
-            y = np.clip((y + d * 0.5362 + np.concatenate([[0], d[:-1]]) * 0.115926) * 0.11, -1, 1)
-        elif kind == "brownnoise":
-            y, v = np.empty(m), 0.0
-            for k, d in enumerate(white(m) / 16):
-                v = v + d if abs(v + d) <= 1 else v - d  # a step that would leave the range goes back
-                y[k] = v
-        else:
-            size = max(2, int(x.rate / f + 0.5))
-            line, y = white(size), np.empty(m)
-            for k in range(m):
-                y[k] = line[k % size]
-                line[k % size] = 0.4985 * (line[k % size] + line[(k + 1) % size])
-        return pdf[["stream_id", "channel", "n"]].assign(y=y * (1 - abs(offset)) + offset, s=pdf["s"])
-
-    made = x.df.groupBy("stream_id", "channel").applyInPandas(run, LAYOUT.replace("s int", "y double, s int"))
-    return x.with_df(_combined(made, F.col("y"), how), precision=32)
 
+def noise(x: Signal, kind: str, how: str = "create", f: float = 440.0, offset: float = 0.0, seed: int = 1) -> Signal:
+    """White, triangular, pink or brown noise and a plucked string.
+
+    Draws go round the channels: those of a place come from one after the other. White and triangular noise are expressions of the
+    place; the others, which depend on their own past, run in blocks.
+    """
+    if kind in ("whitenoise", "tpdfnoise"):
+        count = 2 if kind == "tpdfnoise" else 1
+        first = ((F.col("n") * x.channels + F.col("channel")) * count + 1).cast("bigint")
+        df = draws.with_state(x.df, first, seed + APART, "_u")
+        y = draws.signed(F.col("_u")) / F.lit(FULL)
+        if count == 2:
+            y = (y + draws.signed(draws.after(F.col("_u"))) / F.lit(FULL)) / 2
+        return x.with_df(_combined(df, y * (1 - abs(offset)) + offset, how), precision=32)
+    size = max(2, int(x.rate / f + 0.5)) if kind == "pluck" else 0
+    return blockwise(x, Noise(kind, how, offset, seed + APART, size))
+
+
+@dataclass(frozen=True)
+class Noise:
+    """Noises that go on from their own past, in blocks; combined with the samples that pass."""
+
+    kind: str
+    how: str
+    offset: float
+    seed: int
+    size: int
+
+    def start(self, channels: int) -> dict:
+        return {"seed": self.seed, "past": np.zeros((channels, len(PINK))), "draw": np.zeros((channels, 1)), "brown": [0.0] * channels, "lines": None, "place": 0}
+
+    def draws(self, state: dict, channels: int, places: int) -> np.ndarray:
+        d = lcg(state["seed"], channels * places)
+        state["seed"] = int(d[-1]) if len(d) else state["seed"]
+        return d.reshape(places, channels).T / FULL
+
+    def flow(self, state: dict, s: np.ndarray) -> np.ndarray:
+        y = np.stack(getattr(self, self.kind)(state, *s.shape)) * (1 - abs(self.offset)) + self.offset
+        v = {"create": y * MAX, "mix": (y * MAX + s) / 2, "amod": (y + 1) * s / 2, "fmod": y * s}[self.how].clip(MIN, MAX)
+        return np.trunc(v + np.where(v < 0, -0.5, 0.5)).clip(MIN, MAX).astype(np.int64).astype(np.int32)
+
+    def pinknoise(self, state: dict, channels: int, places: int) -> list[np.ndarray]:
+        out = []
+        for c, d in enumerate(self.draws(state, channels, places)):
+            y = np.zeros(places)
+            for k, (pole, gain) in enumerate(PINK):
+                own = recurse([gain], [1.0, -pole], d, state["past"][c, k : k + 1])
+                state["past"][c, k] = own[-1] if places else state["past"][c, k]
+                y += own
+            led = np.concatenate([state["draw"][c], d])
+            state["draw"][c] = led[-1]
+            out.append(np.clip((y + d * 0.5362 + led[:-1] * 0.115926) * 0.11, -1, 1))
+        return out
+
+    def brownnoise(self, state: dict, channels: int, places: int) -> list[np.ndarray]:
+        out = []
+        for c, d in enumerate(self.draws(state, channels, places) / 16):
+            v, own = state["brown"][c], []
+            for step in d.tolist():
+                v = v + step if abs(v + step) <= 1 else v - step  # a step that would leave the range goes back
+                own.append(v)
+            state["brown"][c] = v
+            out.append(np.array(own))
+        return out
+
+    def pluck(self, state: dict, channels: int, places: int) -> list[np.ndarray]:
+        if state["lines"] is None:
+            state["lines"] = self.draws(state, channels, self.size).tolist()
+        out = []
+        for line in state["lines"]:
+            own = []
+            for k in range(state["place"], state["place"] + places):
+                at = k % self.size
+                own.append(line[at])
+                line[at] = 0.4985 * (line[at] + line[(at + 1) % self.size])
+            out.append(np.array(own))
+        state["place"] += places
+        return out
+
+    def drain(self, state: dict) -> None:
+        return None

@@ -370,6 +370,34 @@ SQL["file_facts"] = f"WITH {MONO} SELECT stream_id AS path, 'wav' AS type, 100.0
 QUERIES["file_totals"] = lambda spark, d: rounded(files.totals(files.file_facts(files.encode_streams(events(spark, d), "aiff"))), 3)
 SQL["file_totals"] = "SELECT count(DISTINCT user_id) AS files, count(*) AS samples, round(count(*) / 100.0, 3)::DOUBLE AS seconds FROM events"
 
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root.rstrip('/') if root else tempfile.gettempdir()}/undula-{name}-{uuid.uuid4().hex}"
+
+
+@query("file_ranges", mapped("s", STEREO))
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Streams saved as wav files, which are read in stretches of 150 bytes."""
+    folder = shared_folder(spark, "files")
+    files.save(events(spark, d, 2), folder, "wav")
+    back = files.read(spark, folder, ranges_of=150)
+    return plain(back.df.withColumn("stream_id", F.substring_index(F.substring_index("stream_id", "/", -1), ".", 1)))
+
+
+@query("file_ranges_trim", f"WITH {STEREO} SELECT stream_id, channel, n - 7 AS n, s FROM x WHERE n >= 7 AND n < 20")
+def _ranges_trim(spark: SparkSession, d: str) -> DataFrame:
+    """A trim of saved files, of which only the stretches that hold it are read."""
+    folder = shared_folder(spark, "files")
+    files.save(events(spark, d, 2), folder, "aiff")
+    back = rows.trim(files.read(spark, folder, ranges_of=40), [7, 20])
+    return plain(back.df.withColumn("stream_id", F.substring_index(F.substring_index("stream_id", "/", -1), ".", 1)))
+
+
 # --- transfer functions and streams ---
 
 
@@ -394,10 +422,7 @@ def _tumbling(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows_ = source.select(F.col("user_id").cast("string").alias("stream_id"), F.lit(0).alias("channel"), F.col("ts").cast("timestamp").alias("ts"), sample().cast("int").alias("s"))
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"{root.rstrip('/') if root else tempfile.gettempdir()}/undula-stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     stats = stream.tumbling_stats(rows_, "1 day", "1 hour").drop("channel")
     run = stats.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/table")).trigger(availableNow=True).start()
     run.awaitTermination()

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..signal import LAYOUT, Signal
-from . import formats
+from . import formats, ranges, store
 
 
 def decode_files(files: DataFrame, kind: str | None = None, rate: float | None = None, channels: int | None = None, ignore_length: bool = False) -> DataFrame:
@@ -35,8 +36,7 @@ def decode_files(files: DataFrame, kind: str | None = None, rate: float | None =
     return files.select("path", "content").mapInPandas(decoded, LAYOUT)
 
 
-#: Bytes of a file in which its header is sought.
-HEAD = 1 << 16
+HEAD = ranges.HEAD
 
 
 def file_facts(files: DataFrame, kind: str | None = None) -> DataFrame:
@@ -49,13 +49,14 @@ def file_facts(files: DataFrame, kind: str | None = None) -> DataFrame:
     by_header = F.hex(F.substring("content", 1, 4)).isin([m.hex().upper() for m in formats.HEADERS])
     slim = files.select("path", F.substring("content", 1, HEAD).alias("head"), F.length("content").alias("size"), F.when(~by_header, F.col("content")).alias("content"), by_header.alias("tells"))
 
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, head, size, content in zip(pdf["path"], pdf["head"], pdf["size"], pdf["content"]):
                 head = bytes(head)
                 name = kind or formats.detect(head[:64], path)
-                found = formats.HEADERS[head[:4]](head, size) if content is None else None
+                told = formats.HEADERS[head[:4]](head, size) if content is None else None
+                found = (told.rate, told.channels, told.length, told.kept) if told else None
                 if content is None and found is None:
                     rows.append((path, name, None, None, None, None, None))
                     continue
@@ -74,9 +75,9 @@ def file_facts(files: DataFrame, kind: str | None = None) -> DataFrame:
                 rows.append((path, name, r, a.shape[1], len(a), bits, len(a) / r))
             yield pd.DataFrame(rows, columns=["path", "type", "rate", "channels", "length", "bits", "seconds"])
 
-    first = slim.where("tells").drop("tells").mapInPandas(told, layout)
+    first = slim.where("tells").drop("tells").mapInPandas(headed, layout)
     rest = first.where("rate IS NULL").select("path", "type").join(files.where(by_header).select("path", "content"), "path")
-    return first.where("rate IS NOT NULL").unionByName(rest.select("path", "type", "content").mapInPandas(decoded, layout)).unionByName(slim.where("NOT tells").drop("tells").mapInPandas(told, layout))
+    return first.where("rate IS NOT NULL").unionByName(rest.select("path", "type", "content").mapInPandas(decoded, layout)).unionByName(slim.where("NOT tells").drop("tells").mapInPandas(headed, layout))
 
 
 def file_comments(files: DataFrame, kind: str | None = None) -> DataFrame:
@@ -114,14 +115,27 @@ def playlist(spark: SparkSession, path: str) -> list[str]:
     return out
 
 
-def read(spark: SparkSession, path: str | list[str], kind: str | None = None, rate: float | None = None, channels: int | None = None) -> Signal:
-    """Files (globs and lists are fine) as one signal of a stream for each file; rates and channels must agree."""
+def read(spark: SparkSession, path: str | list[str], kind: str | None = None, rate: float | None = None, channels: int | None = None, ranges_of: int | None = None) -> Signal:
+    """Files (globs and lists are fine) as one signal of a stream for each file; rates and channels must agree.
+
+    Files are read by ranges (of ranges_of bytes; see sources.ranges) where the store allows it, else as whole rows of Spark's
+    reader of binary files.
+    """
     paths = playlist(spark, path) if isinstance(path, str) and path.lower().endswith((".m3u", ".pls")) else path
-    files = spark.read.format("binaryFile").load(paths)
-    facts = file_facts(files, kind).agg(F.min("rate").alias("lo"), F.max("rate").alias("hi"), F.max("channels").alias("c"), F.max("bits").alias("b")).first()
-    if facts["lo"] != facts["hi"]:
+    try:
+        own = [store.opened(p) for p in ([paths] if isinstance(paths, str) else paths)]
+    except (pa.ArrowInvalid, OSError):  # no such store outside Spark
+        own = None
+    if own:
+        facts = ranges.facts(spark, paths, kind, rate, channels)
+        df = ranges.load(spark, paths, kind, rate, channels, ranges_of or ranges.RANGE)
+    else:
+        whole = spark.read.format("binaryFile").load(paths)
+        facts, df = file_facts(whole, kind), decode_files(whole, kind, rate, channels)
+    found = facts.agg(F.min("rate").alias("lo"), F.max("rate").alias("hi"), F.max("channels").alias("c"), F.max("bits").alias("b")).first()
+    if found["lo"] != found["hi"]:
         raise ValueError("the files' rates differ")
-    return Signal(decode_files(files, kind, rate, channels), rate or facts["lo"], channels or facts["c"], facts["b"])
+    return Signal(df, rate or found["lo"], channels or found["c"], found["b"])
 
 
 def encode_streams(x: Signal, kind: str) -> DataFrame:
@@ -140,3 +154,20 @@ def encode_streams(x: Signal, kind: str) -> DataFrame:
 def write(x: Signal, folder: str, kind: str, mode: str = "errorifexists") -> None:
     """A table (path, content) of files in Parquet under the folder: bytes go where Spark writes, whatever the store."""
     encode_streams(x, kind).write.mode(mode).parquet(folder)
+
+
+def save(x: Signal, folder: str, kind: str) -> None:
+    """Files in a folder, a file for each stream, written by the tasks; the folder must not hold any yet."""
+    try:
+        if store.listed(folder):
+            raise FileExistsError(folder)
+    except FileNotFoundError:
+        pass
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                store.put(f"{folder.rstrip('/')}/{path}", bytes(content))
+            yield pd.DataFrame({"path": pdf["path"]})
+
+    encode_streams(x, kind).mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()

@@ -26,6 +26,43 @@ class Format:
 FORMATS: dict[str, Format] = {}
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where a file's samples lie, if each takes `width` bytes: `length` wide samples of `channels` from byte `start` on.
+
+    code: int, float, alaw or ulaw. kept: bits that a sample has.
+    """
+
+    rate: float
+    channels: int
+    start: int
+    length: int
+    kept: int
+    code: str
+    width: int
+    signed: bool = True
+    big: bool = False
+    flipped: bool = False
+
+    @property
+    def frame(self) -> int:
+        return self.width * self.channels
+
+    def decode(self, b: bytes) -> np.ndarray:
+        """(places, channels) of the bytes of whole wide samples."""
+        if self.code == "int":
+            s = pcm.bytes_int(b, 8 * self.width, self.signed, self.big)
+        elif self.code == "float":
+            s = pcm.bytes_float(b, 8 * self.width, self.big)
+        else:
+            s = pcm.bytes_law(b, self.code, self.flipped)
+        return wide(s, self.channels)
+
+
+#: Codings of headerless kinds: code, width, signed, big-endian, bits reversed, bits kept, rate and channels (0: the caller's).
+CODINGS: dict[str, tuple[str, int, bool, bool, bool, int, float, int]] = {}
+
+
 def put(*names: str, read: Read | None = None, write=None, **more) -> None:
     f = Format(names, read, write, **more)
     FORMATS.update(dict.fromkeys(names, f))
@@ -51,13 +88,16 @@ def raw(names: tuple[str, ...], decode, encode, bits: int, rate: float = 0.0, ch
 
 
 for _b in (8, 16, 24, 32):
-    _n = _b // 8
+    CODINGS |= {f"{_t}{_b // 8}": ("int", _b // 8, _t == "s", False, False, _b, 0.0, 0) for _t in "su"}
     raw({8: ("s1", "s8", "sb"), 16: ("s2", "s16", "sw", "raw"), 24: ("s3", "s24"), 32: ("s4", "s32", "sl")}[_b], lambda r, b=_b: pcm.bytes_int(r, b), lambda s, b=_b: pcm.int_bytes(s, b), _b)
     raw({8: ("u1", "u8", "ub", "sou", "fssd"), 16: ("u2", "u16", "uw"), 24: ("u3", "u24"), 32: ("u4", "u32")}[_b], lambda r, b=_b: pcm.bytes_int(r, b, False), lambda s, b=_b: pcm.int_bytes(s, b, False), _b)
 for _b in (32, 64):
+    CODINGS[f"f{_b // 8}"] = ("float", _b // 8, True, False, False, 24 if _b == 32 else 32, 0.0, 0)
     raw(("f4", "f32") if _b == 32 else ("f8", "f64"), lambda r, b=_b: pcm.bytes_float(r, b), lambda s, b=_b: pcm.float_bytes(s, b), 24 if _b == 32 else 32)
 for _names, _law, _flip in ((("al",), "alaw", False), (("ul",), "ulaw", False), (("la",), "alaw", True), (("lu",), "ulaw", True)):
+    CODINGS[_names[0]] = (_law, 1, True, False, _flip, 13 if _law == "alaw" else 14, 0.0, 0)
     raw(_names, lambda r, w=_law, f=_flip: pcm.bytes_law(r, w, f), lambda s, w=_law, f=_flip: pcm.law_bytes(s, w, f), 13 if _law == "alaw" else 14)
+CODINGS |= {"sln": ("int", 2, True, False, False, 16, 8000.0, 1), "cdda": ("int", 2, True, True, False, 16, 44100.0, 2)}
 raw(("sln",), lambda r: pcm.bytes_int(r, 16), lambda s: pcm.int_bytes(s, 16), 16, 8000.0, 1)
 raw(("ima",), lambda r: pcm.bytes_adpcm(r, pcm.IMA_STEPS), lambda s: pcm.adpcm_bytes(s, pcm.IMA_STEPS), 13)
 raw(("vox",), lambda r: pcm.bytes_adpcm(r, pcm.OKI_STEPS, ~15), lambda s: pcm.adpcm_bytes(s, pcm.OKI_STEPS, ~15), 12)
@@ -189,9 +229,11 @@ def write_wav(a: np.ndarray, rate: float, bits: int = 16, code: int = 1) -> byte
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def wav_header(b: bytes, total: int) -> tuple[float, int, int, int] | None:
-    e, long_size, fmt = ">" if b[:4] == b"RIFX" else "<", None, None
-    for name, at, size in chunks(b, 12, b[:4] == b"RIFX"):
+def wav_layout(b: bytes, total: int) -> Layout | None:
+    """From a file's first bytes and its size; None where they don't tell or samples don't lie in bytes of their own."""
+    big = b[:4] == b"RIFX"
+    e, long_size, fmt = ">" if big else "<", None, None
+    for name, at, size in chunks(b, 12, big):
         if name == b"ds64" and at + 16 <= len(b):
             long_size = struct.unpack_from("<QQ", b, at)[1]
         elif name == b"fmt " and at + 16 <= len(b):
@@ -203,8 +245,9 @@ def wav_header(b: bytes, total: int) -> tuple[float, int, int, int] | None:
             size = long_size if long_size and b[:4] == b"RF64" else struct.unpack_from(e + "I", b, at - 4)[0]
             if code not in (1, 3, 6, 7) or not channels or not bits:
                 return None
+            width = -(-bits // 8)
             kept = {3: 24 if bits == 32 else 32, 6: 13, 7: 14}.get(code, bits)
-            return float(rate), channels, min(size, total - at) // (channels * -(-bits // 8)), kept
+            return Layout(float(rate), channels, at, min(size, total - at) // (channels * width), kept, {1: "int", 3: "float", 6: "alaw", 7: "ulaw"}[code], width, bits > 8, big)
     return None
 
 
@@ -260,13 +303,20 @@ def write_aiff(a: np.ndarray, rate: float, bits: int = 16, kind: bytes | None =
     return b"FORM" + struct.pack(">I", len(body)) + body
 
 
-def aiff_header(b: bytes, total: int) -> tuple[float, int, int, int] | None:
+def aiff_layout(b: bytes, total: int) -> Layout | None:
+    common = None
     for name, at, _ in chunks(b, 12, True):
         if name == b"COMM" and at + 22 <= len(b):
             channels, length, bits = struct.unpack_from(">HIH", b, at)
             kind = b[at + 18 : at + 22].lower() if b[8:12] == b"AIFC" else b"none"
-            kept = {b"alaw": 13, b"ulaw": 14, b"fl32": 24, b"fl64": 24}.get(kind, -(-bits // 8) * 8)
-            return from_extended(b[at + 8 : at + 18]), channels, length, kept
+            width = {b"alaw": 1, b"ulaw": 1, b"fl32": 4, b"fl64": 8}.get(kind, -(-bits // 8))
+            kept = {b"alaw": 13, b"ulaw": 14, b"fl32": 24, b"fl64": 24}.get(kind, 8 * width)
+            code = {b"alaw": "alaw", b"ulaw": "ulaw", b"fl32": "float", b"fl64": "float"}.get(kind, "int")
+            common = from_extended(b[at + 8 : at + 18]), channels, length, kept, code, width, kind != b"sowt"
+        elif name == b"SSND" and common and at + 4 <= len(b):
+            rate, channels, length, kept, code, width, big = common
+            start = at + 8 + struct.unpack_from(">I", b, at)[0]
+            return Layout(rate, channels, start, min(length, (total - start) // (width * channels)), kept, code, width, True, big)
     return None
 
 
@@ -293,10 +343,11 @@ def read_au(b: bytes) -> tuple[float, np.ndarray, int]:
     return float(rate), wide(s, channels), kept
 
 
-def au_header(b: bytes, total: int) -> tuple[float, int, int, int] | None:
-    start, size, code, rate, channels = struct.unpack_from(">5I" if b[:4] == b".snd" else "<5I", b, 4)
-    width, kept = {1: (1, 14), 2: (1, 8), 3: (2, 16), 4: (3, 24), 5: (4, 32), 6: (4, 24), 7: (8, 32), 27: (1, 13)}.get(code, (0, 0))
-    return (float(rate), channels, min(size, total - start) // (width * channels), kept) if width and channels else None
+def au_layout(b: bytes, total: int) -> Layout | None:
+    big = b[:4] == b".snd"
+    start, size, code, rate, channels = struct.unpack_from(">5I" if big else "<5I", b, 4)
+    kind, width, kept = {1: ("ulaw", 1, 14), 2: ("int", 1, 8), 3: ("int", 2, 16), 4: ("int", 3, 24), 5: ("int", 4, 32), 6: ("float", 4, 24), 7: ("float", 8, 32), 27: ("alaw", 1, 13)}.get(code, ("", 0, 0))
+    return Layout(float(rate), channels, start, min(size, total - start) // (width * channels), kept, kind, width, True, big) if width and channels else None
 
 
 def write_au(a: np.ndarray, rate: float) -> bytes:
@@ -319,6 +370,12 @@ def read_native(b: bytes) -> tuple[float, np.ndarray, int]:
     return rate, wide(pcm.bytes_int(b[4 + header :], 32, big=e == ">")[:n], channels), 32
 
 
+def native_layout(b: bytes, total: int) -> Layout | None:
+    e = "<" if b[:4] == NATIVE else ">"
+    header, n, rate, channels, _ = struct.unpack_from(e + "IQdII", b, 4)
+    return Layout(rate, channels, 4 + header, min(n, (total - 4 - header) // 4) // channels, 32, "int", 4, True, e == ">") if channels else None
+
+
 put("native", read=read_native, write=lambda a, r: NATIVE + struct.pack("<IQdII", 28, a.size, r, a.shape[1], 0) + pcm.int_bytes(flat(a), 32), bits=32)
 
 
@@ -744,8 +801,20 @@ def write_prc(a: np.ndarray, rate: float) -> bytes:
 
 put("prc", read=read_prc, write=write_prc, channels=1, rate=8000.0, bits=13)
 
-#: Rate, channels, wide samples and bits from a file's first bytes and its size; None where they don't tell.
-HEADERS: dict[bytes, Callable[[bytes, int], tuple[float, int, int, int] | None]] = {b"RIFF": wav_header, b"RIFX": wav_header, b"RF64": wav_header, b"FORM": aiff_header, b".snd": au_header, b"dns.": au_header}
+#: Layouts by a file's first bytes.
+HEADERS: dict[bytes, Callable[[bytes, int], Layout | None]] = {b"RIFF": wav_layout, b"RIFX": wav_layout, b"RF64": wav_layout, b"FORM": aiff_layout, b".snd": au_layout, b"dns.": au_layout, NATIVE: native_layout, NATIVE[::-1]: native_layout}
+
+
+def layout(b: bytes, total: int, kind: str | None = None, rate: float | None = None, channels: int | None = None, path: str = "") -> Layout | None:
+    """The layout of a file by its first bytes and size, or of a headerless kind; None for files to be decoded as a whole."""
+    kind = kind or detect(b[:64], path)
+    name = FORMATS[kind].names[0]
+    if name in CODINGS:
+        code, width, signed, big, flipped, kept, own_rate, own_channels = CODINGS[name]
+        channels = own_channels or channels or 1
+        return Layout(own_rate or rate or 8000.0, channels, 0, total // (width * channels), kept, code, width, signed, big, flipped)
+    found = HEADERS.get(b[:4])
+    return found(b, total) if found else None
 
 
 # --- comments in headers ---
