@@ -85,13 +85,12 @@ def sinc_kernel(rate: float, high: float | None = None, low: float | None = None
     return b - a if low > high else inverted(a - b)  # band-pass; band-reject
 
 
-def to_phase(h: np.ndarray, phase: float) -> np.ndarray:
-    """A kernel of the same magnitude with phase 0 (minimum) to 50 (linear) to 100 (maximum), by folding the cepstrum."""
-    if phase == 50:
-        return h
-    n = 1 << int(np.ceil(np.log2(len(h) * 16)))
+def phased(h: np.ndarray, phase: float, floor: float = 0.0, times: int = 16) -> np.ndarray:
+    """A symmetric kernel's magnitude with phase 0 (minimum) to 50 (linear) to 100 (maximum), by folding the cepstrum: on a ring that
+    is so many times as long as the kernel, from its place 0 on. A floor under the magnitude fills its zeros, at which the phase jumps."""
+    n = 1 << int(np.ceil(np.log2(len(h) * times)))
     spectrum = np.fft.fft(h, n)
-    log = np.log(np.maximum(np.abs(spectrum), 1e-13))
+    log = np.log(np.maximum(np.hypot(np.abs(spectrum), floor), 1e-13))
     c = np.real(np.fft.ifft(log))
     c[1 : n // 2] *= 2
     c[n // 2 + 1 :] = 0
@@ -100,11 +99,33 @@ def to_phase(h: np.ndarray, phase: float) -> np.ndarray:
     linear = -np.arange(n) * 2 * np.pi / n * (len(h) - 1) / 2
     half = n // 2 + 1
     angle = ((1 - share) * minimum + share * np.unwrap(linear))[:half]
-    out = np.fft.irfft(np.exp(log[:half] + 1j * angle), n)
-    out = out[: len(h)]
+    return np.fft.irfft(np.exp(log[:half] + 1j * angle), n)
+
+
+def to_phase(h: np.ndarray, phase: float) -> np.ndarray:
+    """A kernel of the same magnitude and length with that phase."""
+    if phase == 50:
+        return h
+    out = phased(h, phase)[: len(h)]
     return out if phase <= 50 else out[::-1]
 
 
+def to_phase_whole(h: np.ndarray, phase: float, attenuation: float) -> tuple[np.ndarray, int]:
+    """A kernel of the same magnitude with that phase, and the place of its peak. It is as long as it must be for what is left out
+    to lie below an attenuation in dB."""
+    if phase == 50:
+        return h, len(h) // 2
+    ring = phased(h, phase, np.sum(h) * 10 ** (-attenuation / 20), max(64, (1 << 16) // len(h)))
+    middle = len(ring) // 2
+    ring = np.roll(ring, middle - int(np.argmax(np.abs(ring))))
+    ring[: middle - 2 * len(h)] = ring[middle + 2 * len(h) :] = 0  # what the folding leaves half a ring away
+    energy = np.cumsum(ring**2)
+    left = energy[-1] * 10 ** (-(attenuation + 6) / 10)
+    first, last = int(np.searchsorted(energy, left)), int(np.searchsorted(energy, energy[-1] - left))
+    out, peak = ring[first : last + 1], middle - first
+    return (out, peak) if phase <= 50 else (out[::-1], len(out) - 1 - peak)
+
+
 # --- biquads: (b0, b1, b2, a0, a1, a2) by the widely published audio cookbook ---
 
 

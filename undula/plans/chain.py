@@ -247,8 +247,9 @@ def _sinc(x, a):
 
 @operator("rate")
 def _rate(x, a):
-    """-q -l -m -h -v: quality; -s or -b percent: the share of the band that is passed; -L: linear phase, as always here."""
-    quality, bandwidth = "h", None
+    """-q -l -m -h -v: quality; -s or -b percent: the share of the band that is passed; -M -I -L or -p percent: minimum,
+    intermediate, linear or any phase; -a: aliases above the pass band are allowed."""
+    quality, bandwidth, phase, aliasing = "h", None, 50.0, False
     while a and a[0].startswith("-"):
         if a[0] in ("-q", "-l", "-m", "-h", "-v"):
             quality = a[0][1]
@@ -256,14 +257,22 @@ def _rate(x, a):
             bandwidth = 0.99
         elif a[0] == "-b" and len(a) > 1:
             bandwidth, a = float(a[1]) / 100, a[1:]
-            if not 0.74 <= bandwidth <= 0.997:
-                raise ValueError("rate: -b is a percentage from 74 to 99.7")
-        elif a[0] != "-L":
-            raise ValueError(f"rate: {a[0]!r} is not covered")
+        elif a[0] == "-p" and len(a) > 1:
+            phase, a = float(a[1]), a[1:]
+            if not 0 <= phase <= 100:
+                raise ValueError("rate: -p is a percentage from 0 to 100")
+        elif a[0] in ("-M", "-I", "-L"):
+            phase = {"M": 0.0, "I": 25.0, "L": 50.0}[a[0][1]]
+        elif a[0] == "-a":
+            aliasing = True
+        else:
+            raise ValueError(f"rate: there is no option {a[0]!r}")
         a = a[1:]
-    if bandwidth and quality in "ql":
-        raise ValueError("rate: the qualities q and l have a bandwidth of their own")
-    return resample.rate(x, parse.frequency(a[0]), quality, bandwidth)
+    if bandwidth and not (0.85 if aliasing else 0.74) <= bandwidth <= 0.997:
+        raise ValueError("rate: -b is a percentage from 74 (with -a from 85) to 99.7")
+    if (bandwidth or aliasing or phase != 50) and quality in "ql":
+        raise ValueError("rate: the qualities q and l have no other options")
+    return resample.rate(x, parse.frequency(a[0]), quality, bandwidth, phase, aliasing)
 
 
 @operator("tempo")
@@ -429,9 +438,15 @@ def parse_chain(text: str) -> list[tuple[str, list[str]]]:
 
 
 def run(x: Signal, text: str, rate: float | None = None, channels: int | None = None, dither_to: int | None = None) -> Signal:
-    """The chain over x; then, if asked for, to a rate and channel count (fewer channels first, more last) and a precision."""
-    for name, args in parse_chain(text):
+    """The chain over x; then, if asked for, to a rate and channel count (fewer channels first, more last) and a precision.
+
+    After speed, and without a rate operator, the rate is brought back to the input's.
+    """
+    own, operators = x.rate, parse_chain(text)
+    for name, args in operators:
         x = apply(x, name, args)
+    if rate is None and any(n == "speed" for n, _ in operators) and not any(n == "rate" for n, _ in operators):
+        rate = own  # what is sped up keeps the rate that it came with
     if channels is not None and channels < x.channels:
         x = maps.channels(x, channels)
     if rate is not None and rate != x.rate:

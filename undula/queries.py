@@ -487,6 +487,41 @@ for _q, (_width, _stop) in {"l": (0.8, 102), "m": (0.95, 102), "h": (0.95, 126),
     _d = "(k - f / 3.0::DOUBLE)"
     SQL[f"rate_{_q}"] = f"WITH {MONO}, h AS (SELECT f, k, {_cut} * CASE WHEN f = 0 AND k = 0 THEN 1 ELSE sin(pi() * {_cut} * {_d}) / (pi() * {_cut} * {_d}) END * {_i0(f'{_beta} * sqrt(greatest(0, 1 - pow({_d} / {_reach + 1}, 2)))')} / {_i0(_beta)} AS h FROM range(3) t(f), range({-_reach}, {_reach + 1}) u(k)), l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL), o AS (SELECT stream_id, unnest(range(CAST(floor(length * 1.5 + 0.5) AS BIGINT))) AS m FROM l) SELECT o.stream_id, CAST(0 AS BIGINT) AS channel, m AS n, {E('sum(h * x.s)')} AS s FROM o JOIN h ON f = (m * 2) % 3 JOIN x ON x.stream_id = o.stream_id AND x.n = (m * 2) // 3 + k GROUP BY ALL"
 
+def kaiser(reach: int, beta: float, d: str) -> str:
+    """The window that reaches zero at reach + 1, at a distance d from its middle."""
+    return f"{_i0(f'{num(beta)} * sqrt(greatest(0, 1 - pow({d} / {reach + 1}, 2)))')} / {_i0(num(beta))}"
+
+
+def sinc(cut: float, d: str) -> str:
+    return f"{num(cut)} * CASE WHEN {d} = 0 THEN 1 ELSE sin(pi() * {num(cut)} * {d}) / (pi() * {num(cut)} * {d}) END"
+
+
+def _reach(stop: float, width: float) -> int:
+    return math.ceil((stop - 7.95) / (2.285 * math.pi * width) / 2)
+
+
+def steps(p: int, q: int, width: float, cut: float, stop: float, source: str = "x") -> str:
+    """Tables h and o and the last query of a polyphase step of p / q inputs an output from a table (stream_id, n, v), lengths in z."""
+    far, beta = _reach(stop, width), 0.1102 * (stop - 8.7)
+    d = f"(k - f / {float(q)}::DOUBLE)"
+    return f"h AS (SELECT f, k, {sinc(cut, d)} * {kaiser(far, beta, d)} AS h FROM range({q}) t(f), range({-far}, {far + 1}) u(k)) SELECT o.stream_id, CAST(0 AS BIGINT) AS channel, m AS n, {E('sum(h * y.v)')} AS s FROM o JOIN h ON f = (m * {p}) % {q} JOIN {source} y ON y.stream_id = o.stream_id AND y.n = (m * {p}) // {q} + k GROUP BY ALL"
+
+
+def outputs(ratio: float) -> str:
+    return f"v AS (SELECT stream_id, n, s::DOUBLE AS v FROM x), z AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL), o AS (SELECT stream_id, unnest(range(CAST(floor(length * {num(ratio)} + 0.5) AS BIGINT))) AS m FROM z)"
+
+
+# with aliases allowed the transition is twice as wide, around the Nyquist frequency
+signal_query("rate_aliasing", lambda x: resample.rate(x, 75.0, "m", 0.9, aliasing=True), f"WITH {MONO}, {outputs(0.75)}, {steps(4, 3, 0.75 * 0.2, 0.75, 102.0, 'v')}")
+signal_query("rate_steep", lambda x: resample.rate(x, 125.0, "h", 0.99), f"WITH {MONO}, {outputs(1.25)}, {steps(4, 5, 0.01, 0.995, 126.0, 'v')}")
+# to an eighth: two halvings, whose transitions leave an eighth and a quarter of their bands, and a step of two inputs an output
+_half, _beta = {k: _reach(102.0, 1 - 2 * e) for k, e in (("a", 0.125), ("b", 0.25))}, 0.1102 * (102.0 - 8.7)
+_halved = lambda k, source: f"h{k} AS (SELECT k, {sinc(0.5, 'k')} * {kaiser(_half[k], _beta, 'k')} AS h FROM range({-_half[k]}, {_half[k] + 1}) t(k)), {k} AS (SELECT y.stream_id, (y.n + k) // 2 AS n, sum(h * y.v) AS v FROM {source} y, h{k} WHERE (y.n + k) % 2 = 0 GROUP BY ALL)"
+signal_query("rate_eighth", lambda x: resample.rate(x, 12.5, "m", 0.85), f"WITH {MONO}, {outputs(0.125)}, {_halved('a', 'v')}, {_halved('b', 'a')}, {steps(2, 1, 0.5 * 0.15, 0.5 * 1.85 / 2, 102.0, 'b')}")
+signal_query("rate_minimum", lambda x: resample.rate(x, 150.0, "m", phase=0.0))
+signal_query("rate_speed", lambda x: x.chain("speed 2"), f"WITH {MONO}, {outputs(0.5)}, {steps(2, 1, 0.5 * 0.05, 0.5 * 1.95 / 2, 126.0, 'v')}")
+
+
 # tones and noises
 for _t, _e in {"trapezium": "CASE WHEN p < 0.1 THEN p / 0.1 * 2 - 1 WHEN p < 0.5 THEN 1 WHEN p < 0.6 THEN 1 - (p - 0.5) / (0.6::DOUBLE - 0.5::DOUBLE) * 2 ELSE -1 END", "exp": "(pow(0.00001::DOUBLE, 1 - CASE WHEN p < 0.5 THEN p / 0.5 ELSE (1 - p) / 0.5 END) - 0.00001::DOUBLE) / (1 - 0.00001::DOUBLE) * 2 - 1"}.items():
     SQL[f"synth_{_t}"] = f"WITH {MONO}, q AS (SELECT *, {_PHASE} AS p FROM x) SELECT {COLS}, {R(f'({_e}) * {MAX}')} AS s FROM q"
