@@ -46,6 +46,12 @@ def built():
     take("flanger", lambda x: sequential.flanger(x, 1, 2, 30))
     take("flanger quadratic", lambda x: sequential.flanger(x, 1, 2, 30, interp="quadratic"))
     take("phaser", lambda x: sequential.phaser(x))
+    take("reverb", lambda x: sequential.reverb(x, 50, pre_delay=3))
+    take("tempo", lambda x: sequential.tempo(x, 1.3, 20, 4, 5))
+    take("tempo fast", lambda x: sequential.tempo(x, 3.7, 20, 4, 5))
+    take("tempo slow", lambda x: sequential.tempo(x, 0.6, 20, 4, 5))
+    take("splice", lambda x: sequential.splice(x, [(200, 20, 30), (250, 15, 5), (1500, 0, 0), (2980, 10, 20), (5000, 3, 3)], "h"))
+    take("bend", lambda x: sequential.bend(x, [(300, 300.0, 900)], 25, 8))
     take("silence", lambda x: sequential.silence(x, 1, (80, 0.05), 1, (200, 0.05)))
     take("silence within", lambda x: sequential.silence(x, 0, (0, 0.0), -1, (90, 0.05), leave=True))
     take("silence twice", lambda x: sequential.silence(x, 2, (50, 0.02), -2, (80, 0.02)))

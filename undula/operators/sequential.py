@@ -18,7 +18,6 @@ from ..functions import design, draws
 from ..functions.numeric import FULL
 from ..signal import LAYOUT, Signal
 from . import stateful
-from .scan import recurse
 from .stateful import blockwise, to_samples
 
 
@@ -34,18 +33,6 @@ def by_stream(x: Signal, kernel: Callable[[np.ndarray], np.ndarray], channels: i
     return x.with_df(x.df.groupBy("stream_id").applyInPandas(run, LAYOUT), channels=channels or x.channels, rate=rate or x.rate, precision=32)
 
 
-def by_channel(x: Signal, kernel: Callable[[np.ndarray, int], np.ndarray], rate: float | None = None, cut: bool = False) -> Signal:
-    """kernel(samples, channel) over each channel alone."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        c = int(pdf["channel"].iat[0])
-        y = np.asarray(kernel(pdf["s"].to_numpy(float) / FULL, c))
-        return pd.DataFrame({"stream_id": pdf["stream_id"].iat[0], "channel": np.int32(c), "n": np.arange(len(y)), "s": to_samples(y, cut)})
-
-    return x.with_df(x.df.groupBy("stream_id", "channel").applyInPandas(run, LAYOUT), rate=rate or x.rate, precision=32)
-
-
 # --- dynamics ---
 
 
@@ -141,11 +128,9 @@ COMBS, ALLPASSES = (1116, 1188, 1277, 1356, 1422, 1491, 1557, 1617), (225, 341,
 
 
 def reverb(x: Signal, reverberance: float = 50, damping: float = 50, room: float = 100, stereo: float = 100, pre_delay: float = 0, wet_db: float = 0, wet_only: bool = False) -> Signal:
-    """Eight damped combs in parallel, four all-passes in series, for left and right; mono becomes stereo if stereo depth is given.
-
-    The combs feed back over at least a block of their length, so each works on whole blocks of samples at a time.
-    """
+    """Eight damped combs in parallel, four all-passes in series, for left and right; mono becomes stereo if stereo depth is given."""
     scale, spread = room / 100 * 0.9 + 0.1, stereo / 100
+    # fixed formula: how the feedback follows the percentage, from 0.3 at 0 to 0.98 at 100
     a = -1 / math.log(1 - 0.3)
     b = 100 / (math.log(1 - 0.98) * a + 1)
     feedback = 1 - math.exp((reverberance - b) / (a * b))
@@ -153,45 +138,18 @@ def reverb(x: Signal, reverberance: float = 50, damping: float = 50, room: float
     r = x.rate / 44100
     early = int(pre_delay / 1000 * x.rate + 0.5)
 
-    def comb(v: np.ndarray, size: int) -> np.ndarray:
-        out, line, low = np.empty(len(v)), np.zeros(size), 0.0
-        for k in range(0, len(v), size):
-            part = v[k : k + size]
-            y = line[: len(part)].copy()
-            smooth = recurse([1 - damp], [1.0, -damp], y, np.array([low]))
-            low = smooth[-1]
-            out[k : k + size] = y
-            line[: len(part)] = part + smooth * feedback
-        return out
-
-    def allpass(v: np.ndarray, size: int) -> np.ndarray:
-        out, line = np.empty(len(v)), np.zeros(size)
-        for k in range(0, len(v), size):
-            part = v[k : k + size]
-            y = line[: len(part)].copy()
-            line[: len(part)] = part + y * 0.5
-            out[k : k + size] = y - part
-        return out
-
-    def wet(v: np.ndarray, side: float) -> np.ndarray:
-        v = np.concatenate([np.zeros(early), v])[: len(v)]
-        offset = side * spread * 12
-        y = sum(comb(v, max(1, int(scale * r * (c + offset) + 0.5))) for c in COMBS)
-        for c in ALLPASSES:
-            y = allpass(y, max(1, int(r * (c + offset) + 0.5)))
-        return y * gain
-
-    def kernel(v: np.ndarray) -> np.ndarray:
+    offsets = [side * spread * 12 for side in ((0, 1) if spread and x.channels <= 2 else (0,))]
+    lines = [([max(1, int(scale * r * (c + o) + 0.5)) for c in COMBS], [max(1, int(r * (c + o) + 0.5)) for c in ALLPASSES]) for o in offsets]
+    dry = 0 if wet_only else 1
+
+    def mixed(v: np.ndarray, wet: list[list[np.ndarray]]) -> list[np.ndarray]:
         if len(v) == 1:
-            out = [v[0] * (not wet_only) + wet(v[0], s) for s in ((0, 1) if spread else (0,))]
-        elif len(v) == 2 and spread:
-            sides = [[wet(row, s) for s in (0, 1)] for row in v]
-            out = [v[c] * (not wet_only) + (sides[0][c] + sides[1][c]) / 2 for c in (0, 1)]
-        else:
-            out = [row * (not wet_only) + wet(row, 0) for row in v]
-        return np.stack(out).astype(np.float32).astype(float)
+            return [v[0] * dry + side for side in wet[0]]
+        if len(v) == 2 and spread:
+            return [v[c] * dry + (wet[0][c] + wet[1][c]) / 2 for c in (0, 1)]
+        return [row * dry + sides[0] for row, sides in zip(v, wet)]
 
-    return by_stream(x, kernel, channels=2 if x.channels == 1 and spread else x.channels)
+    return blockwise(x, stateful.Reverb(lines, early, feedback, damp, gain, mixed), channels=2 if x.channels == 1 and spread else x.channels)
 
 
 # --- time ---
@@ -201,26 +159,7 @@ def tempo(x: Signal, factor: float, segment_ms: float = 82, search_ms: float = 1
     """Faster at the same pitch: segments are overlapped where they fit best (least squared distance over all channels)."""
     seg, search, over = (int(x.rate * ms / 1000 + 0.5) for ms in (segment_ms, search_ms, overlap_ms))
     over = max(over, 16)
-    ramp = np.arange(over) / over
-
-    def kernel(v: np.ndarray) -> np.ndarray:
-        total = int(v.shape[1] / factor + 0.5)
-        padded = np.pad(v, ((0, 0), (0, seg + search + over)))
-        out = [padded[:, : seg - over]]
-        tail, at, k, have = padded[:, seg - over : seg], 0, 0, seg - over
-        while have < total:
-            k += 1
-            at = int(factor * k * (seg - over) + 0.5)
-            if at + seg + search > padded.shape[1]:
-                padded = np.pad(padded, ((0, 0), (0, at + seg + search + over - padded.shape[1])))
-            fits = [float(((padded[:, at + d : at + d + over] - tail) ** 2).sum()) for d in range(search + 1)]
-            s = at + int(np.argmin(fits))
-            out += [tail * (1 - ramp) + padded[:, s : s + over] * ramp, padded[:, s + over : s + seg - over]]
-            have += seg - over
-            tail = padded[:, s + seg - over : s + seg]
-        return np.concatenate(out, 1)[:, :total].astype(np.float32).astype(float)
-
-    return by_stream(x, kernel)
+    return blockwise(x, stateful.Tempo(factor, seg, search, over))
 
 
 def pitch(x: Signal, cents: float, **options) -> Signal:
@@ -235,29 +174,16 @@ def pitch(x: Signal, cents: float, **options) -> Signal:
 def splice(x: Signal, joins: list[tuple[int, int, int]], shape: str = "t") -> Signal:
     """Cross-fades at (position, excess, leeway) in samples: the best fit within the leeway, then a fade over twice the excess."""
 
-    def kernel(v: np.ndarray) -> np.ndarray:
-        out, begin = [], 0
-        for position, excess, leeway in joins:
-            start, size = max(begin, position - excess), 2 * excess
-            old = v[:, start : start + size]
-            fits = [float(((v[:, start + size + d : start + 2 * size + d][:, : old.shape[1]] - old) ** 2).sum()) if start + 2 * size + d <= v.shape[1] else np.inf for d in range(leeway + 1)]
-            d = int(np.argmin(fits)) if np.isfinite(fits).any() else 0
-            new = v[:, start + size + d : start + 2 * size + d]
-            m = min(old.shape[1], new.shape[1])
-            i = np.arange(m) / max(1, m)
-            up = i if shape == "t" else np.sin(i * np.pi / 2) if shape == "q" else (1 - np.cos(i * np.pi)) / 2
-            down = np.sqrt(1 - up**2) if shape == "q" else 1 - up
-            out += [v[:, begin:start], old[:, :m] * down + new[:, :m] * up]
-            begin = start + size + d + m
-        return np.concatenate([*out, v[:, begin:]], 1)
-
-    return by_stream(x, kernel)
+    def fade(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        up = i if shape == "t" else np.sin(i * np.pi / 2) if shape == "q" else (1 - np.cos(i * np.pi)) / 2
+        return up, np.sqrt(1 - up**2) if shape == "q" else 1 - up
+
+    return blockwise(x, stateful.Splice(list(joins), fade))
 
 
 def bend(x: Signal, bends: list[tuple[int, float, int]], frames_per_second: int = 25, oversampling: int = 16) -> Signal:
     """Pitch bends (start, cents, end in samples) by a phase vocoder; a bend's pitch holds after it."""
     size = 1 << max(6, int(math.floor(math.log2(x.rate / frames_per_second))) + 1)
-    step = size // oversampling
 
     def ratio_at(n: int) -> float:
         cents = 0.0
@@ -265,27 +191,7 @@ def bend(x: Signal, bends: list[tuple[int, float, int]], frames_per_second: int
             cents += c * (0 if n < start else 1 if n >= end else (1 - math.cos(math.pi * (n - start) / (end - start))) / 2)
         return 2 ** (cents / 1200)
 
-    def kernel(v: np.ndarray, c: int) -> np.ndarray:
-        w = design.window("hann", size + 1)[:size]
-        padded = np.pad(v, (size, size))
-        out, last, total = np.zeros(len(padded)), np.zeros(size // 2 + 1), np.zeros(size // 2 + 1)
-        bins = np.arange(size // 2 + 1)
-        for at in range(0, len(padded) - size + 1, step):
-            spectrum = np.fft.rfft(padded[at : at + size] * w)
-            phase = np.angle(spectrum)
-            turn = phase - last - 2 * np.pi * bins / oversampling
-            last = phase
-            true = bins + (turn - 2 * np.pi * np.round(turn / (2 * np.pi))) * oversampling / (2 * np.pi)
-            r = ratio_at(at - size + size // 2)
-            to = (bins * r).astype(int)
-            ok = to <= size // 2
-            mag, freq = np.bincount(to[ok], np.abs(spectrum)[ok], size // 2 + 1), np.zeros(size // 2 + 1)
-            freq[to[ok]] = true[ok] * r
-            total += 2 * np.pi * freq / oversampling
-            out[at : at + size] += np.fft.irfft(mag * np.exp(1j * total), size) * w * (8 / 3 / oversampling)
-        return out[size : size + len(v)]
-
-    return by_channel(x, kernel)
+    return blockwise(x, stateful.Bend(ratio_at, size, oversampling))
 
 
 # --- choosing by level ---

@@ -52,6 +52,11 @@ class Flow:
         self.state = operator.start(channels)
         self.rest = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
 
+    @property
+    def silent(self) -> np.ndarray:
+        """A block without places."""
+        return self.operator.flow(self.state, np.zeros((self.channels, 0), np.int32))
+
     def add(self, channel: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
         """Rows sorted by n and channel; the last wide sample waits until all its channels or rows of a later one are there."""
         channel, n, s = (np.concatenate(x) for x in zip(self.rest, (channel, n, s)))
@@ -63,7 +68,7 @@ class Flow:
 
     def block(self, channel: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
         if not len(n):
-            return np.zeros((self.channels, 0), np.int32)
+            return self.silent
         a = np.zeros((self.channels, int(n[-1] - n[0]) + 1), np.int32)
         a[channel, n - n[0]] = s
         return self.operator.flow(self.state, a)
@@ -462,6 +467,220 @@ class Voice:
         return None
 
 
+# --- time ---
+
+
+@dataclass(frozen=True)
+class Splice:
+    """Cross-fades: see sequential.splice. Held is what the next join may read."""
+
+    joins: list[tuple[int, int, int]]
+    fade: Any
+
+    def start(self, channels: int) -> dict:
+        return {"held": np.zeros((channels, 0)), "base": 0, "join": 0}
+
+    def passed(self, state: dict, v: np.ndarray, ended: bool) -> np.ndarray:
+        """Output of what is held and v: joins whose places are all there, or at the end all."""
+        v = np.concatenate([state["held"], v], axis=1)
+        out, at, base = [], 0, state["base"]  # at: what has been given, from base on
+        while state["join"] < len(self.joins):
+            position, excess, leeway = self.joins[state["join"]]
+            begin, size = max(at, position - excess - base), 2 * excess
+            if not ended and begin + 2 * size + leeway > v.shape[1]:
+                at_most = min(begin, v.shape[1])
+                out.append(v[:, at:at_most])
+                at = at_most
+                break
+            old = v[:, begin : begin + size]
+            fits = [((v[:, begin + size + d : begin + 2 * size + d][:, : old.shape[1]] - old) ** 2).sum() if begin + 2 * size + d <= v.shape[1] else np.inf for d in range(leeway + 1)]
+            d = int(np.argmin(fits)) if np.isfinite(fits).any() else 0
+            new = v[:, begin + size + d : begin + 2 * size + d]
+            m = min(old.shape[1], new.shape[1])
+            up, down = self.fade(np.arange(m) / max(1, m))
+            out += [v[:, at:begin], old[:, :m] * down + new[:, :m] * up]
+            at = min(begin + size + d + m, v.shape[1])
+            state["join"] += 1
+        else:
+            out.append(v[:, at:])
+            at = v.shape[1]
+        state["held"], state["base"] = v[:, at:], base + at
+        return to_samples(np.concatenate(out, axis=1))
+
+    def flow(self, state: dict, s: np.ndarray) -> np.ndarray:
+        return self.passed(state, s / FULL, False)
+
+    def drain(self, state: dict) -> np.ndarray:
+        return self.passed(state, state["held"][:, :0], True)
+
+
+@dataclass(frozen=True)
+class Tempo:
+    """Segments overlapped where they fit best: see sequential.tempo. Held are the input from the next search on and the output that
+    might be too much if the input ended now."""
+
+    factor: float
+    segment: int
+    search: int
+    overlap: int
+
+    def start(self, channels: int) -> dict:
+        none = np.zeros((channels, 0))
+        return {"held": none, "base": 0, "tail": none, "out": none, "given": 0, "count": 0, "length": 0}
+
+    def advanced(self, state: dict, v: np.ndarray, most: float) -> np.ndarray:
+        """Output of as many segments as v (the input from base on) holds, until there is `most`."""
+        hop, base = self.segment - self.overlap, state["base"]
+        ramp = np.arange(self.overlap) / self.overlap
+        out = [state["out"]]
+        have = state["given"] + state["out"].shape[1]
+        if not state["count"] and v.shape[1] >= self.segment:
+            out.append(v[:, :hop])
+            state["tail"], state["count"], have = v[:, hop : self.segment], 1, hop
+        while state["count"] and have < most:
+            at = int(self.factor * state["count"] * hop + 0.5) - base
+            if at + self.segment + self.search > v.shape[1]:
+                break
+            tail = state["tail"]
+            fits = [((v[:, at + d : at + d + self.overlap] - tail) ** 2).sum() for d in range(self.search + 1)]
+            at += int(np.argmin(fits))
+            out += [tail * (1 - ramp) + v[:, at : at + self.overlap] * ramp, v[:, at + self.overlap : at + hop]]
+            state["tail"] = v[:, at + hop : at + self.segment]
+            state["count"], have = state["count"] + 1, have + hop
+        gone = min(v.shape[1], max(0, int(self.factor * state["count"] * hop + 0.5) - base)) if state["count"] else 0
+        state["held"], state["base"] = v[:, gone:], base + gone
+        return np.concatenate(out, axis=1)
+
+    def flow(self, state: dict, s: np.ndarray) -> np.ndarray:
+        state["length"] += s.shape[1]
+        out = self.advanced(state, np.concatenate([state["held"], s / FULL], axis=1), math.inf)
+        sure = max(0, min(out.shape[1], int(state["length"] / self.factor + 0.5) - state["given"]))
+        state["out"], state["given"] = out[:, sure:], state["given"] + sure
+        return to_samples(out[:, :sure].astype(np.float32).astype(float))
+
+    def drain(self, state: dict) -> np.ndarray:
+        total = int(state["length"] / self.factor + 0.5)
+        while state["given"] + state["out"].shape[1] < total:  # silence follows
+            state["out"] = self.advanced(state, np.pad(state["held"], ((0, 0), (0, self.segment + self.search))), total)
+        return to_samples(state["out"][:, : total - state["given"]].astype(np.float32).astype(float))
+
+
+@dataclass(frozen=True)
+class Bend:
+    """A phase vocoder whose ratio is a function of the place: see sequential.bend. Held are a frame of input and of output."""
+
+    ratio: Any
+    size: int
+    oversampling: int
+
+    def start(self, channels: int) -> dict:
+        zeros = lambda n: np.zeros((channels, n))
+        bins = self.size // 2 + 1
+        return {"held": zeros(self.size), "out": zeros(self.size), "at": 0, "length": 0, "last": zeros(bins), "total": zeros(bins)}
+
+    def advanced(self, state: dict, v: np.ndarray) -> list[np.ndarray]:
+        """What no later frame adds to, of the frames that v (from the next frame on) holds."""
+        size, over, step = self.size, self.oversampling, self.size // self.oversampling
+        w, bins, out = design.window("hann", size + 1)[:size], np.arange(size // 2 + 1), []
+        while v.shape[1] >= size:
+            spectrum = np.fft.rfft(v[:, :size] * w)
+            phase = np.angle(spectrum)
+            turn = phase - state["last"] - 2 * np.pi * bins / over
+            state["last"] = phase
+            true = bins + (turn - 2 * np.pi * np.round(turn / (2 * np.pi))) * over / (2 * np.pi)
+            r = self.ratio(state["at"] - size + size // 2)
+            to = (bins * r).astype(int)
+            ok = to <= size // 2
+            mag = np.stack([np.bincount(to[ok], m[ok], size // 2 + 1) for m in np.abs(spectrum)])
+            freq = np.zeros(mag.shape)
+            freq[:, to[ok]] = true[:, ok] * r
+            state["total"] = state["total"] + 2 * np.pi * freq / over
+            state["out"] = state["out"] + np.fft.irfft(mag * np.exp(1j * state["total"]), size) * w * (8 / 3 / over)
+            out.append(state["out"][:, :step])
+            state["out"] = np.pad(state["out"][:, step:], ((0, 0), (0, step)))
+            v, state["at"] = v[:, step:], state["at"] + step
+        state["held"] = v
+        return out
+
+    def given(self, state: dict, parts: list[np.ndarray], before: int) -> np.ndarray:
+        """Output places `before` on, without the silence that was put before the input."""
+        out = np.concatenate([state["out"][:, :0], *parts], axis=1)
+        return to_samples(out[:, max(0, self.size - before) :])
+
+    def flow(self, state: dict, s: np.ndarray) -> np.ndarray:
+        state["length"] += s.shape[1]
+        before = state["at"]
+        return self.given(state, self.advanced(state, np.concatenate([state["held"], s / FULL], axis=1)), before)
+
+    def drain(self, state: dict) -> np.ndarray:
+        before = state["at"]
+        parts = self.advanced(state, np.pad(state["held"], ((0, 0), (0, self.size))))
+        end = self.size + state["length"]  # of the input, with the silence before
+        return self.given(state, [*parts, state["out"]], before)[:, : max(0, end - max(before, self.size))]
+
+
+@dataclass(frozen=True)
+class Reverb:
+    """Combs and all-passes: see sequential.reverb. Delay lines are rings; a block is read from them in pieces.
+
+    lines: for each side the lengths of combs and of all-passes; mixed(v, wet) makes outputs of inputs and wet signals [input][side].
+    """
+
+    lines: list[tuple[list[int], list[int]]]
+    early: int
+    feedback: float
+    damp: float
+    gain: float
+    mixed: Any
+
+    def start(self, channels: int) -> dict:
+        ring = lambda n: {"line": np.zeros(n), "at": 0, "low": 0.0}
+        return {"early": np.zeros((channels, self.early)), "sides": [[([ring(n) for n in combs], [ring(n) for n in passes]) for combs, passes in self.lines] for _ in range(channels)]}
+
+    @staticmethod
+    def pieces(ring: dict, size: int) -> Iterator[tuple[slice, slice]]:
+        """Stretches of a block and the places of the ring that they read and then fill."""
+        done, n = 0, len(ring["line"])
+        while done < size:
+            m = min(size - done, n - ring["at"])
+            yield slice(done, done + m), slice(ring["at"], ring["at"] + m)
+            done, ring["at"] = done + m, (ring["at"] + m) % n
+
+    def comb(self, v: np.ndarray, ring: dict) -> np.ndarray:
+        out = np.empty(len(v))
+        for own, place in self.pieces(ring, len(v)):
+            y = out[own] = ring["line"][place].copy()
+            smooth = recurse([1 - self.damp], [1.0, -self.damp], y, np.array([ring["low"]]))
+            ring["low"] = smooth[-1]
+            ring["line"][place] = v[own] + smooth * self.feedback
+        return out
+
+    def allpass(self, v: np.ndarray, ring: dict) -> np.ndarray:
+        out = np.empty(len(v))
+        for own, place in self.pieces(ring, len(v)):
+            y = ring["line"][place].copy()
+            ring["line"][place] = v[own] + y * 0.5
+            out[own] = y - v[own]
+        return out
+
+    def flow(self, state: dict, s: np.ndarray) -> np.ndarray:
+        v = s / FULL
+        late = np.concatenate([state["early"], v], axis=1)
+        state["early"] = late[:, v.shape[1] :]
+        wet = []
+        for row, sides in zip(late[:, : v.shape[1]], state["sides"]):
+            wet.append([])
+            for combs, passes in sides:
+                y = sum(self.comb(row, ring) for ring in combs)
+                for ring in passes:
+                    y = self.allpass(y, ring)
+                wet[-1].append(y * self.gain)
+        return to_samples(np.stack(self.mixed(v, wet)).astype(np.float32).astype(float))
+
+    def drain(self, state: dict) -> None:
+        return None
+
+
 # --- requantising ---
 
 
