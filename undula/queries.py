@@ -184,6 +184,8 @@ for _law in ("ulaw", "alaw"):
 
 signal_query("trim", lambda x: rows.trim(x, [5, 20, 30]), f"WITH {MONO} SELECT stream_id, channel, CASE WHEN n < 20 THEN n - 5 ELSE n - 15 END AS n, s FROM x WHERE (n >= 5 AND n < 20) OR n >= 30")
 signal_query("trim_end", lambda x: rows.trim_end(x, 3, 10), f"WITH {MONO}, l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL) SELECT stream_id, channel, n - 3 AS n, s FROM x JOIN l USING (stream_id) WHERE n >= 3 AND n < length - 10")
+signal_query("trim_many", lambda x: rows.trim(x, list(range(3, 203, 2))), f"WITH {MONO} SELECT stream_id, channel, (n - 3) // 4 * 2 + (n - 3) % 4 AS n, s FROM x WHERE n >= 3 AND n < 203 AND (n - 3) % 4 < 2")
+signal_query("pad_many", lambda x: rows.pad(x, 0, 0, [(2, p) for p in range(5, 205, 5)]), f"WITH {MONO}, l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL), g AS (SELECT stream_id, p, unnest([0, 1]) AS k FROM l, range(5, 205, 5) t(p) WHERE p <= length) SELECT stream_id, channel, n + 2 * least(n // 5, 40) AS n, s FROM x UNION ALL SELECT stream_id, 0, p + 2 * (p // 5 - 1) + k, 0 FROM g")
 signal_query("pad", lambda x: rows.pad(x, 4, 6, [(3, 10)]), f"WITH {MONO}, l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL), z AS (SELECT unnest(range(13)) AS z) SELECT stream_id, channel, n + 4 + CASE WHEN n >= 10 THEN 3 ELSE 0 END AS n, s FROM x UNION ALL SELECT stream_id, 0, CASE WHEN z < 4 THEN z WHEN z < 7 THEN z + 10 ELSE z - 7 + length + 7 END, 0 FROM l, z")
 signal_query("repeat", lambda x: rows.repeat(x, 2), f"WITH {MONO}, l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL), j AS (SELECT unnest(range(3)) AS j) SELECT stream_id, channel, n + j * length AS n, s FROM x JOIN l USING (stream_id), j")
 signal_query("reverse", rows.reverse, f"WITH {MONO}, l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL) SELECT stream_id, channel, length - 1 - n AS n, s FROM x JOIN l USING (stream_id)")

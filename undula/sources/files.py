@@ -23,7 +23,7 @@ def decode_files(files: DataFrame, kind: str | None = None, rate: float | None =
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                f = formats.FORMATS[kind or formats.detect(bytes(content[:64]), path)]
+                f = formats.FORMATS[kind or formats.detect(bytes(content[:256]), path)]
                 raw = bytes(content)
                 _, a, _ = f.read(formats.to_the_end(raw) if ignore_length and raw[:4] in (b"RIFF", b"RIFX") else raw)
                 if channels and a.shape[1] == 1 and channels > 1:
@@ -54,7 +54,7 @@ def file_facts(files: DataFrame, kind: str | None = None) -> DataFrame:
             rows = []
             for path, head, size, content in zip(pdf["path"], pdf["head"], pdf["size"], pdf["content"]):
                 head = bytes(head)
-                name = kind or formats.detect(head[:64], path)
+                name = kind or formats.detect(head[:256], path)
                 told = formats.HEADERS[head[:4]](head, size) if content is None else None
                 found = (told.rate, told.channels, told.length, told.kept) if told else None
                 if content is None and found is None:
@@ -87,7 +87,7 @@ def file_comments(files: DataFrame, kind: str | None = None) -> DataFrame:
         for pdf in batches:
             out = []
             for path, head in zip(pdf["path"], pdf["head"]):
-                name = kind or formats.detect(bytes(head[:64]), path)
+                name = kind or formats.detect(bytes(head[:256]), path)
                 out.append(formats.COMMENTS[name][0](bytes(head)) if name in formats.COMMENTS else [])
             yield pd.DataFrame({"path": pdf["path"], "comments": out})
 

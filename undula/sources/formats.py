@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from . import pcm
+from . import huffman, pcm
 
 Read = Callable[[bytes], tuple[float, np.ndarray, int]]
 
@@ -760,7 +760,7 @@ put("xa", read=read_xa)
 #: First bytes that tell a format: (offset, bytes, name). Fixed values.
 MAGIC = [
     (8, b"WAVE", "wav"), (8, b"AIFF", "aiff"), (8, b"AIFC", "aifc"), (8, b"8SVX", "8svx"), (8, b"MAUD", "maud"), (0, b".snd", "au"), (0, b"dns.", "au"), (0, NATIVE, "native"), (0, NATIVE[::-1], "native"), (0, b"2BIT", "avr"), (0, b"NIST_1A", "sph"),
-    (0, b"SOUND\x1a", "sndt"), (0, b"SOUND SAMPLE DATA ", "smp"), (0, b"ALawSoundFile**", "wve"), (0, b"Creative Voice File\x1a", "voc"), (0, b"LM8953", "txw"), (0, b"caff", "caf"), (0, b"riff.\x91", "w64"), (0, b"PVF1", "pvf"), (16, b"ring.bin", "gsrt"), (0, b"XA\0\0", "xa"), (0, b"\x64\xa3", "sf"), (2, b"\xa3\x64", "sf"),
+    (0, b"SOUND\x1a", "sndt"), (0, b"SOUND SAMPLE DATA ", "smp"), (0, b"ALawSoundFile**", "wve"), (0, b"Creative Voice File\x1a", "voc"), (0, b"LM8953", "txw"), (0, b"caff", "caf"), (0, b"riff.\x91", "w64"), (0, b"PVF1", "pvf"), (16, b"ring.bin", "gsrt"), (0, b"XA\0\0", "xa"), (0, b"\x64\xa3", "sf"), (2, b"\xa3\x64", "sf"), (128, b"HCOM", "hcom"),
 ]
 
 
@@ -775,6 +775,43 @@ def detect(b: bytes, path: str = "") -> str:
     raise ValueError(f"no known format: {path!r}")
 
 
+# --- Huffman-coded sound in a MacBinary file ---
+
+
+def read_hcom(b: bytes) -> tuple[float, np.ndarray, int]:
+    if b[65:69] != b"FSSD" or b[128:132] != b"HCOM":
+        raise ValueError("not an HCOM file")
+    count, check, kind, divisor, size = struct.unpack_from(">IIIIH", b, 132)
+    if kind > 1 or not 1 <= divisor <= 4 or not 0 < size < 512:
+        raise ValueError("a bad HCOM header")
+    b = b[: 128 + struct.unpack_from(">I", b, 83)[0]]  # what follows fills up a block
+    at = 150 + 4 * size
+    pairs = np.frombuffer(b, ">i2", 2 * size, 150).reshape(-1, 2).tolist()
+    if not count:
+        return 22050.0 / divisor, np.zeros((0, 1), np.int32), 8
+    words = np.frombuffer(b[at + 2 : at + 2 + (len(b) - at - 2) // 4 * 4], ">u4")
+    values, used = huffman.decoded(huffman.Tree(pairs), words.tobytes(), count - 1)
+    if int(words[: -(-used // 32)].astype(np.uint64).sum()) & 0xFFFFFFFF != check:
+        raise ValueError("the HCOM checksum is wrong")
+    v = np.concatenate([[b[at + 1]], values])
+    v = np.cumsum(v) & 0xFF if kind else v  # differences, or values
+    return 22050.0 / divisor, wide(pcm.bytes_int(v.astype(np.uint8).tobytes(), 8, False), 1), 8
+
+
+def write_hcom(a: np.ndarray, rate: float) -> bytes:
+    v = np.frombuffer(pcm.int_bytes(flat(a), 8, False), np.uint8)
+    moves = np.diff(v)  # modulo 256
+    tree = huffman.Tree.of(np.bincount(moves, minlength=256))
+    words = huffman.encoded(tree, moves)
+    check = int(np.frombuffer(words, ">u4").astype(np.uint64).sum()) & 0xFFFFFFFF
+    divisor = max(1, min(4, int(22050 / rate + 0.5)))
+    fork = b"HCOM" + struct.pack(">IIIIH", len(v), check, 1, divisor, len(tree.pairs)) + np.array(tree.pairs, ">i2").tobytes() + b"\0" + v[:1].tobytes() + words
+    head = b"\0\1A".ljust(65, b"\0") + b"FSSD".ljust(18, b"\0") + struct.pack(">II", len(fork), 0)
+    return head.ljust(128, b"\0") + fork + b"\0" * (-len(fork) % 128)
+
+
+put("hcom", read=read_hcom, write=write_hcom, channels=1, rate=22050.0, bits=8)
+
 # --- Psion records ---
 
 #: First bytes of a record of the Psion Series 5: identifiers, their checksum and the table of two sections. Fixed values.
@@ -807,7 +844,7 @@ HEADERS: dict[bytes, Callable[[bytes, int], Layout | None]] = {b"RIFF": wav_layo
 
 def layout(b: bytes, total: int, kind: str | None = None, rate: float | None = None, channels: int | None = None, path: str = "") -> Layout | None:
     """The layout of a file by its first bytes and size, or of a headerless kind; None for files to be decoded as a whole."""
-    kind = kind or detect(b[:64], path)
+    kind = kind or detect(b[:256], path)
     name = FORMATS[kind].names[0]
     if name in CODINGS:
         code, width, signed, big, flipped, kept, own_rate, own_channels = CODINGS[name]

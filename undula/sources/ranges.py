@@ -116,7 +116,7 @@ class SampleReader(DataSourceReader):
         layout = self.options.layout(partition.path, partition.size)
         if layout is None:
             if partition.start == 0:
-                kind = self.options.kind or formats.detect(store.part(partition.path, 0, 64), partition.path)
+                kind = self.options.kind or formats.detect(store.part(partition.path, 0, 256), partition.path)
                 _, a, _ = formats.FORMATS[kind].read(store.part(partition.path, 0, partition.size))
                 channels = self.options.channels
                 a = formats.wide(formats.flat(a), channels) if channels and channels > 1 and a.shape[1] == 1 else a
@@ -172,7 +172,7 @@ def facts(spark: SparkSession, paths: str | list[str], kind: str | None = None,
         for b in batches:
             rows = []
             for path, size in zip(b.column("path").to_pylist(), b.column("size").to_pylist()):
-                name = kind or formats.detect(store.part(path, 0, 64), path)
+                name = kind or formats.detect(store.part(path, 0, 256), path)
                 at = options.layout(path, size)
                 if at is None:
                     r, a, bits = formats.FORMATS[name].read(store.part(path, 0, size))
