@@ -105,3 +105,18 @@ def test_long_headers_and_rf64(tmp_path):
     assert (at.start, at.length, at.frame) == (44, len(WAVE), 4)
     starts = [ranges.owned(at, k, k + 13) for k in range(0, len(plain), 13)]
     assert starts[0][0] == 0 and all(x[1] == y[0] for x, y in zip(starts, starts[1:])) and starts[-1][1] == len(WAVE)
+
+
+@pytest.mark.parametrize("kind", ["wav", "wav24", "aiff", "au"])
+def test_comments_in_headers(spark, tmp_path, kind):
+    said = ["plain words", "Title=A name", "Artist=Someone é", "Odd=one"]
+    x = Signal(wave(spark).df, 8000.0, 2, comments=said)
+    files.save(x, str(tmp_path), kind)
+    read = spark.read.format("binaryFile").load(f"{tmp_path}/a.{kind}")
+    got = files.file_comments(read, kind).first()["comments"]
+    assert got == said
+    assert ranges.load(spark, f"{tmp_path}/a.{kind}", kind).count() == 2998
+    if kind == "wav":
+        a = formats.wav_with_comments(formats.write_wav(WAVE[:, None], 8000.0), ["x"])
+        at = a.index(b"LIST")
+        assert a[at : at + 22] == b"LIST" + (14).to_bytes(4, "little") + b"INFOICMT" + (2).to_bytes(4, "little") + b"x\0" and int.from_bytes(a[4:8], "little") == len(a) - 8

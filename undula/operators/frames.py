@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,12 +100,81 @@ def spectrogram(x: Signal, rows: int = 257, window: str = "hann", step: int | No
     return p.select(*BY, F.col("frame").alias("column"), F.posexplode("power").alias("row", "p")).select(*BY, "column", "row", (F.lit(10.0) * F.log10(F.greatest("p", F.lit(1e-20)))).alias("db"))
 
 
-def render_png(grid: np.ndarray, floor: float = -120.0) -> bytes:
-    """A grey picture of one channel's spectrogram (rows x columns of dB), low frequencies at the bottom."""
-    import struct
-    import zlib
+#: Corners of the palette, evenly spaced from the floor to the top: black, blue, violet, red, yellow, white.
+CORNERS = ((0, 0, 0), (0, 0, 140), (150, 0, 150), (230, 40, 20), (250, 220, 60), (255, 255, 255))
+#: Rows of a channel, at least, and the tallest and widest picture.
+LEAST_ROWS, WIDEST = 33, 200_000
 
-    shade = (np.clip((grid - floor) / -floor, 0, 1) * 255).astype(np.uint8)[::-1]
+
+def palette(colours: int, grey: bool = False, light: bool = False) -> np.ndarray:
+    """(colours + 2, 3) bytes: one for all below the floor, the colours, one for all above the top. light: for paper."""
+    at = np.linspace(0, len(CORNERS) - 1, colours + 2)
+    corners = np.array(CORNERS, float)
+    rgb = np.stack([np.interp(at, np.arange(len(corners)), corners[:, k]) for k in range(3)], axis=1)
+    rgb = np.repeat(np.linspace(0, 255, colours + 2)[:, None], 3, axis=1) if grey else rgb
+    return np.rint(255 - rgb if light else rgb).astype(np.uint8)
+
+
+def indexed_png(pixels: np.ndarray, colours: np.ndarray) -> bytes:
+    """A picture of palette indices (rows x columns)."""
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    raw = b"".join(b"\0" + r.tobytes() for r in shade)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", shade.shape[1], shade.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    raw = np.pad(pixels.astype(np.uint8), ((0, 0), (1, 0))).tobytes()  # each row after its filter, none
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 3, 0, 0, 0)) + chunk(b"PLTE", colours.tobytes()) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def png_pixels(png: bytes) -> np.ndarray:
+    """Palette indices of a picture of indexed_png()."""
+    width, height = struct.unpack_from(">II", png, 16)
+    at, data = 8, b""
+    while at < len(png):
+        size, kind = struct.unpack_from(">I4s", png, at)
+        data += png[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+        at += 12 + size
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, width + 1)[:, 1:]
+
+
+def rows_for(height: int, channels: int) -> int:
+    """Rows of a channel: one more than a power of two, so that all channels fit the height, but not fewer than LEAST_ROWS."""
+    fit = height // max(1, channels)
+    return max(LEAST_ROWS, (1 << max(0, (fit - 1).bit_length() - 1 if fit < 2 else int(math.log2(fit - 1)))) + 1)
+
+
+def picture(
+    x: Signal, width: int = 800, height: int = 550, rows: int | None = None, pixels_per_second: float | None = None, span: float = 120.0, top: float | None = 0.0, colours: int = 249, window: str = "hann", parameter: float = 0.0,
+    grey: bool = False, light: bool = False,
+) -> DataFrame:
+    """(stream_id, width, height, png): a spectrogram of each stream as an indexed picture.
+
+    Channels lie from top to bottom, low frequencies at the bottom of each, time from left to right. A channel has `rows`, or what
+    `height` allows (see rows_for). A column is 1 / pixels_per_second long; without that number, as long that the longest stream
+    fits the width. It is the mean power of one or more frames, which overlap by half or more; what comes after `width` columns
+    isn't shown. Levels from top - span to top (dB to full scale; top None: the greatest level) have the colours.
+
+    Columns are made and averaged all over; a stream's picture, which is of bounded size, is put together in one task.
+    """
+    if not 1 <= width <= WIDEST or not 1 <= colours <= 254:
+        raise ValueError(f"a picture has 1 to {WIDEST} columns and 1 to 254 colours")
+    rows = rows or rows_for(height, x.channels)
+    size = 2 * (rows - 1)
+    if pixels_per_second is None:
+        longest = x.df.agg(F.max("n")).first()[0]
+        pixels_per_second = width * x.rate / ((longest or 0) + 1)
+    column = max(1, int(x.rate / pixels_per_second + 0.5))  # places of a column
+    steps = -(-2 * column // size)  # frames of a column
+    step = max(1, column // steps)
+    w = design.window(window, size, parameter)
+    power = spectra(frames(x.with_df(x.df.where(F.col("n") < width * steps * step)), size, step), size, w * (2 / w.sum()))
+    cell = power.select(*BY, F.floor(F.col("frame") / steps).alias("column"), F.posexplode("power").alias("row", "p")).groupBy(*BY, "column", "row").agg(F.avg("p").alias("p"))
+    level = cell.where(F.col("column") < width).withColumn("db", F.lit(10.0) * F.log10(F.greatest("p", F.lit(1e-20))))
+    if top is None:
+        top = level.agg(F.max("db")).first()[0] or 0.0
+    share = (F.col("db") - (top - span)) / span * colours
+    shade = level.select("stream_id", "channel", "column", "row", F.when(share < 0, 0).when(share >= colours, colours + 1).otherwise(F.floor(share) + 1).cast("int").alias("shade"))
+    look, channels = palette(colours, grey, light), x.channels
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((channels * rows, int(pdf["column"].max()) + 1), np.uint8)
+        grid[(pdf["channel"] + 1) * rows - 1 - pdf["row"], pdf["column"]] = pdf["shade"]
+        return pd.DataFrame({"stream_id": [pdf["stream_id"].iat[0]], "width": [grid.shape[1]], "height": [grid.shape[0]], "png": [indexed_png(grid, look)]})
+
+    return shade.groupBy("stream_id").applyInPandas(drawn, "stream_id string, width int, height int, png binary")

@@ -11,6 +11,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +122,24 @@ SQL["stat_frequencies"] = f"WITH {MONO}, b AS (SELECT unnest(range(32)) AS bin),
 QUERIES["noiseprof"] = lambda spark, d: frames.noise_profile(events(spark, d), 64).select("stream_id", F.col("bin").cast("bigint").alias("bin"), (F.round("log_power", 5) + 0.0).alias("log_power"))
 SQL["noiseprof"] = f"WITH {MONO}, b AS (SELECT unnest(range(33)) AS bin), p AS (SELECT stream_id, n // 64 AS frame, bin, sum(s / {FULL} * cos(2 * pi() * bin * (n % 64) / 64)) AS re, sum(s / {FULL} * sin(2 * pi() * bin * (n % 64) / 64)) AS im FROM x, b GROUP BY ALL) SELECT stream_id, bin, round(avg(ln(re * re + im * im)), 5) + 0.0 AS log_power FROM p GROUP BY ALL"
 QUERIES["spectrogram"] = lambda spark, d: frames.spectrogram(events(spark, d), 17, "hann", 16).select("stream_id", F.col("column").cast("bigint").alias("column"), F.col("row").cast("bigint").alias("row"), F.round("db", 4).alias("db"))
+
+
+@query("spectrogram_picture")
+def _picture(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of the pictures: columns of two frames of 32 places, 40 colours over 60 dB."""
+    drawn = frames.picture(events(spark, d, 2), 800, rows=17, pixels_per_second=RATE / 32, span=60.0, top=0.0, colours=40)
+
+    def pixels(batches):
+        for pdf in batches:
+            for stream, png in zip(pdf["stream_id"], pdf["png"]):
+                grid = frames.png_pixels(png)
+                h, w = grid.shape
+                yield pd.DataFrame({"stream_id": stream, "y": np.repeat(np.arange(h), w), "x": np.tile(np.arange(w), h), "shade": grid.ravel().astype(np.int64)})
+
+    return drawn.mapInPandas(pixels, "stream_id string, y bigint, x bigint, shade bigint")
+
+
+SQL["spectrogram_picture"] = f"WITH {STEREO}, w AS (SELECT k, 2 * h / sum(h) OVER () AS h FROM (SELECT k, 0.5 - 0.5 * cos(2 * pi() * k / 31) AS h FROM range(32) t(k))), f AS (SELECT *, unnest(range(greatest(0, CAST(floor((n - 32) / 16.0) AS BIGINT) + 1), n // 16 + 1)) AS f FROM x), p AS (SELECT stream_id, channel, f, b, sum(s / {FULL} * h * cos(2 * pi() * b * k / 32)) AS re, sum(s / {FULL} * h * sin(2 * pi() * b * k / 32)) AS im FROM f JOIN w ON k = n - f * 16, range(17) t(b) GROUP BY ALL), c AS (SELECT stream_id, channel, f // 2 AS x, b, (10 * log10(greatest(avg(re * re + im * im), 1e-20)) + 60) / 60 * 40 AS v FROM p GROUP BY ALL) SELECT stream_id, channel * 17 + 16 - b AS y, x, CAST(CASE WHEN v < 0 THEN 0 WHEN v >= 40 THEN 41 ELSE floor(v) + 1 END AS BIGINT) AS shade FROM c"
 QUERIES["meter"] = lambda spark, d: rounded(aggregates.meter(events(spark, d, 2), 0.1))
 SQL["meter"] = f"WITH {STEREO} SELECT stream_id, channel, n // 10 AS window, round(20 * log10(greatest(max(abs(s / {FULL})), 1e-10)), 6) + 0.0 AS peak_db FROM x GROUP BY ALL"
 QUERIES["headroom"] = lambda spark, d: rounded(aggregates.headroom(events(spark, d)))

@@ -880,8 +880,37 @@ def aiff_with_comments(b: bytes, comments: list[str]) -> bytes:
     return b[:4] + struct.pack(">I", struct.unpack_from(">I", b, 4)[0] + len(notes)) + b[8:at] + notes + b[at:]
 
 
+#: Names of text chunks in a RIFF list of information: fixed values. What has none of its own goes into a comment.
+INFO = {b"ICMT": "Comment", b"INAM": "Title", b"IART": "Artist", b"ICRD": "Date", b"IGNR": "Genre", b"ICOP": "Copyright", b"IPRD": "Album", b"ISFT": "Software"}
+
+
+def wav_comments(b: bytes) -> list[str]:
+    big, out = b[:4] == b"RIFX", []
+    for name, at, size in chunks(b, 12, big):
+        if name == b"LIST" and b[at : at + 4] == b"INFO":
+            for kind, start, length in chunks(b[: at + size], at + 4, big):
+                text = b[start : start + length].rstrip(b"\0").decode("utf-8", "replace")
+                if kind in INFO and start + length <= len(b):
+                    out.append(text if kind == b"ICMT" else f"{INFO[kind]}={text}")
+    return out
+
+
+def wav_with_comments(b: bytes, comments: list[str]) -> bytes:
+    """A list of information before the data, so that the first bytes tell it."""
+    known = {v.lower(): k for k, v in INFO.items()}
+    items = b""
+    for c in comments:
+        key, _, text = c.partition("=")
+        kind = known.get(key.lower()) if text else None
+        raw = (text if kind else c).encode() + b"\0"
+        items += (kind or b"ICMT") + struct.pack("<I", len(raw)) + raw + b"\0" * (len(raw) % 2)
+    at = next(at for name, at, _ in chunks(b, 12, False) if name == b"data") - 8
+    note = b"LIST" + struct.pack("<I", 4 + len(items)) + b"INFO" + items
+    return b[:4] + struct.pack("<I", struct.unpack_from("<I", b, 4)[0] + len(note)) + b[8:at] + note + b[at:]
+
+
 #: Formats whose headers hold comments: reads them from a file's first bytes, puts them into a file.
-COMMENTS: dict[str, tuple[Callable[[bytes], list[str]], Callable[[bytes, list[str]], bytes]]] = {n: (au_comments, au_with_comments) for n in ("au", "snd")} | {n: (aiff_comments, aiff_with_comments) for n in ("aiff", "aif", "aifc", "aiffc", "aifc_float")}
+COMMENTS: dict[str, tuple[Callable[[bytes], list[str]], Callable[[bytes, list[str]], bytes]]] = {n: (au_comments, au_with_comments) for n in ("au", "snd")} | {n: (aiff_comments, aiff_with_comments) for n in ("aiff", "aif", "aifc", "aiffc", "aifc_float")} | {n: (wav_comments, wav_with_comments) for n in ("wav", "wavpcm", "amb", "wav8", "wav24", "wav32", "wav_float", "wav_alaw", "wav_ulaw")}
 
 
 # --- PARIS ---
