@@ -509,6 +509,29 @@ for _q, (_width, _stop) in {"l": (0.8, 102), "m": (0.95, 102), "h": (0.95, 126),
     _d = "(k - f / 3.0::DOUBLE)"
     SQL[f"rate_{_q}"] = f"WITH {MONO}, h AS (SELECT f, k, {_cut} * CASE WHEN f = 0 AND k = 0 THEN 1 ELSE sin(pi() * {_cut} * {_d}) / (pi() * {_cut} * {_d}) END * {_i0(f'{_beta} * sqrt(greatest(0, 1 - pow({_d} / {_reach + 1}, 2)))')} / {_i0(_beta)} AS h FROM range(3) t(f), range({-_reach}, {_reach + 1}) u(k)), l AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL), o AS (SELECT stream_id, unnest(range(CAST(floor(length * 1.5 + 0.5) AS BIGINT))) AS m FROM l) SELECT o.stream_id, CAST(0 AS BIGINT) AS channel, m AS n, {E('sum(h * x.s)')} AS s FROM o JOIN h ON f = (m * 2) % 3 JOIN x ON x.stream_id = o.stream_id AND x.n = (m * 2) // 3 + k GROUP BY ALL"
 
+def curve_kernel(knots: str, first: float, last: float, rate: float, taps: int, shape: str) -> str:
+    """SQL of a filter by a response: knots(i, x, g) joined by a natural spline in x = ln(Hz), whose transform is weighted by a shape
+    of d, the place from its middle. Streams are short, so that the middle of the kernel is enough."""
+    size = 1 << math.ceil(math.log2(taps * 4))
+    pivot = "(2 * (s.hp + s.hn) - s.hp * fw.c)"
+    return f"""WITH RECURSIVE {MONO}, {knots}, s AS (SELECT i, x, g, x - lag(x) OVER o AS hp, lead(x) OVER o - x AS hn, (g - lag(g) OVER o) / (x - lag(x) OVER o) AS dp, (lead(g) OVER o - g) / (lead(x) OVER o - x) AS dn FROM knots WINDOW o AS (ORDER BY i)),
+fw AS (SELECT i, hn / (2 * (hp + hn)) AS c, 3 * (dn - dp) / (hp + hn) AS r FROM s WHERE i = 1 UNION ALL SELECT s.i, s.hn / {pivot}, (6 * (s.dn - s.dp) - s.hp * fw.r) / {pivot} FROM fw JOIN s ON s.i = fw.i + 1 WHERE s.hn IS NOT NULL),
+bw AS (SELECT i, r AS m FROM fw WHERE i = (SELECT max(i) FROM fw) UNION ALL SELECT fw.i, fw.r - fw.c * bw.m FROM bw JOIN fw ON fw.i = bw.i - 1),
+sp AS (SELECT s.x, s.g, s.hn, s.dn, coalesce(a.m, 0) AS m, coalesce(b.m, 0) AS p FROM s LEFT JOIN bw a ON a.i = s.i LEFT JOIN bw b ON b.i = s.i + 1 WHERE s.hn IS NOT NULL),
+gr AS (SELECT j, ln(least(greatest(j * {num(rate)} / {size}, {num(first)}), {num(last)})) AS u FROM range({size // 2 + 1}) t(j)),
+gj AS (SELECT j, pow(10, (g + t * (dn - hn * (2 * m + p) / 6) + t * t * m / 2 + t * t * t * (p - m) / (6 * hn)) / 20) AS w FROM (SELECT j, u - x AS t, g, hn, dn, m, p FROM gr ASOF JOIN sp ON u >= x)),
+k AS (SELECT d, sum(w * CASE WHEN j IN (0, {size // 2}) THEN 1 ELSE 2 END * cos(2 * pi() * ((j * d) % {size}) / {size})) / {size} * ({shape}) AS h FROM gj, range(-200, 201) t(d) GROUP BY d)
+SELECT o.stream_id, o.channel, o.n, {E('sum(h * x.s)')} AS s FROM x o JOIN x ON x.stream_id = o.stream_id JOIN k ON d = o.n - x.n GROUP BY ALL"""
+
+
+_at = "(2 * pi() * (1023 + d) / 2046)"
+SQL["firfit"] = curve_kernel("knots AS (SELECT * FROM (VALUES (0, ln(20.0::DOUBLE), 0.0::DOUBLE), (1, ln(1000.0::DOUBLE), -6.0), (2, ln(10000.0::DOUBLE), 3.0)) t(i, x, g))", 20, 10000, 44100, 2047, f"0.3635819 - 0.4891775 * cos({_at}) + 0.1365995 * cos(2 * {_at}) - 0.0106411 * cos(3 * {_at})")
+_phon = lambda p: f"10 / a * log10(4.47e-3 * (pow(10, 0.025 * {p}) - 1.15) + pow(0.4 * pow(10, (tf + lu) / 10 - 9), a)) - lu + 94"
+_contour = ", ".join(f"({k}, {num(f)}, {num(a)}, {num(lu)}, {num(tf)})" for k, (f, a, lu, tf) in enumerate(design.ISO226))
+_beta = num(0.1102 * (100 - 8.7))
+SQL["loudness"] = curve_kernel(f"iso AS (SELECT * FROM (VALUES {_contour}) t(i, f, a, lu, tf)), change AS (SELECT i, f, ({_phon(45)}) - ({_phon(65)}) AS g FROM iso), knots AS (SELECT i, ln(f) AS x, g FROM change UNION ALL SELECT i + 1, ln(22050.0::DOUBLE), g FROM change WHERE f = 12500)", 20, 22050, 44100, 1023, f"{_i0(f'{_beta} * sqrt(greatest(0, 1 - pow(d / 511.0, 2)))')} / {_i0(_beta)}")
+
+
 def kaiser(reach: int, beta: float, d: str) -> str:
     """The window that reaches zero at reach + 1, at a distance d from its middle."""
     return f"{_i0(f'{num(beta)} * sqrt(greatest(0, 1 - pow({d} / {reach + 1}, 2)))')} / {_i0(num(beta))}"
