@@ -332,7 +332,7 @@ signal_query("compand", lambda x: sequential.compand(x, [(0.05, 0.2)], [(-60.0,
 signal_query("mcompand", lambda x: sequential.mcompand(x, [{"times": [(0.05, 0.2)], "points": [(-40.0, -30.0)]}, {"times": [(0.02, 0.1)], "points": [(-50.0, -45.0)]}], [20.0]))
 signal_query("flanger", lambda x: sequential.flanger(x, 20, 10, 30, 71, 2.0))
 signal_query("phaser", lambda x: sequential.phaser(x, 0.6, 0.7, 40.0, 0.4, 1.0))
-signal_query("reverb", lambda x: sequential.reverb(x, 50), rate=8000.0)
+signal_query("reverb", lambda x: sequential.reverb(x, 50), rate=800.0)  # at which the shortest comb has 20 places
 signal_query("tempo", lambda x: sequential.tempo(x, 1.3, 200, 40, 100))
 signal_query("pitch", lambda x: sequential.pitch(x, 200, segment_ms=200, search_ms=40, overlap_ms=100))
 signal_query("splice", lambda x: sequential.splice(x, [(20, 3, 4)]))
@@ -500,6 +500,21 @@ SQL["chain"] = f"{_base}, z AS (SELECT stream_id, max(n) + 1 AS length FROM y GR
 _loud = lambda level: f"CASE WHEN r > {level} THEN 1 ELSE 0 END"
 SQL["silence"] = f"WITH {MONO}, p AS (SELECT *, sqrt((pow(s / {FULL}, 2) + coalesce(pow(lag(s) OVER (PARTITION BY stream_id ORDER BY n) / {FULL}, 2), 0)) / 2) AS r FROM x), q AS (SELECT *, min({_loud(0.5)}) OVER (PARTITION BY stream_id ORDER BY n ROWS 2 PRECEDING) AS three, max({_loud(0.2)}) OVER (PARTITION BY stream_id ORDER BY n ROWS 3 PRECEDING) AS four FROM p), t AS (SELECT stream_id, min(n) AS t0 FROM q WHERE three = 1 AND n >= 2 GROUP BY ALL), e AS (SELECT stream_id, min(n) AS e FROM q JOIN t USING (stream_id) WHERE four = 0 AND n - 3 >= t0 GROUP BY ALL) SELECT stream_id, channel, n - t0 + 2 AS n, s FROM x JOIN t USING (stream_id) LEFT JOIN e USING (stream_id) WHERE n >= t0 - 2 AND (e IS NULL OR n <= e - 4)"
 
+# combs and all-passes: a line by stream, side and filter, of which the value `size` places ago is read
+_ago = lambda n, size: f"CASE WHEN {n} >= {size} THEN t.l[{n} - {size} + 1] ELSE 0 END"
+_places = "CAST(floor(800 / 44100.0::DOUBLE * (c + 12 * side) + 0.5) AS BIGINT)"
+_lengths = lambda values: f"SELECT side, i, {_places} AS size FROM (VALUES {', '.join(f'({k}, {c})' for k, c in enumerate(values))}) t(i, c), range(2) r(side)"
+_fall = "(-1 / ln(0.7::DOUBLE))"
+_knee = f"(100 / (ln(0.02::DOUBLE) * {_fall} + 1))"
+_fed = f"(1 - exp((50 - {_knee}) / ({_fall} * {_knee})))"
+_low = f"(0.65::DOUBLE * {_ago('v.n', 'size')} + 0.35::DOUBLE * t.low)"
+_pass = lambda k, source: f"a{k} AS (SELECT w.stream_id, w.side, w.n, ap.size, -w.v AS v, [w.v] AS l FROM {source} w JOIN ap USING (side) WHERE i = {k} AND n = 0 UNION ALL SELECT w.stream_id, w.side, w.n, t.size, {_ago('w.n', 't.size')} - w.v, list_append(t.l, w.v + 0.5 * {_ago('w.n', 't.size')}) FROM a{k} t JOIN {source} w ON w.stream_id = t.stream_id AND w.side = t.side AND w.n = t.n + 1)"
+SQL["reverb"] = f"WITH RECURSIVE {MONO}, v AS (SELECT stream_id, n, s / {FULL} AS v FROM x), cs AS ({_lengths((1116, 1188, 1277, 1356, 1422, 1491, 1557, 1617))}), ap AS ({_lengths((225, 341, 441, 556))}), cb AS (SELECT stream_id, side, i, size, n, 0.0::DOUBLE AS y, 0.0::DOUBLE AS low, [v] AS l FROM v, cs WHERE n = 0 UNION ALL SELECT t.stream_id, side, i, size, v.n, {_ago('v.n', 'size')}, {_low}, list_append(t.l, v.v + {_low} * {_fed}) FROM cb t JOIN v ON v.stream_id = t.stream_id AND v.n = t.n + 1), w AS (SELECT stream_id, side, n, sum(y ORDER BY i) AS v FROM cb GROUP BY ALL), {', '.join(_pass(k, f'a{k - 1}' if k else 'w') for k in range(4))} SELECT v.stream_id, side AS channel, v.n, {R(f'CAST(CAST(v.v + a3.v * 0.015::DOUBLE AS FLOAT) AS DOUBLE) * {FULL}')} AS s FROM v JOIN a3 ON a3.stream_id = v.stream_id AND a3.n = v.n"
+# segments of 20 places of which the first 4 stand and 16 fade into the next one, sought from 1.3 times its place on by up to 4
+_from = "CAST(floor(1.3::DOUBLE * k * 4 + 0.5) AS BIGINT)"
+_fit = "list_transform(range(5), lambda d: list_sum(list_transform(range(16), lambda j: pow(l[b + d + j + 1] - tail[j + 1], 2))))"
+SQL["tempo"] = f"WITH RECURSIVE {MONO}, v AS (SELECT stream_id, list_concat(list(s / {FULL} ORDER BY n), list_transform(range(200), lambda j: 0.0::DOUBLE)) AS l, count(*) AS length FROM x GROUP BY ALL), t AS (SELECT stream_id, l, length, 1 AS k, l[1:4] AS o, l[5:20] AS tail FROM v UNION ALL SELECT stream_id, l, length, k + 1, list_concat(o, list_transform(range(16), lambda j: tail[j + 1] * (1 - j / 16.0::DOUBLE) + l[b + d + j + 1] * (j / 16.0::DOUBLE))), l[b + d + 5 : b + d + 20] FROM (SELECT *, list_position(fits, list_min(fits)) - 1 AS d FROM (SELECT *, {_fit} AS fits FROM (SELECT *, {_from} AS b FROM t WHERE 4 * k < floor(length / 1.3::DOUBLE + 0.5))))), z AS (SELECT stream_id, arg_max(o, k) AS o, any_value(length) AS length FROM t GROUP BY ALL) SELECT stream_id, CAST(0 AS BIGINT) AS channel, m AS n, {R(f'CAST(CAST(o[m + 1] AS FLOAT) AS DOUBLE) * {FULL}')} AS s FROM (SELECT *, unnest(range(CAST(floor(length / 1.3::DOUBLE + 0.5) AS BIGINT))) AS m FROM z)"
+
 # kernels
 SQL["hilbert"] = f"WITH {MONO}, k AS (SELECT k, CASE WHEN k = 10 THEN 0 ELSE (1 - cos(pi() * (k - 10))) / (pi() * (k - 10)) END * (0.42 - 0.5 * cos(pi() * k / 10) + 0.08 * cos(pi() * k / 5)) AS h FROM range(21) t(k)) SELECT o.stream_id, o.channel, o.n, {E('sum(h * x.s)')} AS s FROM x o, k JOIN x ON x.stream_id = o.stream_id AND x.n = o.n + 10 - k GROUP BY ALL"
 _i0 = lambda v: f"list_sum(list_transform(range(70), lambda j: pow(({v}) / 2, 2 * j) / pow(gamma(j + 1), 2)))"
