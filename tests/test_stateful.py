@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from undula.operators import sequential, stateful
+from undula.operators import frames, sequential, stateful
 from undula.signal import Signal
 
 RATE = 8000.0
@@ -56,6 +56,7 @@ def built():
     take("silence within", lambda x: sequential.silence(x, 0, (0, 0.0), -1, (90, 0.05), leave=True))
     take("silence twice", lambda x: sequential.silence(x, 2, (50, 0.02), -2, (80, 0.02)))
     take("vad", lambda x: sequential.vad(x, 8.0, 0.05, 0.1, 0.02, 0.01, 0.02, frequency=100.0))
+    made["noisered"] = frames.Gate(64, np.stack([np.linspace(-3, 1, 33), np.linspace(1, -3, 33)]))
     made["dither"] = stateful.Dither(8, [], [], False, 1, None)
     made["dither slope"] = stateful.Dither(8, [], [], True, 1, None)
     take("dither shaped", lambda x: sequential.dither(x, 10, "shibata"))

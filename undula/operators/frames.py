@@ -6,6 +6,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import design
-from ..functions.numeric import FULL, rounded
+from ..functions.numeric import FULL
 from ..signal import Signal
+from .stateful import blockwise, to_samples
 
 BY = ["stream_id", "channel"]
 
@@ -57,38 +59,50 @@ def noise_profile(x: Signal, size: int = 2048) -> DataFrame:
 def noise_reduce(x: Signal, profile: DataFrame, amount: float = 0.5, size: int = 2048) -> Signal:
     """Gates bins whose power is under the profile: frames at half overlap, gains smoothed over frames, added again.
 
-    profile: (channel, bin, log_power), one row a channel and bin, broadcast: channels times 1,025 rows. Frames of a channel
-    are taken in order, one by one.
+    profile: (channel, bin, log_power), one row a channel and bin, sent to the tasks: channels times 1,025 rows.
     """
-    by_channel: dict[int, np.ndarray] = {}
-    for r in profile.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("bin", "log_power"))).alias("p")).toLocalIterator():
-        by_channel[r["channel"]] = np.array([v["log_power"] for v in r["p"]])
-    half = size // 2
-    hann = design.window("hann", size + 1)[:size]
-
-    def gated(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        c = int(pdf["channel"].iat[0])
-        noise = by_channel.get(c, np.zeros(half + 1))
-        gain, out = np.ones(half + 1), []
-        for row in pdf["x"]:
-            v = np.zeros(size)
-            v[: len(row)] = row
-            spectrum = np.fft.rfft(v * hann)
+    held = {r["channel"]: np.array([v["log_power"] for v in r["p"]]) for r in profile.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("bin", "log_power"))).alias("p")).toLocalIterator()}
+    return blockwise(x, Gate(size, np.stack([held.get(c, np.zeros(size // 2 + 1)) for c in range(x.channels)]) + amount * 8))
+
+
+@dataclass(frozen=True)
+class Gate:
+    """Frames from half a frame before the first sample on, so that all samples are in two; threshold by channel and bin (log power)."""
+
+    size: int
+    threshold: np.ndarray
+
+    def start(self, channels: int) -> dict:
+        half = self.size // 2
+        return {"held": np.zeros((channels, half)), "tail": np.zeros((channels, half)), "gain": np.ones((channels, half + 1)), "frame": 0, "length": 0}
+
+    def advanced(self, state: dict, v: np.ndarray) -> list[np.ndarray]:
+        half, hann, out = self.size // 2, design.window("hann", self.size + 1)[: self.size], []
+        while v.shape[1] >= self.size:
+            now = v[:, : self.size]
             with np.errstate(divide="ignore"):
-                open_ = np.log(np.abs(np.fft.rfft(v)) ** 2) >= noise + amount * 8
-            gain = 0.5 * gain + 0.5 * open_
-            lone = np.zeros_like(gain, bool)
-            lone[1:-1] = (gain[1:-1] >= 0.1) & (gain[:-2] < 0.1) & (gain[2:] <= 0.1)
-            smooth = np.where(lone, 0.0, gain)
-            out.append(np.fft.irfft(spectrum * smooth, size).tolist())
-        return pd.DataFrame({"stream_id": pdf["stream_id"], "channel": pdf["channel"], "frame": pdf["frame"], "y": out})
-
-    led = Signal(x.df.withColumn("n", F.col("n") + half), x.rate, x.channels)  # the first samples are in two frames too
-    framed = frames(led, size, half)
-    y = framed.groupBy(*BY).applyInPandas(gated, "stream_id string, channel int, frame bigint, y array<double>")
-    added = y.select(*BY, "frame", F.posexplode("y").alias("k", "v")).groupBy(*BY, (F.col("frame") * half + F.col("k") - half).alias("n")).agg(F.sum("v").alias("v"))
-    return x.with_df(x.df.select(*BY, "n").join(added, [*BY, "n"]).withColumn("s", rounded(F.col("v") * FULL)), precision=32)
+                open_ = np.log(np.abs(np.fft.rfft(now)) ** 2) >= self.threshold
+            gain = state["gain"] = 0.5 * state["gain"] + 0.5 * open_
+            lone = np.zeros(gain.shape, bool)
+            lone[:, 1:-1] = (gain[:, 1:-1] >= 0.1) & (gain[:, :-2] < 0.1) & (gain[:, 2:] <= 0.1)
+            y = np.fft.irfft(np.fft.rfft(now * hann) * np.where(lone, 0.0, gain), self.size)
+            if state["frame"]:  # what comes before the first sample is not given
+                out.append(state["tail"] + y[:, :half])
+            state["tail"], state["frame"], v = y[:, half:], state["frame"] + 1, v[:, half:]
+        state["held"] = v
+        return out
+
+    def flow(self, state: dict, s: np.ndarray) -> np.ndarray:
+        state["length"] += s.shape[1]
+        return to_samples(np.concatenate([s[:, :0] / FULL, *self.advanced(state, np.concatenate([state["held"], s / FULL], axis=1))], axis=1))
+
+    def drain(self, state: dict) -> np.ndarray | None:
+        half = self.size // 2
+        left = state["length"] - max(0, state["frame"] - 1) * half
+        if left <= 0:
+            return None
+        out = self.advanced(state, np.pad(state["held"], ((0, 0), (0, self.size + half))))
+        return to_samples(np.concatenate(out, axis=1)[:, :left])
 
 
 def spectrogram(x: Signal, rows: int = 257, window: str = "hann", step: int | None = None, parameter: float = 0.0) -> DataFrame:

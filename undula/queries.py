@@ -515,6 +515,13 @@ _from = "CAST(floor(1.3::DOUBLE * k * 4 + 0.5) AS BIGINT)"
 _fit = "list_transform(range(5), lambda d: list_sum(list_transform(range(16), lambda j: pow(l[b + d + j + 1] - tail[j + 1], 2))))"
 SQL["tempo"] = f"WITH RECURSIVE {MONO}, v AS (SELECT stream_id, list_concat(list(s / {FULL} ORDER BY n), list_transform(range(200), lambda j: 0.0::DOUBLE)) AS l, count(*) AS length FROM x GROUP BY ALL), t AS (SELECT stream_id, l, length, 1 AS k, l[1:4] AS o, l[5:20] AS tail FROM v UNION ALL SELECT stream_id, l, length, k + 1, list_concat(o, list_transform(range(16), lambda j: tail[j + 1] * (1 - j / 16.0::DOUBLE) + l[b + d + j + 1] * (j / 16.0::DOUBLE))), l[b + d + 5 : b + d + 20] FROM (SELECT *, list_position(fits, list_min(fits)) - 1 AS d FROM (SELECT *, {_fit} AS fits FROM (SELECT *, {_from} AS b FROM t WHERE 4 * k < floor(length / 1.3::DOUBLE + 0.5))))), z AS (SELECT stream_id, arg_max(o, k) AS o, any_value(length) AS length FROM t GROUP BY ALL) SELECT stream_id, CAST(0 AS BIGINT) AS channel, m AS n, {R(f'CAST(CAST(o[m + 1] AS FLOAT) AS DOUBLE) * {FULL}')} AS s FROM (SELECT *, unnest(range(CAST(floor(length / 1.3::DOUBLE + 0.5) AS BIGINT))) AS m FROM z)"
 
+# frames of 32 places at half overlap, from 16 places before the start on; gains by bin go on from frame to frame
+_turns = "2 * pi() * b * k / 32"
+_noise = f"np AS (SELECT stream_id, n // 32 AS f, b, pow(sum(s / {FULL} * cos(2 * pi() * b * (n % 32) / 32)), 2) + pow(sum(s / {FULL} * sin(2 * pi() * b * (n % 32) / 32)), 2) AS p FROM x, range(17) t(b) WHERE n < 40 GROUP BY ALL), nb AS (SELECT b, avg(lp) AS noise FROM (SELECT stream_id, b, coalesce(avg(ln(p)) FILTER (p > 0), 0) AS lp FROM np GROUP BY ALL) GROUP BY b)"
+_spectra = f"fr AS (SELECT stream_id, f, n + 16 - f * 16 AS k, s / {FULL} AS v FROM (SELECT *, unnest([n // 16, n // 16 + 1]) AS f FROM x)), sp AS (SELECT stream_id, f, b, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / 32)) * cos({_turns})) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / 32)) * sin({_turns})) AS im, pow(sum(v * cos({_turns})), 2) + pow(sum(v * sin({_turns})), 2) AS p FROM fr, range(17) t(b) GROUP BY ALL)"
+_lone = "j BETWEEN 1 AND 15 AND g[j + 1] >= 0.1 AND g[j] < 0.1 AND g[j + 2] <= 0.1"
+SQL["noisered"] = f"WITH RECURSIVE {MONO}, {_noise}, {_spectra}, op AS (SELECT stream_id, f, list(CASE WHEN p > 0 AND ln(p) >= noise + 0.3::DOUBLE * 8 THEN 1.0 ELSE 0.0 END ORDER BY b) AS o FROM sp JOIN nb USING (b) GROUP BY ALL), g AS (SELECT stream_id, f, list_transform(o, lambda u: 0.5::DOUBLE + 0.5 * u) AS g FROM op WHERE f = 0 UNION ALL SELECT op.stream_id, op.f, list_transform(range(17), lambda j: 0.5 * t.g[j + 1] + 0.5 * op.o[j + 1]) FROM g t JOIN op ON op.stream_id = t.stream_id AND op.f = t.f + 1), h AS (SELECT stream_id, f, list_transform(range(17), lambda j: CASE WHEN {_lone} THEN 0 ELSE g[j + 1] END) AS h FROM g), y AS (SELECT stream_id, f * 16 + k - 16 AS n, sum(h[b + 1] * CASE WHEN b IN (0, 16) THEN 1 ELSE 2 END * (re * cos({_turns}) + im * sin({_turns}))) / 32 AS y FROM sp JOIN h USING (stream_id, f), range(32) t(k) GROUP BY ALL) SELECT x.stream_id, x.channel, x.n, {R(f'sum(y) * {FULL}')} AS s FROM x JOIN y ON y.stream_id = x.stream_id AND y.n = x.n GROUP BY ALL"
+
 # kernels
 SQL["hilbert"] = f"WITH {MONO}, k AS (SELECT k, CASE WHEN k = 10 THEN 0 ELSE (1 - cos(pi() * (k - 10))) / (pi() * (k - 10)) END * (0.42 - 0.5 * cos(pi() * k / 10) + 0.08 * cos(pi() * k / 5)) AS h FROM range(21) t(k)) SELECT o.stream_id, o.channel, o.n, {E('sum(h * x.s)')} AS s FROM x o, k JOIN x ON x.stream_id = o.stream_id AND x.n = o.n + 10 - k GROUP BY ALL"
 _i0 = lambda v: f"list_sum(list_transform(range(70), lambda j: pow(({v}) / 2, 2 * j) / pow(gamma(j + 1), 2)))"
