@@ -896,12 +896,12 @@ def wav_comments(b: bytes) -> list[str]:
 
 
 def wav_with_comments(b: bytes, comments: list[str]) -> bytes:
-    """A list of information before the data, so that the first bytes tell it."""
-    known = {v.lower(): k for k, v in INFO.items()}
+    """A list of information before the data, so that the first bytes tell it. Comments come back as they were."""
+    known = {v: k for k, v in INFO.items() if k != b"ICMT"}
     items = b""
     for c in comments:
         key, _, text = c.partition("=")
-        kind = known.get(key.lower()) if text else None
+        kind = known.get(key) if text else None
         raw = (text if kind else c).encode() + b"\0"
         items += (kind or b"ICMT") + struct.pack("<I", len(raw)) + raw + b"\0" * (len(raw) % 2)
     at = next(at for name, at, _ in chunks(b, 12, False) if name == b"data") - 8
