@@ -362,8 +362,8 @@ signal_query("synth_sweep", lambda x: synth.synth(x, "sine", f=2.0, f2=20.0, len
 for _t, _e in {"+": "(2 + pow(n * sqrt(18.0::DOUBLE) / (100 * sqrt(3.0::DOUBLE)), 2)) * (n / 100.0::DOUBLE)", "/": "(exp(n / 100.0::DOUBLE * ln(10.0::DOUBLE)) - 1) * 2 / ln(10.0::DOUBLE)"}.items():
     signal_query(f"synth_sweep_{ {'+': 'square', '/': 'exp'}[_t] }".replace(" ", ""), lambda x, t=_t: synth.synth(x, "sine", f=2.0, f2=20.0, sweep=t, length=100), f"WITH {MONO}, t AS (SELECT *, {_e} AS t FROM x) SELECT {COLS}, {R(f'sin((t - floor(t)) * 2 * pi()) * {MAX}')} AS s FROM t")
 signal_query("synth_sweep_cycle", lambda x: synth.synth(x, "sine", f=2.0, f2=20.0, sweep="-", length=100))
-QUERIES["null"] = lambda spark, d: plain(synth.silent(spark, 1000, 8000.0, 2))
-SQL["null"] = "SELECT '0' AS stream_id, CAST(c AS BIGINT) AS channel, CAST(n AS BIGINT) AS n, CAST(0 AS BIGINT) AS s FROM range(1000) a(n), range(2) b(c)"
+QUERIES["null"] = lambda spark, d: plain(synth.silent(spark, spark.read.parquet(f"{d}/events.parquet").count(), 8000.0, 2))
+SQL["null"] = "SELECT '0' AS stream_id, CAST(c AS BIGINT) AS channel, CAST(n AS BIGINT) AS n, CAST(0 AS BIGINT) AS s FROM (SELECT unnest(range(count(*))) AS n FROM events), range(2) b(c)"
 
 # --- files ---
 
@@ -423,19 +423,22 @@ def _ranges_trim(spark: SparkSession, d: str) -> DataFrame:
 # --- transfer functions and streams ---
 
 
-@query("plot_lowpass", None)
-def _plot(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(scan.transfer(spark, design.biquad("lowpass", RATE, 20), RATE, 64))
 
 
-_c = design.biquad("lowpass", RATE, 20)
-_part = lambda k: f"(({num(_c[k])} + {num(_c[k + 1])} * cos(w) + {num(_c[k + 2])} * cos(2 * w)) ** 2 + ({num(_c[k + 1])} * sin(w) + {num(_c[k + 2])} * sin(2 * w)) ** 2)"
-SQL["plot_lowpass"] = f"WITH f AS (SELECT i, i * 50.0::DOUBLE / 64 AS hz, pi() * i / 64 AS w FROM range(64) t(i)) SELECT round(hz, 6) + 0.0 AS hz, round(10 * log10(greatest(1e-24::DOUBLE, {_part(0)} / {_part(3)})), 6) + 0.0 AS db FROM f"
+def users(spark: SparkSession, d: str) -> int:
+    """How many streams there are: so many points the curves have."""
+    return spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().count()
+
+
+POINTS = "(SELECT count(DISTINCT user_id) AS m FROM events)"
+QUERIES["plot_lowpass"] = lambda spark, d: rounded(scan.transfer(spark, design.biquad("lowpass", RATE, 20), RATE, users(spark, d)))
+_square = lambda k: f"(pow({k[0]} + {k[1]} * cos(w) + {k[2]} * cos(2 * w), 2) + pow({k[1]} * sin(w) + {k[2]} * sin(2 * w), 2))"
+SQL["plot_lowpass"] = f"WITH c AS (SELECT c, sin(0.4 * pi()) / sqrt(2) AS al FROM (SELECT cos(0.4 * pi()) AS c)), f AS (SELECT i, i * 50.0::DOUBLE / m AS hz, pi() * i / m AS w FROM (SELECT m, unnest(range(m)) AS i FROM {POINTS})) SELECT round(hz, 6) + 0.0 AS hz, round(10 * log10(greatest(1e-24::DOUBLE, {_square(('((1 - c) / 2)', '(1 - c)', '((1 - c) / 2)'))} / {_square(('(1 + al)', '(-2 * c)', '(1 - al)'))})), 6) + 0.0 AS db FROM f, c"
 
 
 _POINTS = [(-60.0, -40.0), (-20.0, -15.0)]
-QUERIES["plot_compand"] = lambda spark, d: rounded(sequential.curve(spark, _POINTS, 6.0, 0.0, 101))
-QUERIES["plot_fir"] = lambda spark, d: rounded(scan.kernel_transfer(spark, [0.1, -0.25, 0.5, 0.3, -0.125], RATE, 64))
+QUERIES["plot_compand"] = lambda spark, d: rounded(sequential.curve(spark, _POINTS, 6.0, 0.0, users(spark, d)))
+QUERIES["plot_fir"] = lambda spark, d: rounded(scan.kernel_transfer(spark, [0.1, -0.25, 0.5, 0.3, -0.125], RATE, users(spark, d)))
 
 
 @query("stream_tumbling", f"SELECT CAST(user_id AS VARCHAR) AS stream_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS samples, min((CAST(round(value * 100) AS BIGINT) - 32768) * 65536) AS min, max((CAST(round(value * 100) AS BIGINT) - 32768) * 65536) AS max, round(avg(((CAST(round(value * 100) AS BIGINT) - 32768) * 65536 / {FULL}) ** 2), 6) + 0.0 AS power FROM events GROUP BY ALL")
@@ -477,9 +480,9 @@ SQL["spectrogram"] = f"WITH {MONO}, w AS (SELECT k, 2 * h / sum(h) OVER () AS h
 _rate = lambda seconds: num(1 - math.exp(-1 / (RATE * seconds)))
 _db = "20 * log10(greatest(l, 1e-10))"
 _curve = f"CASE WHEN abs({_db} + 20) < 3 THEN 5.0 - 0.375 * ({_db} + 20) + 0.125 * pow({_db} + 20 + 3, 2) / 12 WHEN {_db} < -60 THEN 20.0 WHEN {_db} < -20 THEN 20 - 0.375 * ({_db} + 60) WHEN {_db} < 0 THEN -0.25 * {_db} ELSE 0.0 END"
-SQL["plot_compand"] = f"SELECT round(d, 6) + 0.0 AS in_db, round(d + {_curve.replace(_db, 'd')}, 6) + 0.0 AS out_db FROM (SELECT -100.0::DOUBLE + i AS d FROM range(101) t(i))"
+SQL["plot_compand"] = f"SELECT round(d, 6) + 0.0 AS in_db, round(d + {_curve.replace(_db, 'd')}, 6) + 0.0 AS out_db FROM (SELECT -100.0::DOUBLE + i * (100.0::DOUBLE / (m - 1)) AS d FROM (SELECT m, unnest(range(m)) AS i FROM {POINTS}))"
 _re, _im = (" + ".join(f"{num(c)} * {f}({k} * w)" for k, c in enumerate([0.1, -0.25, 0.5, 0.3, -0.125])) for f in ("cos", "sin"))
-SQL["plot_fir"] = f"SELECT round(i * 50.0::DOUBLE / 64, 6) + 0.0 AS hz, round(10 * log10(greatest(1e-24, pow({_re}, 2) + pow({_im}, 2))), 6) + 0.0 AS db FROM (SELECT i, pi() * i / 64 AS w FROM range(64) t(i))"
+SQL["plot_fir"] = f"SELECT round(i * 50.0::DOUBLE / m, 6) + 0.0 AS hz, round(10 * log10(greatest(1e-24, pow({_re}, 2) + pow({_im}, 2))), 6) + 0.0 AS db FROM (SELECT m, i, pi() * i / m AS w FROM (SELECT m, unnest(range(m)) AS i FROM {POINTS}))"
 SQL["compand"] = f"{stateful('e', '1 + (x.l - 1) * CASE WHEN x.l > 1 THEN {a} ELSE {d} END AS l'.format(a=_rate(0.05), d=_rate(0.2)), 't.l + (x.l - t.l) * CASE WHEN x.l > t.l THEN {a} ELSE {d} END'.format(a=_rate(0.05), d=_rate(0.2)), base=STEREO.replace('x AS (', 'x0 AS (') + f', x AS (SELECT stream_id, n, max(abs(s / {FULL})) AS l FROM x0 GROUP BY ALL)')} SELECT x0.stream_id, x0.channel, x0.n, {T('s * pow(10, (' + _curve + ') / 20)')} AS s FROM x0 JOIN e USING (stream_id, n)"
 _wave = "((n % 50) / 50.0::DOUBLE)"
 SQL["chorus"] = f"WITH {MONO}, {_TAIL.format(k=8)}, m AS (SELECT *, n - CAST(floor(2 + CASE WHEN {_wave} < 0.5 THEN {_wave} * 2 ELSE 2 - {_wave} * 2 END * 6 + 0.5) AS BIGINT) AS m FROM t) SELECT m.stream_id, m.channel, m.n, {C24(f'(m.s / 256.0::DOUBLE * 0.7::DOUBLE + coalesce(x.s / 256.0::DOUBLE, 0) * 0.4::DOUBLE) * 0.9::DOUBLE')} AS s FROM m LEFT JOIN x ON x.stream_id = m.stream_id AND x.n = m.m"
