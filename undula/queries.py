@@ -10,6 +10,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -516,7 +517,13 @@ SQL["reverb"] = f"WITH RECURSIVE {MONO}, v AS (SELECT stream_id, n, s / {FULL} A
 # segments of 20 places of which the first 4 stand and 16 fade into the next one, sought from 1.3 times its place on by up to 4
 _from = "CAST(floor(1.3::DOUBLE * k * 4 + 0.5) AS BIGINT)"
 _fit = "list_transform(range(5), lambda d: list_sum(list_transform(range(16), lambda j: pow(l[b + d + j + 1] - tail[j + 1], 2))))"
-SQL["tempo"] = f"WITH RECURSIVE {MONO}, v AS (SELECT stream_id, list_concat(list(s / {FULL} ORDER BY n), list_transform(range(200), lambda j: 0.0::DOUBLE)) AS l, count(*) AS length FROM x GROUP BY ALL), t AS (SELECT stream_id, l, length, 1 AS k, l[1:4] AS o, l[5:20] AS tail FROM v UNION ALL SELECT stream_id, l, length, k + 1, list_concat(o, list_transform(range(16), lambda j: tail[j + 1] * (1 - j / 16.0::DOUBLE) + l[b + d + j + 1] * (j / 16.0::DOUBLE))), l[b + d + 5 : b + d + 20] FROM (SELECT *, list_position(fits, list_min(fits)) - 1 AS d FROM (SELECT *, {_fit} AS fits FROM (SELECT *, {_from} AS b FROM t WHERE 4 * k < floor(length / 1.3::DOUBLE + 0.5))))), z AS (SELECT stream_id, arg_max(o, k) AS o, any_value(length) AS length FROM t GROUP BY ALL) SELECT stream_id, CAST(0 AS BIGINT) AS channel, m AS n, {R(f'CAST(CAST(o[m + 1] AS FLOAT) AS DOUBLE) * {FULL}')} AS s FROM (SELECT *, unnest(range(CAST(floor(length / 1.3::DOUBLE + 0.5) AS BIGINT))) AS m FROM z)"
+def tempo(factor: float) -> str:
+    """A table y(stream_id, n, s) of tempo by a factor, with what it needs."""
+    start = _from.replace("1.3::DOUBLE", num(factor))
+    return f"v AS (SELECT stream_id, list_concat(list(s / {FULL} ORDER BY n), list_transform(range(200), lambda j: 0.0::DOUBLE)) AS l, count(*) AS length FROM x GROUP BY ALL), t AS (SELECT stream_id, l, length, 1 AS k, l[1:4] AS o, l[5:20] AS tail FROM v UNION ALL SELECT stream_id, l, length, k + 1, list_concat(o, list_transform(range(16), lambda j: tail[j + 1] * (1 - j / 16.0::DOUBLE) + l[b + d + j + 1] * (j / 16.0::DOUBLE))), l[b + d + 5 : b + d + 20] FROM (SELECT *, list_position(fits, list_min(fits)) - 1 AS d FROM (SELECT *, {_fit} AS fits FROM (SELECT *, {start} AS b FROM t WHERE 4 * k < floor(length / {num(factor)} + 0.5))))), e AS (SELECT stream_id, arg_max(o, k) AS o, any_value(length) AS length FROM t GROUP BY ALL), y AS (SELECT stream_id, m AS n, {R(f'CAST(CAST(o[m + 1] AS FLOAT) AS DOUBLE) * {FULL}')} AS s FROM (SELECT *, unnest(range(CAST(floor(length / {num(factor)} + 0.5) AS BIGINT))) AS m FROM e))"
+
+
+SQL["tempo"] = f"WITH RECURSIVE {MONO}, {tempo(1.3)} SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, s FROM y"
 
 # frames of 32 places at half overlap, from 16 places before the start on; gains by bin go on from frame to frame
 _turns = "2 * pi() * b * k / 32"
@@ -581,6 +588,12 @@ def outputs(ratio: float) -> str:
     return f"v AS (SELECT stream_id, n, s::DOUBLE AS v FROM x), z AS (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL), o AS (SELECT stream_id, unnest(range(CAST(floor(length * {num(ratio)} + 0.5) AS BIGINT))) AS m FROM z)"
 
 
+# two semitones: slower by their ratio, then as many inputs an output, each output at its own place between inputs
+_up = 2 ** (200 / 1200)
+_step = Fraction(RATE * _up).limit_denominator(1 << 20) / Fraction(RATE)
+_far, _cut = _reach(126.0, 0.05 / float(_step)), 0.975 / float(_step)
+_off = f"(k - ((m * {_step.numerator}) % {_step.denominator}) / {_step.denominator}.0::DOUBLE)"
+SQL["pitch"] = f"WITH RECURSIVE {MONO}, {tempo(1 / _up)}, z AS (SELECT stream_id, max(n) + 1 AS length FROM y GROUP BY ALL), o AS (SELECT stream_id, unnest(range(CAST(floor(length * {_step.denominator} / {_step.numerator}.0::DOUBLE + 0.5) AS BIGINT))) AS m FROM z), h AS (SELECT m, k, {sinc(_cut, _off)} * {kaiser(_far, 0.1102 * (126.0 - 8.7), _off)} AS h FROM (SELECT DISTINCT m FROM o), range({-_far}, {_far + 1}) t(k)) SELECT o.stream_id, CAST(0 AS BIGINT) AS channel, o.m AS n, {E('sum(h * y.s)')} AS s FROM o JOIN h USING (m) JOIN y ON y.stream_id = o.stream_id AND y.n = (o.m * {_step.numerator}) // {_step.denominator} + k GROUP BY ALL"
 # with aliases allowed the transition is twice as wide, around the Nyquist frequency
 signal_query("rate_aliasing", lambda x: resample.rate(x, 75.0, "m", 0.9, aliasing=True), f"WITH {MONO}, {outputs(0.75)}, {steps(4, 3, 0.75 * 0.2, 0.75, 102.0, 'v')}")
 signal_query("rate_steep", lambda x: resample.rate(x, 125.0, "h", 0.99), f"WITH {MONO}, {outputs(1.25)}, {steps(4, 5, 0.01, 0.995, 126.0, 'v')}")
@@ -635,6 +648,17 @@ def adaptive(steps: list[int], low: int) -> str:
 SQL["format_ima"], SQL["format_vox"] = adaptive(pcm.IMA_STEPS, 1), adaptive(pcm.OKI_STEPS, 16)
 
 
+def delta(source: str, n: int) -> str:
+    """One step of delta modulation: columns v, sl, la with what has been before, and t, the sample."""
+    return f"SELECT * REPLACE (v * 0.98::DOUBLE + CASE WHEN bit = 1 THEN sl ELSE -sl END AS v), v * 0.98::DOUBLE + CASE WHEN bit = 1 THEN sl ELSE -sl END AS o{n} FROM (SELECT * REPLACE (CASE WHEN la IN (0, 7) THEN least(0.3::DOUBLE, sl * 1.1::DOUBLE + 0.005::DOUBLE) ELSE greatest(0.002::DOUBLE, sl * 0.95::DOUBLE) END AS sl) FROM (SELECT * REPLACE ((la * 2 + bit) % 8 AS la) FROM (SELECT * EXCLUDE (bit), CASE WHEN t > v THEN 1 ELSE 0 END AS bit FROM ({source}))))"
+
+
+# two bits a sample, in whole bytes: bits that fill the last one up are 0
+_paced = delta(delta("SELECT u.stream_id, u.n, u.t, e.v, e.sl, e.la, 0 AS bit FROM e JOIN u ON u.stream_id = e.stream_id AND u.n = e.n + 1", 1), 2)
+_delta = f"WITH RECURSIVE {MONO}, u AS (SELECT stream_id, n, s / {FULL} AS t FROM x UNION ALL SELECT stream_id, unnest(range(length, (length + 3) // 4 * 4)), NULL FROM (SELECT stream_id, max(n) + 1 AS length FROM x GROUP BY ALL)), e AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS n, 0.0::DOUBLE AS v, 0.01::DOUBLE AS sl, 0 AS la, 0.0::DOUBLE AS o FROM x UNION ALL SELECT stream_id, n, v, sl, la, (o1 + o2) / 2 FROM ({_paced})) SELECT stream_id, CAST(0 AS BIGINT) AS channel, n, CAST(trunc(greatest(-1, least(1, o)) * {MAX}) AS BIGINT) AS s FROM e WHERE n >= 0"
+SQL["format_cvsd"] = SQL["format_dvms"] = _delta
+
+
 def _twice(name: str, source: str, kind: str) -> str:
     """Tables name1 and name2: a column v of the source through a second-order filter at 20 Hz once and again."""
     sign = 1 if kind == "high" else -1
