@@ -135,6 +135,12 @@ def test_repair_is_the_cheapest(spark):
         assert (got[k]["cost"], got[k]["audit"], out.get(k, [])) == (cost, audit, text), rows
 
 
+def test_of_equal_rows_the_first_stays(spark):
+    made = {k: [(0, "user", "a."), *[(1, "assistant", "b.")] * (2 + k % 3), (2, "user", "c!"), (3, "assistant", "d.")] for k in range(40)}
+    got, _ = repaired(spark, turns_of(spark, made))
+    assert {k: r["audit"] for k, r in got.items()} == {k: "KK" + "D" * (1 + k % 3) + "KK" for k in made}
+
+
 def test_counts_of_a_conversation(spark):
     made = {1: [(None, "user", "hi."), (2, "user", "hi."), (2, "assistant", "cut"), (5, "assistant", "\t"), (9, "tool", "x!")], None: [(None, None, None)], 3: [(4, "assistant", "only.")]}
     got, out = repaired(spark, turns_of(spark, made))

@@ -106,6 +106,27 @@ _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 _ENDS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+#: A 32-bit CRC, whose table-free rule takes a bit at a time.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda ch: ord(ch)::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda u, k: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295)"
+_SAME = "IS NOT DISTINCT FROM"
+
+
+def _plus(key: str, cost: str, edits: str) -> str:
+    """A cost of nine digits and its edits, with more of both: text order is the order of cost, then of edits."""
+    return f"(printf('%09d', CAST(left({key}, 9) AS BIGINT) + {cost}) || substr({key}, 10) || '{edits}')"
+
+
+def _inserted(source: str) -> str:
+    """States (e start, s system, u user, a assistant) with what inserted rows lead to."""
+    user = f"least(u, {_plus('e', '5', 'I')}, {_plus('s', '5', 'I')}, {_plus('a', '5', 'I')})"
+    return f"SELECT conv_id, k, e, s, u, least(a, {_plus('u', '5', 'I')}) AS a FROM (SELECT conv_id, k, e, s, {user} AS u, a FROM ({source}))"
+
+
+_P = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+_EDITED = f"""SELECT f.conv_id, f.k, {_plus('e', '2', 'D')} AS e, least({_plus('s', '2', 'D')}, CASE WHEN stays AND i = 's' THEN {_plus('e', _P, 'K')} END) AS s,
+least({_plus('u', '2', 'D')}, CASE WHEN NOT stays THEN NULL WHEN i = 'u' THEN {_plus('least(e, s, a)', _P, 'K')} ELSE {_plus('least(e, s, a)', f'1 + {_P}', 'R')} END) AS u,
+least({_plus('a', '2', 'D')}, CASE WHEN NOT stays THEN NULL WHEN i = 'a' THEN {_plus('u', _P, 'K')} ELSE {_plus('u', f'1 + {_P}', 'R')} END) AS a FROM dp JOIN f ON f.conv_id {_SAME} dp.conv_id AND f.k = dp.k + 1"""
+
 #: The other queries have no SQL: they train models, or need a digest, an encoding or a comparison that DuckDB lacks.
 ORACLE_SQL: dict[str, str] = {
     "op5_chat": f"""WITH t AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS x FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', {_TRAP} UNION ALL SELECT -7, 1, 'assistant', {_TRAP}))
@@ -121,6 +142,18 @@ w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*)
 s AS (SELECT q, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score FROM p JOIN w USING (t) JOIN qt USING (t), c GROUP BY q, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r JOIN q USING (q) WHERE rank <= 10""",
+    "op12_structure": f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS code FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)),
+r AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM (SELECT *, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE code <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS k, rtrim(text, {_ENDS}) AS t, left(role, 1) AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM r)),
+f AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays FROM (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY k) || i AS pair FROM o)),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (k > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS last FROM f GROUP BY conv_id),
+dp AS ({_inserted("SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, '000000000' AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM f")} UNION ALL {_inserted(_EDITED)}),
+z AS (SELECT g.*, least(e, a) AS best FROM g JOIN dp ON dp.conv_id {_SAME} g.conv_id AND dp.k = g.last), l AS (SELECT conv_id, best[j + 9] AS l, j FROM (SELECT conv_id, best, unnest(range(1, length(best) - 8)) AS j FROM z)),
+p AS (SELECT *, count(*) FILTER (l <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS k, count(*) FILTER (l <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS m FROM l),
+q AS (SELECT p.conv_id, j, l, m, f.role, CASE WHEN l = 'I' THEN '' ELSE f.text END AS text, coalesce(max(CASE WHEN m = 1 AND l = 'K' AND f.i = 's' THEN 1 END) OVER (PARTITION BY p.conv_id), 0) AS led FROM p LEFT JOIN f ON f.conv_id {_SAME} p.conv_id AND f.k = p.k),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (m - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS h FROM q WHERE l <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(best, 9) AS BIGINT), 0) AS cost, coalesce(substr(best, 10), '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON z.conv_id {_SAME} c.conv_id LEFT JOIN h ON h.conv_id {_SAME} c.conv_id""",
     "op13_lines": f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), k AS (SELECT doc_id, l, list_transform(l, lambda x: translate(trim(x, {_ENDS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k FROM d),
 f AS (SELECT x FROM (SELECT unnest(list_distinct(k)) AS x FROM k) WHERE length(x) >= 1 GROUP BY x HAVING count(*) >= 10), g AS (SELECT list(x) AS f FROM f),
 r AS (SELECT doc_id, len(l) AS n, list_filter(l, lambda x, i: NOT coalesce(list_contains(f, k[i]), false)) AS kept FROM k, g)

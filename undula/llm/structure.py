@@ -143,7 +143,9 @@ def signed(turns: DataFrame) -> DataFrame:
     turns: (conv_id, turn, role, text), none null but conv_id and turn. Rows are streamed; of a conversation a character a row is held.
     """
     layout = _layout(turns, SIGNED)
-    marked = faults(turns).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
+    # of equal rows the one that is no duplicate comes first
+    again = F.coalesce(F.col("fault") == "duplicate", F.lit(False))
+    marked = faults(turns).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", again)
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Conversation | None = None
