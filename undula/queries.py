@@ -532,6 +532,14 @@ _spectra = f"fr AS (SELECT stream_id, f, n + 16 - f * 16 AS k, s / {FULL} AS v F
 _lone = "j BETWEEN 1 AND 15 AND g[j + 1] >= 0.1 AND g[j] < 0.1 AND g[j + 2] <= 0.1"
 SQL["noisered"] = f"WITH RECURSIVE {MONO}, {_noise}, {_spectra}, op AS (SELECT stream_id, f, list(CASE WHEN p > 0 AND ln(p) >= noise + 0.3::DOUBLE * 8 THEN 1.0 ELSE 0.0 END ORDER BY b) AS o FROM sp JOIN nb USING (b) GROUP BY ALL), g AS (SELECT stream_id, f, list_transform(o, lambda u: 0.5::DOUBLE + 0.5 * u) AS g FROM op WHERE f = 0 UNION ALL SELECT op.stream_id, op.f, list_transform(range(17), lambda j: 0.5 * t.g[j + 1] + 0.5 * op.o[j + 1]) FROM g t JOIN op ON op.stream_id = t.stream_id AND op.f = t.f + 1), h AS (SELECT stream_id, f, list_transform(range(17), lambda j: CASE WHEN {_lone} THEN 0 ELSE g[j + 1] END) AS h FROM g), y AS (SELECT stream_id, f * 16 + k - 16 AS n, sum(h[b + 1] * CASE WHEN b IN (0, 16) THEN 1 ELSE 2 END * (re * cos({_turns}) + im * sin({_turns}))) / 32 AS y FROM sp JOIN h USING (stream_id, f), range(32) t(k) GROUP BY ALL) SELECT x.stream_id, x.channel, x.n, {R(f'sum(y) * {FULL}')} AS s FROM x JOIN y ON y.stream_id = x.stream_id AND y.n = x.n GROUP BY ALL"
 
+# voice: frames of 20 places, every 10; magnitudes of bins 2 to 15 of 32, smoothed, over a floor; bins 2 to 6 of 16 of their
+# cepstrum; the search goes back over two measures
+_share = {k: num(math.exp(-1 / (v * 10))) for k, v in {"slow": 0.05, "up": 1.0, "down": 0.01, "mean": 0.25}.items()}
+_each = lambda e: f"list_transform(range(14), lambda j: {e})"
+_wave = lambda f: f"list_sum(list_transform(range(14), lambda j: clear[j + 1] * {f}(2 * pi() * q * (j + 2) / 16)))"
+_measured = f"SELECT *, greatest(0, 21 + ln(greatest(list_avg(list_transform(range(2, 7), lambda q: pow({_wave('cos')}, 2) + pow({_wave('sin')}, 2))), 1e-300))) AS measure FROM (SELECT *, {_each('sqrt(greatest(0, pow(level[j + 1], 2) - 0.5::DOUBLE * fl[j + 1])) * (0.5 - 0.5 * cos(2 * pi() * j / 13)) * 2 / sqrt(14.0::DOUBLE)')} AS clear FROM (SELECT *, {_each(f'fl0[j + 1] * w2[j + 1] + pow(level[j + 1], 2) * (1 - w2[j + 1])')} AS fl FROM (SELECT *, {_each('CASE WHEN f < 2 THEN 0 WHEN pow(level[j + 1], 2) > fl0[j + 1] THEN ' + _share['up'] + ' ELSE ' + _share['down'] + ' END')} AS w2 FROM (SELECT g.stream_id, g.f, e.mean AS mean0, e.fl AS fl0, e.measure AS previous, {_each('e.level[j + 1] * w + g.m[j + 1] * (1 - w)')} AS level FROM e JOIN (SELECT *, CASE WHEN f < 2 THEN f / (1.0::DOUBLE + f) ELSE {_share['slow']} END AS w FROM mg) g ON g.stream_id = e.stream_id AND g.f = e.f + 1))))"
+SQL["vad"] = f"WITH RECURSIVE {MONO}, fr AS (SELECT stream_id, f, n - f * 10 AS k, s / {FULL} * (0.5 - 0.5 * cos(2 * pi() * (n - f * 10) / 19)) * 2 / sqrt(20.0::DOUBLE) AS v FROM (SELECT *, unnest([n // 10 - 1, n // 10]) AS f FROM x) WHERE f >= 0), whole AS (SELECT stream_id, f FROM fr GROUP BY ALL HAVING count(*) = 20), mg AS (SELECT stream_id, f, list(sqrt(re * re + im * im) ORDER BY b) AS m FROM (SELECT stream_id, f, b, sum(v * cos(2 * pi() * b * k / 32)) AS re, sum(v * sin(2 * pi() * b * k / 32)) AS im FROM fr JOIN whole USING (stream_id, f), range(2, 16) t(b) GROUP BY ALL) GROUP BY ALL), e AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS f, list_transform(range(14), lambda j: 0.0::DOUBLE) AS level, list_transform(range(14), lambda j: 0.0::DOUBLE) AS fl, 0.0::DOUBLE AS measure, 0.0::DOUBLE AS previous, 0.0::DOUBLE AS mean FROM mg UNION ALL SELECT stream_id, f, level, fl, measure, previous, mean0 * {_share['mean']} + measure * (1 - {_share['mean']}) FROM ({_measured})), t AS (SELECT stream_id, min(f) AS f FROM e WHERE mean >= 10 GROUP BY ALL), b AS (SELECT stream_id, greatest(0, (f - CASE WHEN measure >= 10 AND previous = 0 THEN 1 ELSE 2 END) * 10) AS b FROM e JOIN t USING (stream_id, f)) SELECT stream_id, channel, n - b AS n, s FROM x JOIN b USING (stream_id) WHERE n >= b"
+
 # kernels
 SQL["hilbert"] = f"WITH {MONO}, k AS (SELECT k, CASE WHEN k = 10 THEN 0 ELSE (1 - cos(pi() * (k - 10))) / (pi() * (k - 10)) END * (0.42 - 0.5 * cos(pi() * k / 10) + 0.08 * cos(pi() * k / 5)) AS h FROM range(21) t(k)) SELECT o.stream_id, o.channel, o.n, {E('sum(h * x.s)')} AS s FROM x o, k JOIN x ON x.stream_id = o.stream_id AND x.n = o.n + 10 - k GROUP BY ALL"
 _i0 = lambda v: f"list_sum(list_transform(range(70), lambda j: pow(({v}) / 2, 2 * j) / pow(gamma(j + 1), 2)))"
