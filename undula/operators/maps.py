@@ -76,7 +76,8 @@ def matrix(x: Signal, rows: list[list[tuple[int, float]]]) -> Signal:
         pairs = F.when(F.col("channel") == c, F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(f)).alias("f")) for j, f in found])).otherwise(pairs)
     out = x.df.select("stream_id", "n", "s", F.explode(pairs).alias("p"))
     if all(len(r) < 2 for r in rows):  # no sum: no shuffle
-        out = out.select("stream_id", F.col("p.j").alias("channel"), "n", rounded(F.col("s") * F.col("p.f")).alias("s"))
+        s = F.when(F.col("p.f") == 1.0, F.col("s")).otherwise(rounded(F.col("s") * F.col("p.f")))  # a copy is as it was
+        out = out.select("stream_id", F.col("p.j").alias("channel"), "n", s.alias("s"))
     else:
         out = out.groupBy("stream_id", F.col("p.j").alias("channel"), "n").agg(rounded(F.sum(F.col("s") * F.col("p.f"))).alias("s"))
     return x.with_df(out, channels=len(rows), precision=32)
