@@ -23,7 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import design
 from ..functions.numeric import FULL, MAX, MIN
-from ..signal import LAYOUT, Signal
+from ..signal import WIDE, Signal
 from .scan import recurse
 
 
@@ -50,12 +50,12 @@ class Flow:
     def __init__(self, operator: Operator, channels: int):
         self.operator, self.channels, self.given = operator, channels, 0
         self.state = operator.start(channels)
-        self.rest = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+        self.rest = (np.empty(0, np.int64),) * 3
 
     @property
     def silent(self) -> np.ndarray:
         """A block without places."""
-        return self.operator.flow(self.state, np.zeros((self.channels, 0), np.int32))
+        return self.operator.flow(self.state, np.zeros((self.channels, 0), np.int64))
 
     def add(self, channel: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
         """Rows sorted by n and channel; the last wide sample waits until all its channels or rows of a later one are there."""
@@ -69,19 +69,19 @@ class Flow:
     def block(self, channel: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
         if not len(n):
             return self.silent
-        a = np.zeros((self.channels, int(n[-1] - n[0]) + 1), np.int32)
+        a = np.zeros((self.channels, int(n[-1] - n[0]) + 1), np.int64)
         a[channel, n - n[0]] = s
         return self.operator.flow(self.state, a)
 
     def end(self) -> np.ndarray:
-        last, self.rest = self.rest, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+        last, self.rest = self.rest, (np.empty(0, np.int64),) * 3
         return _joined(self.block(*last), self.operator.drain(self.state))
 
     def rows(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """channel, n and s of the next places given."""
         c, m = out.shape
         first, self.given = self.given, self.given + m
-        return np.repeat(np.arange(c, dtype=np.int32), m), np.tile(np.arange(first, first + m), c), out.ravel().astype(np.int32)
+        return np.repeat(np.arange(c, dtype=np.int32), m), np.tile(np.arange(first, first + m), c), out.ravel().astype(np.int64)
 
 
 def blockwise(x: Signal, operator: Operator, **changes) -> Signal:
@@ -111,14 +111,14 @@ def blockwise(x: Signal, operator: Operator, **changes) -> Signal:
             yield _rows([(now, flow.rows(flow.end()))])
 
     ordered = x.df.select("stream_id", F.col("channel").cast("int").alias("channel"), F.col("n").cast("bigint").alias("n"), "s").repartition(n, "stream_id").sortWithinPartitions("stream_id", "n", "channel")
-    return x.with_df(ordered.mapInArrow(run, LAYOUT), **({"precision": 32} | changes))
+    return x.with_df(ordered.mapInArrow(run, WIDE), **({"precision": 32} | changes))
 
 
 def _rows(parts: list[tuple[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
     sizes = [len(p[1][1]) for p in parts]
     ids = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(parts)), sizes), pa.int32()), pa.array([p[0] for p in parts], pa.string())).cast(pa.string())
     channel, n, s = (np.concatenate([p[1][k] for p in parts]) for k in range(3))
-    return pa.RecordBatch.from_arrays([ids, pa.array(channel, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.int32())], ["stream_id", "channel", "n", "s"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(channel, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.int64())], ["stream_id", "channel", "n", "s"])
 
 
 def streamed(rows: DataFrame, operator: Operator, channels: int) -> DataFrame:
@@ -133,7 +133,7 @@ def streamed(rows: DataFrame, operator: Operator, channels: int) -> DataFrame:
             flow.state, flow.given, flow.rest = pickle.loads(state.get[0])
         pdf = pd.concat(list(batches)).sort_values(["n", "channel"])
         own = pdf[pdf["s"].notna()]
-        out = [flow.add(own["channel"].to_numpy(np.int64), own["n"].to_numpy(np.int64), own["s"].to_numpy(np.int32))]
+        out = [flow.add(own["channel"].to_numpy(np.int64), own["n"].to_numpy(np.int64), own["s"].to_numpy(np.int64))]
         if len(own) < len(pdf):
             out.append(flow.end())
             state.remove()
@@ -142,7 +142,7 @@ def streamed(rows: DataFrame, operator: Operator, channels: int) -> DataFrame:
             state.update((pickle.dumps((flow.state, flow.given, flow.rest)),))
         yield pd.DataFrame({"stream_id": key[0], "channel": channel, "n": n, "s": s})
 
-    return rows.groupBy("stream_id").applyInPandasWithState(step, LAYOUT, "flow binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("stream_id").applyInPandasWithState(step, WIDE, "flow binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def whole(operator: Operator, s: np.ndarray) -> np.ndarray:
@@ -484,12 +484,13 @@ class Splice:
         """Output of what is held and v: joins whose places are all there, or at the end all."""
         v = np.concatenate([state["held"], v], axis=1)
         out, at, base = [], 0, state["base"]  # at: what has been given, from base on
+        plain = lambda a, b: np.rint(v[:, a:b] * FULL).astype(np.int64)  # noqa: E731  as it came
         while state["join"] < len(self.joins):
             position, excess, leeway = self.joins[state["join"]]
             begin, size = max(at, position - excess - base), 2 * excess
             if not ended and begin + 2 * size + leeway > v.shape[1]:
                 at_most = min(begin, v.shape[1])
-                out.append(v[:, at:at_most])
+                out.append(plain(at, at_most))
                 at = at_most
                 break
             old = v[:, begin : begin + size]
@@ -498,14 +499,14 @@ class Splice:
             new = v[:, begin + size + d : begin + 2 * size + d]
             m = min(old.shape[1], new.shape[1])
             up, down = self.fade(np.arange(m) / max(1, m))
-            out += [v[:, at:begin], old[:, :m] * down + new[:, :m] * up]
+            out += [plain(at, begin), to_samples(old[:, :m] * down + new[:, :m] * up)]
             at = min(begin + size + d + m, v.shape[1])
             state["join"] += 1
         else:
-            out.append(v[:, at:])
+            out.append(plain(at, v.shape[1]))
             at = v.shape[1]
         state["held"], state["base"] = v[:, at:], base + at
-        return to_samples(np.concatenate(out, axis=1))
+        return np.concatenate(out, axis=1)
 
     def flow(self, state: dict, s: np.ndarray) -> np.ndarray:
         return self.passed(state, s / FULL, False)
@@ -735,7 +736,7 @@ class Dither:
         out = s.copy()
         top = 1 << (self.bits - 1)
         out[on] = (np.clip(q, -top, top - 1) * step).astype(np.int64)
-        return out.astype(np.int32)
+        return out
 
     def shaped(self, state: dict, c: int, v: np.ndarray, noise: np.ndarray, step: int, on: np.ndarray) -> np.ndarray:
         errors, outputs = state["errors"][c], state["outputs"][c]
