@@ -60,7 +60,7 @@ def mix_power(inputs: list[Signal]) -> Signal:
 def multiply(inputs: list[Signal]) -> Signal:
     """Product by channel and place, in units of full scale; rounded after each factor. A missing sample is 0."""
     ordered = F.array_sort(F.collect_list(F.struct("i", "s")))
-    folded = F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), ordered[0]["s"], lambda a, v: rounded(a.cast("double") * v["s"] / FULL))
+    folded = F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), ordered[0]["s"].cast("bigint"), lambda a, v: rounded(a.cast("double") * v["s"] / FULL).cast("bigint"))
     out = _stacked(inputs, 1).groupBy("stream_id", "channel", "n").agg(F.when(F.count(F.lit(1)) == len(inputs), folded).otherwise(0).alias("s"))
     return inputs[0].with_df(out, channels=max(x.channels for x in inputs), precision=32)
 
