@@ -67,13 +67,13 @@ def decibels(x: Column) -> Column:
     return F.lit(20.0) * F.log10(x)
 
 
-def figures3(v: Column) -> Column:
+def figures3(v: Column, units: tuple[str, ...] = ("", "k", "M", "G", "T")) -> Column:
     """A number from 0 on as text of three figures, with k, M, G or T for thousands."""
     big = F.greatest(v, F.lit(1e-9))
     scale = F.floor(F.log10(big)).cast("int")
     step = F.pow(F.lit(10.0), scale - 2)
     r = F.floor(v / step + 0.5) * step  # three figures; may reach the next power
-    group = F.greatest(F.lit(0), F.least(F.lit(4), F.floor(F.log10(F.greatest(r, F.lit(1.0)) * (1 + 1e-12)) / 3).cast("int")))
+    group = F.greatest(F.lit(0), F.least(F.lit(len(units) - 1), F.floor(F.log10(F.greatest(r, F.lit(1.0)) * (1 + 1e-12)) / 3).cast("int")))
     m = r / F.pow(F.lit(1000.0), group)
     digits = F.when(m < 9.995, F.format_string("%.2f", m)).when(m < 99.95, F.format_string("%.1f", m)).otherwise(F.format_string("%.0f", m))
-    return F.concat(digits, F.array(*[F.lit(x) for x in ("", "k", "M", "G", "T")])[group])
+    return F.concat(digits, F.array(*[F.lit(x) for x in units])[group])
