@@ -47,6 +47,8 @@ def transfer(points: list[tuple[float, float]], knee: float = 0.0, post_gain: fl
     def gain(level: np.ndarray) -> np.ndarray:
         db = 20 * np.log10(np.maximum(level, 1e-10))
         g = np.interp(db, xs, gs)
+        if len(xs) > 1:  # the last stretch from its end, so that 0 dB and what is near it are exact
+            g = np.where((db >= xs[-2]) & (db < xs[-1]), gs[-1] + (gs[-1] - gs[-2]) / (xs[-1] - xs[-2]) * (db - xs[-1]), g)
         if knee > 0:
             for k in range(1, len(xs) - 1):
                 r = min(knee, xs[k] - xs[k - 1], xs[k + 1] - xs[k]) / 2
