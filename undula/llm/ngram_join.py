@@ -206,28 +206,42 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"), *[c for c in pairs.columns if c not in ("a", "na", "b", "nb")])
 
 
-def _marks(ids: DataFrame) -> np.ndarray:
+def _marks(ids: DataFrame, key: str = "doc") -> np.ndarray:
     """A bit map of hashed ids of fixed size, for leaving out most of the other documents before a join.
 
     It loses no id. With many more ids than bits it leaves out less, and the join itself does the work.
     """
-    place = F.pmod(F.xxhash64("doc"), F.lit(MARKS))
+    place = F.pmod(F.xxhash64(key), F.lit(MARKS))
     words = ids.select(place.alias("p")).selectExpr("shiftright(p, 5) AS w", "shiftleft(1, CAST(p % 32 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(MARKS // 32, np.int32)
     out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int32)
     return out.view(np.uint32)
 
 
-def _marked(rows: DataFrame, marks: np.ndarray) -> DataFrame:
-    """rows (doc and others) without most of those whose doc isn't in the map."""
+def _marked(rows: DataFrame, marks: np.ndarray, key: str = "doc", inside: bool = True) -> DataFrame:
+    """rows (key and others) without most of those whose key isn't in the map; inside false: all the rows left out."""
     names = rows.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             place = b.column("place").to_numpy().astype(np.int64)
-            yield b.select(names).filter(pa.array((marks[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
+            yield b.select(names).filter(pa.array((marks[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool) == inside))
 
-    return rows.withColumn("place", F.pmod(F.xxhash64("doc"), F.lit(MARKS))).mapInArrow(kept, rows.schema)
+    return rows.withColumn("place", F.pmod(F.xxhash64(key), F.lit(MARKS))).mapInArrow(kept, rows.schema)
+
+
+def _one_of_each_set(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of seen (see _sets) and one row of each, that of the least doc_id: (set, doc), (set, doc, n, heavy, prefix, salts).
+
+    Only the rows of sets of several rows, told by a bit map, travel with their prefixes, those of a task as one; a set whose bit
+    another one shares travels too, alone. Rows without a bit are their set's only ones and stay where they are.
+    """
+    rows = seen.where("n > 0 and doc_id is not null").withColumnRenamed("doc_id", "doc")
+    ids = written(rows.groupBy("set").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("m")), "ids")
+    marks = _marks(ids.where("m > 1"), "set")
+    least = F.min_by(F.struct("doc", "n", "heavy", "prefix", "salts"), "doc").alias("r")
+    several = written(_marked(rows, marks, "set").groupBy("set").agg(least).select("set", "r.*"), "prefixes")
+    return ids.drop("m"), _marked(rows, marks, "set", False).unionByName(several)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -293,7 +307,8 @@ def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame, percen
     the number of rows and two digests of 64 bits. Two rows can only link if their sizes are of one size class or of neighbours,
     as a class spans the ratio of sizes at which a link is possible, from the column's least size on. The rows of two
     neighbouring classes of a column that hold several components are cut into blocks; every block meets every other and itself,
-    and a task multiplies two blocks' prefixes.
+    and a task multiplies two blocks' prefixes. Of a prefix the distinct upper halves of its hashes travel: shingles that become one
+    count to what lies beyond the prefix, so no pair is lost, and pairs too many are told by the whole sets.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     of = rows.join(comps, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -309,7 +324,8 @@ def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame, percen
     left = of.join(mixed, group)
     mine = left.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     met = mine.select(*group, "own", "doc", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    own = _marked(prefixes, _marks(left.select("doc")))
+    halves = F.array_distinct(F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int"))).alias("prefix")
+    own = _marked(prefixes, _marks(left.select("doc"))).select("doc", "n", halves)
     cells = met.join(own, "doc").select(*group, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc", "component", "n", (F.col("own") > F.col("size")).alias("upper"), "prefix")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,9 +374,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """
     docs = docs.select("doc_id", "text")
     seen = written(_sets(docs, frequent_shingles(docs, words), words, percent), "sets")
-    # one row of each set, that of the least doc_id: rows meet once, and those of a task are one before they travel
-    least = F.min_by(F.struct("doc_id", "n", "heavy", "prefix", "salts"), "doc_id").alias("r")
-    prefixes = written(seen.where("n > 0 and doc_id is not null").groupBy("set").agg(least).select("set", F.col("r.doc_id").alias("doc"), "r.n", "r.heavy", "r.prefix", "r.salts"), "prefixes")
+    ids, prefixes = _one_of_each_set(seen)
     size = F.size("prefix")
     entry = prefixes.select("doc", "n", (F.col("heavy").cast("bigint") * 1_000_000 / size).cast("int").alias("rank"), F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
     entries = entry.select(F.col("e.prefix").alias("token"), F.col("e.salts").alias("salts"), F.pmod(F.xxhash64("doc"), F.col("e.salts")).cast("int").alias("salt"), "rank", "doc", "n")
@@ -388,7 +402,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     if more.limit(1).count():
         found = written(verified(more, docs, words, percent), "links")
         comps = components(links.unionByName(found))
-    names = prefixes.select("set", "doc").join(comps, "doc", "left").select("set", F.coalesce("component", "doc").alias("component"))
+    names = ids.join(comps, "doc", "left").select("set", F.coalesce("component", "doc").alias("component"))
     out = seen.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(names, "set", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
