@@ -13,7 +13,7 @@ two documents that stay uncompared are already in one component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ BLOCK = 512
 MARKS = 1 << 23
 #: Shingles known to be frequent, at most: they only set the order.
 FREQUENT = 100_000
+#: Shingles that a task counts at once, to tell the frequent ones (more, if one text has more).
+COUNTED = 4_000_000
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -76,26 +78,25 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(sets: list) -> pa.RecordBatch:
-            h = np.concatenate([np.empty(0, np.uint64), *sets])
-            sets.clear()
+        def block(h: np.ndarray) -> pa.RecordBatch:
             h.sort()  # in place: a block is held once
             found, n = np.unique(h[2:][h[2:] == h[:-2]], return_counts=True)  # the third place of a shingle and each after it
             return _arrow("ll", token=found.view(np.int64), n=n + 2)
 
-        sets, size, seen = [], 0, set()
+        held, size, seen = np.empty(COUNTED, np.uint64), 0, set()
         for b in batches:
             for text in b.column("text").to_pylist():
                 one = shingles(text, words)
                 key = xxhash.xxh3_64_intdigest(one.tobytes())
-                if key not in seen:
-                    seen.add(key)
-                    sets.append(one)
-                    size += len(one)
-                if size > 4_000_000:
-                    yield block(sets)
-                    sets, size, seen = [], 0, set()
-        yield block(sets)
+                if key in seen:
+                    continue
+                if size + len(one) > len(held):
+                    yield block(held[:size])
+                    held, size, seen = held if len(one) <= len(held) else np.empty(len(one), np.uint64), 0, set()
+                seen.add(key)
+                held[size : size + len(one)] = one
+                size += len(one)
+        yield block(held[:size])
 
     top = docs.select("text").mapInArrow(counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     token = top["token"].to_numpy(np.int64).view(np.uint64)
@@ -218,20 +219,28 @@ def _marks(ids: DataFrame, key: str = "doc") -> np.ndarray:
     return out.view(np.uint32)
 
 
-def _marked(rows: DataFrame, marks: np.ndarray, key: str = "doc", inside: bool = True) -> DataFrame:
-    """rows (key and others) without most of those whose key isn't in the map; inside false: all the rows left out."""
+def _marked(rows: DataFrame, *maps: tuple[np.ndarray, str, bool], then: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """rows without most of those whose keys aren't in the maps: (marks, key, True) each, or with False without all that are in it.
+
+    then: what is made of the batches left, with its schema. It runs in the same worker, where a mapInArrow of its own would
+    have each task hold a second one.
+    """
     names = rows.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = b.column("place").to_numpy().astype(np.int64)
-            yield b.select(names).filter(pa.array((marks[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool) == inside))
+            keep = np.ones(b.num_rows, bool)
+            for k, (marks, _, inside) in enumerate(maps):
+                place = b.column(f"place{k}").to_numpy().astype(np.int64)
+                keep &= (marks[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool) == inside
+            yield b.select(names).filter(pa.array(keep))
 
-    return rows.withColumn("place", F.pmod(F.xxhash64(key), F.lit(MARKS))).mapInArrow(kept, rows.schema)
+    placed = rows.withColumns({f"place{k}": F.pmod(F.xxhash64(key), F.lit(MARKS)) for k, (_, key, _) in enumerate(maps)})
+    return placed.mapInArrow((lambda batches: then(kept(batches))) if then else kept, schema or rows.schema)
 
 
-def _one_of_each_set(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of seen (see _sets) and one row of each, that of the least doc_id: (set, doc), (set, doc, n, heavy, prefix, salts).
+def _by_set(seen: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """The sets of seen (see _sets) as (set, doc), and what gives one row of each, that of the least doc_id, in the maps it is given.
 
     Only the rows of sets of several rows, told by a bit map, travel with their prefixes, those of a task as one; a set whose bit
     another one shares travels too, alone. Rows without a bit are their set's only ones and stay where they are.
@@ -240,8 +249,14 @@ def _one_of_each_set(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = written(rows.groupBy("set").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("m")), "ids")
     marks = _marks(ids.where("m > 1"), "set")
     least = F.min_by(F.struct("doc", "n", "heavy", "prefix", "salts"), "doc").alias("r")
-    several = written(_marked(rows, marks, "set").groupBy("set").agg(least).select("set", "r.*"), "prefixes")
-    return ids.drop("m"), _marked(rows, marks, "set", False).unionByName(several)
+    several = written(_marked(rows, (marks, "set", True)).groupBy("set").agg(least).select("set", "r.*"), "prefixes")
+    return ids.drop("m"), lambda *maps: _marked(rows, (marks, "set", False), *maps).unionByName(_marked(several, *maps) if maps else several)
+
+
+def _one_of_each_set(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of seen (see _sets) and one row of each, that of the least doc_id: (set, doc), (set, doc, n, heavy, prefix, salts)."""
+    ids, inside = _by_set(seen)
+    return ids, inside()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -276,7 +291,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
     doc = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").where("doc is not null")
     # the few texts that the map lets through besides those of pairs meet no pair below
-    blobs = written(_marked(doc, marks).mapInArrow(packed, "doc bigint, blob binary"), "texts")
+    blobs = written(_marked(doc, (marks, "doc", True), then=packed, schema="doc bigint, blob binary"), "texts")
     left = pairs.select("a", "b").join(blobs.select(F.col("doc").alias("a"), F.col("blob").alias("blob_a")), "a")
     full = left.join(blobs.select(F.col("doc").alias("b"), F.col("blob").alias("blob_b")), "b")
     return full.select("a", "b", "blob_a", "blob_b").mapInArrow(linked, "a bigint, b bigint").distinct()
@@ -300,10 +315,10 @@ def components(links: DataFrame) -> DataFrame:
         label = after.select("u", "label")
 
 
-def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame | Callable[..., DataFrame], percent: int) -> DataFrame:
     """Pairs (a, na, b, nb) of rows of heavy columns that are not in one component yet and whose prefixes allow a link.
 
-    rows: (token, doc, n). Columns of the same rows (as those of one passage) offer the same pairs: one of them is taken, told by
+    rows: (token, doc, n); prefixes: (doc, n, prefix), or what gives those in a map (see _by_set). Columns of the same rows (as those of one passage) offer the same pairs: one of them is taken, told by
     the number of rows and two digests of 64 bits. Two rows can only link if their sizes are of one size class or of neighbours,
     as a class spans the ratio of sizes at which a link is possible, from the column's least size on. The rows of two
     neighbouring classes of a column that hold several components are cut into blocks; every block meets every other and itself,
@@ -325,7 +340,8 @@ def _open_columns(rows: DataFrame, comps: DataFrame, prefixes: DataFrame, percen
     mine = left.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     met = mine.select(*group, "own", "doc", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     halves = F.array_distinct(F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int"))).alias("prefix")
-    own = _marked(prefixes, _marks(left.select("doc"))).select("doc", "n", halves)
+    inside = prefixes if callable(prefixes) else lambda *maps: _marked(prefixes, *maps)
+    own = inside((_marks(left.select("doc")), "doc", True)).select("doc", "n", halves)
     cells = met.join(own, "doc").select(*group, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc", "component", "n", (F.col("own") > F.col("size")).alias("upper"), "prefix")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,9 +390,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """
     docs = docs.select("doc_id", "text")
     seen = written(_sets(docs, frequent_shingles(docs, words), words, percent), "sets")
-    ids, prefixes = _one_of_each_set(seen)
+    ids, prefixes = _by_set(seen)
     size = F.size("prefix")
-    entry = prefixes.select("doc", "n", (F.col("heavy").cast("bigint") * 1_000_000 / size).cast("int").alias("rank"), F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
+    entry = prefixes().select("doc", "n", (F.col("heavy").cast("bigint") * 1_000_000 / size).cast("int").alias("rank"), F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
     entries = entry.select(F.col("e.prefix").alias("token"), F.col("e.salts").alias("salts"), F.pmod(F.xxhash64("doc"), F.col("e.salts")).cast("int").alias("salt"), "rank", "doc", "n")
     product = written(_columns(entries), "product")
 
@@ -397,7 +413,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     links = written(verified(pairs, docs, words, percent), "links")
     comps = components(links)
 
-    left = _open_columns(rows.select("token", "doc", "n").distinct(), comps, prefixes.select("doc", "n", "prefix"), percent)
+    left = _open_columns(rows.select("token", "doc", "n").distinct(), comps, prefixes, percent)
     more = written(_ordered(left.where(_could(percent))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         found = written(verified(more, docs, words, percent), "links")
