@@ -244,4 +244,5 @@ def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], total: f
         for p in posteriors:
             yield pd.Series(descent.rates(np.array(p.tolist(), float).reshape(len(p), n)))
 
-    return seen.select(*names, F.col("_u_m.tokens").alias("tokens"), F.col("_u_m.p").alias("posterior"), F.pandas_udf(rated, "double")(F.col("_u_m.p")).alias("rate"))
+    rate = F.pandas_udf(rated, "double").asNondeterministic()  # else a filter on rates reckons them once more, in a worker of its own
+    return seen.select(*names, F.col("_u_m.tokens").alias("tokens"), F.col("_u_m.p").alias("posterior"), rate(F.col("_u_m.p")).alias("rate"))
