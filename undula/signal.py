@@ -61,12 +61,12 @@ class Signal:
 def from_table(df: DataFrame, stream: Column, order: list[Column], sample: Column, rate: float, channels: int = 1, precision: int = 32) -> Signal:
     """A signal from a table: the rows of a stream, in order, are its interleaved samples; an incomplete last wide sample goes.
 
-    order must be total. Streams are windows of their own, so the work spreads over streams. Samples beyond 32 bits come as they
+    order must be total; nulls come last. Streams are windows of their own, so the work spreads over streams. Samples beyond 32 bits come as they
     are; what operators calculate of them is clipped.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("stream_id").orderBy(*[F.col(f"_o{k}") for k in range(len(order))])
+    w = Window.partitionBy("stream_id").orderBy(*[F.col(f"_o{k}").asc_nulls_last() for k in range(len(order))])
     src = df.select(stream.cast("string").alias("stream_id"), sample.cast("bigint").alias("s"), *[o.alias(f"_o{k}") for k, o in enumerate(order)])
     row = src.withColumn("_k", F.row_number().over(w) - 1)
     if channels > 1:
