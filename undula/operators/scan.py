@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import design
 from ..functions.numeric import rounded
-from ..signal import Signal
+from ..signal import Signal, joined
 
 BY = ["stream_id", "channel"]
 BLOCK = 1 << 12
@@ -55,7 +55,7 @@ def _edges(t: pa.Table, names: list[str]) -> np.ndarray:
     fresh = np.zeros(max(0, t.num_rows - 1), bool)
     for c in names:
         column = t.column(c).combine_chunks()
-        v = (column.dictionary_encode().indices if pa.types.is_string(column.type) else column).to_numpy(zero_copy_only=False)
+        v = (column.dictionary_encode(null_encoding="encode").indices if pa.types.is_string(column.type) else column).to_numpy(zero_copy_only=False)
         fresh |= v[1:] != v[:-1]
     return np.concatenate([[0], np.flatnonzero(fresh) + 1]) if t.num_rows else np.empty(0, np.int64)
 
@@ -165,7 +165,7 @@ def _carried(blocks: DataFrame, reply: np.ndarray, count: int, keep: str | None)
                 state = np.asarray(last) + end @ state
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*BY, "block")), pa.array(out, pa.list_(pa.float64()))], [*BY, "block", "before"])
 
-    ends = blocks.select(*BY, "block", "last").join(later, BY, "left_semi")
+    ends = joined(blocks.select(*BY, "block", "last"), later, BY, "left_semi")
     before = ends.repartition(count, *BY).sortWithinPartitions(*BY, "block").mapInArrow(states, "stream_id string, channel int, block bigint, before array<double>").where("block > 0")
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def _carried(blocks: DataFrame, reply: np.ndarray, count: int, keep: str | None)
 
     names = [*BY, "block", "y", *([keep] if keep else [])]
     layout = "stream_id string, channel int, block bigint, y array<double>" + (f", {keep} array<bigint>" if keep else "")
-    return blocks.select(*names).join(before, [*BY, "block"], "left").select(*names, "before").mapInArrow(added, layout)
+    return joined(blocks.select(*names), before, [*BY, "block"], "left").select(*names, "before").mapInArrow(added, layout)
 
 
 def recursive(x: Signal, b: list[float], a: list[float]) -> Signal:

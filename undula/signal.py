@@ -43,7 +43,7 @@ class Signal:
 
     def with_length(self) -> DataFrame:
         """df with each row's stream length; the lengths are one row a stream and are joined by the stream."""
-        return self.df.join(self.lengths(), "stream_id")
+        return joined(self.df, self.lengths(), ["stream_id"])
 
     def effect(self, name: str, *args) -> Signal:
         """The operator of that name, with text or numeric arguments."""
@@ -58,11 +58,19 @@ class Signal:
         return run(self, text)
 
 
+def joined(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """A join by columns, stream_id first, in which streams without a name meet as well: those rows are one stream."""
+    other = right.withColumnsRenamed({c: f"_u_{c}" for c in by})
+    first, *rest = by
+    on = [F.col(first).eqNullSafe(F.col(f"_u_{first}")), *(F.col(c) == F.col(f"_u_{c}") for c in rest)]
+    return left.join(other, on, how).drop(*(f"_u_{c}" for c in by))
+
+
 def from_table(df: DataFrame, stream: Column, order: list[Column], sample: Column, rate: float, channels: int = 1, precision: int = 32) -> Signal:
     """A signal from a table: the rows of a stream, in order, are its interleaved samples; an incomplete last wide sample goes.
 
-    order must be total; nulls come last. Streams are windows of their own, so the work spreads over streams. Samples beyond 32 bits come as they
-    are; what operators calculate of them is clipped.
+    order must be total; nulls come last. Streams are windows of their own, so the work spreads over streams. Samples beyond 32 bits
+    come as they are; what operators calculate of them is clipped.
     """
     from pyspark.sql import Window
 
