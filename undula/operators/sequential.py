@@ -18,11 +18,12 @@ from ..functions import design, draws
 from ..functions.numeric import FULL
 from ..signal import LAYOUT, Signal
 from . import stateful
-from .stateful import blockwise, to_samples
+from .stateful import blockwise, shipped, to_samples
 
 
 def by_stream(x: Signal, kernel: Callable[[np.ndarray], np.ndarray], channels: int | None = None, rate: float | None = None, cut: bool = False) -> Signal:
     """kernel over all channels of a stream together."""
+    kernel = shipped(kernel)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="n", columns="channel", values="s").fillna(0).sort_index()

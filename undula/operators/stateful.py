@@ -8,15 +8,19 @@ stays in the state store between micro-batches.
 
 from __future__ import annotations
 
+import inspect
 import math
 import pickle
+import sysconfig
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,6 +39,31 @@ class Operator(Protocol):
     def drain(self, state: Any) -> np.ndarray | None: ...
 
 
+class _Shipped:
+    def __init__(self, code: bytes):
+        self.code = code
+
+    def __reduce__(self):
+        return pickle.loads, (self.code,)
+
+
+def shipped(kernel):
+    """A caller's kernel or operator as executors get it: with the code of its module where that isn't installed, as they may
+    not have the module."""
+    module = inspect.getmodule(kernel if inspect.isroutine(kernel) or inspect.isclass(kernel) else type(kernel))
+    file = getattr(module, "__file__", None)
+    installed = [Path(sysconfig.get_path(k)) for k in ("stdlib", "purelib", "platlib")]
+    if not file or module.__name__.split(".")[0] == __name__.split(".")[0] or any(Path(file).is_relative_to(p) for p in installed):
+        return kernel
+    known = module.__name__ in cloudpickle.list_registry_pickle_by_value()
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        return _Shipped(cloudpickle.dumps(kernel))
+    finally:
+        if not known:
+            cloudpickle.unregister_pickle_by_value(module)
+
+
 def to_samples(y: np.ndarray, cut: bool = False) -> np.ndarray:
     d = np.clip(y * FULL, MIN, MAX)
     return (np.trunc(d) if cut else np.trunc(d + np.where(d < 0, -0.5, 0.5))).clip(MIN, MAX).astype(np.int64).astype(np.int32)
@@ -86,7 +115,7 @@ class Flow:
 
 def blockwise(x: Signal, operator: Operator, **changes) -> Signal:
     """The operator over all streams of x, each in one task as its state asks for, held a block at a time."""
-    channels = x.channels
+    channels, operator = x.channels, shipped(operator)
     n = int(x.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +155,7 @@ def streamed(rows: DataFrame, operator: Operator, channels: int) -> DataFrame:
 
     A row without s ends its stream: the operator is drained, and its state goes.
     """
+    operator = shipped(operator)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         flow = Flow(operator, channels)
