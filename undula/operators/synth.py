@@ -6,13 +6,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..functions.numeric import FULL, MAX, MIN, rounded
-from ..signal import LAYOUT, Signal
+from ..signal import WIDE, Signal
 from .scan import recurse
 from .stateful import blockwise, lcg
 
@@ -60,13 +60,13 @@ def cycle_phases(count: int, rate: float, f: float, f2: float, length: int) -> n
 
 
 def by_cycle(x: Signal, f: float, f2: float, length: int) -> DataFrame:
-    """Rows of x with the phase p of such a sweep: worked out once for each channel."""
+    """Rows of x with the phase p of such a sweep: worked out once for each channel. Samples pass as they are, beyond 32 bits too."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        return pdf.assign(p=cycle_phases(len(pdf), x.rate, f, f2, length))
+    def run(t: pa.Table) -> pa.Table:
+        return t.sort_by("n").append_column("p", pa.array(cycle_phases(t.num_rows, x.rate, f, f2, length)))
 
-    return x.df.groupBy("stream_id", "channel").applyInPandas(run, LAYOUT + ", p double")
+    rows = x.df.select("stream_id", F.col("channel").cast("int"), F.col("n").cast("bigint"), F.col("s").cast("bigint"))
+    return rows.groupBy("stream_id", "channel").applyInArrow(run, WIDE + ", p double")
 
 
 def shape(kind: str, phase: Column, p1: float | None = None, p2: float | None = None, p3: float | None = None) -> Column:
