@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -127,42 +129,43 @@ def to_phase_whole(h: np.ndarray, phase: float, attenuation: float) -> tuple[np.
 
 
 # --- biquads: (b0, b1, b2, a0, a1, a2) by the widely published audio cookbook ---
+# Functions are math's: numpy's differ from them in a last bit or two, by processor, and so may a rounded sample in millions.
 
 
 def alpha(w0: float, width: float, kind: str, gain_db: float = 0.0) -> float:
-    s, f = np.sin(w0), w0
+    s, f = math.sin(w0), w0
     if kind == "s":  # slope
         a = 10 ** (gain_db / 40)
         return s / 2 * np.sqrt((a + 1 / a) * (1 / width - 1) + 2)
     if kind == "q":
         return s / (2 * width)
     if kind == "o":  # octaves
-        return s * np.sinh(np.log(2) / 2 * width * f / s)
+        return s * math.sinh(math.log(2) / 2 * width * f / s)
     if kind == "b":  # octaves without warping
-        return s * np.sinh(np.log(2) / 2 * width)
-    return np.tan(width / 2) if kind == "h" else s / (2 * width)
+        return s * math.sinh(math.log(2) / 2 * width)
+    return math.tan(width / 2) if kind == "h" else s / (2 * width)
 
 
 def biquad(kind: str, rate: float, f: float, width: float = np.sqrt(0.5), width_kind: str = "q", gain: float = 0.0, poles: int = 2) -> tuple[float, ...]:
     """lowpass highpass bandpass bandpass_skirt bandreject allpass equalizer bass treble. Widths of kind h are Hz."""
-    w0 = 2 * np.pi * f / rate
-    if w0 >= np.pi:
+    w0 = 2 * math.pi * f / rate
+    if w0 >= math.pi:
         raise ValueError("the frequency must be below half the sample rate")
-    c = np.cos(w0)
+    c = math.cos(w0)
     if poles == 1:
         if kind == "lowpass":
-            a1 = -np.exp(-w0)
+            a1 = -math.exp(-w0)
             return (1 + a1, 0.0, 0.0, 1.0, a1, 0.0)
         if kind == "highpass":
-            a1 = -np.exp(-w0)
+            a1 = -math.exp(-w0)
             return ((1 - a1) / 2, -(1 - a1) / 2, 0.0, 1.0, a1, 0.0)
         if kind == "allpass":  # experimental one-pole all-pass
-            return (np.exp(-w0), -1.0, 0.0, 1.0, -np.exp(-w0), 0.0)
+            return (math.exp(-w0), -1.0, 0.0, 1.0, -math.exp(-w0), 0.0)
         raise ValueError(f"{kind} has two poles")
     if kind == "allpass_2":  # experimental two-pole all-pass without a width
-        s = np.sin(w0)
+        s = math.sin(w0)
         return (1 - s, -2 * c, 1 + s, 1 + s, -2 * c, 1 - s)
-    al = alpha(w0, 2 * np.pi * width / rate if width_kind == "h" else width, width_kind, gain) if width_kind != "h" else np.sin(w0) / (2 * f / width)
+    al = alpha(w0, 2 * math.pi * width / rate if width_kind == "h" else width, width_kind, gain) if width_kind != "h" else math.sin(w0) / (2 * f / width)
     a = 10 ** (gain / 40)
     if kind == "lowpass":
         return ((1 - c) / 2, 1 - c, (1 - c) / 2, 1 + al, -2 * c, 1 - al)
@@ -171,7 +174,7 @@ def biquad(kind: str, rate: float, f: float, width: float = np.sqrt(0.5), width_
     if kind == "bandpass":
         return (al, 0.0, -al, 1 + al, -2 * c, 1 - al)
     if kind == "bandpass_skirt":
-        return (np.sin(w0) / 2, 0.0, -np.sin(w0) / 2, 1 + al, -2 * c, 1 - al)
+        return (math.sin(w0) / 2, 0.0, -math.sin(w0) / 2, 1 + al, -2 * c, 1 - al)
     if kind == "bandreject":
         return (1.0, -2 * c, 1.0, 1 + al, -2 * c, 1 - al)
     if kind == "allpass":
@@ -188,8 +191,8 @@ def biquad(kind: str, rate: float, f: float, width: float = np.sqrt(0.5), width_
 
 def band(rate: float, f: float, width: float, noise: bool = False) -> tuple[float, ...]:
     """Resonator at f with a band of `width` Hz; noise: scaled for noise-like instead of tonal input."""
-    a2 = np.exp(-2 * np.pi * width / rate)
-    a1 = -4 * a2 / (1 + a2) * np.cos(2 * np.pi * f / rate)
+    a2 = math.exp(-2 * math.pi * width / rate)
+    a1 = -4 * a2 / (1 + a2) * math.cos(2 * math.pi * f / rate)
     b0 = np.sqrt(((1 + a2) ** 2 - a1 * a1) * (1 - a2) / (1 + a2)) if noise else np.sqrt(1 - a1 * a1 / (4 * a2)) * (1 - a2)
     return (b0, 0.0, 0.0, 1.0, a1, a2)
 
