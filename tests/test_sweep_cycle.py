@@ -36,3 +36,13 @@ def test_sweep_by_cycle_mixed_with_far_samples(spark, far):
     for r in rows:
         if r["s"] is not None:
             assert abs(r["mixed"] - max(-(2**31), min(2**31 - 1, (r["tone"] + r["s"]) / 2))) <= 1
+
+
+def test_phases_of_a_long_sweep():
+    """To the last bit those of the SQL, over 2,000 places."""
+    hz = "2 * exp((n + 1) * (ln(10.0::DOUBLE) / 100))"
+    begun = f"b + CASE WHEN {hz} * ((n + 1) / 100.0::DOUBLE - b) >= 1 THEN 1 / ({hz}) ELSE 0 END"
+    table = f"c AS (SELECT 0 AS n, 0.0::DOUBLE AS b, 0.0::DOUBLE AS p UNION ALL SELECT n + 1, {begun}, {hz} * ((n + 1) / 100.0::DOUBLE - ({begun})) FROM c WHERE n < 1999)"
+    want = duckdb.connect().execute(f"WITH RECURSIVE {table} SELECT p FROM c ORDER BY n").fetchall()
+    assert synth.cycle_phases(2000, 100.0, 2.0, 20.0, 100).tolist() == [r[0] for r in want]
+    assert len(synth.cycle_phases(40_000, 100.0, 2.0, 20.0, 100)) == 40_000

@@ -49,10 +49,11 @@ def turns(n: Column, rate: float, f: float, f2: float | None = None, sweep: str
 def cycle_phases(count: int, rate: float, f: float, f2: float, length: int) -> np.ndarray:
     """Phases of an exponential sweep that holds its frequency within a cycle: a cycle ends where, at the frequency of its end, it
     is a whole one."""
-    hz = f * np.exp(np.arange(count) * (math.log(f2 / f) / length))
+    step = math.log(f2 / f) / length
     out, begun = np.empty(count), 0.0
-    for n, h in enumerate(hz.tolist()):
-        t = n / rate
+    for n in range(count):
+        t, power = n / rate, n * step
+        h = f * math.exp(power) if power < 709.78 else math.inf  # numpy's exp differs in a last bit, which grows with the phase
         if h * (t - begun) >= 1:
             begun += 1 / h
         out[n] = h * (t - begun)
